@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from wardline.llm import dedup, licenses, quality, shards
+from wardline.llm import bpe, dedup, licenses, packing, quality, rans, shards
 
 QUERIES = {
     "op1_hilbert_shards": shards.op1_hilbert_shards,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_bpe_speculate_verify": bpe.op3_bpe_speculate_verify,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_exact_dedup": dedup.op5_exact_dedup,
+    "op7_rans_token_files": rans.op7_rans_token_files,
     "op8_quality_cascade": quality.op8_quality_cascade,
 }
 
