@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import bpe, dedup, licenses, packing, quality, rans, shards
+from wardline.llm import bpe, dedup, licenses, packing, quality, rans, shards, simhash
 
 QUERIES = {
     "op1_hilbert_shards": shards.op1_hilbert_shards,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe_speculate_verify": bpe.op3_bpe_speculate_verify,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_exact_dedup": dedup.op5_exact_dedup,
+    "op6_simhash_byte_index": simhash.op6_simhash_byte_index,
     "op7_rans_token_files": rans.op7_rans_token_files,
     "op8_quality_cascade": quality.op8_quality_cascade,
 }
