@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import bpe, dedup, licenses, packing, quality, rans, shards, simhash
+from wardline.llm import bpe, dedup, licenses, packing, quality, rans, shards, simhash, toxicity
 
 QUERIES = {
     "op1_hilbert_shards": shards.op1_hilbert_shards,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash_byte_index": simhash.op6_simhash_byte_index,
     "op7_rans_token_files": rans.op7_rans_token_files,
     "op8_quality_cascade": quality.op8_quality_cascade,
+    "op9_toxic_segments": toxicity.op9_toxic_segments,
 }
 
 ORACLE_SQL = {
