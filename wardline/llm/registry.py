@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import bpe, dedup, licenses, packing, quality, rans, shards, simhash, toxicity
+from wardline.llm import bpe, dedup, edits, licenses, packing, quality, rans, shards, simhash, toxicity
 
 QUERIES = {
     "op1_hilbert_shards": shards.op1_hilbert_shards,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_rans_token_files": rans.op7_rans_token_files,
     "op8_quality_cascade": quality.op8_quality_cascade,
     "op9_toxic_segments": toxicity.op9_toxic_segments,
+    "op10_edit_aware_counts": edits.op10_edit_aware_counts,
 }
 
 ORACLE_SQL = {
