@@ -170,7 +170,7 @@ def quality_cascade(docs: DataFrame, text_col: str = "text", metrics: bool = Fal
     Null and empty texts have no words and fail few_words. Rows are judged one by one, so ties and repeated
     rows get equal verdicts; an empty table gives no rows. Very long texts are read whole. With ``metrics``
     the counts must be made for every row, and the cascade reads them; without, each rule reads the text and
-    runs only on rows that passed those before it.
+    runs only on rows that passed those before it. Given columns named like a new one are replaced.
     """
     order = [r.name for r in rank_rules(docs, rules(text_col), text_col)]
     base = with_metrics(docs, text_col) if metrics else docs
@@ -178,6 +178,12 @@ def quality_cascade(docs: DataFrame, text_col: str = "text", metrics: bool = Fal
     return base.withColumn("failed_rule", first_failure([named[n] for n in order]))
 
 
+def passing(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that fail no rule, with their columns as they are."""
+    ranked = rank_rules(docs, rules(text_col), text_col)
+    return docs.where(first_failure(ranked).isNull())
+
+
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

@@ -108,12 +108,14 @@ def hilbert_shards(
     Rows are ranked by (curve index, salt, id); shard = floor(rank * n_shards / rows), so shard row counts
     differ by at most one. Fewer rows than shards leave shards empty; an empty table gives no rows. Null
     dimension values count as the lowest. Rows that tie in everything take neighbouring slots in any order.
+    Given columns named curve_index, shard or slot are replaced.
 
     Ranks come from counts of (cell, salt) groups, a table bounded by cells and salts, plus a row number
     inside each group: a cell that holds a third of all rows is dealt over ``SALTS`` groups.
     """
     if bits * len(dims) > 12:
         raise ValueError("bits * dimensions must not exceed 12, which bounds the table of run starts")
+    own = [c for c in docs.columns if c not in ("curve_index", "shard", "slot")]
     strings = [d for d in dims if isinstance(docs.schema[d].dataType, StringType)]
     prefix = dict.fromkeys(dims, 0)
     if strings:
@@ -152,7 +154,7 @@ def hilbert_shards(
     )
     # the first rank of shard s is ceil(s * rows / n_shards)
     first = F.expr(f"(cast(shard as bigint) * __rows + {n_shards - 1}) div {n_shards}")
-    return ranked.withColumn("slot", F.col("__rank") - first).select(*docs.columns, "curve_index", "shard", "slot")
+    return ranked.withColumn("slot", F.col("__rank") - first).select(*own, "curve_index", "shard", "slot")
 
 
 def write_shards(placed: DataFrame, path: str) -> None:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from wardline.llm.shared import table
 
@@ -131,13 +131,14 @@ def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, tr
     """Text, label and part (1 to 4) of the labelled rows to learn from. The label side is bounded, so it is broadcast."""
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col(id_col)))
     total = known.count()
-    part = (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5).cast("int")
     side = known.groupBy(F.col(id_col).alias("__k")).agg(F.max("toxic").alias("__toxic"))
     if total > train_rows:
         thin = F.pmod(F.xxhash64("__k", F.lit("thin")), F.lit(1_000_000)) < int(1_000_000 * train_rows / total)
         side = side.where(thin)
-    return docs.join(F.broadcast(side), F.col(id_col) == F.col("__k")).select(
-        F.col(text_col).alias("__text"), F.col("__toxic").cast("int").alias("__toxic"), part.alias("__part")
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    part = (F.crc32(F.col("__id").cast("string").cast("binary")) % 5).cast("int")
+    return texts.join(F.broadcast(side), F.col("__id") == F.col("__k")).select(
+        "__text", F.col("__toxic").cast("int").alias("__toxic"), part.alias("__part")
     )
 
 
@@ -251,6 +252,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 _weighers: dict[int, Weigher] = {}
 
 
+def _weigher_of(model: Model) -> Weigher:
+    """One for each worker process and model: a broadcast value is one object to all of a worker's tasks."""
+    if id(model) not in _weighers:
+        _weighers.clear()
+        _weighers[id(model)] = model.weigher()
+    return _weighers[id(model)]
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score (0 to 1) and passages, the significant segments (first and last word, score, evalue).
 
@@ -267,10 +276,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        if id(model) not in _weighers:
-            _weighers.clear()
-            _weighers[id(model)] = model.weigher()
-        weigher = _weighers[id(model)]
+        weigher = _weigher_of(model)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
@@ -293,6 +299,25 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, fields)
 
 
+def flagged(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5, flag: str = "__toxic") -> DataFrame:
+    """``docs`` with all its columns and ``flag``: whether the score of ``score`` reaches ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    fields = StructType([*docs.schema.fields, StructField(flag, BooleanType())])
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        weigher = _weigher_of(model)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                found = [model.evidence(segments(w)[2], len(w)) for w in weigher.weights(part.column(at).to_pylist())]
+                flags = model.probability(np.array(found)) >= threshold
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(flags)], fields.fieldNames())
+
+    return docs.mapInArrow(run, fields)
+
+
 def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
