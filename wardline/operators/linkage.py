@@ -57,6 +57,24 @@ def mdm_match(candidates: DataFrame, keys: DataFrame, rules: dict = RULES) -> Da
     return scored.withColumn("result", result.otherwise("NO_MATCH"))
 
 
+def mdm_links(patients: DataFrame, rules: dict = RULES) -> DataFrame:
+    """(a, b, result) of the candidate pairs that are a MATCH or POSSIBLE_MATCH.
+
+    Both results need a shared given key, so the pairs come from a join on (block value, given key): pairs of a
+    busy block that do not match are never made.
+    """
+    keys = phonetic_keys(patients)
+    people = patients.where("active").join(keys, "id")
+    given = people.select("id", *rules["blocks"], "family_key", F.explode("given_keys").alias("g"))
+    pairs = []
+    for block in rules["blocks"]:
+        side = lambda name, block=block: given.where(F.col(block).isNotNull()).select(F.col("id").alias(name), F.col(block).alias("k"), "g", F.col("family_key").alias(f"f_{name}"))
+        pairs.append(side("a").join(side("b"), ["k", "g"]).where("a < b").select("a", "b", "f_a", "f_b"))
+    found = reduce(DataFrame.union, pairs).distinct()
+    family = F.coalesce(F.col("f_a") == F.col("f_b"), F.lit(False))
+    return found.select("a", "b", F.when(family, rules["results"]["given,family"]).otherwise(rules["results"]["given"]).alias("result"))
+
+
 def mdm_eid_matches(identifiers: DataFrame, eid_system: str) -> DataFrame:
     """Links (a, b) between holders of one enterprise identifier (id, system, value): each to the least holder.
 

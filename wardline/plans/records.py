@@ -221,6 +221,17 @@ def mdm_match(spark, sf_dir):
     return L.mdm_match(L.mdm_candidates(p), L.phonetic_keys(p))
 
 
+@query(
+    "mdm_links",
+    sql(
+        f"WITH {_CANDIDATES}, k AS (SELECT id, {_GIVEN.format('given')} AS g, {_FAMILY.format('family')} AS f FROM patient) SELECT a, b, CASE WHEN x.f = y.f THEN 'MATCH' ELSE 'POSSIBLE_MATCH' END AS result FROM cand JOIN k x ON x.id = a JOIN k y ON y.id = b WHERE x.g = y.g",
+        "patient",
+    ),
+)
+def mdm_links(spark, sf_dir):
+    return L.mdm_links(_linkable(spark, sf_dir))
+
+
 def _identifiers(spark, sf_dir):
     p = tables(spark, sf_dir, "patient")[0]
     return p.select("id", F.when(F.col("seq") % 4 == 0, "urn:other").otherwise("urn:eid").alias("system"), F.col("identifier").alias("value"))

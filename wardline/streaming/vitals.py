@@ -41,38 +41,31 @@ def subscription_stream(events: DataFrame, subscriptions: DataFrame) -> DataFram
 
 
 class StateTable:
-    """The aggregate, one folder per batch. A batch reads the folder before its own and writes its own whole.
+    """The aggregate, one folder per batch, and a list of the finished batches.
 
-    A replayed batch overwrites its folder from the same input, so replays change nothing. The newest folder is
-    the state; older ones can go once their batch can't be replayed.
+    A batch reads the newest folder before its own and writes its own whole, then is listed. A replayed batch
+    overwrites its folder from the same input, so replays change nothing. Older folders can go once their batch
+    can't be replayed.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _batches(self) -> list[int]:
-        """Batches with a finished folder, through Hadoop's file system interface, as the path may be in any store."""
-        jvm = self.spark.sparkContext._jvm
-        base = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(base):
-            return []
-        found = []
-        for status in fs.listStatus(base):
-            name = status.getPath().getName()
-            if name.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                found.append(int(name[6:]))
-        return sorted(found)
+        spark.createDataFrame([], "batch long").write.mode("ignore").parquet(f"{self.path}/finished")
 
     def before(self, batch: int) -> DataFrame:
-        older = [b for b in self._batches() if b < batch]
-        if not older:
+        finished = self.spark.read.schema("batch long").parquet(f"{self.path}/finished")
+        last = finished.where(F.col("batch") < batch).agg(F.max("batch")).first()[0]
+        if last is None:
             return self.spark.createDataFrame([], AGG)
-        return self.spark.read.schema(AGG).parquet(f"{self.path}/batch={older[-1]}")
+        return self._rows(last)
+
+    def _rows(self, batch: int) -> DataFrame:
+        return self.spark.read.schema(AGG).parquet(f"{self.path}/rows-{batch}")
 
     def write(self, df: DataFrame, batch: int) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        return self.spark.read.schema(AGG).parquet(f"{self.path}/batch={batch}")
+        df.write.mode("overwrite").parquet(f"{self.path}/rows-{batch}")
+        self.spark.createDataFrame([(batch,)], "batch long").coalesce(1).write.mode("append").parquet(f"{self.path}/finished")
+        return self._rows(batch)
 
     def newest(self) -> DataFrame:
         return self.before(1 << 62)
