@@ -52,12 +52,17 @@ class Model:
         return Weigher(self)
 
     def evidence(self, scores: np.ndarray, n: int) -> float:
-        """Sum of -log E over significant segments; of the best one alone if none is. E = K n exp(-lambda S)."""
-        if not len(scores) or not n:
-            return -10.0
-        logs = self.rate * scores - self.log_k - math.log(n)
-        strong = logs[logs > -math.log(SIGNIFICANT)]
-        return float(np.clip(strong.sum() if len(strong) else logs.max(), -10.0, 60.0))
+        """Sum of -log E over significant segments; of the best one alone if none is. E = K n exp(-lambda S).
+
+        The sum is put on a logarithmic scale on either side of zero: the step from no passage to one decides,
+        not the number of further ones.
+        """
+        total = -20.0
+        if len(scores) and n:
+            logs = self.rate * scores - self.log_k - math.log(n)
+            strong = logs[logs > -math.log(SIGNIFICANT)]
+            total = float(np.clip(strong.sum() if len(strong) else logs.max(), -20.0, 1e4))
+        return math.copysign(math.log1p(abs(total)), total)
 
     def probability(self, evidence: np.ndarray | float) -> np.ndarray | float:
         if self.offset == -math.inf:
