@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.sources.staging import scratch_dir, staged  # noqa: F401  for the operators
+
 #: A side is broadcast only if it was counted and has at most so many (narrow) rows.
 BROADCAST_ROWS = 250_000
 
@@ -17,22 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), "wardline-checkpoints")
-    return f"{root.rstrip('/')}/wardline"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and each later use reads it."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether a staged table is known to fit a broadcast (one count, no rows fetched)."""
     return df.count() <= limit
