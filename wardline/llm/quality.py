@@ -118,8 +118,8 @@ def rules(text_col: str = "text") -> list[Rule]:
     return [
         Rule("few_words", n_words < 20),
         Rule("repeated_windows", let(words_of(text), lambda w: 100 * n_repeat_words_of(w) > 30 * F.size(w))),
-        Rule("symbols", 2 * n_symbols_of(text) > n_words),
-        Rule("repeated_lines", 10 * n_dup_lines_of(text) > 3 * n_lines_of(text)),
+        Rule("symbols", 4 * n_symbols_of(text) > n_words),
+        Rule("repeated_lines", let(n_dup_lines_of(text), lambda d: (d > 1) & (10 * d > 3 * n_lines_of(text)))),
         Rule("word_length", ~mean.between(2.0, 16.0)),
     ]
 
@@ -131,8 +131,8 @@ def metric_rules() -> list[Rule]:
     return [
         Rule("few_words", c("n_words") < 20),
         Rule("repeated_windows", 100 * c("n_repeat_words") > 30 * c("n_words")),
-        Rule("symbols", 2 * c("n_symbols") > c("n_words")),
-        Rule("repeated_lines", 10 * c("n_dup_lines") > 3 * c("n_lines")),
+        Rule("symbols", 4 * c("n_symbols") > c("n_words")),
+        Rule("repeated_lines", (c("n_dup_lines") > 1) & (10 * c("n_dup_lines") > 3 * c("n_lines"))),
         Rule("word_length", ~mean.between(2.0, 16.0)),
     ]
 
@@ -226,8 +226,8 @@ WITH d AS (
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 2 * n_symbols > n_words
-            OR 10 * n_dup_lines > 3 * n_lines
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 4 * n_symbols > n_words
+            OR (n_dup_lines > 1 AND 10 * n_dup_lines > 3 * n_lines)
             OR word_chars < 2.0 * GREATEST(n_words, 1) OR word_chars > 16.0 * GREATEST(n_words, 1)) AS kept
 FROM r
 """
