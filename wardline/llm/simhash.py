@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, seed:
 def _near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     """Count filter, then verification: pairs with enough equal positional bytes that differ in few bits."""
     differ = a ^ b
-    shared = np.zeros(a.shape, np.int8)
+    shared = np.zeros(differ.shape, np.int8)
     for byte in range(8):
         shared += (differ >> np.uint64(8 * byte)) & np.uint64(255) == 0
     near = shared >= 8 - bits
