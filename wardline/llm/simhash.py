@@ -11,9 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from wardline.llm.shared import staged, table, without_rows
+from wardline.llm.shared import hinted, staged, table, without_rows
 
 BITS = 3
 #: Members of one posting that are compared inside one task; larger postings are compared in blocks of so many.
@@ -213,17 +213,163 @@ def simhash_groups(
     )
 
 
+# ---- near copies by similarity, for texts that differ in more than a few bits
+
+#: Bytes of the wide fingerprint and byte triples that it is indexed under.
+WIDE_BYTES, TRIPLES = 64, 256
+MIXERS = np.random.default_rng(2024).integers(1, 1 << 63, WIDE_BYTES // 8, np.uint64) | np.uint64(1)
+
+
+def byte_triples(n: int = TRIPLES, seed: int = 11) -> np.ndarray:
+    """``n`` different triples of byte positions, drawn by a fixed seed."""
+    every = np.array(list(combinations(range(WIDE_BYTES), 3)))
+    return every[np.random.default_rng(seed).choice(len(every), n, replace=False)]
+
+
+def wide_fingerprint(text: bytes, words: int, seed: int = 42) -> bytes:
+    """512-bit SimHash of the set of word shingles: each shingle's hash is mixed anew for every 64 bits."""
+    held = text.lower().split()
+    shingles = {b" ".join(held[i : i + words]) for i in range(max(1, len(held) - words + 1))} if held else set()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, len(shingles))
+    total = np.zeros(8 * WIDE_BYTES, np.int64)
+    for k in range(0, len(hashes), 2048):
+        mixed = hashes[k : k + 2048, None] * MIXERS[None, :]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        bits = np.unpackbits(mixed.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        total += bits.sum(0, dtype=np.int32)
+    return np.packbits(2 * total > len(hashes), bitorder="little").tobytes()
+
+
+def estimated_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of the shingle sets (of about equal size) from rows of fingerprint bytes."""
+    share = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) / (8 * a.shape[1])
+    cosine = np.clip(np.cos(np.pi * share), 0, 1)
+    return cosine / (2 - cosine)
+
+
+def similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Candidate links (a, b) between nodes (node, fp) whose estimated similarity reaches ``similarity``.
+
+    The index holds each node under 256 triples of byte positions, 24 bits each. Every member of a posting is
+    tied to the posting's least node, so candidates grow with the postings' sizes, not with their squares, and
+    a run of any length streams through one task. Candidates are tallied over postings and compared on all bits.
+    """
+    triples = byte_triples()
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                fps = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, WIDE_BYTES).astype(np.int64)
+                keys = np.arange(len(triples)) << 24
+                for place, column in enumerate(triples.T):
+                    keys = keys + (fps[:, column] << (8 * place))
+                nodes_ = np.repeat(part.column(0).to_numpy(), len(triples))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes_)], ["key", "node"])
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ordered by (key, node): the first of each key is the root of the others."""
+        last_key, root = None, None
+        for batch in batches:
+            key, node = (batch.column(c).to_numpy() for c in (0, 1))
+            if not len(key):
+                continue
+            opens = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
+            first = np.maximum.accumulate(np.where(opens, np.arange(len(key)), -1))
+            roots = np.where(first >= 0, node[first], root if root is not None else 0)
+            last_key, root = key[-1], roots[-1]
+            tied = ~opens
+            yield pa.RecordBatch.from_arrays([pa.array(roots[tied]), pa.array(node[tied])], ["a", "b"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, WIDE_BYTES) for c in (2, 3))
+            keep = pa.array(estimated_similarity(a, b) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    keyed = nodes.select("node", "fp").mapInArrow(postings, "key long, node long")
+    ordered = keyed.repartition("key").sortWithinPartitions("key", "node")
+    tallied = ordered.mapInArrow(stars, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    side = lambda n: nodes.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}"))
+    pairs = tallied.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fp_a", "fp_b")
+    return pairs.mapInArrow(verify, "a long, b long")
+
+
+def jaccard(a: bytes, b: bytes, words: int) -> float:
+    """Similarity of two texts' sets of word shingles; a shorter text is one shingle, one without words has none."""
+    sets = []
+    for text in (a, b):
+        held = text.lower().split()
+        sets.append({tuple(held[i : i + words]) for i in range(max(1, len(held) - words + 1))} if held else set())
+    either = len(sets[0] | sets[1])
+    return len(sets[0] & sets[1]) / either if either else 1.0
+
+
+#: The estimate's standard error is 0.04 at most; candidates this far below the threshold are still compared in full.
+MARGIN = 0.15
+
+
+def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per input row: id and component_id, the least id reachable by links.
+
+    Texts link whose sets of word shingles have a Jaccard similarity of ``similarity`` or more. Candidates come
+    from the byte index over 512-bit fingerprints (nearly all pairs at 0.8, all above), and each is compared on
+    its texts. Texts without words are one group. Ids tell rows apart. Texts with equal shingles fold into one
+    node first, so copies are compared once.
+    """
+    fields = StructType([docs.schema[id_col], StructField("fp", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                fps = [wide_fingerprint((t or "").encode(), words) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.binary())], fields.fieldNames())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                texts = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
+                keep = pa.array([jaccard(x.encode(), y.encode(), words) >= similarity for x, y in texts], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
+
+    source = docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, fields)
+    prints = staged(source.withColumn("node", F.xxhash64("fp")), "similar-prints")
+    nodes = staged(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min(id_col).alias("least_id")), "similar-nodes")
+    pairs = staged(similar_pairs(nodes.select("node", "fp"), similarity - MARGIN), "similar-pairs")
+    paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "least_id"), "node")
+    speakers = hinted(staged(paired, "similar-speakers"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).join(
+        speakers, F.col("__id") == F.col("least_id")
+    )
+    texts = staged(texts.select("node", "body"), "similar-texts")
+    side = lambda n: texts.select(F.col("node").alias(n), F.col("body").alias(f"body_{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "body_a", "body_b")
+    links = both.mapInArrow(compare, "a long, b long")
+    labels = staged(components(nodes.select(F.col("node").alias("fp")), links), "similar-labels")
+    named = nodes.select("node", "least_id").join(labels.select(F.col("fp").alias("node"), "label"), "node")
+    groups = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    by_node = staged(named.join(groups, "label").select(F.col("node").alias("__node"), "component_id"), "similar-components")
+    return prints.join(by_node, F.col("node") == F.col("__node")).select(id_col, "component_id")
+
+
 def drop_near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = BITS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """``docs`` with one row of each component, the one with the least id; columns as given.
+    """``docs`` with one row of each group of ``similar_groups``, the one with the least id; columns as given.
 
-    Texts without words are no copies of each other's content but do share a fingerprint: one of them stays.
-    Ids are expected to be distinct; rows that repeat the staying id all stay.
+    Texts without words are one group. A row is told by its id and text, so rows without an id are judged each
+    for itself (and stay only if their group has no id); rows that repeat both stay or go together.
     """
-    groups = staged(simhash_groups(docs, id_col, text_col, words, bits), "simhash-groups")
-    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__k"))
-    return without_rows(docs, staged(gone, "simhash-gone"), {"__k": F.col(id_col)})
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text_hash.alias("text"))
+    named = docs.select(key.alias("__key"), F.col(text_col).alias("__body"))
+    groups = staged(similar_groups(named, "__key", "__body", words, similarity), "similar-groups")
+    gone = groups.where(F.col("__key") != F.col("component_id")).select(F.col("__key").alias("__k"))
+    return without_rows(docs, staged(gone, "similar-gone"), {"__k": key})
 
 
 def op6_simhash_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
