@@ -150,24 +150,26 @@ class Vocabulary:
 
 
 class SpeculativeEncoder:
-    """Encodes whole texts. Memo: a blank-delimited piece of text to its ids; at most ``limit`` pieces."""
+    """Encodes whole texts. Memo: a blank-delimited piece of text to its ids, and pre-token words to theirs.
 
-    def __init__(self, tokenizer: str, limit: int = 1_000_000):
+    Beyond ``limit`` entries a memo keeps what the texts at hand use, so its memory is bounded.
+    """
+
+    def __init__(self, tokenizer: str, limit: int = 300_000):
         self.vocabulary = Vocabulary(tokenizer)
         self.library = pieces.load(tokenizer)
         self.limit = limit
         self.memo: dict[str, bytes | None] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.memo) > self.limit or len(self.words) > self.limit:
-            self.memo, self.words = {}, {}
         # \0 marks a piece without a blank before it: the first of a text and those after a line feed
         split = [("\0" + (t or "")).replace("\n", " \n \0").split(" ") for t in texts]
-        memo = self.memo
-        new = list(set().union(*split).difference(memo)) if split else []
-        self._learn(new)
-        get, out = memo.__getitem__, []
+        used = set().union(*split) if split else set()
+        if len(self.memo) > self.limit:
+            self.memo = {p: self.memo[p] for p in used if p in self.memo}
+        self._learn(list(used.difference(self.memo)))
+        get, out = self.memo.__getitem__, []
         for text, parts in zip(texts, split, strict=True):
             if "\0" in (text or ""):
                 out.append(self._whole(text))
@@ -199,10 +201,13 @@ class SpeculativeEncoder:
         """Texts without specials: the library's pre-tokens, each encoded once."""
         cut = self.library.pre_tokenizer.pre_tokenize_str
         words = [[w for w, _ in cut(b)] for b in bodies]
-        new = list(set().union(*words).difference(self.words)) if words else []
-        self.words.update(zip(new, self.vocabulary.encode_words(new), strict=True))
-        joined = [[i for w in ws for i in self.words[w]] for ws in words]
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in joined]
+        used = set().union(*words) if words else set()
+        if len(self.words) > self.limit:
+            self.words = {w: self.words[w] for w in used if w in self.words}
+        new = list(used.difference(self.words))
+        found = self.vocabulary.encode_words(new)
+        self.words.update(zip(new, (struct.pack(f"<{len(ids)}I", *ids) for ids in found), strict=True))
+        return [b"".join([self.words[w] for w in ws]) for ws in words]
 
     def _whole(self, text: str) -> bytes:
         """Any text: specials are found first, leftmost and longest, as the library does; the rest is pre-tokenized."""
@@ -253,11 +258,14 @@ def bpe_decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = token_bytes(tokenizer).__getitem__
         for batch in batches:
-            texts = []
-            for ids in batch.column(1).to_pylist():
-                raw = b"".join(map(get, np.frombuffer(ids or b"", "<u4").tolist()))
-                texts.append(raw.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], fields.fieldNames())
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                texts = []
+                for ids in part.column(1).to_pylist():
+                    raw = b"".join(map(get, np.frombuffer(ids or b"", "<u4").tolist()))
+                    texts.append(raw.decode("utf-8", "replace"))
+                columns = [part.column(0), part.column(1), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, fields.fieldNames())
 
     return tokens.select(id_col, ids_col).mapInArrow(run, fields)
 
