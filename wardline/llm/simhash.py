@@ -213,6 +213,26 @@ def simhash_groups(
     )
 
 
+def spanning_forest(links: DataFrame) -> DataFrame:
+    """Links that join the same components as the staged ``links``, at most one for each node and task.
+
+    Tasks get so many links at a time that they fit memory, and each ties its nodes to the least they reach.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not parts:
+            return
+        a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = _forest(nodes, places[: len(a)], places[len(a) :])
+        tied = np.flatnonzero(label != np.arange(len(label)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[label[tied]]), pa.array(nodes[tied])], ["a", "b"])
+
+    tasks = max(1, -(-links.count() // BUCKET_ROWS))
+    return links.select("a", "b").repartition(tasks).mapInArrow(run, "a long, b long")
+
+
 # ---- near copies by similarity, for texts that differ in more than a few bits
 
 #: Bytes of the wide fingerprint and byte triples that it is indexed under.
@@ -348,7 +368,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5,
     texts = staged(texts.select("node", "body"), "similar-texts")
     side = lambda n: texts.select(F.col("node").alias(n), F.col("body").alias(f"body_{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "body_a", "body_b")
-    links = both.mapInArrow(compare, "a long, b long")
+    links = spanning_forest(staged(both.mapInArrow(compare, "a long, b long"), "similar-links"))
     labels = staged(components(nodes.select(F.col("node").alias("fp")), links), "similar-labels")
     named = nodes.select("node", "least_id").join(labels.select(F.col("fp").alias("node"), "label"), "node")
     groups = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
