@@ -71,9 +71,9 @@ class Model:
 
 
 class Weigher:
-    """Token weights of whole texts, with a memo of pieces (started anew beyond ``limit``)."""
+    """Token weights of whole texts, with a memo of pieces: beyond ``limit`` it keeps what the texts at hand use."""
 
-    def __init__(self, model: Model, limit: int = 1_000_000):
+    def __init__(self, model: Model, limit: int = 250_000):
         self.model, self.limit = model, limit
         totals = model.counts[:SLOTS].sum(0)
         self.ready = bool(totals.all())
@@ -94,10 +94,11 @@ class Weigher:
         self.memo.update(zip((p for p, _ in held), odds.tolist(), strict=True))
 
     def weights(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.memo) > self.limit:
-            self.memo = {}
         split = [(t or "").split() for t in texts]
-        self._learn(list(set().union(*split).difference(self.memo)) if split else [])
+        used = set().union(*split) if split else set()
+        if len(self.memo) > self.limit:
+            self.memo = {p: self.memo[p] for p in used if p in self.memo}
+        self._learn(list(used.difference(self.memo)))
         get = self.memo.__getitem__
         return [np.fromiter(map(get, s), np.float64, len(s)) for s in split]
 
@@ -172,7 +173,7 @@ def fit(
                 for kind, slots in enumerate(found):
                     if slots:
                         counts[:, kind] += np.bincount(slots, minlength=len(counts))
-                if len(memo) > 500_000:
+                if len(memo) > 150_000:
                     memo = {}
         used = np.flatnonzero(counts.any(1))
         yield pa.RecordBatch.from_arrays(
@@ -195,30 +196,28 @@ def fit(
 
 
 def _calibrate(spark: SparkSession, model: Model, training: DataFrame) -> None:
-    shared = spark.sparkContext.broadcast(model)
+    """Set the law's rate and constant from clean texts, then the logistic curve from the evidence of all."""
     low, step, bins = -6.0, 0.05, 320
+    shared = spark.sparkContext.broadcast(model)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lengths and best scores of clean texts, and the histogram of their weights (in a task's batch's first row)."""
         weigher = shared.value.weigher()
         for batch in batches:
-            toxic = batch.column(1).to_pylist()
-            lengths, best, shape = [], [], []
-            for w, t in zip(weigher.weights(batch.column(0).to_pylist()), toxic, strict=True):
-                lengths.append(len(w))
-                best.append(np.sort(segments(w)[2])[::-1][:64].tolist())
-                cells = np.clip((w - low) / step, 0, bins - 1).astype(int) if not t else np.empty(0, int)
-                shape.append(np.bincount(cells, minlength=bins))
-            total = np.sum(shape, 0) if shape else np.zeros(bins, int)
-            lists = [total.tolist() if k == 0 else None for k in range(len(toxic))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(toxic, pa.int32()), pa.array(lengths, pa.int64()), pa.array(best, pa.list_(pa.float64())), pa.array(lists, pa.list_(pa.int64()))],
-                ["toxic", "n", "best", "shape"],
-            )
-
-    fields = "toxic int, n long, best array<double>, shape array<long>"
-    rows = training.select("__text", "__toxic").mapInArrow(scan, fields).toArrow().to_pylist()
+            total, lengths, best = np.zeros(bins, int), [], []
+            for k in range(0, batch.num_rows, 512):
+                for w in weigher.weights(batch.slice(k, 512).column(0).to_pylist()):
+                    lengths.append(len(w))
+                    best.append(float(segments(w)[2].max(initial=0.0)))
+                    total += np.bincount(np.clip((w - low) / step, 0, bins - 1).astype(int), minlength=bins)
+            lists = [total.tolist() if k == 0 else None for k in range(len(lengths))]
+            columns = [pa.array(lengths, pa.int64()), pa.array(best, pa.float64()), pa.array(lists, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["n", "best", "shape"])
+
+    clean = training.where("__toxic = 0").select("__text").mapInArrow(shapes, "n long, best double, shape array<long>")
+    rows = clean.toArrow().to_pylist()
     shape = np.sum([r["shape"] for r in rows if r["shape"]], 0) if rows else np.zeros(bins)
-    if not rows or len({r["toxic"] > 0 for r in rows}) < 2 or not shape.sum():
+    if not np.sum(shape):
         return
     at = low + step * (np.arange(bins) + 0.5)
     p = shape / shape.sum()
@@ -231,12 +230,24 @@ def _calibrate(spark: SparkSession, model: Model, training: DataFrame) -> None:
             else:
                 left = middle
         model.rate = left
-    clean = [(r["best"][0], r["n"]) for r in rows if not r["toxic"] and r["best"]]
-    if clean:  # the median of lambda S - log n under the law is log K - log log 2
-        model.log_k = float(np.median([model.rate * s - math.log(n) for s, n in clean])) + math.log(math.log(2))
-    x = np.array([model.evidence(np.array(r["best"]), r["n"]) for r in rows])
-    y = np.array([1.0 if r["toxic"] else 0.0 for r in rows])
-    model.slope, model.offset = _logistic(x, y)
+    found = [model.rate * r["best"] - math.log(r["n"]) for r in rows if r["best"] > 0]
+    if found:  # the median of lambda S - log n under the law is log K - log log 2
+        model.log_k = float(np.median(found)) + math.log(math.log(2))
+    shared = spark.sparkContext.broadcast(model)
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        weigher = model.weigher()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                x = [model.evidence(segments(w)[2], len(w)) for w in weigher.weights(part.column(0).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), part.column(1)], ["x", "toxic"])
+
+    judged = training.select("__text", "__toxic").mapInArrow(evidence, "x double, toxic int").toArrow()
+    x, y = judged["x"].to_numpy(), (judged["toxic"].to_numpy() > 0).astype(float)
+    if 0 < y.sum() < len(y):
+        model.slope, model.offset = _logistic(x, y)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
