@@ -61,11 +61,6 @@ class Vocabulary:
         self.text_of = {i: t for t, i in self.ids.items()}
         #: every beginning of a token, with the token's id where the beginning is a token
         self.begun = {t[:k]: -1 for t in self.ids for k in range(1, len(t))} | self.ids
-        alphabet = byte_alphabet()
-        self.bytes_of = [b""] * size
-        for text, i in [*self.ids.items(), *self.specials.items()]:
-            known = all(c in alphabet for c in text)
-            self.bytes_of[i] = bytes(alphabet[c] for c in text) if known else text.encode()
         self.whole: dict[int, bool] = {}
 
     def merge(self, word: str) -> list[int]:
@@ -227,9 +222,27 @@ def encoder(tokenizer: str) -> SpeculativeEncoder:
     return SpeculativeEncoder(tokenizer)
 
 
+def bytes_of_tokens(stored: dict) -> list[bytes]:
+    """The bytes of every id of a byte-level BPE file; specials are their own text."""
+    alphabet = byte_alphabet()
+    named = [*stored["model"]["vocab"].items(), *((t["content"], t["id"]) for t in stored["added_tokens"])]
+    out = [b""] * (max(i for _, i in named) + 1)
+    for text, i in named:
+        known = all(c in alphabet for c in text)
+        out[i] = bytes(alphabet[c] for c in text) if known else text.encode()
+    return out
+
+
 @lru_cache(maxsize=1)
 def token_bytes(tokenizer: str) -> list[bytes]:
-    return Vocabulary(tokenizer).bytes_of
+    with open(pieces.resolve(tokenizer), encoding="utf-8") as f:
+        return bytes_of_tokens(json.load(f))
+
+
+def decode_ids(ids: bytes | None, tokens: list[bytes]) -> str:
+    """Text of 32-bit little-endian ids; bytes that are no UTF-8 become U+FFFD."""
+    raw = b"".join(map(tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+    return raw.decode("utf-8", "replace")
 
 
 def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = pieces.BYTE_BPE) -> DataFrame:
@@ -256,22 +269,35 @@ def bpe_decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
     fields = StructType([tokens.schema[id_col], tokens.schema[ids_col], StructField("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = token_bytes(tokenizer).__getitem__
+        known = token_bytes(tokenizer)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                texts = []
-                for ids in part.column(1).to_pylist():
-                    raw = b"".join(map(get, np.frombuffer(ids or b"", "<u4").tolist()))
-                    texts.append(raw.decode("utf-8", "replace"))
+                texts = [decode_ids(ids, known) for ids in part.column(1).to_pylist()]
                 columns = [part.column(0), part.column(1), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, fields.fieldNames())
 
     return tokens.select(id_col, ids_col).mapInArrow(run, fields)
 
 
+def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = pieces.BYTE_BPE) -> DataFrame:
+    """id, ids and decoded: ``bpe_decode`` of ``bpe_encode`` in one task, so that one worker holds the vocabulary."""
+    fields = StructType([docs.schema[id_col], StructField("ids", BinaryType()), StructField("decoded", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, known = encoder(tokenizer), token_bytes(tokenizer)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                ids = coder.encode(part.column(1).to_pylist())
+                columns = [part.column(0), pa.array(ids, pa.binary()), pa.array([decode_ids(i, known) for i in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, fields.fieldNames())
+
+    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, fields)
+
+
 def op3_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_decode(bpe_encode(table(spark, sf_dir, "documents"))).select(
+    return bpe_round_trip(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
