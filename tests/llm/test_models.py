@@ -137,6 +137,21 @@ def test_drop_near_copies(edge_docs, edge_rows, no_docs):
     assert simhash.drop_near_copies(no_docs).count() == 0
 
 
+def test_near_copies_in_one_large_family(spark):
+    """Pairs at 0.8 to 0.85 whose texts share three quarters with all others: strangers at 0.6 are in their postings."""
+    r = random.Random(17)
+    common = [f"c{k}" for k in range(300)]
+    docs = []
+    for k in range(60):
+        own = [f"o{k}x{i}" for i in range(100)]
+        copy = list(own)
+        for at in (10, 25, 40, 55, 70, 85, 97, 3)[: r.choice((7, 8))]:
+            copy[at] = f"n{k}x{at}"
+        docs += [(2 * k, " ".join(common + own)), (2 * k + 1, " ".join(common + copy))]
+    left = {row["doc_id"] for row in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert left == {min(g) for g in brute_similar(docs).values()} == {2 * k for k in range(60)}
+
+
 # ---- toxicity
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -246,11 +247,15 @@ def byte_triples(n: int = TRIPLES, seed: int = 11) -> np.ndarray:
     return every[np.random.default_rng(seed).choice(len(every), n, replace=False)]
 
 
-def wide_fingerprint(text: bytes, words: int, seed: int = 42) -> bytes:
-    """512-bit SimHash of the set of word shingles: each shingle's hash is mixed anew for every 64 bits."""
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the set of word shingles, ascending; a shorter text is one shingle, one without words has none."""
     held = text.lower().split()
     shingles = {b" ".join(held[i : i + words]) for i in range(max(1, len(held) - words + 1))} if held else set()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, len(shingles))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, len(shingles)))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """512-bit SimHash of a set of shingle hashes: each is mixed anew for every 64 bits."""
     total = np.zeros(8 * WIDE_BYTES, np.int64)
     for k in range(0, len(hashes), 2048):
         mixed = hashes[k : k + 2048, None] * MIXERS[None, :]
@@ -275,6 +280,7 @@ def similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     The index holds each node under 256 triples of byte positions, 24 bits each. Every member of a posting is
     tied to the posting's least node, so candidates grow with the postings' sizes, not with their squares, and
     a run of any length streams through one task. Candidates are tallied over postings and compared on all bits.
+    Members that are near each other and not near the least node are not met here: ``missed_pairs`` finds them.
     """
     triples = byte_triples()
 
@@ -329,24 +335,170 @@ def jaccard(a: bytes, b: bytes, words: int) -> float:
 
 #: The estimate's standard error is 0.04 at most; candidates this far below the threshold are still compared in full.
 MARGIN = 0.15
+#: Nodes whose shingles are counted to order them; shingles that so many of these hold come last, at most so many.
+ORDER_ROWS, OFTEN, OFTEN_MOST = 10_000, 5, 200_000
+#: Bits of the parity sketch that bounds an overlap from above.
+PARITY_BITS = 1024
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Leading shingles of which two similar sets share one, in whatever order of all shingles."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """Bits that an odd number of hashes fall on: two sketches differ in at most as many bits as the sets have odd members."""
+    slots = np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((slots & 1).astype(np.uint8)).tobytes()
+
+
+def frequent_shingles(docs: DataFrame, text_col: str, words: int, rows: int) -> np.ndarray:
+    """Shingles of many texts, ascending hashes. Any answer is right: they only order the shingles, which sets the cost."""
+    kept = F.pmod(F.xxhash64(text_col), F.lit(max(1, rows // ORDER_ROWS))) == 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                hashes = [shingle_hashes((t or "").encode(), words) for t in batch.slice(k, 512).column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64))], ["h"])
+
+    counted = docs.where(kept).select(text_col).mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
+    most = counted.orderBy(F.desc("count"), "h").limit(OFTEN_MOST).select("h").toPandas()["h"]
+    return np.sort(most.to_numpy(np.int64).view(np.uint64))
+
+
+def missed_pairs(docs: DataFrame, text_col: str, nodes: DataFrame, labels: DataFrame, words: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of nodes that may be similar and have different labels: none that is similar is left out.
+
+    Prefix filter: under one order of all shingles, similar sets of n shingles share one of their first
+    ``prefix_length`` ones. The order puts shingles of many texts last, so postings are short. ``nodes`` has
+    (node, parity), ``labels`` (node, label) of the nodes whose label is another node. Postings whose members
+    have one label have nothing to add. In the others every two members of different labels meet, blocks of a
+    posting in tasks of their own, and leave by size, by place in the order and by the bound of their sketches,
+    each of which keeps every similar pair.
+    """
+    often = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col, words, docs.count()))
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = often.value
+        names = ["key", "node", "size", "place"]
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                parts = []
+                for text in batch.slice(k, 512).column(0).to_pylist():
+                    hashes = shingle_hashes((text or "").encode(), words)
+                    if not len(hashes):
+                        continue  # texts without words are one node already
+                    at = np.minimum(np.searchsorted(late, hashes), max(len(late) - 1, 0))
+                    is_late = late[at] == hashes if len(late) else np.zeros(len(hashes), bool)
+                    first = np.concatenate([hashes[~is_late], hashes[is_late]])[: prefix_length(len(hashes), similarity)]
+                    parts.append((first, node_of(hashes), len(hashes)))
+                if parts:
+                    lengths = [len(x[0]) for x in parts]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.concatenate([x[0] for x in parts]).view(np.int64)),
+                            pa.array(np.repeat([x[1] for x in parts], lengths)),
+                            pa.array(np.repeat([x[2] for x in parts], lengths).astype(np.int32)),
+                            pa.array(np.concatenate([np.arange(n) for n in lengths]).astype(np.int32)),
+                        ],
+                        names,
+                    )
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ordered by (key, node): those whose key has another node, each node once."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            key, node = (rows.column(c).to_numpy() for c in (0, 1))
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+            rows, key = rows.filter(pa.array(new)), key[new]
+            same = key[1:] == key[:-1]
+            many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            many[-1] = False
+            # the last row waits for the next batch, with the one before it if that has its key
+            held = rows.slice(rows.num_rows - 1)
+            if len(same) and same[-1]:
+                held, many[-2] = rows.slice(rows.num_rows - 2), False
+            yield rows.filter(pa.array(many))
+        if held is not None and held.num_rows == 2:
+            yield held
+
+    keyed = docs.select(text_col).mapInArrow(postings, "key long, node long, size int, place int")
+    ordered = keyed.repartition("key").sortWithinPartitions("key", "node")
+    several = staged(ordered.mapInArrow(met, "key long, node long, size int, place int"), "missed-postings")
+    named = several.join(hinted(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = staged(named, "missed-named")
+    sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
+    sizes = staged(sizes.where("least <> most").select("key", "n"), "missed-sizes")
+    members = named.join(sizes, "key").join(nodes.select("node", "parity"), "node")
+    n_blocks = F.ceil(F.col("n") / block).cast("int")
+    members = members.withColumn("blocks", n_blocks).withColumn(
+        "own", F.when(F.col("n") <= block, 0).otherwise(F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
+    )
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda m: F.struct(F.least("own", m).alias("low"), F.greatest("own", m).alias("high")),
+    )
+    fields = ["key", "node", "size", "place", "label", "parity"]
+    dealt = staged(members.select(*fields, F.explode(meets).alias("cell")).select(*fields, "cell.low", "cell.high"), "missed-dealt")
+    bucket = F.pmod(F.xxhash64("key", "low", "high"), F.lit(max(1, -(-dealt.count() // BUCKET_ROWS))))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "low", "high", "node"], ignore_index=True)
+        node, label = rows["node"].to_numpy(np.int64), rows["label"].to_numpy(np.int64)
+        size, place = rows["size"].to_numpy(np.int64), rows["place"].to_numpy(np.int64)
+        parity = np.frombuffer(b"".join(rows["parity"]), "<u8").reshape(len(rows), -1)
+        first = np.flatnonzero(rows[["key", "low", "high"]].diff().ne(0).any(axis=1).to_numpy())
+        found = set()
+        for start, end in zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=True):
+            for k in range(start, end, 256):
+                own, all_ = slice(k, min(k + 256, end)), slice(start, end)
+                sx, sy, px, py = size[own, None], size[None, all_], place[own, None], place[None, all_]
+                needed = np.ceil(similarity / (1 + similarity) * (sx + sy) - 1e-9)
+                near = (label[own, None] != label[None, all_]) & (node[own, None] < node[None, all_])
+                near &= np.minimum(sx, sy) >= similarity * np.maximum(sx, sy) - 1e-9
+                near &= 1 + np.minimum(px, py) + np.minimum(sx - px, sy - py) - 1 >= needed
+                i, j = np.nonzero(near)
+                i, j = i + k, j + start
+                for part in range(0, len(i), 65_536):
+                    a, b = i[part : part + 65_536], j[part : part + 65_536]
+                    odd = np.bitwise_count(parity[a] ^ parity[b]).sum(1, dtype=np.int64)
+                    keep = (size[a] + size[b] - odd) / 2 >= np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - 1e-9)
+                    found.update(zip(node[a[keep]].tolist(), node[b[keep]].tolist(), strict=True))
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=np.int64)
+
+    return dealt.groupBy(bucket.alias("bucket")).applyInPandas(compare, "a long, b long").distinct()
+
+
+def node_of(hashes: np.ndarray) -> int:
+    """Name of a set of shingles: equal sets have one name."""
+    return int(np.array(xxhash.xxh64_intdigest(hashes.tobytes(), 7), np.uint64).view(np.int64))
 
 
 def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per input row: id and component_id, the least id reachable by links.
 
-    Texts link whose sets of word shingles have a Jaccard similarity of ``similarity`` or more. Candidates come
-    from the byte index over 512-bit fingerprints (nearly all pairs at 0.8, all above), and each is compared on
-    its texts. Texts without words are one group. Ids tell rows apart. Texts with equal shingles fold into one
-    node first, so copies are compared once.
+    Texts link whose sets of word shingles have a Jaccard similarity of ``similarity`` or more, all of them.
+    Candidates come from the byte index over 512-bit fingerprints, which ties most near copies at a cost that
+    is linear in its postings; then from a prefix filter on the shingles, which meets every similar pair that is
+    not in one group yet. Each candidate is compared on its texts. Texts without words are one group. Ids tell
+    rows apart. Texts with equal shingles fold into one node first, so copies are compared once.
     """
-    fields = StructType([docs.schema[id_col], StructField("fp", BinaryType())])
+    fields = StructType(
+        [docs.schema[id_col], StructField("node", LongType()), StructField("fp", BinaryType()), StructField("parity", BinaryType())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                fps = [wide_fingerprint((t or "").encode(), words) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.binary())], fields.fieldNames())
+                sets = [shingle_hashes((t or "").encode(), words) for t in part.column(1).to_pylist()]
+                named = pa.array([node_of(h) for h in sets], pa.int64())
+                fps, odd = (pa.array([f(h) for h in sets], pa.binary()) for f in (wide_fingerprint, parity_sketch))
+                yield pa.RecordBatch.from_arrays([part.column(0), named, fps, odd], fields.fieldNames())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,20 +508,30 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5,
                 keep = pa.array([jaccard(x.encode(), y.encode(), words) >= similarity for x, y in texts], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
 
-    source = docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, fields)
-    prints = staged(source.withColumn("node", F.xxhash64("fp")), "similar-prints")
-    nodes = staged(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min(id_col).alias("least_id")), "similar-nodes")
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the staged candidates whose texts are similar."""
+        paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "least_id"), "node")
+        speakers = hinted(staged(paired, "similar-speakers"))
+        texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).join(
+            speakers, F.col("__id") == F.col("least_id")
+        )
+        texts = staged(texts.select("node", "body"), "similar-texts")
+        side = lambda n: texts.select(F.col("node").alias(n), F.col("body").alias(f"body_{n}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "body_a", "body_b")
+        return staged(both.mapInArrow(compare, "a long, b long"), "similar-links")
+
+    prints = staged(docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, fields), "similar-prints")
+    by_set = prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("parity").alias("parity"), F.min(id_col).alias("least_id"))
+    nodes = staged(by_set, "similar-nodes")
     pairs = staged(similar_pairs(nodes.select("node", "fp"), similarity - MARGIN), "similar-pairs")
-    paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "least_id"), "node")
-    speakers = hinted(staged(paired, "similar-speakers"))
-    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).join(
-        speakers, F.col("__id") == F.col("least_id")
-    )
-    texts = staged(texts.select("node", "body"), "similar-texts")
-    side = lambda n: texts.select(F.col("node").alias(n), F.col("body").alias(f"body_{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "body_a", "body_b")
-    links = spanning_forest(staged(both.mapInArrow(compare, "a long, b long"), "similar-links"))
-    labels = staged(components(nodes.select(F.col("node").alias("fp")), links), "similar-labels")
+    names = nodes.select(F.col("node").alias("fp"))
+    forest = staged(spanning_forest(linked(pairs)), "similar-forest")
+    labels = staged(components(names, forest), "similar-labels")
+    moved = staged(labels.where("fp <> label").select(F.col("fp").alias("node"), "label"), "similar-moved")
+    more = staged(missed_pairs(docs, text_col, nodes, moved, words, similarity), "similar-missed")
+    if not more.isEmpty():
+        more = staged(spanning_forest(linked(more)), "similar-forest")
+        labels = staged(components(names, forest.union(more)), "similar-labels")
     named = nodes.select("node", "least_id").join(labels.select(F.col("fp").alias("node"), "label"), "node")
     groups = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     by_node = staged(named.join(groups, "label").select(F.col("node").alias("__node"), "component_id"), "similar-components")
