@@ -152,6 +152,20 @@ def test_near_copies_in_one_large_family(spark):
     assert left == {min(g) for g in brute_similar(docs).values()} == {2 * k for k in range(60)}
 
 
+def test_near_copies_at_the_threshold(spark):
+    """200 pairs of similarity 0.8 exactly, 320 of 400 shingles: none is missed. Pairs just below stay apart."""
+    r = random.Random(23)
+    docs = []
+    for k in range(220):
+        own = [f"o{k}x{i}" for i in range(364)]
+        copy = list(own)
+        for at in sorted(r.sample(range(1, 70), 9 if k >= 200 else 8)):
+            copy[5 * at] = f"n{k}x{at}"
+        docs += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(copy))]
+    left = {row["doc_id"] for row in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert left == {2 * k for k in range(220)} | {2 * k + 1 for k in range(200, 220)}
+
+
 # ---- toxicity
 
 
