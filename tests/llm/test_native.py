@@ -201,3 +201,21 @@ def test_scan_edge_rows(spark, edge_docs, edge_rows, no_docs):
     assert sorted([(r["doc_id"], *[r[c] for c in columns]) for r in got], key=key) == sorted([(d, *brute_scan(t)) for d, t in rows], key=key)
     assert all(0 <= r["score"] <= 1 for r in got)
     assert licenses.license_scan(no_docs).count() == 0
+
+
+def test_scan_wrapped_notices(spark):
+    """Notices wrapped where their files wrap them, at other widths, and at every word; their words far apart are none."""
+    notices = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files",
+        "bsd": "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that",
+        "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public\n\n// License, v. 2.0. If a copy of the MPL",
+    }
+    made = [(label, f"Some prose before.\n{t}\nand after.") for label, t in notices.items()]
+    made += [(label, t.replace(" ", "\n")) for label, t in notices.items()]
+    made += [(label, "x " * 60 + t.replace("\n", " ").replace("granted", "granted\n").replace("forms", "\nforms").replace("subject", "subject\n") + " y" * 60) for label, t in notices.items()]
+    made += [("", t.replace("\n", "\n" + "x " * 60)) for t in notices.values()]
+    made += [("", None), ("", "\n\n"), ("mit", notices["mit"].replace("\n", " "))]
+    rows = [(k, t) for k, (_, t) in enumerate(made)]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), across=True).collect()}
+    assert [got[k]["labels"] for k in range(len(made))] == [label for label, _ in made]
+    assert got[0]["matches"][0]["line"] == 1 and got[0]["score"] == 1

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.shared import staged, table
+from wardline.llm.shared import let, staged, table
 
 #: ASCII bytes that are in no word, once A-Z are lower case.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+LINE_ENDS = "array<struct<line:int,tokens:array<string>,tail:array<string>,head:array<string>>>"
+
 #: Phrases of the base scan and their labels.
 PHRASES = {
     "under the mit license": "mit",
@@ -38,6 +41,10 @@ TEMPLATES = [
 ]
 
 
+#: Words that a wrapped notice may hold besides those of the longest template.
+SLACK = 4
+
+
 @dataclass(frozen=True)
 class Template:
     label: str
@@ -117,17 +124,20 @@ def license_scan(
     text_col: str = "text",
     templates: list[tuple[str, str]] | None = None,
     threshold: float = 0.9,
+    across: bool = False,
 ) -> DataFrame:
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
-    A block is a line. It meets a template if it holds at least ``threshold`` of the template's distinct
-    words, however many others it has. matches lists (line from 0, label, containment) of every block that
-    does; labels join those and the base ones; score is 1 where a base phrase stands, else the best
+    A block is a line, or with ``across`` also the words on both sides of a line end: of the line before it, and of the lines after
+    it, as many as the longest template has and ``SLACK`` more on either side, so a notice is met wherever it is
+    wrapped. A block meets a template if it holds at least ``threshold`` of the template's distinct words,
+    however many others it has; one at a line end only if neither side does alone. matches lists (line from 0,
+    label, containment) of every block that does, with the line in which it begins; labels join those and the base ones; score is 1 where a base phrase stands, else the best
     containment, else 0. Null and blank texts have no words and no labels. Rows that repeat are scanned each
     for itself; an empty table gives no rows; texts are read whole; only the two named columns are read.
 
     Filters, each of which keeps every true match: a row without a prefix word of any template leaves
-    (prefix filter); a line with fewer template words than the least needed leaves (length filter); a shared
+    (prefix filter), and so does one that holds too few words of each template; a block with fewer template words than the least needed leaves (length filter); a shared
     prefix word at places i and j bounds the overlap by min(i, j) + 1 + what follows on the shorter side
     (positional filter). What stays is verified by intersection.
     """
@@ -136,13 +146,18 @@ def license_scan(
     order, ordered = ordered_templates(padded.select("padded"), templates, threshold)
     prefix = sorted({t for x in ordered for t in x.tokens[: x.prefix]})
     every = F.array(*[F.lit(t) for t in order])
-    lines = F.transform(
-        F.split("__text", "\n"),
-        lambda x, i: F.struct(i.alias("line"), F.array_intersect(every, F.split(spaced(x), " +")).alias("tokens")),
-    )
+    reach = max((len([t for t in tokens_of(x) if t]) for _, x in templates), default=0) + SLACK
     shortest = min((x.least for x in ordered), default=0)
+    worded = F.filter(
+        F.transform(
+            F.split("__text", "\n"),
+            lambda x, i: F.struct(i.alias("line"), F.filter(F.split(spaced(x), " +"), lambda w: w != "").alias("words")),
+        ),
+        lambda x: F.size(x["words"]) > 0,
+    )
     blocks = F.when(
-        F.col("padded").rlike(f" (?:{'|'.join(prefix)}) "), F.filter(lines, lambda x: F.size(x["tokens"]) >= shortest)
+        F.col("padded").rlike(f" (?:{'|'.join(prefix)}) ") & _holds_any(F.array_intersect(every, F.split("padded", " +")), ordered),
+        F.filter(let(worded, lambda x: _blocks(x, every, reach if across else 0)), lambda x: F.size(x["tokens"]) >= shortest),
     )
     rows = staged(
         with_base(padded)
@@ -171,6 +186,40 @@ def license_scan(
     )
 
 
+def _holds_any(held: Column, ordered: list[Template]) -> Column:
+    """Whether the words held by a whole text are enough for some template."""
+    enough = lambda h: [F.size(F.array_intersect(h, F.array(*[F.lit(t) for t in x.tokens]))) >= x.least for x in ordered]
+    return let(held, lambda h: reduce(Column.__or__, enough(h), F.lit(False)))
+
+
+def _blocks(lines: Column, every: Column, reach: int) -> Column:
+    """Blocks (line, tokens, tail, head) of the lines (line, words) that have words; tail and head only at line ends.
+
+    Line ends are looked across as far as ``reach`` words, and not at all if it is 0.
+    """
+    of = lambda words: F.array_intersect(every, words)
+    none = F.lit(None).cast("array<string>")
+    whole = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), of(x["words"]).alias("tokens"), none.alias("tail"), none.alias("head")))
+
+    if not reach:
+        return whole
+
+    def at_end(k: Column) -> Column:
+        last = F.element_at(lines, k)
+        tail = F.slice(last["words"], F.greatest(F.size(last["words"]) - reach + 1, F.lit(1)), reach)
+        after = F.transform(F.slice(lines, k + 1, reach), lambda x: F.slice(x["words"], 1, reach))
+        sides = F.struct(of(tail).alias("tail"), of(F.slice(F.flatten(after), 1, reach)).alias("head"))
+        return let(
+            sides,
+            lambda v: F.struct(
+                last["line"].alias("line"), of(F.concat(v["tail"], v["head"])).alias("tokens"), v["tail"].alias("tail"), v["head"].alias("head")
+            ),
+        )
+
+    ends = F.when(F.size(lines) > 1, F.transform(F.sequence(F.lit(1), F.size(lines) - 1), at_end))
+    return F.concat(whole, F.coalesce(ends, F.array().cast(LINE_ENDS)))
+
+
 def _matches(rows: DataFrame, ordered: list[Template]) -> DataFrame:
     """(__row, matches) of the rows that have any. The template side is as large as its parameter."""
     spark = rows.sparkSession
@@ -183,8 +232,8 @@ def _matches(rows: DataFrame, ordered: list[Template]) -> DataFrame:
     prefixes = F.broadcast(spark.createDataFrame(index, schema))
     held = (
         rows.select("__row", F.explode("blocks").alias("block"))
-        .select("__row", "block.line", "block.tokens")
-        .select("__row", "line", "tokens", F.posexplode("tokens").alias("at", "token"))
+        .select("__row", "block.*")
+        .select("__row", "line", "tokens", "tail", "head", F.posexplode("tokens").alias("at", "token"))
     )
     shared = 1 + F.least(F.col("at"), F.col("place"))
     after = F.least(F.size("tokens") - 1 - F.col("at"), F.size("wanted") - 1 - F.col("place"))
@@ -192,16 +241,18 @@ def _matches(rows: DataFrame, ordered: list[Template]) -> DataFrame:
         held.join(prefixes, "token")
         .where(F.size("tokens") >= F.col("least"))
         .where(shared + after >= F.col("least"))
-        .dropDuplicates(["__row", "line", "template"])
+        .withColumn("at_end", F.col("tail").isNotNull())
+        .dropDuplicates(["__row", "line", "at_end", "template"])
     )
     overlap = F.size(F.array_intersect("wanted", "tokens"))
-    kept = pairs.withColumn("overlap", overlap).where("overlap >= least")
+    alone = F.greatest(*[F.size(F.array_intersect("wanted", side)) for side in ("tail", "head")])
+    kept = pairs.withColumn("overlap", overlap).where("overlap >= least").where(~F.col("at_end") | (alone < F.col("least")))
     match = F.struct(F.col("line").cast("long").alias("line"), "label", (F.col("overlap") / F.size("wanted")).alias("containment"))
     return kept.groupBy("__row").agg(F.array_sort(F.collect_list(match)).alias("matches"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents")).select(
+    return license_scan(table(spark, sf_dir, "documents"), across=True).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
     )
 
