@@ -49,29 +49,26 @@ def cut_pieces(
     ] + [StructField("ids", BinaryType())] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = pieces.encoder(tokenizer), int(end_id).to_bytes(4, "little")
+        coder = pieces.encoder(tokenizer)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                at, number, starts, lengths, sums, bodies = [], [], [], [], [], []
-                for i, ids in enumerate(coder.encode(part.column(2).to_pylist())):
-                    ids += end
-                    for p, first in enumerate(range(0, len(ids), 4 * capacity)):
-                        body = ids[first : first + 4 * capacity]
-                        at.append(i)
-                        number.append(p)
-                        starts.append(first // 4)
-                        lengths.append(len(body) // 4)
-                        sums.append(zlib.crc32(body))
-                        bodies.append(body)
-                take = pa.array(at, pa.int64())
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                ids, bounds = coder.encode_array(part.column(2), end_id)
+                sizes = np.diff(bounds)
+                n_pieces = -(-sizes // capacity)
+                take = np.repeat(np.arange(len(sizes)), n_pieces)
+                number = np.arange(len(take)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+                starts = number * capacity
+                lengths = np.minimum(capacity, sizes[take] - starts)
+                raw, first = ids.astype("<u4").tobytes(), bounds[:-1][take] + starts
+                bodies = [raw[4 * a : 4 * (a + n)] for a, n in zip(first.tolist(), lengths.tolist(), strict=True)]
                 columns = [
-                    part.column(0).take(take),
-                    part.column(1).take(take),
-                    pa.array(number, pa.int32()),
-                    pa.array(starts, pa.int64()),
-                    pa.array(lengths, pa.int64()),
-                    pa.array(sums, pa.int64()),
+                    part.column(0).take(pa.array(take)),
+                    part.column(1).take(pa.array(take)),
+                    pa.array(number.astype(np.int32)),
+                    pa.array(starts),
+                    pa.array(lengths),
+                    pa.array([zlib.crc32(b) for b in bodies], pa.int64()),
                 ] + [pa.array(bodies, pa.binary())] * with_ids
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 

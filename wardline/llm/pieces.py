@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import os
-import struct
-from functools import lru_cache
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from wardline.llm.shared import kept
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task a core
 
@@ -30,47 +36,134 @@ def load(tokenizer: str):
     return loaded
 
 
+class Generations:
+    """A bounded memo: when the young half is full it becomes the old one, and what is used again is carried over."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, used: list) -> list:
+        """Keys that nothing is known of; what is known of the others is in ``young`` afterwards."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        absent = [k for k in used if k not in young]
+        young.update({k: old[k] for k in absent if k in old})
+        return [k for k in absent if k not in young]
+
+
+def parts_of(texts: pa.Array, limit: int = 1 << 23) -> Iterator[pa.Array]:
+    """The texts in slices of about ``limit`` bytes, so that a batch of long ones is not expanded at once."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // limit)) + 1
+    for start, end in pairwise([0, *cuts.tolist(), len(texts)]):
+        yield texts.slice(start, end - start)
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + size], one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class PieceEncoder:
-    """``encode`` gives each text's ids as little-endian unsigned 32-bit integers.
+    """``encode_array`` gives the ids of many texts as one array of unsigned 32-bit integers and the bounds of each text.
 
     Where a tokenizer drops white space, the pieces between blanks and line feeds are encoded one by one and
-    each piece's ids are kept, so common words are looked up instead of merged again. Any other tokenizer
-    gets whole texts. The memo holds ``limit`` pieces at most; beyond, it starts anew.
+    each piece's ids are kept, so common words are looked up instead of merged again; new pieces go to the
+    library many at a time, with a separator of one token between them. Any other tokenizer gets whole texts.
+    The memo holds two times ``limit`` pieces at most.
     """
 
-    def __init__(self, tokenizer: str, limit: int = 1_200_000):
+    SEPARATOR = "|"
+    JOINED = 400
+
+    def __init__(self, tokenizer: str, limit: int = 450_000):
         self.tokenizer = load(tokenizer)
-        self.limit = limit
-        self.memo: dict[str, bytes] = {"": b""}
+        self.memo = Generations(limit)
         self.by_piece = self._drops_white_space()
+        self.mark = self._separator_id() if self.by_piece else None
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _drops_white_space(self) -> bool:
-        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        ids = self._ids
         return not ids(" \n ") and all(
             ids(a + gap + b) == ids(a) + ids(b) for a, b in (("an", "ox"), ("it's", ".5"), ("é", "a")) for gap in (" ", "\n", "  ")
         )
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _separator_id(self) -> int | None:
+        ids, mark = self._ids, self._ids(self.SEPARATOR)
+        joins = all(ids(f"{a} {self.SEPARATOR} {b}") == ids(a) + mark + ids(b) for a, b in (("an", "ox"), ("it's", ".5"), ("-", "-")))
+        return mark[0] if len(mark) == 1 and joins else None
+
+    def _each(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
+    def _joined(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces without the separator, by one call for ``JOINED`` of them."""
+        between = f" {self.SEPARATOR} "
+        texts = [between.join(new[k : k + self.JOINED]) for k in range(0, len(new), self.JOINED)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.array([i for x in found for i in (*x.ids, self.mark)], "<u4")
+        ends = np.flatnonzero(ids == self.mark)
+        if len(ends) != len(new):
+            return self._each(new)
+        raw, stops = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *(e + 4 for e in stops[:-1])], stops, strict=True)]
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [p for p in new if self.SEPARATOR not in p] if self.mark is not None else []
+        others = new if self.mark is None else [p for p in new if self.SEPARATOR in p]
+        for pieces, encode in ((plain, self._joined), (others, self._each)):
+            for k in range(0, len(pieces), 20_000):
+                some = pieces[k : k + 20_000]
+                self.memo.young.update(zip(some, encode(some), strict=True))
+
+    def _part(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and the number of ids of each text."""
         if not self.by_piece:
-            return self._encode(texts)
-        if len(self.memo) > self.limit:
-            self.memo = {"": b""}
-        memo = self.memo
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(memo)) if split else []
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            memo.update(zip(some, self._encode(some), strict=True))
-        get = memo.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
-
-
-@lru_cache(maxsize=2)
+            bodies = self._each(texts.to_pylist())
+            return np.frombuffer(b"".join(bodies), "<u4"), np.array([len(b) // 4 for b in bodies], np.int64)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        used = coded.dictionary.to_pylist()
+        self._learn(self.memo.missing(used))
+        bodies = list(map(self.memo.young.__getitem__, used))
+        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
+        at = coded.indices.to_numpy()
+        counts = sizes[at]
+        ids = gather(np.frombuffer(b"".join(bodies), "<u4"), (np.cumsum(sizes) - sizes)[at], counts)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        before = np.concatenate([[0], np.cumsum(counts)])
+        return ids, np.diff(before[offsets - offsets[0]])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        ids, bounds = self.encode_array(pa.array(texts, pa.string()))
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in pairwise(bounds.tolist())]
+
+    def encode_array(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and bounds: text k has ids[bounds[k] : bounds[k + 1]].
+
+        Null counts as empty. ``end_id`` follows every text if it is given.
+        """
+        texts = pc.fill_null(texts, "")
+        ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for part in parts_of(texts):
+            found, n = self._part(part)
+            if end_id is not None:
+                found, n = np.insert(found, np.cumsum(n), end_id), n + 1
+            ids.append(found.astype(np.uint32, copy=False))
+            sizes.append(n)
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+
+
 def encoder(tokenizer: str) -> PieceEncoder:
-    """One for each worker process, so that its memo lasts from task to task."""
-    return PieceEncoder(tokenizer)
+    """One for each worker process, so that its memo lasts from task to task of the same work."""
+    return kept(("pieces", tokenizer), lambda: PieceEncoder(tokenizer))

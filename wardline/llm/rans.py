@@ -20,6 +20,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -141,11 +142,10 @@ def decode_block(
     return out
 
 
-def _pack_ids(ids: bytes) -> bytes:
+def _packer():
     """Ids on their way between stages: two bytes each where they fit, lightly compressed."""
-    wide = np.frombuffer(ids, "<u4")
-    narrow = wide.max(initial=0) < 1 << 16
-    return (b"2" if narrow else b"4") + zstandard.compress(wide.astype("<u2").tobytes() if narrow else ids, 1)
+    compress = zstandard.ZstdCompressor(level=1).compress
+    return lambda ids: b"2" + compress(ids.astype("<u2").tobytes()) if ids.max(initial=0) < 1 << 16 else b"4" + compress(ids.astype("<u4").tobytes())
 
 
 def _unpack_ids(packed: bytes) -> np.ndarray:
@@ -154,38 +154,54 @@ def _unpack_ids(packed: bytes) -> np.ndarray:
 
 
 def token_rows(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
-    """__row, id and packed ids (with ``end_id`` at the end) of every document."""
-    fields = StructType([StructField("__row", LongType()), docs.schema[id_col], StructField("ids", BinaryType())])
+    """__row, id and packed ids (with ``end_id`` at the end) of every document; counts is null.
+
+    Each task adds a row of its own behind them that has only counts: how often each id occurred in it.
+    """
+    fields = StructType(
+        [
+            StructField("__row", LongType()),
+            StructField(id_col, docs.schema[id_col].dataType),
+            StructField("ids", BinaryType()),
+            StructField("counts", BinaryType()),
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = pieces.encoder(tokenizer), int(end_id).to_bytes(4, "little")
+        coder, pack, counts, kind = pieces.encoder(tokenizer), _packer(), np.zeros(1 << 10, np.int64), None
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                packed = [_pack_ids(ids + end) for ids in coder.encode(part.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(packed, pa.binary())], fields.fieldNames()
-                )
+            kind = batch.column(1).type
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                ids, bounds = coder.encode_array(part.column(2), end_id)
+                more = np.bincount(ids)
+                if len(more) > len(counts):
+                    counts = np.pad(counts, (0, len(more) - len(counts)))
+                counts[: len(more)] += more
+                packed = [pack(ids[a:b]) for a, b in pairwise(bounds.tolist())]
+                columns = [part.column(0), part.column(1), pa.array(packed, pa.binary()), pa.nulls(len(packed), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, fields.fieldNames())
+        if counts.any():
+            own = pa.array([zstandard.compress(counts.astype("<i8").tobytes())], pa.binary())
+            columns = [pa.nulls(1, pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.binary()), own]
+            yield pa.RecordBatch.from_arrays(columns, fields.fieldNames())
 
     source = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col), F.col(text_col).alias("__text"))
     return source.mapInArrow(run, fields)
 
 
 def count_ids(tokens: DataFrame) -> np.ndarray:
-    """Occurrences of every id. One array of the vocabulary's size comes from each task and is summed by id."""
+    """Occurrences of every id, from the counts of the tasks that made the tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << 10, np.int64)
         for batch in batches:
             for packed in batch.column(0).to_pylist():
-                more = np.bincount(_unpack_ids(packed))
-                if len(more) > len(counts):
-                    counts = np.pad(counts, (0, len(more) - len(counts)))
-                counts[: len(more)] += more
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
+                counts = np.frombuffer(zstandard.decompress(packed), "<i8")
+                used = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counted = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long")
+    rows = counted.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 1, np.int64)
     out[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
@@ -257,7 +273,8 @@ def write_token_files(
         if held:
             yield block()
 
-    ordered = tokens.repartitionByRange(F.col(id_col).asc_nulls_first(), "__row").sortWithinPartitions(
+    rows = tokens.where("counts IS NULL").drop("counts")
+    ordered = rows.repartitionByRange(F.col(id_col).asc_nulls_first(), "__row").sortWithinPartitions(
         F.col(id_col).asc_nulls_first(), "__row"
     )
     ordered.select(id_col, "ids").mapInArrow(run, fields).write.parquet(f"{path}/blocks")

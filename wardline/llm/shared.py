@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,17 @@ def hinted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
+_kept: dict = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task: one large object, which makes room for that of other work."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once inside an expression: ``body`` gets it as a lambda variable."""
     return F.transform(F.array(value), body)[0]
