@@ -151,6 +151,73 @@ def test_null_trigger_counts_as_true(spark):
     assert [tuple(r) for r in subscriptions.match_subscriptions(events, subs).collect()] == [("s", "e")]
 
 
+def test_subscription_counts_equal_matches(spark):
+    events = spark.createDataFrame(
+        [("1", "O", "create", {"a": "x", "b": "y"}), ("2", "O", "update", {"a": "x"}), ("3", "P", "create", {"a": "x"}), ("4", "O", "create", None)],
+        "event_id string, resource_type string, interaction string, fields map<string, string>",
+    )
+    kind = "id string, status string, resource_type string, field string, value string, on_create boolean, on_update boolean"
+    subs = spark.createDataFrame(
+        [("s1", "active", "O", "a", "x", True, False), ("s2", "active", "O", None, None, None, True), ("s3", "off", "O", "a", "x", True, True), ("s4", "active", "O", "b", "y", True, True), ("s5", "active", "O", "b", None, True, True)], kind
+    )
+    matches = subscriptions.match_subscriptions(events, subs)
+    assert sorted(map(tuple, matches.collect())) == [("s1", "1"), ("s2", "1"), ("s2", "2"), ("s2", "4"), ("s4", "1")]
+    counted = lambda df: sorted(map(tuple, df.collect()))
+    assert counted(subscriptions.notification_counts(matches)) == counted(subscriptions.notification_totals(events, subs))
+
+
+def test_times_of_day(spark):
+    moments = ["2024-01-01 08:00:00", "2024-01-01 10:00:00", "2024-01-01 10:00:30.5", "2024-01-01 10:01:00", "2024-01-02 00:00:00", None]
+    df = spark.createDataFrame([(k, m) for k, m in enumerate(moments)], "id int, m string").select("id", F.col("m").cast("timestamp_ntz").alias("at"))
+    ids = lambda x: sorted(r["id"] for r in search.where_date(df, "at", x).collect())
+    assert ids("ge2024-01-01T10:00:00") == [1, 2, 3, 4]
+    assert ids("2024-01-01T10:00") == [1, 2] and ids("2024-01-01T10:00:30") == [2] and ids("2024-01-01T10:00:30.5") == [2]
+    assert ids("gt2024-01-01T10:00") == ids("sa2024-01-01T10:00") == [3, 4]
+    assert ids("eb2024-01-01") == [] and ids("lt2024-01-01T12:00:00+02:00") == [0] and ids("le2024-01-01T10:00:00Z") == [0, 1]
+    assert ids("ne2024-01-01") == [4] and ids("2024") == [0, 1, 2, 3, 4]
+    for wrong in ("ap2024-01-01", "xx2024", "ge2024-1-1", "ge2024-01-01T1"):
+        with pytest.raises(ValueError, match="no "):
+            search.date_predicate("at", wrong)
+
+
+def test_long_token_lists_with_systems(spark):
+    df = spark.createDataFrame([("1", [("s", "a")]), ("2", [(None, "a"), ("t", "z")]), ("3", [("u", "b")]), ("4", None)], "id string, code array<struct<system: string, code: string>>")
+    ids = lambda tokens: sorted(r["id"] for r in search.where_token(df, "code", tokens).collect())
+    many = [f"s|c{k}" for k in range(300)] + [f"d{k}" for k in range(300)]
+    assert ids(many) == [] and ids([*many, "s|a"]) == ["1"] and ids([*many, "|a"]) == ["2"] and ids([*many, "t|"]) == ["2"] and ids([*many, "a"]) == ["1", "2"]
+
+
+def test_pages_follow_on_in_every_order(spark):
+    rows = [(k, None if k % 4 == 0 else k % 3, None if k % 5 == 0 else k % 2) for k in range(23)]
+    df = spark.createDataFrame(rows, "id int, a int, b int")
+    for keys in (["id"], ["-id"], ["a", "-b", "id"], ["-a", "b", "-id"]):
+        want = [r["id"] for r in search.page(df, keys, 0, 100).collect()]
+        got, last = [], None
+        while part := search.page_after(df, keys, last, 4).collect():
+            got += [r["id"] for r in part]
+            last = tuple(part[-1][k.lstrip("-")] for k in keys)
+        assert got == want
+
+
+def test_index_of_arrays(spark):
+    kind = "id string, name array<struct<family: string, given: array<string>>>, code struct<coding: array<struct<system: string, code: string>>>, n int"
+    df = spark.createDataFrame([("1", [("A", ["x", "y"]), ("A", None), (None, ["x"])], ([("s", "1"), (None, "2"), ("s", None)],), 4), ("2", None, None, None)], kind)
+    specs = {"family": ("string", "name.family"), "given": ("string", "name.given"), "code": ("token", "code.coding"), "n": ("number", "n")}
+    got = sorted((r["id"], r["parameter"], r["value"]) for r in search.search_index(df, "T", specs).collect())
+    assert got == [("1", "code", "s|1"), ("1", "code", "|2"), ("1", "family", "A"), ("1", "given", "x"), ("1", "given", "y"), ("1", "n", "4")]
+
+
+def test_tenant_reads_leave_other_files_alone(spark, tmp_path):
+    df = terminology.assign_patient_partition(spark.createDataFrame([(str(k), k % 3) for k in range(60)], "patient_id string, tenant int"), 4)
+    terminology.write_partitioned(df, str(tmp_path / "t"))
+    for other in ("tenant=0", "tenant=2"):  # a read of tenant 1 would fail on these
+        for part in (tmp_path / "t" / other).rglob("*.parquet"):
+            part.write_bytes(b"broken")
+            (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    whole = spark.read.schema("patient_id string, tenant int, partition_id int").parquet(str(tmp_path / "t"))
+    assert terminology.for_tenant(whole, 1).count() == 20
+
+
 def test_hooks_and_operations(spark):
     registry = hooks.HookRegistry()
 

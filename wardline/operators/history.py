@@ -10,18 +10,28 @@ from pyspark.sql.window import Window
 def apply_bundle(current: DataFrame, entries: DataFrame) -> DataFrame:
     """Apply entries (id, method, body, seq) to a table (id, version_id, body): POST and PUT write, DELETE removes.
 
-    Entries of one id apply in ``seq`` order. Every write raises the version by one, from 1 for a new id; an id
-    written again after a delete goes on from its last version.
+    Where both have ``resource_type``, an id counts for its type. Entries of one id apply in ``seq`` order (ties
+    by bundle). Every write raises the version by one, from 1 for a new id; an id written again after a delete
+    goes on from its last version. A POST without an id makes a resource of its own: its id comes from its
+    place (seq, and the bundle_id and source of ``read_bundles`` if they are there), so a retry gives the same.
+    Other methods, and PUT or DELETE without an id, change nothing.
     """
+    key = [c for c in ("resource_type", "id") if c in current.columns and c in entries.columns]
+    bundle = [c for c in ("source", "bundle_id") if c in entries.columns]
+    place = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*bundle, "seq")])
+    own = F.concat(F.lit("new-"), F.substring(F.sha2(place, 256), 1, 32))
+    named = entries.where(F.col("method").isin("POST", "PUT", "DELETE")).withColumn(
+        "id", F.coalesce("id", F.when(F.col("method") == "POST", own))
+    )
     writes = F.col("method") != "DELETE"
-    changes = entries.groupBy("id").agg(
+    changes = named.where("id IS NOT NULL").groupBy(*key).agg(
         F.count_if(writes).alias("n_writes"),
-        F.max_by(F.struct("method", "body"), F.col("seq")).alias("last"),
+        F.max_by(F.struct("method", "body"), F.struct("seq", *bundle)).alias("last"),
     )
-    joined = current.select("id", "version_id", F.col("body").alias("old_body")).join(changes, "id", "full")
+    joined = current.select(*key, "version_id", F.col("body").alias("old_body")).join(changes, key, "full")
     stays = F.col("last").isNull() | (F.col("last.method") != "DELETE")
     return joined.where(stays).select(
-        "id",
+        *key,
         (F.coalesce("version_id", F.lit(0)) + F.coalesce("n_writes", F.lit(0))).cast("int").alias("version_id"),
         F.when(F.col("last").isNull(), F.col("old_body")).otherwise(F.col("last.body")).alias("body"),
     )

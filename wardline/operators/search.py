@@ -5,13 +5,16 @@ Predicates compare plain columns, so equality and ranges reach the scan; arrays
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+import re
+from datetime import date, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from wardline.operators.joins import hinted
+
 #: Token lists beyond this length become a semi-join.
 LONG_LIST = 100
 
@@ -26,21 +29,22 @@ def _type(df: DataFrame, path: str):
 def token_predicate(df: DataFrame, path: str, tokens: list[str]) -> Column:
     """Any of ``system|code``, ``|code`` (no system), ``system|`` or a bare code, over all codings of the path."""
     kind, col = _type(df, path), F.col(path)
+    bare = [t for t in tokens if "|" not in t]
+    split = [t.split("|", 1) for t in tokens if "|" in t]
+    whole_systems = [s for s, c in split if s and not c]
+    without_system = [c for s, c in split if c and not s]
+    both = [f"{s}|{c}" for s, c in split if s and c]
+    anything = any(not s and not c for s, c in split)
 
     def test(system: Column | None, code: Column) -> Column:
-        hits = []
-        for token in tokens:
-            if "|" not in token:
-                hits.append(code == token)
-                continue
-            wanted_system, wanted_code = token.split("|", 1)
-            hit = F.lit(True)
-            if system is None:
-                hit = F.lit(not wanted_system)
-            else:
-                hit = system.eqNullSafe(wanted_system) if wanted_system else system.isNull()
-            hits.append(hit & (code == wanted_code) if wanted_code else hit)
-        return F.coalesce(reduce(lambda a, b: a | b, hits, F.lit(False)), F.lit(False))
+        # each is one lookup in a set, however many tokens there are
+        hits = [code.isin(*bare)] * bool(bare)
+        absent = F.lit(True) if system is None else system.isNull()
+        hits += [absent & code.isin(*without_system)] * bool(without_system) + [absent] * anything
+        if system is not None:
+            hits += [system.isin(*whole_systems)] * bool(whole_systems)
+            hits += [F.concat(system, F.lit("|"), code).isin(*both)] * bool(both)
+        return F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(h, F.lit(False)) for h in hits], F.lit(False)), F.lit(False))
 
     if isinstance(kind, StructType) and "coding" in kind.names:
         kind, col = kind["coding"].dataType, col["coding"]
@@ -79,22 +83,52 @@ def where_reference(df: DataFrame, path: str, refs: list[str], target: str = "Pa
     return df.where(reference_predicate(path, target, refs))
 
 
-def _day_range(text: str) -> tuple[date, date]:
-    parts = [int(p) for p in text[:10].split("-")]
-    if len(parts) == 1:
-        return date(parts[0], 1, 1), date(parts[0] + 1, 1, 1)
-    if len(parts) == 2:
-        return date(parts[0], parts[1], 1), date(parts[0] + parts[1] // 12, parts[1] % 12 + 1, 1)
-    return date(*parts), date(*parts) + timedelta(days=1)
+#: Partial dates and times of day, with or without a zone.
+MOMENT = re.compile(r"(\d{4})(?:-(\d\d)(?:-(\d\d)(?:T(\d\d):(\d\d)(?::(\d\d)(?:\.(\d{1,6}))?)?(Z|[+-]\d\d:\d\d)?)?)?)?")
+
+
+def _range(text: str) -> tuple[Column, Column]:
+    """The first moment that a partial date or time of day covers, and the first one after it.
+
+    Days are compared as dates. A time of day covers its minute, second or decimal of one; a zone is converted
+    to UTC, and without one the time is taken as the column has it.
+    """
+    found = MOMENT.fullmatch(text)
+    if not found:
+        raise ValueError(f"no date: {text}")
+    year, month, day, hour, minute, second, fraction, zone = found.groups()
+    if hour is None:
+        low = date(int(year), int(month or 1), int(day or 1))
+        if day:
+            high = low + timedelta(days=1)
+        elif month:
+            high = date(low.year + low.month // 12, low.month % 12 + 1, 1)
+        else:
+            high = date(low.year + 1, 1, 1)
+        return F.lit(low), F.lit(high)
+    at = datetime(int(year), int(month), int(day), int(hour), int(minute), int(second or 0), int((fraction or "0").ljust(6, "0")))
+    if zone and zone != "Z":
+        sign = 1 if zone[0] == "+" else -1
+        at -= sign * timedelta(hours=int(zone[1:3]), minutes=int(zone[4:]))
+    step = timedelta(minutes=1) if second is None else timedelta(seconds=1) if fraction is None else timedelta(microseconds=10 ** (6 - len(fraction)))
+    moment = lambda x: F.lit(x.isoformat(sep=" ")).cast("timestamp" if zone else "timestamp_ntz")
+    return moment(at), moment(at + step)
 
 
 def date_predicate(path: str, expression: str) -> Column:
-    """``ge2024-01-01`` and the prefixes gt, le, lt, eq, ne; without one, eq. Partial dates are half-open ranges."""
+    """``ge2024-01-01`` and the prefixes gt, le, lt, eq, ne, sa (after) and eb (before); without one, eq.
+
+    Partial dates and times of day are half-open ranges. A column holds moments, so sa and gt, eb and lt are the
+    same. ``ap`` has no defined width and is an error, as is any other prefix. Zones are compared in UTC, the
+    session's time zone.
+    """
     prefix, text = (expression[:2], expression[2:]) if expression[:2].isalpha() else ("eq", expression)
-    low, high = _day_range(text)
+    if prefix not in ("ge", "gt", "sa", "lt", "eb", "le", "eq", "ne"):
+        raise ValueError(f"no such prefix: {prefix}")
+    low, high = _range(text)
     at = F.col(path)
-    inside = (at >= F.lit(low)) & (at < F.lit(high))
-    tests = {"ge": at >= F.lit(low), "gt": at >= F.lit(high), "lt": at < F.lit(low), "le": at < F.lit(high), "eq": inside, "ne": ~inside}
+    inside = (at >= low) & (at < high)
+    tests = {"ge": at >= low, "gt": at >= high, "lt": at < low, "le": at < high, "eq": inside, "ne": ~inside, "sa": at >= high, "eb": at < low}
     return tests[prefix]
 
 
@@ -123,14 +157,18 @@ def where_missing(df: DataFrame, path: str, missing: bool) -> DataFrame:
     return df.where(missing_predicate(df, path, missing))
 
 
-def where_identifier_of_type(df: DataFrame, system: str, code: str, value: str, path: str = "identifier") -> DataFrame:
+def identifier_of_type_predicate(path: str, system: str, code: str, value: str) -> Column:
     """One and the same identifier has a type coding with the system and code, and the value."""
 
     def fits(i: Column) -> Column:
         typed = F.exists(i["type"]["coding"], lambda c: (c["system"] == system) & (c["code"] == code))
         return typed & (i["value"] == value)
 
-    return df.where(F.coalesce(F.exists(path, fits), F.lit(False)))
+    return F.coalesce(F.exists(path, fits), F.lit(False))
+
+
+def where_identifier_of_type(df: DataFrame, system: str, code: str, value: str, path: str = "identifier") -> DataFrame:
+    return df.where(identifier_of_type_predicate(path, system, code, value))
 
 
 def where_language(df: DataFrame, lang: str, path: str = "lang") -> DataFrame:
@@ -138,7 +176,7 @@ def where_language(df: DataFrame, lang: str, path: str = "lang") -> DataFrame:
 
 
 def where_quantity(df: DataFrame, op: str, value: float | str, unit: str, units: DataFrame, value_path: str = "value", unit_path: str = "unit") -> DataFrame:
-    """Compare after conversion to a base unit. ``units``: unit, base, factor; a small table, so it is broadcast.
+    """Compare after conversion to a base unit. ``units``: unit, base, factor, each unit once; broadcast if it is small.
 
     Rows whose unit has no factor, or another base than the wanted one, don't match.
     """
@@ -146,22 +184,35 @@ def where_quantity(df: DataFrame, op: str, value: float | str, unit: str, units:
     side = units.select(F.col("unit").alias("__unit"), F.col("base").alias("__base"), F.col("factor").alias("__factor")).join(wanted, "__base")
     have = F.col(value_path) * F.col("__factor")
     tests = {"eq": have == F.col("__wanted"), "gt": have > F.col("__wanted"), "ge": have >= F.col("__wanted"), "lt": have < F.col("__wanted"), "le": have <= F.col("__wanted"), "ne": have != F.col("__wanted")}
-    joined = df.join(F.broadcast(side), F.col(unit_path) == F.col("__unit"))
+    joined = df.join(hinted(side), F.col(unit_path) == F.col("__unit"))
     return joined.where(tests[op]).drop("__unit", "__base", "__factor", "__wanted")
 
 
+def content_predicate(path: str, terms: list[str]) -> Column:
+    """All terms occur as whole words, in any case. Texts that lack a term as a string are not split."""
+    low = F.lower(F.col(path))
+    words = F.split(low, r"[^\p{L}\p{N}]+")
+    holds = [low.contains(t.lower()) for t in terms] + [F.array_contains(words, t.lower()) for t in terms]
+    return reduce(lambda a, b: a & b, holds, F.lit(True))
+
+
 def where_content(df: DataFrame, path: str, terms: list[str]) -> DataFrame:
-    """All terms occur as whole words, in any case."""
-    words = F.split(F.lower(F.col(path)), r"[^\p{L}\p{N}]+")
-    return df.where(reduce(lambda a, b: a & b, [F.array_contains(words, t.lower()) for t in terms], F.lit(True)))
+    return df.where(content_predicate(path, terms))
+
+
+def _sort_keys(order: list[str]) -> list[Column]:
+    return [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
 
 
 def search(df: DataFrame, params: list[tuple], sort: str | None = None, id_col: str = "id") -> DataFrame:
-    """All parameters together: (kind, path, value...) with kind token, reference, date, string, missing, id or language.
+    """All parameters together: (kind, path, value...).
 
-    ``sort`` is a column, descending with a leading minus; ties by id.
+    Kinds and values: id (one or a list), token (tokens), reference (references, target type), date, string
+    (text, contains), missing (whether), language, identifier_of_type (system, code, value), content (terms),
+    quantity (comparison, value, unit, units table, path of the unit). ``sort`` is columns with commas between
+    them, descending with a leading minus; ties by id.
     """
-    tests = []
+    tests, found = [], df
     for kind, path, *value in params:
         if kind == "id":
             tests.append(F.col(id_col).isin(*(value[0] if isinstance(value[0], list) else [value[0]])))
@@ -177,13 +228,17 @@ def search(df: DataFrame, params: list[tuple], sort: str | None = None, id_col:
             tests.append(missing_predicate(df, path, value[0]))
         elif kind == "language":
             tests.append(F.col(path) == value[0])
+        elif kind == "identifier_of_type":
+            tests.append(identifier_of_type_predicate(path, *value))
+        elif kind == "content":
+            tests.append(content_predicate(path, value[0]))
+        elif kind == "quantity":
+            op, amount, unit, units, *unit_path = value
+            found = where_quantity(found, op, amount, unit, units, path, *unit_path)
         else:
             raise ValueError(kind)
-    found = df.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
-    if sort is None:
-        return found
-    name = sort.lstrip("-")
-    return found.orderBy(F.col(name).desc() if sort.startswith("-") else F.col(name).asc(), id_col)
+    found = found.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
+    return found if sort is None else found.orderBy(*_sort_keys([*sort.split(","), id_col]))
 
 
 def search_total(df: DataFrame, params: list[tuple]) -> DataFrame:
@@ -193,14 +248,29 @@ def search_total(df: DataFrame, params: list[tuple]) -> DataFrame:
 def page(df: DataFrame, order: list[str], number: int, size: int = 20, max_size: int | None = None) -> DataFrame:
     """Page ``number`` (from 0) of the rows in order; the size is cut to ``max_size``."""
     size = min(size, max_size) if max_size else size
-    keys = [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
-    return df.orderBy(*keys).offset(number * size).limit(size)
+    return df.orderBy(*_sort_keys(order)).offset(number * size).limit(size)
+
 
+def page_after(df: DataFrame, key: str | list[str], last=None, size: int = 20) -> DataFrame:
+    """The next rows in the order of ``key`` after the row with the values ``last`` (None: from the start).
 
-def page_after(df: DataFrame, key: str, last, size: int = 20) -> DataFrame:
-    """The next rows by an ascending unique key after ``last`` (None: from the start): cost doesn't grow with depth."""
-    rest = df if last is None else df.where(F.col(key) > F.lit(last))
-    return rest.orderBy(key).limit(size)
+    ``key`` is a column or several, descending with a leading minus, which together tell rows apart. Nulls come
+    first ascending and last descending, as Spark sorts them. Cost doesn't grow with depth.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = df
+    if last is not None:
+        values = [last] if isinstance(key, str) else list(last)
+        same, after = F.lit(True), F.lit(False)
+        for k, v in zip(keys, values, strict=True):
+            c = F.col(k.lstrip("-"))
+            if v is None:
+                beyond = F.lit(False) if k.startswith("-") else c.isNotNull()
+            else:
+                beyond = (c < F.lit(v)) | c.isNull() if k.startswith("-") else c > F.lit(v)
+            after, same = after | (same & beyond), same & c.eqNullSafe(F.lit(v))
+        rest = df.where(after)
+    return rest.orderBy(*_sort_keys(keys)).limit(size)
 
 
 def resource_counts(df: DataFrame) -> DataFrame:
@@ -221,14 +291,32 @@ def where_chain(df: DataFrame, ref_col: str, target: DataFrame, predicate: Colum
     return df.join(side, F.substring_index(ref_col, "/", -1) == F.col("__target"), "left_semi")
 
 
+def _values(df: DataFrame, path: str) -> Column:
+    """Values of a path as an array of strings: all of an array's, however deep; ``system|code`` of codings and identifiers."""
+    kind, col = df.select(F.col(path).alias("v")).schema["v"].dataType, F.col(path)
+
+    def one(x: Column, k) -> Column:
+        if isinstance(k, StructType) and "system" in k.names:
+            rest = next(n for n in ("code", "value") if n in k.names)
+            return F.when(x[rest].isNotNull(), F.concat(F.coalesce(x["system"], F.lit("")), F.lit("|"), x[rest]))
+        return x.cast("string")
+
+    if not isinstance(kind, ArrayType):
+        return F.array(one(col, kind))
+    while isinstance(kind.elementType, ArrayType):
+        kind, col = kind.elementType, F.flatten(F.filter(col, lambda x: x.isNotNull()))
+    return F.coalesce(F.transform(col, lambda x: one(x, kind.elementType)), F.array().cast("array<string>"))
+
+
 def search_index(df: DataFrame, resource_type: str, specs: dict[str, tuple[str, str]], id_col: str = "id") -> DataFrame:
-    """Index rows (resource_type, id, parameter, kind, value): one pass, one row for each non-null parameter.
+    """Index rows (resource_type, id, parameter, kind, value): one pass, one row for each different value of a parameter.
 
-    ``specs``: parameter to (kind, column).
+    ``specs``: parameter to (kind, path). A path may lead through structs and arrays; nulls give no row.
     """
-    entries = F.array(*[F.struct(F.lit(p).alias("parameter"), F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for p, (k, c) in specs.items()])
+    entries = F.array(*[F.struct(F.lit(p).alias("parameter"), F.lit(k).alias("kind"), F.array_distinct(_values(df, c)).alias("held")) for p, (k, c) in specs.items()])
     rows = df.select(F.lit(resource_type).alias("resource_type"), F.col(id_col).alias("id"), F.explode(entries).alias("e"))
-    return rows.select("resource_type", "id", "e.*").where("value IS NOT NULL")
+    flat = rows.select("resource_type", "id", "e.parameter", "e.kind", F.explode("e.held").alias("value"))
+    return flat.where("value IS NOT NULL")
 
 
 def normalise_refs(df: DataFrame, path: str, local_bases: list[str], logical_patterns: list[str]) -> DataFrame:

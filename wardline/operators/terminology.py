@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wardline.operators.joins import hinted
+
 
 def expand_valuesets(compose: DataFrame, concepts: DataFrame, max_size: int = 1000, on_large: str = "error") -> DataFrame:
     """(url, system, code) from compose (url, system, code): a null code includes the whole system.
@@ -49,7 +51,7 @@ def profiles_by_type(definitions: DataFrame) -> DataFrame:
 
 def profile_violations(df: DataFrame, profiles: DataFrame) -> DataFrame:
     """Rows (resource_type, id, profile) that declare none of the profiles allowed for their type; other types pass."""
-    joined = df.join(F.broadcast(profiles.select(F.col("type").alias("resource_type"), "urls")), "resource_type")
+    joined = df.join(hinted(profiles.select(F.col("type").alias("resource_type"), "urls")), "resource_type")
     declared = F.coalesce(F.col("profile"), F.array().cast("array<string>"))
     return joined.where(~F.coalesce(F.arrays_overlap(declared, "urls"), F.lit(False))).drop("urls")
 
@@ -66,6 +68,11 @@ def assign_patient_partition(df: DataFrame, n: int, patient_col: str = "patient_
     return df.withColumn("partition_id", F.when(F.col(patient_col).isNull(), 0).otherwise(hashed))
 
 
+def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("tenant", "partition_id"), mode: str = "overwrite") -> None:
+    """A table with a folder for each tenant and patient partition: reads of one leave the files of others alone."""
+    df.repartition(*by).write.mode(mode).partitionBy(*by).parquet(path)
+
+
 def for_tenant(df: DataFrame, tenant) -> DataFrame:
     """One tenant's rows; on a table partitioned by tenant no other files are read."""
     return df.where(F.col("tenant") == F.lit(tenant))

@@ -28,7 +28,7 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-# ---- SQL pieces of the oracle: the band table written as plain comparisons
+# ---- SQL pieces of the oracle: the band table written as plain comparisons (fixed values, as in functions.scoring)
 
 SCORE = """CASE code
  WHEN '9279-1' THEN CASE WHEN value <= 8 THEN 3 WHEN value >= 9 AND value <= 11 THEN 1 WHEN value >= 21 AND value <= 24 THEN 2 WHEN value >= 25 THEN 3 ELSE 0 END
@@ -216,10 +216,10 @@ def block_details(spark, sf_dir):
     return V.block_details(_rollup(spark, sf_dir), asked)
 
 
-@query("affected_patients", sql("SELECT DISTINCT substr(subject, 9) AS patient_id FROM observation WHERE seq % 5 IN (0, 2)", "observation"))
+@query("affected_patients", sql("SELECT DISTINCT substr(subject, 9) AS patient_id FROM observation", "observation"))
 def affected_patients(spark, sf_dir):
     obs = tables(spark, sf_dir, "observation")[0]
-    return V.affected_patients(obs.where("seq % 5 = 0"), obs.where("seq % 5 = 2"))
+    return V.affected_patients(obs.where("seq % 2 = 0"), obs.where("seq % 2 = 1"))
 
 
 # ---- search
@@ -260,6 +260,25 @@ def where_date(spark, sf_dir):
     return e.select(F.explode(tests).alias("test"), "id")
 
 
+_MOMENTS = {"ge": "ge2024-01-10T06:30", "sa": "sa2024-01-20T12:00:05", "eb": "eb2024-01-02T08:00", "eq": "2024-01-15T10:00", "zone": "lt2024-01-02T02:30:00+02:00", "ne": "ne2024-01"}
+
+
+@query(
+    "where_date_time",
+    sql(
+        """SELECT 'ge' AS test, id FROM observation WHERE ts >= TIMESTAMP '2024-01-10 06:30:00' UNION ALL
+SELECT 'sa', id FROM observation WHERE ts >= TIMESTAMP '2024-01-20 12:00:06' UNION ALL SELECT 'eb', id FROM observation WHERE ts < TIMESTAMP '2024-01-02 08:00:00' UNION ALL
+SELECT 'eq', id FROM observation WHERE ts >= TIMESTAMP '2024-01-15 10:00:00' AND ts < TIMESTAMP '2024-01-15 10:01:00' UNION ALL
+SELECT 'zone', id FROM observation WHERE ts < TIMESTAMP '2024-01-02 00:30:00' UNION ALL SELECT 'ne', id FROM observation WHERE NOT (ts >= DATE '2024-01-01' AND ts < DATE '2024-02-01')""",
+        "observation",
+    ),
+)
+def where_date_time(spark, sf_dir):
+    o = tables(spark, sf_dir, "observation")[0]
+    tests = F.array_compact(F.array(*[F.when(Q.date_predicate("ts", x), t) for t, x in _MOMENTS.items()]))
+    return o.select(F.explode(tests).alias("test"), "id")
+
+
 @query("where_string", sql("SELECT id, given, family FROM patient WHERE lower(family) LIKE 'sch%' OR lower(given) LIKE '%ann%'", "patient"))
 def where_string(spark, sf_dir):
     p = tables(spark, sf_dir, "patient")[0]
@@ -279,15 +298,22 @@ def where_language(spark, sf_dir):
     return Q.where_language(tables(spark, sf_dir, "documents")[0], "de").select("doc_id", "source")
 
 
+def _measured(spark, sf_dir):
+    unit = F.when(F.col("seq") % 3 == 0, "other").when(F.col("seq") % 2 == 0, "mm").otherwise("cm")
+    return tables(spark, sf_dir, "observation")[0].withColumn("unit", unit)
+
+
+def _units(spark):
+    rows = spark.createDataFrame([("mm", "mm", "1"), ("cm", "mm", "10")], "unit string, base string, f string")
+    return rows.select("unit", "base", F.col("f").cast("decimal(9,3)").alias("factor"))
+
+
 @query(
     "where_quantity",
     sql("SELECT id FROM (SELECT id, code, CASE WHEN seq % 2 = 0 THEN value ELSE value * 10 END AS v FROM observation WHERE seq % 3 <> 0) WHERE v >= 400", "observation"),
 )
 def where_quantity(spark, sf_dir):
-    obs = tables(spark, sf_dir, "observation")[0]
-    unit = F.when(F.col("seq") % 3 == 0, "other").when(F.col("seq") % 2 == 0, "mm").otherwise("cm")
-    units = spark.createDataFrame([("mm", "mm", "1"), ("cm", "mm", "10")], "unit string, base string, f string").select("unit", "base", F.col("f").cast("decimal(9,3)").alias("factor"))
-    return Q.where_quantity(obs.withColumn("unit", unit), "ge", "40", "cm", units).select("id")
+    return Q.where_quantity(_measured(spark, sf_dir), "ge", "40", "cm", _units(spark)).select("id")
 
 
 @query("where_content", "SELECT doc_id FROM documents WHERE list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), 'the') AND list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), 'from')")
@@ -304,6 +330,26 @@ def search(spark, sf_dir):
     return Q.search(tables(spark, sf_dir, "observation")[0], _PARAMS).select("id", "subject", "code", "ts")
 
 
+@query(
+    "search_all_kinds",
+    sql(
+        "SELECT id, code, value FROM observation WHERE seq % 3 <> 0 AND (CASE WHEN seq % 2 = 0 THEN value ELSE value * 10 END) >= 400 AND code IN ('8867-4', '8480-6') AND seq % 4 = 1 AND list_contains(string_split_regex(lower(concat(event_type, ' by ', subject)), '[^a-z0-9]+'), 'patient') ORDER BY code DESC, id",
+        "observation",
+    ),
+)
+def search_all_kinds(spark, sf_dir):
+    obs = _measured(spark, sf_dir)
+    typed = F.struct(F.struct(F.array(F.struct(F.lit("v2").alias("system"), F.when(F.col("seq") % 4 == 1, "MR").otherwise("SS").alias("code"))).alias("coding")).alias("type"), F.lit("7").alias("value"))
+    obs = obs.withColumns({"identifier": F.array(typed), "note": F.concat("event_type", F.lit(" by "), "subject")})
+    params = [
+        ("quantity", "value", "ge", "40", "cm", _units(spark)),
+        ("identifier_of_type", "identifier", "v2", "MR", "7"),
+        ("content", "note", ["Patient"]),
+        ("token", "code", [*(f"none-{k}" for k in range(300)), "8867-4", "8480-6"]),
+    ]
+    return Q.search(obs, params, "-code").select("id", "code", "value")
+
+
 @query("search_total", sql(f"SELECT COUNT(*) AS total FROM observation WHERE {_WHERE}", "observation"))
 def search_total(spark, sf_dir):
     return Q.search_total(tables(spark, sf_dir, "observation")[0], _PARAMS)
@@ -320,6 +366,12 @@ def page_after(spark, sf_dir):
     return Q.page_after(tables(spark, sf_dir, "observation")[0], "seq", 137).select("seq", "id")
 
 
+@query("page_after_sorted", sql("SELECT id, ts FROM observation WHERE ts < TIMESTAMP '2024-01-15 00:00:00' OR (ts = TIMESTAMP '2024-01-15 00:00:00' AND id > '0') ORDER BY ts DESC, id LIMIT 20", "observation"))
+def page_after_sorted(spark, sf_dir):
+    last = (F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"), "0")
+    return Q.page_after(tables(spark, sf_dir, "observation")[0], ["-ts", "id"], last).select("id", "ts")
+
+
 def _resources(spark, sf_dir):
     o, e, m, p = tables(spark, sf_dir, "observation", "encounter", "medication_request", "patient")
     one = lambda df, t: df.select(F.lit(t).alias("resource_type"), "id")
@@ -392,6 +444,30 @@ def search_index(spark, sf_dir):
     return Q.search_index(tables(spark, sf_dir, "patient")[0], "Patient", {"family": ("string", "family"), "block": ("token", "block"), "total": ("number", "stored_total")})
 
 
+@query(
+    "search_index_arrays",
+    sql(
+        """SELECT 'Patient' AS resource_type, id, 'family' AS parameter, 'string' AS kind, family AS value FROM patient UNION ALL SELECT 'Patient', id, 'family', 'string', family_name FROM patient WHERE family_name <> family UNION ALL
+SELECT 'Patient', id, 'given', 'string', given FROM patient UNION ALL SELECT 'Patient', id, 'given', 'string', 'Extra' FROM patient UNION ALL
+SELECT 'Patient', id, 'identifier', 'token', concat('urn:a|', identifier) FROM patient UNION ALL SELECT 'Patient', id, 'identifier', 'token', concat('|', practitioner) FROM patient UNION ALL
+SELECT 'Patient', id, 'address-city', 'string', block FROM patient WHERE block IS NOT NULL""",
+        "patient",
+    ),
+)
+def search_index_arrays(spark, sf_dir):
+    p = tables(spark, sf_dir, "patient")[0]
+    name = lambda family, *given: F.struct(F.col(family).alias("family"), F.array(*given).alias("given"))
+    held = lambda system, value: F.struct(F.lit(system).cast("string").alias("system"), F.col(value).alias("value"))
+    rows = p.select(
+        "id",
+        F.array(name("family", F.col("given"), F.lit("Extra")), name("family_name", F.col("given"))).alias("name"),
+        F.array(held("urn:a", "identifier"), held(None, "practitioner")).alias("identifier"),
+        F.struct(F.col("block").alias("city")).alias("address"),
+    )
+    specs = {"family": ("string", "name.family"), "given": ("string", "name.given"), "identifier": ("token", "identifier"), "address-city": ("string", "address.city")}
+    return Q.search_index(rows, "Patient", specs)
+
+
 @query("year_ago", sql("SELECT id, strftime(period_start - INTERVAL 1 YEAR, '%Y-%m-%d') AS since FROM encounter", "encounter"))
 def year_ago(spark, sf_dir):
     return tables(spark, sf_dir, "encounter")[0].select("id", S.year_ago(F.col("period_start")).alias("since"))
@@ -412,22 +488,29 @@ def bulk_export_since(spark, sf_dir):
     return export_rows(v, ["Observation"], "2024-01-10 00:00:00").select("id", "last_updated")
 
 
-_ENTRIES = "entries AS (SELECT concat('p', user_id) AS id, CASE event_id % 7 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'POST' ELSE 'PUT' END AS method, props AS body, event_id AS seq FROM events WHERE event_id % 3 = 1)"
+_ENTRIES = "entries AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'Patient' ELSE 'Observation' END AS resource_type, CASE WHEN event_id % 14 = 1 THEN concat('new-', substr(sha256(CAST(event_id AS VARCHAR)), 1, 32)) ELSE concat('p', user_id) END AS id, CASE event_id % 7 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'POST' ELSE 'PUT' END AS method, props AS body, event_id AS seq FROM events WHERE event_id % 19 <> 5)"
 
 
 @query(
     "apply_bundle",
-    f"""WITH {_ENTRIES}, cur AS (SELECT concat('p', c_custkey) AS id, 2 AS version_id, c_name AS body FROM customer WHERE c_custkey % 2 = 0),
-ch AS (SELECT id, SUM(CASE WHEN method <> 'DELETE' THEN 1 ELSE 0 END) AS n, arg_max(method, seq) AS method, arg_max(body, seq) AS body FROM entries GROUP BY id)
-SELECT COALESCE(cur.id, ch.id) AS id, CAST(COALESCE(version_id, 0) + COALESCE(n, 0) AS INT) AS version_id, CASE WHEN method IS NULL THEN cur.body ELSE ch.body END AS body
-FROM cur FULL JOIN ch ON cur.id = ch.id WHERE method IS DISTINCT FROM 'DELETE'""",
+    f"""WITH {_ENTRIES}, cur AS (SELECT 'Patient' AS resource_type, concat('p', c_custkey) AS id, 2 AS version_id, c_name AS body FROM customer),
+ch AS (SELECT resource_type, id, SUM(CASE WHEN method <> 'DELETE' THEN 1 ELSE 0 END) AS n, arg_max(method, seq) AS method, arg_max(struct_pack(b := body), seq).b AS body FROM entries GROUP BY resource_type, id)
+SELECT COALESCE(cur.resource_type, ch.resource_type) AS resource_type, COALESCE(cur.id, ch.id) AS id, CAST(COALESCE(version_id, 0) + COALESCE(n, 0) AS INT) AS version_id, CASE WHEN method IS NULL THEN cur.body ELSE ch.body END AS body
+FROM cur FULL JOIN ch ON cur.resource_type = ch.resource_type AND cur.id = ch.id WHERE method IS DISTINCT FROM 'DELETE'""",
 )
 def apply_bundle(spark, sf_dir):
+    """All events as entries of two types against all customers; some POSTs have no id, GET changes nothing."""
     e, c = tables(spark, sf_dir, "events", "customer")
-    k = F.col("event_id") % 7
-    method = F.when(k == 0, "DELETE").when(k == 1, "POST").otherwise("PUT")
-    entries = e.where("event_id % 3 = 1").select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("id"), method.alias("method"), F.col("props").alias("body"), F.col("event_id").alias("seq"))
-    current = c.where("c_custkey % 2 = 0").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("id"), F.lit(2).alias("version_id"), F.col("c_name").alias("body"))
+    k = F.col("event_id")
+    method = F.when(k % 19 == 5, "GET").when(k % 7 == 0, "DELETE").when(k % 7 == 1, "POST").otherwise("PUT")
+    entries = e.select(
+        F.when(k % 2 == 0, "Patient").otherwise("Observation").alias("resource_type"),
+        F.when(k % 14 != 1, F.concat(F.lit("p"), F.col("user_id").cast("string"))).alias("id"),
+        method.alias("method"),
+        F.col("props").alias("body"),
+        k.alias("seq"),
+    )
+    current = c.select(F.lit("Patient").alias("resource_type"), F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("id"), F.lit(2).alias("version_id"), F.col("c_name").alias("body"))
     return H.apply_bundle(current, entries)
 
 
@@ -526,11 +609,12 @@ def expunge(spark, sf_dir):
 
 @query(
     "conditional_create",
-    sql("WITH n AS (SELECT * FROM patient WHERE seq % 3 = 0), x AS (SELECT identifier FROM patient WHERE seq % 3 = 1 AND seq < 300) SELECT id, identifier FROM n WHERE identifier NOT IN (SELECT identifier FROM x) QUALIFY row_number() OVER (PARTITION BY identifier ORDER BY seq) = 1", "patient"),
+    sql("WITH k AS (SELECT *, concat(identifier, '-', practitioner) AS name FROM patient) SELECT id, name FROM k WHERE seq % 2 = 0 AND name NOT IN (SELECT name FROM k WHERE seq % 2 = 1) QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq) = 1", "patient"),
 )
 def conditional_create(spark, sf_dir):
-    p = tables(spark, sf_dir, "patient")[0]
-    return H.conditional_create(p.where("seq % 3 = 0"), p.where("seq % 3 = 1 AND seq < 300"), "identifier").select("id", "identifier")
+    """One half of the patients comes in, the other half is there."""
+    p = tables(spark, sf_dir, "patient")[0].withColumn("name", F.concat("identifier", F.lit("-"), "practitioner"))
+    return H.conditional_create(p.where("seq % 2 = 0"), p.where("seq % 2 = 1"), "name").select("id", "name")
 
 
 @query(

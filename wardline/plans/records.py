@@ -110,7 +110,7 @@ def overlap_join(spark, sf_dir):
 @query(
     "everything",
     sql(
-        "WITH c AS (SELECT id FROM patient WHERE seq % 50 = 7) SELECT id AS patient_id, 'Patient' AS resource_type, id FROM c UNION ALL SELECT patient_id, 'Encounter', id FROM encounter WHERE patient_id IN (SELECT id FROM c) UNION ALL SELECT patient_id, 'Condition', id FROM condition WHERE patient_id IN (SELECT id FROM c) UNION ALL SELECT substr(subject, 9), 'Observation', id FROM observation WHERE substr(subject, 9) IN (SELECT id FROM c)",
+        "WITH c AS (SELECT id FROM patient) SELECT id AS patient_id, 'Patient' AS resource_type, id FROM c UNION ALL SELECT patient_id, 'Encounter', id FROM encounter WHERE patient_id IN (SELECT id FROM c) UNION ALL SELECT patient_id, 'Condition', id FROM condition WHERE patient_id IN (SELECT id FROM c) UNION ALL SELECT substr(subject, 9), 'Observation', id FROM observation WHERE substr(subject, 9) IN (SELECT id FROM c)",
         "patient",
         "encounter",
         "condition",
@@ -120,19 +120,19 @@ def overlap_join(spark, sf_dir):
 def everything(spark, sf_dir):
     p, e, c, o = tables(spark, sf_dir, "patient", "encounter", "condition", "observation")
     obs = o.withColumn("patient_id", S.patient_id(F.col("subject")))
-    return C.everything(p.where("seq % 50 = 7"), {"Encounter": e, "Condition": c, "Observation": obs})
+    return C.everything(p, {"Encounter": e, "Condition": c, "Observation": obs})
 
 
-_PREFETCH = """WITH co AS (SELECT id AS patient_id FROM patient WHERE seq % 3 = 1),
+_PREFETCH = """WITH co AS (SELECT id AS patient_id FROM patient),
 mr AS (SELECT * FROM medication_request WHERE status = 'active' AND category = 'community' AND intent = 'order'),
-x AS (SELECT patient_id, 'patient' AS item FROM co
- UNION ALL SELECT patient_id, 'medication_requests' FROM mr
- UNION ALL SELECT patient_id, 'medication_requests' FROM (SELECT DISTINCT patient_id, medication_id FROM mr WHERE medication_id IN (SELECT id FROM medication))
- UNION ALL SELECT patient_id, 'conditions' FROM condition WHERE category IN ('encounter-diagnosis', 'health-concern', 'problem-list-item') AND clinical_status = 'active'
- UNION ALL SELECT patient_id, 'encounters' FROM encounter WHERE period_start >= DATE '1999-01-01'
- UNION ALL SELECT patient_id, 'service_requests' FROM service_request WHERE status IN ('active', 'completed')
- UNION ALL SELECT substr(subject, 9), 'observations' FROM observation WHERE code IN ('8867-4', '9279-1') AND seq % 2 = 0 AND ts >= TIMESTAMP '2023-02-01 00:00:00')
-SELECT co.patient_id, """ + ", ".join(f"COUNT(*) FILTER (item = '{i}') AS n_{i}" for i in C.ITEMS) + " FROM co LEFT JOIN x USING (patient_id) GROUP BY co.patient_id"
+x AS (SELECT patient_id, 'patient' AS item, concat('Patient/', patient_id) AS r FROM co
+ UNION ALL SELECT patient_id, 'medication_requests', concat('MedicationRequest/', id) FROM mr
+ UNION ALL SELECT patient_id, 'medication_requests', concat('Medication/', medication_id) FROM (SELECT DISTINCT patient_id, medication_id FROM mr WHERE medication_id IN (SELECT id FROM medication))
+ UNION ALL SELECT patient_id, 'conditions', concat('Condition/', id) FROM condition WHERE category IN ('encounter-diagnosis', 'health-concern', 'problem-list-item') AND clinical_status = 'active'
+ UNION ALL SELECT patient_id, 'encounters', concat('Encounter/', id) FROM encounter WHERE period_start >= DATE '1999-01-01'
+ UNION ALL SELECT patient_id, 'service_requests', concat('ServiceRequest/', id) FROM service_request WHERE status IN ('active', 'completed')
+ UNION ALL SELECT substr(subject, 9), 'observations', concat('Observation/', id) FROM observation WHERE code IN ('8867-4', '9279-1') AND seq % 2 = 0 AND ts >= TIMESTAMP '2023-02-01 00:00:00')
+SELECT co.patient_id, """ + ", ".join(f"COALESCE(string_agg(r, ',' ORDER BY r) FILTER (item = '{i}'), '') AS {i}" for i in C.ITEMS) + " FROM co LEFT JOIN x USING (patient_id) GROUP BY co.patient_id"
 
 
 @query("prefetch", sql(_PREFETCH, "patient", "medication_request", "medication", "condition", "encounter", "service_request", "observation"))
@@ -143,10 +143,11 @@ def prefetch(spark, sf_dir):
     category = F.when(F.col("seq") % 2 == 0, "laboratory").otherwise("vital-signs")
     held["observation"] = o.select("id", S.patient_id(F.col("subject")).alias("patient_id"), category.alias("category"), "code", F.col("ts").alias("at"))
     codes = o.where("event_type IN ('click', 'view')").select("code").distinct()
-    cohort = held["patient"].where("seq % 3 = 1").select(F.col("id").alias("patient_id"))
+    cohort = held["patient"].select(F.col("id").alias("patient_id"))
     day = lambda x: F.lit(x).cast("date")
     wide = C.prefetch(cohort, held, codes, day("2000-01-01"), day("2024-02-01"))
-    return wide.select("patient_id", *[F.size(i).cast("long").alias(f"n_{i}") for i in C.ITEMS])
+    listed = lambda i: F.array_join(F.array_sort(F.transform(i, lambda x: F.concat(x["resource_type"], F.lit("/"), x["id"]))), ",")
+    return wide.select("patient_id", *[listed(i).alias(i) for i in C.ITEMS])
 
 
 _FLAGS = """flags AS (SELECT p.id AS patient_id, p.active AS ip, COALESCE(e.n > 0, FALSE) AS den, p.seq % 17 = 0 AS exc, COALESCE(c.n > 0, FALSE) AS num FROM patient p
@@ -248,13 +249,15 @@ def mdm_eid_matches(spark, sf_dir):
 @query(
     "golden_ids",
     sql(
-        f"WITH RECURSIVE {_EID}, two AS (SELECT a, b FROM links UNION SELECT x.id, y.id FROM patient x JOIN patient y ON x.birth_no = y.birth_no AND x.seq < y.seq AND x.seq % 5 = 0), both_ways AS (SELECT a, b FROM two UNION SELECT b, a FROM two), r(id, g) AS (SELECT a, a FROM both_ways UNION SELECT b, g FROM r JOIN both_ways ON a = id) SELECT id, MIN(g) AS golden_id FROM r GROUP BY id",
+        f"WITH RECURSIVE {_EID}, two AS (SELECT a, b FROM links UNION SELECT m.a, p.id FROM patient p JOIN (SELECT birth_no, MIN(id) AS a FROM patient GROUP BY birth_no) m USING (birth_no) WHERE m.a <> p.id), both_ways AS (SELECT a, b FROM two UNION SELECT b, a FROM two), r(id, g) AS (SELECT a, a FROM both_ways UNION SELECT b, g FROM r JOIN both_ways ON a = id) SELECT id, MIN(g) AS golden_id FROM r GROUP BY id",
         "patient",
     ),
 )
 def golden_ids(spark, sf_dir):
+    """Links by enterprise identifier and by birth date, each as a star on the least id of its group."""
     p = tables(spark, sf_dir, "patient")[0]
-    born = p.where("seq % 5 = 0").select(F.col("id").alias("a"), F.col("seq").alias("s"), "birth_no").join(p.select(F.col("id").alias("b"), "seq", "birth_no"), "birth_no").where("s < seq").select("a", "b")
+    least = p.groupBy("birth_no").agg(F.min("id").alias("a"))
+    born = p.select(F.col("id").alias("b"), "birth_no").join(least, "birth_no").where("a <> b").select("a", "b")
     return L.golden_ids(L.mdm_eid_matches(_identifiers(spark, sf_dir), "urn:eid").select("a", "b").unionByName(born))
 
 
@@ -339,30 +342,40 @@ def for_tenant(spark, sf_dir):
 
 # ---- subscriptions
 
-_SUBS = "subs AS (SELECT concat('s', c_custkey) AS sid, CASE WHEN c_custkey % 4 = 0 THEN 'off' ELSE 'active' END AS status, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'code' END AS field, CASE c_custkey % 5 WHEN 0 THEN '8867-4' WHEN 1 THEN '9279-1' ELSE '8480-6' END AS wanted, c_custkey % 2 = 0 AS on_create, TRUE AS on_update FROM customer WHERE c_custkey < 20), matches AS (SELECT sid AS subscription_id, id AS event_id FROM observation JOIN subs ON status = 'active' AND (field IS NULL OR wanted = code) AND CASE WHEN seq % 2 = 0 THEN on_create ELSE on_update END)"
+_SUBS = """subs AS (SELECT concat('s', c_custkey) AS sid, CASE WHEN c_custkey % 4 = 0 THEN 'off' ELSE 'active' END AS status, 'subject' AS field, concat('Patient/', c_custkey) AS wanted, c_custkey % 2 = 0 AS on_create, TRUE AS on_update FROM customer
+ UNION ALL SELECT concat('n', n_nationkey), 'active', 'code', CASE n_nationkey % 3 WHEN 0 THEN '8867-4' WHEN 1 THEN '9279-1' ELSE '8480-6' END, n_nationkey % 2 = 0, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey % 5 = 1 END FROM nation
+ UNION ALL SELECT concat('r', r_regionkey), CASE WHEN r_regionkey = 4 THEN 'off' ELSE 'active' END, NULL, NULL, r_regionkey % 2 = 0, r_regionkey < 2 FROM region),
+act AS (SELECT * FROM subs WHERE status = 'active'), ev AS (SELECT *, seq % 2 = 0 AS created FROM observation),
+matches AS (SELECT sid AS subscription_id, id AS event_id FROM (SELECT sid, id, created, on_create, on_update FROM ev JOIN act ON field = 'subject' AND wanted = subject
+ UNION ALL SELECT sid, id, created, on_create, on_update FROM ev JOIN act ON field = 'code' AND wanted = code
+ UNION ALL SELECT sid, id, created, on_create, on_update FROM ev, act WHERE field IS NULL) WHERE COALESCE(CASE WHEN created THEN on_create ELSE on_update END, TRUE))"""
 
 
-def _matches(spark, sf_dir):
-    c, o = tables(spark, sf_dir, "customer", "observation")
-    k = F.col("c_custkey")
-    subs = c.where("c_custkey < 20").select(
-        F.concat(F.lit("s"), k.cast("string")).alias("id"),
-        F.when(k % 4 == 0, "off").otherwise("active").alias("status"),
-        F.lit("Observation").alias("resource_type"),
-        F.when(k % 3 != 0, "code").alias("field"),
-        F.when(k % 5 == 0, "8867-4").when(k % 5 == 1, "9279-1").otherwise("8480-6").alias("value"),
-        (k % 2 == 0).alias("on_create"),
-        F.lit(True).alias("on_update"),
-    )
-    events = o.select(F.col("id").alias("event_id"), F.lit("Observation").alias("resource_type"), F.when(F.col("seq") % 2 == 0, "create").otherwise("update").alias("interaction"), F.create_map(F.lit("code"), "code").alias("fields"))
-    return U.match_subscriptions(events, subs)
+def _subscribed(spark, sf_dir):
+    """All observations; a subscription of every customer to the own ones, of every nation to a code, of every region to all."""
+    o, c, n, r = tables(spark, sf_dir, "observation", "customer", "nation", "region")
+    kind = "string"
+
+    def subs(df, mark, key, status, field, value, on_create, on_update):
+        columns = {"status": status, "resource_type": F.lit("Observation"), "field": field, "value": value, "on_create": on_create, "on_update": on_update}
+        return df.select(F.concat(F.lit(mark), key.cast("string")).alias("id"), *[x.alias(name) for name, x in columns.items()])
+
+    k, m, g = F.col("c_custkey"), F.col("n_nationkey"), F.col("r_regionkey")
+    own = subs(c, "s", k, F.when(k % 4 == 0, "off").otherwise("active"), F.lit("subject"), F.concat(F.lit("Patient/"), k.cast("string")), k % 2 == 0, F.lit(True))
+    code = F.when(m % 3 == 0, "8867-4").when(m % 3 == 1, "9279-1").otherwise("8480-6")
+    by_code = subs(n, "n", m, F.lit("active"), F.lit("code"), code, m % 2 == 0, F.when(m % 5 != 0, m % 5 == 1))
+    whole = subs(r, "r", g, F.when(g == 4, "off").otherwise("active"), F.lit(None).cast(kind), F.lit(None).cast(kind), g % 2 == 0, g < 2)
+    fields = F.create_map(F.lit("code"), F.col("code"), F.lit("subject"), F.col("subject"))
+    interaction = F.when(F.col("seq") % 2 == 0, "create").otherwise("update")
+    events = o.select(F.col("id").alias("event_id"), F.lit("Observation").alias("resource_type"), interaction.alias("interaction"), fields.alias("fields"))
+    return events, own.unionByName(by_code).unionByName(whole)
 
 
 @query("match_subscriptions", sql(f"WITH {_SUBS} SELECT * FROM matches", "observation"))
 def match_subscriptions(spark, sf_dir):
-    return _matches(spark, sf_dir)
+    return U.match_subscriptions(*_subscribed(spark, sf_dir))
 
 
 @query("notification_counts", sql(f"WITH {_SUBS} SELECT subscription_id, COUNT(*) AS notifications FROM matches GROUP BY 1", "observation"))
 def notification_counts(spark, sf_dir):
-    return U.notification_counts(_matches(spark, sf_dir))
+    return U.notification_totals(*_subscribed(spark, sf_dir))

@@ -5,27 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 #: A bundle; resources stay JSON text.
 BUNDLE = "resourceType string, id string, type string, entry array<struct<fullUrl: string, resource: string, request: struct<method: string, url: string>>>"
 
 
 def read_bundles(spark: SparkSession, path: str, allowed_types: list[str] | None = None) -> DataFrame:
-    """One row per entry: bundle_id, bundle_type, seq, resource_type, id, method, url, body (JSON text).
+    """One row per entry: source (file), bundle_id, bundle_type, seq, resource_type, id, method, url, body (JSON text).
 
-    Only bundles of the allowed types are kept; None allows all. Files that are no bundle give no rows.
+    Type and id come from the resource, or where it has none (as in a DELETE) from the request's URL. Only
+    bundles of the allowed types are kept; None allows all. Files that are no bundle give no rows.
     """
-    bundles = spark.read.schema(BUNDLE).option("multiLine", True).json(path).where("resourceType = 'Bundle'")
+    read = spark.read.schema(BUNDLE).option("multiLine", True).json(path)
+    bundles = read.select("*", F.col("_metadata.file_path").alias("source")).where("resourceType = 'Bundle'")
     if allowed_types is not None:
         bundles = bundles.where(F.col("type").isin(*allowed_types))
-    entries = bundles.select(F.col("id").alias("bundle_id"), F.col("type").alias("bundle_type"), F.posexplode("entry").alias("seq", "e"))
+    entries = bundles.select("source", F.col("id").alias("bundle_id"), F.col("type").alias("bundle_type"), F.posexplode("entry").alias("seq", "e"))
     body = F.col("e.resource")
+    asked = F.regexp_replace(F.col("e.request.url"), r"(/_history/[^/?]*)?(\?.*)?$", "")
+    part = lambda k: F.nullif(F.regexp_extract(asked, r"(?:^|/)([A-Z][A-Za-z]+)(?:/([A-Za-z0-9.\-]{1,64}))?$", k), F.lit(""))
     return entries.select(
+        "source",
         "bundle_id",
         "bundle_type",
         "seq",
-        F.get_json_object(body, "$.resourceType").alias("resource_type"),
-        F.get_json_object(body, "$.id").alias("id"),
+        F.coalesce(F.get_json_object(body, "$.resourceType"), part(1)).alias("resource_type"),
+        F.coalesce(F.get_json_object(body, "$.id"), part(2)).alias("id"),
         F.col("e.request.method").alias("method"),
         F.col("e.request.url").alias("url"),
         body.alias("body"),
@@ -61,14 +67,18 @@ def bulk_export(df: DataFrame, out: str, types: list[str] | None = None, since=N
 def to_put_bundles(df: DataFrame, resource_type: str, size: int, id_col: str = "id", body_col: str = "body") -> DataFrame:
     """Transaction bundles (bundle_no, n, bundle) of at most ``size`` PUT entries each.
 
-    A row with an id is put at Type/id, one without at the type. Rows are numbered inside their partition, so
-    grouping needs no global order.
+    A row with an id is put at Type/id, one without at the type. Rows are dealt by their hash to buckets of some
+    hundred bundles and numbered there by id and body, so a retry makes the same bundles; the last bundle of a
+    bucket may be smaller.
     """
     url = F.when(F.col(id_col).isNull(), F.lit(resource_type)).otherwise(F.concat(F.lit(f"{resource_type}/"), F.col(id_col)))
     entry = F.struct(F.col(body_col).alias("resource"), F.struct(F.lit("PUT").alias("method"), url.alias("url")).alias("request"))
-    order = F.monotonically_increasing_id()
-    rows = df.select(entry.alias("e"), order.alias("n"), F.col(id_col).alias("id"))
-    groups = rows.groupBy(F.floor(F.col("n") / size).alias("bundle_no")).agg(F.collect_list("e").alias("entry"))
+    buckets = max(1, df.count() // (size * 500))
+    dealt = df.select(entry.alias("e"), F.col(id_col).alias("id"), F.col(body_col).alias("body"))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("id", "body"), F.lit(buckets)))
+    n = F.row_number().over(Window.partitionBy("bucket").orderBy("id", "body"))
+    rows = dealt.withColumn("n", n).withColumn("bundle_no", F.shiftleft("bucket", 32) + F.floor((F.col("n") - 1) / size))
+    groups = rows.groupBy("bundle_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "e"))), lambda x: x["e"]).alias("entry"))
     bundle = F.struct(F.lit("Bundle").alias("resourceType"), F.lit("transaction").alias("type"), F.col("entry"))
     return groups.select("bundle_no", F.size("entry").alias("n"), F.to_json(bundle).alias("bundle"))
 
