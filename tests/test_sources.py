@@ -2,7 +2,11 @@
 
 import json
 
+import pytest
+
+from wardline.operators import history
 from wardline.sources import records as R
+from wardline.sources import staging
 
 BUNDLE = {
     "resourceType": "Bundle",
@@ -28,6 +32,30 @@ def test_bundles(spark, tmp_path):
     assert R.read_bundles(spark, str(tmp_path)).count() == 4
 
 
+def test_transaction_with_posts_without_ids_and_deletes_by_url(spark, tmp_path):
+    """Read and applied: three creates without ids stay three, the delete is told by its URL, ids count for their type."""
+    patient = lambda **more: {"resourceType": "Patient", **more}
+    entry = [
+        {"resource": patient(gender="female"), "request": {"method": "POST", "url": "Patient"}},
+        {"resource": patient(gender="male"), "request": {"method": "POST", "url": "Patient"}},
+        {"resource": {"resourceType": "Observation", "status": "final"}, "request": {"method": "POST", "url": "Observation"}},
+        {"resource": patient(id="5", active=True), "request": {"method": "PUT", "url": "Patient/5"}},
+        {"request": {"method": "DELETE", "url": "Patient/7"}},
+        {"request": {"method": "DELETE", "url": "http://server/base/Observation/7/_history/3"}},
+        {"request": {"method": "GET", "url": "Patient?name=x"}},
+    ]
+    (tmp_path / "t.json").write_text(json.dumps({"resourceType": "Bundle", "type": "transaction", "entry": entry}))
+    rows = R.read_bundles(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r["resource_type"], r["id"]) for r in rows] == [("Patient", None), ("Patient", None), ("Observation", None), ("Patient", "5"), ("Patient", "7"), ("Observation", "7"), ("Patient", None)]
+    current = spark.createDataFrame([("Patient", "7", 1, "old"), ("Patient", "8", 4, "stays"), ("Observation", "5", 2, "other type")], "resource_type string, id string, version_id int, body string")
+    apply = lambda: sorted((r["resource_type"], r["id"], r["version_id"]) for r in history.apply_bundle(current, R.read_bundles(spark, str(tmp_path))).collect())
+    after = apply()
+    assert after == apply()  # a retry gives the same ids
+    new = [r for r in after if r[1].startswith("new-")]
+    assert [r[0] for r in new] == ["Observation", "Patient", "Patient"] and len({r[1] for r in new}) == 3 and {r[2] for r in new} == {1}
+    assert [r for r in after if r not in new] == [("Observation", "5", 2), ("Patient", "5", 1), ("Patient", "8", 4)]
+
+
 def test_ndjson(spark, tmp_path):
     (tmp_path / "x.ndjson").write_text('{"id": "1", "n": 2}\n\n{"id": \n{"id": "2"}\n')
     good, bad = R.read_ndjson(spark, str(tmp_path), "id string, n int")
@@ -44,8 +72,10 @@ def test_export(spark, tmp_path):
 
 
 def test_put_bundles(spark):
-    df = spark.createDataFrame([(str(k) if k else None, json.dumps({"k": k})) for k in range(7)], "id string, body string").coalesce(1)
-    bundles = [json.loads(r["bundle"]) for r in R.to_put_bundles(df, "Patient", 3).collect()]
+    df = spark.createDataFrame([(str(k) if k else None, json.dumps({"k": k})) for k in range(7)], "id string, body string")
+    made = lambda n: sorted(r["bundle"] for r in R.to_put_bundles(df.repartition(n), "Patient", 3).collect())
+    assert made(1) == made(4)  # however the rows are spread
+    bundles = [json.loads(b) for b in made(2)]
     assert sorted(len(b["entry"]) for b in bundles) == [1, 3, 3]
     urls = sorted(e["request"]["url"] for b in bundles for e in b["entry"])
     assert urls == ["Patient"] + [f"Patient/{k}" for k in range(1, 7)]
@@ -67,3 +97,26 @@ def test_relational_round_trip(spark, tmp_path):
     back = R.read_table(spark, url, "NEWS2_AGG", "id", (0, 100, 4), driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
     assert back.rdd.getNumPartitions() == 4
     assert sorted(map(tuple, back.collect())) == [(k, 2 * k) for k in range(100)]
+
+
+def test_staged_folders(spark, tmp_path, monkeypatch):
+    df = staging.staged(spark.range(5), "test-clean")
+    assert df.count() == 5
+    folder = staging.scratch_dir(spark).removeprefix("file:")
+    assert spark.sparkContext.applicationId in folder
+    monkeypatch.setattr(staging, "scratch_dir", lambda s: f"file:{tmp_path}/scratch")
+    (tmp_path / "scratch").mkdir()
+    staging.clean_scratch(spark)
+    assert not (tmp_path / "scratch").exists()
+
+
+def test_no_local_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app-1"
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        staging.scratch_dir(Session)
