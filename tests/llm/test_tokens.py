@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.llm import bpe, edits, packing, pieces, rans
+from wardline.llm.shared import staged
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +46,16 @@ def test_piece_memo_equals_library(word_bpe, byte_bpe):
         assert found == [struct.pack(f"<{len(i)}I", *i) for i in library_ids(library, texts)]
 
 
+def test_pieces_with_marks_and_separators(word_bpe):
+    r = random.Random(8)
+    parts = ["|", "||", "a|b", "word", "Word", "é", "é", "5", "²", "一", "—", "ß", ".", ",", "...", "!?", "$$$", "'s", "#1", "&&&", "x" * 300]
+    texts = ["".join(r.choice(parts) + r.choice(["", "", " "]) for _ in range(r.randint(0, 30))) for _ in range(2000)]
+    coder = pieces.PieceEncoder(pieces.WORD_BPE, limit=300)
+    assert coder.mark is not None and coder.tails
+    found = [b for k in range(0, len(texts), 90) for b in coder.encode(texts[k : k + 90])]
+    assert found == [struct.pack(f"<{len(i)}I", *i) for i in library_ids(word_bpe, texts)]
+
+
 # ---- packing
 
 
@@ -257,3 +268,26 @@ def test_edit_edge_rows(edge_docs, edge_rows, no_docs):
     rows = edits.edited_counts(edge_docs, edits=lambda t: [(0, len(t), "new")]).collect()
     assert len(rows) == len(edge_rows) and all(r["edited"] == "new" and r["edited_tokens"] == 1 for r in rows)
     assert edits.edited_counts(no_docs).count() == 0
+
+
+def test_second_edits_read_stored_trees(spark):
+    """Two rounds: the second counts only leaves at its own edits, and the table of trees stays true throughout."""
+    r = random.Random(12)
+    texts = {k: " ".join(r.choice(["alpha", "beta", "gamma", "x1"]) for _ in range(400)) for k in range(30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    trees = staged(edits.build_trees(docs), "test-trees")
+    counter = edits.LeafCounter(pieces.BYTE_BPE)
+    full = lambda t: len(counter.library.encode(t, add_special_tokens=False).ids)
+    for touched in (range(0, 10), range(5, 8)):
+        table_ = edits._keyed(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text")
+        rows = [(k, [(50, 55, "new words"), (300, 300, "!")]) for k in touched]
+        wanted = table_.join(spark.createDataFrame(rows, f"__id long, edits {edits.EDITS}"), "__id").select("__id", "__text_hash", "__text", "edits")
+        changed = staged(edits.apply_edits(staged(wanted, "test-wanted"), trees), "test-changed")
+        got = {row["__id"]: row for row in changed.collect()}
+        assert sorted(got) == list(touched) and all(0 < row["encoded_leaves"] < 16 for row in got.values())
+        for k in touched:
+            t = texts[k]
+            texts[k] = t[:50] + "new words" + t[55:300] + "!" + t[300:]
+            assert got[k]["edited"] == texts[k] and got[k]["n_tokens"] == full(texts[k])
+        trees = staged(edits.renewed_trees(trees, changed), "test-trees")
+        assert {row["__id"]: (row["n_tokens"], sum(row["leaf_tokens"]), sum(row["leaf_chars"])) for row in trees.collect()} == {k: (full(t), full(t), len(t)) for k, t in texts.items()}

@@ -10,16 +10,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from wardline.llm import pieces
-from wardline.llm.shared import table
+from wardline.llm.shared import hinted, kept, staged, table
 
 #: Unicode white space, as the pre-tokenizer's pattern has it.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -56,21 +55,29 @@ class LeafCounter:
 
 
 class CountTree:
-    """Leaves of one document in a perfect binary tree; ``chars`` and ``tokens`` hold the sums, the root at 1."""
-
-    def __init__(self, leaves: list[str], counter: LeafCounter):
-        self.counter = counter
-        self.leaves, self.changed = leaves, {}  # slots that edits have filled anew, with none or many leaves
-        self.base = 1 << max(0, len(leaves) - 1).bit_length()
-        self.chars = self._sums([len(x) for x in leaves])
-        self.tokens = self._sums(counter.counts(leaves))
+    """Leaves of one document in a perfect binary tree; ``chars`` and ``tokens`` hold the sums, the root at 1.
+
+    It is made from a text, or from the text and the stored characters and tokens of its leaves: then nothing is
+    tokenized before an edit asks for it.
+    """
+
+    def __init__(self, text: str, leaf_chars: np.ndarray, leaf_tokens: np.ndarray, counter: LeafCounter):
+        self.counter, self.source = counter, text
+        self.leaf_chars, self.leaf_tokens = np.asarray(leaf_chars, np.int64), np.asarray(leaf_tokens, np.int64)
+        self.ends = np.cumsum(self.leaf_chars)
+        if len(text) != (self.ends[-1] if len(self.ends) else 0):
+            raise ValueError("the tree is of another text")
+        self.changed: dict[int, tuple[list[str], list[int]]] = {}  # slots that edits have filled anew, with none or many leaves
+        self.base = 1 << max(0, len(self.leaf_chars) - 1).bit_length()
+        self.chars, self.tokens = self._sums(self.leaf_chars), self._sums(self.leaf_tokens)
         self.encoded = 0  # leaves encoded anew by edits
 
     @classmethod
     def of(cls, text: str, counter: LeafCounter) -> CountTree:
-        return cls(LEAF.findall(text), counter)
+        leaves = LEAF.findall(text)
+        return cls(text, np.fromiter(map(len, leaves), np.int64, len(leaves)), np.array(counter.counts(leaves), np.int64), counter)
 
-    def _sums(self, values: list[int]) -> np.ndarray:
+    def _sums(self, values: np.ndarray) -> np.ndarray:
         tree = np.zeros(2 * self.base, np.int64)
         tree[self.base : self.base + len(values)] = values
         at = self.base
@@ -84,11 +91,31 @@ class CountTree:
         return int(self.tokens[1])
 
     def held(self, slot: int) -> list[str]:
-        return self.changed.get(slot) or ([] if slot in self.changed else self.leaves[slot : slot + 1])
+        if slot in self.changed:
+            return self.changed[slot][0]
+        end = int(self.ends[slot]) if slot < len(self.ends) else 0
+        return [self.source[end - int(self.leaf_chars[slot]) : end]] if slot < len(self.ends) else []
 
     def text(self, low: int = 0, high: int | None = None) -> str:
-        """The text of all slots, or of those from ``low`` to before ``high``."""
-        return "".join(x for k in range(low, max(1, len(self.leaves)) if high is None else high) for x in self.held(k))
+        """The text of all slots, or of those from ``low`` to before ``high``: what no edit has filled anew is cut from the source."""
+        parts, n = [], len(self.ends)
+        high = max(1, n) if high is None else high
+        place = lambda slot: int(self.ends[min(slot, n) - 1]) if min(slot, n) > 0 else 0  # noqa: E731  where a slot begins
+        for slot in sorted(k for k in self.changed if low <= k < high):
+            parts += [self.source[place(low) : place(slot)], *self.changed[slot][0]]
+            low = slot + 1
+        return "".join([*parts, self.source[place(low) : place(high)]])
+
+    def stored(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and tokens of the leaves as they are now, to be kept for later edits."""
+        chars, tokens, low = [], [], 0
+        for slot in sorted(self.changed):
+            leaves, counts = self.changed[slot]
+            chars += [self.leaf_chars[low:slot], list(map(len, leaves))]
+            tokens += [self.leaf_tokens[low:slot], counts]
+            low = slot + 1
+        joined = lambda parts: np.concatenate([np.asarray(x, np.int64) for x in parts])
+        return joined([*chars, self.leaf_chars[low:]]), joined([*tokens, self.leaf_tokens[low:]])
 
     def _find(self, char: int) -> tuple[int, int]:
         """Slot that holds a character, and the slot's first character; the last slot for the end of the text."""
@@ -101,7 +128,7 @@ class CountTree:
         return node - self.base, before
 
     def _put(self, slot: int, leaves: list[str], counts: list[int]) -> None:
-        self.changed[slot] = leaves
+        self.changed[slot] = leaves, counts
         node = self.base + slot
         d_chars = sum(map(len, leaves)) - int(self.chars[node])
         d_tokens = sum(counts) - int(self.tokens[node])
@@ -127,7 +154,7 @@ class CountTree:
         high, before = self._find(end)
         after = before + int(self.chars[self.base + high])
         high += 1
-        while high < len(self.leaves) and not self._opens(high):
+        while high < len(self.leaf_chars) and not self._opens(high):
             after += int(self.chars[self.base + high])
             high += 1
         old = self.text(low, high)
@@ -146,9 +173,8 @@ class CountTree:
             self.replace(start, end, new)
 
 
-@lru_cache(maxsize=1)
 def counter(tokenizer: str) -> LeafCounter:
-    return LeafCounter(tokenizer)
+    return kept(("leaves", tokenizer), lambda: LeafCounter(tokenizer))
 
 
 #: What the query's edits take out: mail addresses and long numbers, each for a placeholder.
@@ -159,6 +185,108 @@ def redactions(text: str) -> list[Edit]:
     return [(m.start(), m.end(), "<mail>" if "@" in m[0] else "<number>") for m in PERSONAL.finditer(text)]
 
 
+KEY = ("__id", "__text_hash")
+LEAVES = "leaf_chars array<int>, leaf_tokens array<int>"
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Id, hash of the text and text: rows that repeat both are one document."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__text_hash"), text.alias("__text"))
+
+
+def _ints(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *arrays]).astype(np.int32)))
+
+
+def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = pieces.BYTE_BPE) -> DataFrame:
+    """The tree of every row: __id, __text_hash, n_tokens (the root's sum), n_leaves, leaf_chars and leaf_tokens.
+
+    To be written as a table: later edits read the rows of their documents and count nothing else again. The
+    sums between leaves and root follow from the leaves. Null counts as empty; an empty text has no leaves.
+    """
+    keyed = _keyed(docs, id_col, text_col)
+    fields = StructType([keyed.schema["__id"], keyed.schema["__text_hash"], *StructType.fromDDL(f"n_tokens long, n_leaves long, {LEAVES}").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = counter(tokenizer)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                split = [LEAF.findall(t) for t in part.column(2).to_pylist()]
+                counts.learn(split)
+                tokens = [np.array(counts.counts(leaves), np.int64) for leaves in split]
+                chars = [np.fromiter(map(len, leaves), np.int64, len(leaves)) for leaves in split]
+                totals = pa.array([int(t.sum()) for t in tokens], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), totals, pa.array([len(x) for x in split], pa.int64()), _ints(chars), _ints(tokens)], fields.fieldNames())
+
+    return keyed.mapInArrow(run, fields)
+
+
+EDITS = "array<struct<start: bigint, end: bigint, new: string>>"
+
+
+def find_edits(docs: DataFrame, edits: Callable[[str], list[Edit]] = redactions, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """__id, __text_hash, __text and edits of the documents that ``edits`` has any for, each once."""
+    keyed = _keyed(docs, id_col, text_col)
+    fields = StructType([*keyed.schema.fields, *StructType.fromDDL(f"edits {EDITS}").fields])
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("new", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                found = [[{"start": a, "end": b, "new": new} for a, b, new in edits(t)] for t in part.column(2).to_pylist()]
+                whole = pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], fields.fieldNames())
+                yield whole.filter(pa.array([bool(x) for x in found], pa.bool_()))
+
+    return keyed.mapInArrow(run, fields).dropDuplicates(list(KEY))
+
+
+def apply_edits(wanted: DataFrame, trees: DataFrame, tokenizer: str = pieces.BYTE_BPE) -> DataFrame:
+    """Staged edits (__id, __text_hash, __text, edits) applied to the stored trees of their documents.
+
+    One row per edited document: __id, __text_hash (of the text as it was), n_edits, n_tokens, encoded_leaves,
+    leaf_chars, leaf_tokens and edited (the text as it is now). Only leaves in and beside an edit are tokenized.
+    Edits are in characters of the text as it was, none overlapping.
+    """
+    asked = hinted(wanted.select(*[F.col(c).alias(f"asked{c}") for c in KEY]))
+    held = trees.join(asked, [F.col(c).eqNullSafe(F.col(f"asked{c}")) for c in KEY], "left_semi").dropDuplicates(list(KEY))
+    held = held.select(*[F.col(c).alias(f"tree{c}") for c in KEY], "leaf_chars", "leaf_tokens")
+    on = [F.col(c).eqNullSafe(F.col(f"tree{c}")) for c in KEY]
+    joined = wanted.join(held, on).select(*KEY, "__text", "edits", "leaf_chars", "leaf_tokens")
+    made = StructType.fromDDL(f"n_edits int, n_tokens long, encoded_leaves long, {LEAVES}, edited string").fields
+    fields = StructType([*[joined.schema[c] for c in KEY], *made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = counter(tokenizer)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                rows, chars, tokens = [], [], []
+                for i, (text, edits) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                    tree = CountTree(text, part.column(4)[i].values.to_numpy(), part.column(5)[i].values.to_numpy(), counts)
+                    tree.apply([(e["start"], e["end"], e["new"]) for e in edits])
+                    now = tree.stored()
+                    chars.append(now[0])
+                    tokens.append(now[1])
+                    rows.append((len(edits), tree.total, tree.encoded, tree.text()))
+                n, total, encoded, edited = zip(*rows, strict=True)
+                columns = [pa.array(n, pa.int32()), pa.array(total, pa.int64()), pa.array(encoded, pa.int64()), _ints(chars), _ints(tokens), pa.array(edited, pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], fields.fieldNames())
+
+    return joined.mapInArrow(run, fields)
+
+
+def renewed_trees(trees: DataFrame, edited: DataFrame) -> DataFrame:
+    """``trees`` with those of edited documents replaced, under the hash of the text as it is now."""
+    went = edited.select(*[F.col(c).alias(f"went{c}") for c in KEY])
+    rest = trees.join(went, [F.col(c).eqNullSafe(F.col(f"went{c}")) for c in KEY], "left_anti")
+    now = edited.select("__id", F.xxhash64("edited").alias("__text_hash"), "n_tokens", F.size("leaf_chars").cast("long").alias("n_leaves"), "leaf_chars", "leaf_tokens")
+    return rest.select(*now.columns).unionByName(now)
+
+
 def edited_counts(
     docs: DataFrame,
     edits: Callable[[str], list[Edit]] = redactions,
@@ -170,42 +298,25 @@ def edited_counts(
 
     ``edits`` gives (start, end, replacement) in characters of the text, none overlapping. Null counts as
     empty. Empty texts have no tokens; repeated rows count alike; an empty table gives no rows; texts are read
-    whole. ``edited`` is null where nothing changed. Only the two named columns are read.
+    whole. ``edited`` is null where nothing changed. Only the two named columns are read. Trees are built and
+    written once; edits read those of their documents.
     """
-    fields = StructType(
-        [
-            docs.schema[id_col],
-            StructField("n_tokens", LongType()),
-            StructField("n_edits", IntegerType()),
-            StructField("edited_tokens", LongType()),
-            StructField("n_leaves", LongType()),
-            StructField("encoded_leaves", LongType()),
-            StructField("edited", StringType()),
-        ]
+    trees = staged(build_trees(docs, id_col, text_col, tokenizer), "edit-trees")
+    wanted = staged(find_edits(docs, edits, id_col, text_col), "edit-wanted")
+    changed = staged(apply_edits(wanted, trees, tokenizer), "edit-changed")
+    side = changed.select(*[F.col(c).alias(f"new{c}") for c in KEY], "n_edits", F.col("n_tokens").alias("edited_tokens"), "encoded_leaves", "edited")
+    rows = trees.select(*KEY, "n_tokens", "n_leaves")
+    joined = rows.join(side, [F.col(c).eqNullSafe(F.col(f"new{c}")) for c in KEY], "left")
+    return joined.select(
+        F.col("__id").alias(id_col),
+        "n_tokens",
+        F.coalesce("n_edits", F.lit(0)).alias("n_edits"),
+        F.coalesce("edited_tokens", "n_tokens").alias("edited_tokens"),
+        "n_leaves",
+        F.coalesce("encoded_leaves", F.lit(0).cast("long")).alias("encoded_leaves"),
+        "edited",
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = counter(tokenizer)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                split = [LEAF.findall(t) for t in texts]
-                counts.learn(split)
-                rows = []
-                for text, leaves in zip(texts, split, strict=True):
-                    tree = CountTree(leaves, counts)
-                    before, wanted = tree.total, edits(text)
-                    tree.apply(wanted)
-                    rows.append((before, len(wanted), tree.total, len(leaves), tree.encoded, tree.text() if wanted else None))
-                columns = [pa.array(c, f) for c, f in zip(zip(*rows, strict=True), KINDS, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], fields.fieldNames())
-
-    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, fields)
-
-
-KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-
 
 def op10_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document before and after personal data is taken out."""
