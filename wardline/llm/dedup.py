@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.shared import BROADCAST_ROWS, small, staged, table, without_rows
+from wardline.llm.shared import staged, table, without_rows
+
+#: Words of 64 bits in a filter: whatever the table's size, a filter is a broadcast of so many narrow rows at most.
+FILTER_WORDS = 1 << 17
+
+
+def bit_filter(keys: DataFrame, key: Column, words: int) -> DataFrame:
+    """Rows (word, bits) of a bit map with the hashed ``key`` of every row set."""
+    at = keys.select(F.xxhash64(key).alias("h")).select(_word(words).alias("word"), _bit().alias("bit"))
+    return at.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+
+
+def _word(words: int) -> Column:
+    return F.pmod(F.col("h"), F.lit(words)).cast("int")
+
+
+def _bit() -> Column:
+    return F.shiftrightunsigned("h", 58).cast("int")
+
+
+def may_be_in(rows: DataFrame, key: Column, held: DataFrame, words: int, name: str) -> DataFrame:
+    """Add ``name``: false only for rows whose key is in none of those that made the filter ``held``."""
+    side = F.broadcast(held.select(F.col("word").alias("__word"), "bits"))
+    asked = rows.withColumn("h", F.xxhash64(key)).withColumns({"word": _word(words), "bit": _bit()})
+    found = F.expr("shiftrightunsigned(bits, bit) & 1 = 1")
+    return asked.join(side, F.col("word") == F.col("__word"), "left").withColumn(name, F.coalesce(found, F.lit(False))).drop("h", "word", "bit", "__word", "bits")
 
 
 def exact_dedup(
@@ -14,40 +39,35 @@ def exact_dedup(
     text_col: str = "text",
     prefix_chars: int = 64,
     digest_all: bool = False,
-    broadcast_rows: int = BROADCAST_ROWS,
+    filter_words: int = FILTER_WORDS,
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256, n_bytes.
 
     Texts are equal when identical; null counts as empty. Of equal texts the row with the largest id
     stays (a null id is lower than any other; rows that repeat id and text count, and one of them stays).
     An empty table gives an empty result. Only ``id_col`` and ``text_col`` are read, so further columns of
-    any name do no harm. ``text_sha256`` is null for rows that fell out before the full hash, unless
-    ``digest_all`` asks for it.
-
-    Pass one reads lengths and prefix hashes and aggregates them by (length, prefix hash) with map-side
-    combining; groups of one leave. Pass two hashes the full text of the surviving groups: their keys are
-    broadcast if they were counted and are few, else every row is hashed where it is read, which still
-    shuffles no text. Rows meet their group's verdict in a join of two narrow tables that adaptive
-    execution can split at a hot group.
+    any name do no harm. ``text_sha256`` is null for rows without a copy, unless ``digest_all`` asks for it.
+
+    Pass one counts lengths. Pass two hashes the prefix of rows whose length others have too, and counts
+    (length, prefix hash). Pass three hashes the full text of rows whose pair others have too. A row finds out
+    whether others share its key in a bit map of all shared keys: it is bounded, so no text is shuffled at any
+    size, and a row that it lets pass by chance is hashed in vain and found alone. Rows meet their group's
+    verdict in a join of two narrow tables that adaptive execution can split at a hot group.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(
-        F.col(id_col).alias("__id"),
-        body.alias("__body"),
-        F.octet_length(body).alias("n_bytes"),
-        F.xxhash64(F.substring(body, 1, prefix_chars)).alias("prefix_hash"),
-    )
-    survivors = staged(
-        keyed.groupBy("n_bytes", "prefix_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
-        "dedup-prefixes",
-    )
+    texts = docs.select(F.col(id_col).alias("__id"), body.alias("__body"), F.octet_length(body).alias("n_bytes"))
+    prefix = F.xxhash64(F.substring("__body", 1, prefix_chars))
+
+    def shared(df: DataFrame, *key: str) -> DataFrame:
+        return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+    lengths = staged(bit_filter(shared(texts, "n_bytes"), F.col("n_bytes"), filter_words), "dedup-lengths")
+    by_length = may_be_in(texts, F.col("n_bytes"), lengths, filter_words, "long_alike")
+    hashed = by_length.withColumn("prefix_hash", F.when(F.col("long_alike"), prefix))
+    pair = F.struct("n_bytes", "prefix_hash")
+    prefixes = staged(bit_filter(shared(hashed.where("long_alike"), "n_bytes", "prefix_hash"), pair, filter_words), "dedup-prefixes")
+    marked = may_be_in(hashed, pair, prefixes, filter_words, "begins_alike").withColumn("survives", F.col("long_alike") & F.col("begins_alike"))
     full = F.sha2(F.col("__body"), 256)
-    if small(survivors, broadcast_rows):
-        marked = keyed.join(
-            F.broadcast(survivors.withColumn("survives", F.lit(True))), ["n_bytes", "prefix_hash"], "left"
-        ).withColumn("survives", F.coalesce("survives", F.lit(False)))
-    else:
-        marked = keyed.withColumn("survives", F.lit(True))
     rows = staged(
         marked.select(
             "__id",
@@ -73,7 +93,7 @@ def exact_dedup(
         F.when(alone, F.col("__id")).otherwise(F.col("keeper.__id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.when(alone, True).otherwise(F.col("keeper.__row") == F.col("__row")).alias("kept"),
-        "text_sha256",
+        F.col("text_sha256") if digest_all else F.col("__sha").alias("text_sha256"),
         F.col("n_bytes").cast("long").alias("n_bytes"),
     )
 
