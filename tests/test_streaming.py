@@ -1,5 +1,7 @@
 """Streams give what one batch over all rows gives."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from wardline.operators import vitals as V
@@ -22,7 +24,7 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     stream = ST.vitals_stream(spark, str(tmp_path / "in"), SCHEMA)
     sent = []
     query = ST.run_news2_stream(
-        stream, str(tmp_path / "state"), str(tmp_path / "cp"), patients, lambda df, batch: sent.append((batch, sorted(r["patient_id"] for r in df.collect())))
+        stream, str(tmp_path / "state"), str(tmp_path / "cp"), patients, lambda df, batch: sent.append((batch, sorted(r["patient_id"] for r in df.collect()))), pause=None
     )
     query.awaitTermination(120)
     assert query.exception() is None and len(sent) == 4
@@ -35,6 +37,59 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, state.newest().collect())) == sorted(map(tuple, newest.collect()))
 
 
+def test_state_of_other_patients_is_left_alone(spark, sf_dir, tmp_path):
+    """A batch of one patient writes that patient's partition only; old folders go, a replay gives the same."""
+    obs = tables(spark, sf_dir, "observation")[0]
+    patients = tables(spark, sf_dir, "patient")[0]
+    state = ST.StateTable(spark, str(tmp_path / "state"), parts=8)
+    first = obs.where("seq % 2 = 0")
+    ST.news2_batch(first, 0, state, patients).collect()
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "state").rglob("rows-0/part=*/*.parquet")}
+    before = files()
+    one = obs.where("subject = 'Patient/7'")
+    for batch in (1, 1):  # the second is a replay
+        ST.news2_batch(one, batch, state, patients).collect()
+        assert len(list((tmp_path / "state" / "rows-1").glob("part=*"))) == 1 and files() == before
+    want = V.merge_latest(V.latest_vitals(V.scored(first)), V.latest_vitals(V.scored(one)))
+    assert sorted(map(tuple, state.newest().collect())) == sorted(map(tuple, want.collect()))
+    for batch in range(2, 8):
+        ST.news2_batch(obs, batch, state, patients).collect()
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == [f"list-{k}" for k in (5, 6, 7)] + [f"rows-{k}" for k in (5, 6, 7)]
+    assert sorted(map(tuple, state.newest().collect())) == sorted(map(tuple, V.latest_vitals(V.scored(obs)).collect()))
+
+
+def test_stream_goes_on_until_it_is_stopped(spark, sf_dir, tmp_path):
+    obs = _files(spark, sf_dir, str(tmp_path / "in"), 1)
+    seen = []
+    query = ST.run_news2_stream(ST.vitals_stream(spark, str(tmp_path / "in"), SCHEMA), str(tmp_path / "state"), str(tmp_path / "cp"), tables(spark, sf_dir, "patient")[0], lambda df, batch: seen.append(batch))
+    query.processAllAvailable()
+    assert seen == [0] and query.isActive
+    obs.where("seq % 50 = 0").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query.processAllAvailable()
+    query.stop()
+    assert seen == [0, 1]
+
+
+def test_late_observations(spark, tmp_path):
+    """Three batches of one patient: with a watermark the late one is left out, by arrival it replaces, by event time it doesn't."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [("1", 1, "2024-01-05 00:00:00", "131"), ("2", 2, "2024-01-05 00:00:01", "9"), ("3", 3, "2024-01-01 00:00:00", "60")]
+    codes = {1: "8867-4", 2: "8867-4", 3: "8867-4"}
+    for k, (i, seq, at, value) in enumerate(rows):
+        df = spark.createDataFrame([(i, seq, "Patient/1", at, codes[seq], value)], "id string, seq long, subject string, issued string, code string, value string")
+        df = df.selectExpr("id", "seq", "subject", "cast(issued as timestamp_ntz) issued", "cast(null as timestamp_ntz) effective", "code", "cast(value as decimal(18,2)) value")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1 if k < 2 else 0)  # files are read in the order of their times
+    last = {}
+    for name, options in {"event": {}, "arrival": {"mode": "arrival"}, "late": {"mode": "arrival", "watermark": "1 hour"}}.items():
+        stream = ST.news2_stateful(ST.vitals_stream(spark, str(tmp_path / "in"), SCHEMA), **options)
+        query = stream.writeStream.format("memory").queryName(f"late_{name}").outputMode("update").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination(180)
+        assert query.exception() is None
+        last[name] = [r["total"] for r in spark.table(f"late_{name}").collect()]
+    assert last == {"event": [3], "arrival": [3, 0], "late": [3]}
+
+
 def test_stateful_totals(spark, sf_dir, tmp_path):
     obs = _files(spark, sf_dir, str(tmp_path / "in"), 2)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

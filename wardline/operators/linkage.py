@@ -34,6 +34,19 @@ def mdm_candidates(patients: DataFrame, rules: dict = RULES) -> DataFrame:
     return reduce(DataFrame.union, pairs).distinct()
 
 
+def block_report(patients: DataFrame, rules: dict = RULES, least: int = 2) -> DataFrame:
+    """(rule, value, records, pairs) of blocks with ``least`` active records or more: what ``mdm_candidates`` would make of them."""
+    active = patients.where("active")
+    parts = []
+    for block in rules["blocks"]:
+        keyed = active.select("id", F.col(block).alias("k"))
+        if keyed.schema["k"].dataType.typeName() == "array":
+            keyed = keyed.select("id", F.explode(F.array_distinct("k")).alias("k"))
+        parts.append(keyed.where("k IS NOT NULL").groupBy(F.lit(block).alias("rule"), F.col("k").cast("string").alias("value")).agg(F.count(F.lit(1)).alias("records")))
+    n = F.col("records")
+    return reduce(DataFrame.union, parts).where(n >= least).withColumn("pairs", F.floor(n * (n - 1) / 2))
+
+
 def phonetic_keys(patients: DataFrame) -> DataFrame:
     """(id, given_keys, family_key): each distinct name is encoded once. ``given`` may be one name or an array."""
     names = patients.select("id", "family", F.col("given").alias("g"))

@@ -12,6 +12,7 @@ from wardline.operators import subscriptions as U
 from wardline.operators import terminology as T
 from wardline.plans.adapters import sql, tables
 from wardline.plans.clinical import query
+from wardline.sources import records as B
 
 # ---- references
 
@@ -150,6 +151,22 @@ def prefetch(spark, sf_dir):
     return wide.select("patient_id", *[listed(i).alias(i) for i in C.ITEMS])
 
 
+@query(
+    "missing_prefetch",
+    sql(
+        "SELECT id, CASE WHEN block IS NULL THEN 'labs,patient' WHEN stored_total IS NULL THEN 'labs' END AS missing FROM patient WHERE block IS NULL OR stored_total IS NULL",
+        "patient",
+    ),
+)
+def missing_prefetch(spark, sf_dir):
+    """Requests of all patients: without a block they bring nothing, without a stored total only the patient."""
+    p = tables(spark, sf_dir, "patient")[0]
+    one, both = F.create_map(F.lit("patient"), F.col("id")), F.create_map(F.lit("patient"), F.col("id"), F.lit("labs"), F.col("id"))
+    asked = F.when(F.col("block").isNotNull(), F.when(F.col("stored_total").isNull(), one).otherwise(both))
+    found = C.missing_prefetch(p.select("id", asked.alias("prefetch")), ["patient", "labs"])
+    return found.select("id", F.array_join(F.array_sort("missing"), ",").alias("missing"))
+
+
 _FLAGS = """flags AS (SELECT p.id AS patient_id, p.active AS ip, COALESCE(e.n > 0, FALSE) AS den, p.seq % 17 = 0 AS exc, COALESCE(c.n > 0, FALSE) AS num FROM patient p
 LEFT JOIN (SELECT patient_id, COUNT(*) AS n FROM encounter WHERE period_start <= DATE '1997-12-31' AND (period_end IS NULL OR period_end >= DATE '1997-01-01') GROUP BY 1) e ON e.patient_id = p.id
 LEFT JOIN (SELECT patient_id, COUNT(*) AS n FROM condition WHERE code IN ('1', '2', '3', '4', '5') GROUP BY 1) c ON c.patient_id = p.id),
@@ -201,12 +218,23 @@ def _linkable(spark, sf_dir):
 _CANDIDATES = "act AS (SELECT * FROM patient WHERE active), cand AS (SELECT a.id AS a, b.id AS b FROM act a JOIN act b ON a.birth_no = b.birth_no AND a.id < b.id UNION SELECT a.id, b.id FROM act a JOIN act b ON a.identifier = b.identifier AND a.id < b.id UNION SELECT a.id, b.id FROM act a JOIN act b ON a.practitioner = b.practitioner AND a.id < b.id)"
 
 
+@query(
+    "block_report",
+    sql(
+        "WITH act AS (SELECT * FROM patient WHERE active), b AS (SELECT 'birthdate' AS rule, CAST(DATE '1950-01-01' + birth_no AS STRING) AS value FROM act UNION ALL SELECT 'identifier', identifier FROM act UNION ALL SELECT 'practitioner', practitioner FROM act) SELECT rule, substr(value, 1, 10) AS value, COUNT(*) AS records, CAST(COUNT(*) * (COUNT(*) - 1) // 2 AS BIGINT) AS pairs FROM b GROUP BY rule, value HAVING COUNT(*) >= 2",
+        "patient",
+    ),
+)
+def block_report(spark, sf_dir):
+    return L.block_report(_linkable(spark, sf_dir))
+
+
 @query("mdm_candidates", sql(f"WITH {_CANDIDATES} SELECT a, b FROM cand", "patient"))
 def mdm_candidates(spark, sf_dir):
     return L.mdm_candidates(_linkable(spark, sf_dir))
 
 
-_GIVEN = "CASE {0} WHEN 'Maria' THEN '67' WHEN 'Marie' THEN '67' WHEN 'Peter' THEN '127' WHEN 'Pieter' THEN '127' WHEN 'Anna' THEN '06' WHEN 'Hanna' THEN '06' ELSE '4588' END"
+_GIVEN = "CASE {0} WHEN 'Maria' THEN '67' WHEN 'Marie' THEN '67' WHEN 'Peter' THEN '127' WHEN 'Pieter' THEN '127' WHEN 'Anna' THEN '06' WHEN 'Hanna' THEN '06' ELSE '458' END"
 _FAMILY = "CASE {0} WHEN 'Meyer' THEN 'M600' WHEN 'Maier' THEN 'M600' WHEN 'Schmidt' THEN 'S530' WHEN 'Schmitt' THEN 'S530' WHEN 'Fischer' THEN 'F260' WHEN 'Vischer' THEN 'V260' WHEN 'Weber' THEN 'W160' WHEN 'Wagner' THEN 'W256' WHEN 'Becker' THEN 'B260' WHEN 'Bekker' THEN 'B260' ELSE 'H155' END"
 
 
@@ -222,6 +250,18 @@ def mdm_match(spark, sf_dir):
     return L.mdm_match(L.mdm_candidates(p), L.phonetic_keys(p))
 
 
+@query(
+    "phonetic_keys",
+    sql(
+        f"SELECT id, {_FAMILY.format('family')} AS family_key, {_GIVEN.format('given')} AS given_keys FROM patient",
+        "patient",
+    ),
+)
+def phonetic_keys(spark, sf_dir):
+    keys = L.phonetic_keys(_linkable(spark, sf_dir))
+    return keys.select("id", "family_key", F.array_join(F.array_sort("given_keys"), ",").alias("given_keys"))
+
+
 @query(
     "mdm_links",
     sql(
@@ -379,3 +419,58 @@ def match_subscriptions(spark, sf_dir):
 @query("notification_counts", sql(f"WITH {_SUBS} SELECT subscription_id, COUNT(*) AS notifications FROM matches GROUP BY 1", "observation"))
 def notification_counts(spark, sf_dir):
     return U.notification_totals(*_subscribed(spark, sf_dir))
+
+
+# ---- sources
+
+
+@query("put_bundles", sql("SELECT concat('Patient/', id) AS url, concat('{\"id\":\"', id, '\",\"family\":\"', family, '\"}') AS resource, 'PUT' AS method FROM patient", "patient"))
+def put_bundles(spark, sf_dir):
+    """All patients into bundles of 100, and out of the bundles again."""
+    p = tables(spark, sf_dir, "patient")[0]
+    made = B.to_put_bundles(p.select("id", F.to_json(F.struct("id", "family")).alias("body")), "Patient", 100)
+    entries = F.from_json("bundle", "entry array<struct<resource: string, request: struct<method: string, url: string>>>")["entry"]
+    return made.where("n <= 100").select(F.explode(entries).alias("e")).select("e.request.url", "e.resource", "e.request.method")
+
+
+@query(
+    "explode_contained",
+    sql(
+        "SELECT 'Patient' AS parent_type, id AS parent_id, 'Organization' AS resource_type, practitioner AS id FROM patient UNION ALL SELECT 'Patient', id, 'Bundle', concat('b', id) FROM patient UNION ALL SELECT 'Patient', id, 'Location', COALESCE(block, 'none') FROM patient",
+        "patient",
+    ),
+)
+def explode_contained(spark, sf_dir):
+    p = tables(spark, sf_dir, "patient")[0]
+    one = lambda kind, key: F.struct(F.lit(kind).alias("resourceType"), key.alias("id"))
+    place = F.struct(one("Location", F.coalesce("block", F.lit("none"))).alias("resource"))
+    bundle = F.struct(F.lit("Bundle").alias("resourceType"), F.concat(F.lit("b"), "id").alias("id"), F.array(place).alias("entry"))
+    held = F.array(F.to_json(one("Organization", F.col("practitioner"))), F.to_json(bundle))
+    body = F.concat(F.lit('{"resourceType":"Patient","id":"'), "id", F.lit('","contained":['), F.array_join(held, ","), F.lit("]}"))
+    return B.explode_contained(p.select(body.alias("body"))).select("parent_type", "parent_id", "resource_type", "id")
+
+
+@query(
+    "extensions",
+    sql(
+        "SELECT id, CASE WHEN seq % 3 = 0 THEN NULL ELSE family END AS code, CASE WHEN block IS NULL THEN NULL ELSE stored_total END AS got, CASE WHEN block IS NULL THEN 1 ELSE 2 END AS n, CAST(seq % 9 AS INT) AS set_to FROM patient",
+        "patient",
+    ),
+)
+def extensions(spark, sf_dir):
+    """The first code of a concept, and one extension read, set or added, for all patients."""
+    p = tables(spark, sf_dir, "patient")[0]
+    kind = "struct<url: string, valueInteger: int>"
+    coding = F.array(F.struct(F.lit("s").alias("system"), F.col("family").alias("code")), F.struct(F.lit("t").alias("system"), F.lit("x").alias("code")))
+    concept = F.struct(F.when(F.col("seq") % 3 != 0, coding).alias("coding"))
+    held = F.array(*[F.struct(F.lit(u).alias("url"), v.cast("int").alias("valueInteger")) for u, v in (("other", F.lit(1)), ("total", F.col("stored_total")))])
+    rows = p.select("id", "seq", concept.alias("concept"), F.when(F.col("block").isNotNull(), held).alias("ext"))
+    put = S.set_extension(F.col("ext"), "total", "valueInteger", (F.col("seq") % 9).cast("int"), kind)
+    rows = rows.withColumn("put", put)
+    return rows.select(
+        "id",
+        S.first_code(F.col("concept")).alias("code"),
+        S.get_extension(F.col("ext"), "total")["valueInteger"].alias("got"),
+        F.size("put").alias("n"),
+        S.get_extension(F.col("put"), "total")["valueInteger"].alias("set_to"),
+    )

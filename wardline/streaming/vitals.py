@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -41,40 +41,72 @@ def subscription_stream(events: DataFrame, subscriptions: DataFrame) -> DataFram
 
 
 class StateTable:
-    """The aggregate, one folder per batch, and a list of the finished batches.
+    """The aggregate in ``parts`` hash partitions of patients, and for each batch which folder holds each part.
 
-    A batch reads the newest folder before its own and writes its own whole, then is listed. A replayed batch
-    overwrites its folder from the same input, so replays change nothing. Older folders can go once their batch
-    can't be replayed.
+    A batch reads and writes only the parts that its patients fall in, into a folder of its own; then its list of
+    parts is written, which commits it. A replayed batch starts from the list before its own and overwrites its
+    folder from the same input, so replays change nothing. Folders that neither the last ``keep`` lists nor the
+    newest one name are deleted.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        spark.createDataFrame([], "batch long").write.mode("ignore").parquet(f"{self.path}/finished")
-
-    def before(self, batch: int) -> DataFrame:
-        finished = self.spark.read.schema("batch long").parquet(f"{self.path}/finished")
-        last = finished.where(F.col("batch") < batch).agg(F.max("batch")).first()[0]
-        if last is None:
-            return self.spark.createDataFrame([], AGG)
-        return self._rows(last)
-
-    def _rows(self, batch: int) -> DataFrame:
-        return self.spark.read.schema(AGG).parquet(f"{self.path}/rows-{batch}")
-
-    def write(self, df: DataFrame, batch: int) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/rows-{batch}")
-        self.spark.createDataFrame([(batch,)], "batch long").coalesce(1).write.mode("append").parquet(f"{self.path}/finished")
-        return self._rows(batch)
+    def __init__(self, spark: SparkSession, path: str, parts: int = 64, keep: int = 3):
+        self.spark, self.path, self.parts, self.keep = spark, path.rstrip("/"), parts, keep
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self.files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _path(self, *names: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *names]))
+
+    def _batches(self, kind: str) -> list[int]:
+        """Batches that have a folder ``kind-batch``; of lists, only finished ones."""
+        if not self.files.exists(self._path()):
+            return []
+        names = [x.getPath().getName() for x in self.files.listStatus(self._path())]
+        found = [int(n.rpartition("-")[2]) for n in names if n.startswith(f"{kind}-")]
+        return sorted(k for k in found if kind != "list" or self.files.exists(self._path(f"list-{k}", "_SUCCESS")))
+
+    def _list(self, batch: int) -> dict[int, int]:
+        """Part to the batch whose folder holds it, after ``batch``: at most ``parts`` rows."""
+        earlier = [k for k in self._batches("list") if k <= batch]
+        if not earlier:
+            return {}
+        rows = self.spark.read.schema("part int, held_by long").parquet(f"{self.path}/list-{earlier[-1]}").collect()
+        return {r["part"]: r["held_by"] for r in rows}
+
+    def _read(self, held: dict[int, int]) -> DataFrame:
+        paths = [f"{self.path}/rows-{b}/part={p}" for p, b in held.items()]
+        return self.spark.read.schema(AGG).parquet(*paths) if paths else self.spark.createDataFrame([], AGG)
+
+    def part_of(self, patient: Column) -> Column:
+        return F.pmod(F.xxhash64(patient), F.lit(self.parts)).cast("int")
+
+    def merge(self, incoming: DataFrame, batch: int, mode: str) -> DataFrame:
+        """Merge a batch's newest rows into its parts; gives the rows of those parts as they are now."""
+        touched = sorted(r[0] for r in incoming.select(self.part_of(F.col("patient_id"))).distinct().collect())
+        before = self._list(batch - 1)
+        merged = merge_latest(self._read({p: b for p, b in before.items() if p in touched}), incoming, mode)
+        merged.withColumn("part", self.part_of(F.col("patient_id"))).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/rows-{batch}")
+        now = before | dict.fromkeys(touched, batch)
+        self.spark.createDataFrame(sorted(now.items()), "part int, held_by long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/list-{batch}")
+        self._forget()
+        return self._read(dict.fromkeys(touched, batch))
+
+    def _forget(self) -> None:
+        lists = self._batches("list")
+        kept = lists[-self.keep :]
+        needed = {b for k in kept for b in self._list(k).values()}
+        for kind, gone in (("list", set(lists) - set(kept)), ("rows", {b for b in self._batches("rows") if b < kept[-1]} - needed)):
+            for batch in gone:
+                self.files.delete(self._path(f"{kind}-{batch}"), True)
 
     def newest(self) -> DataFrame:
-        return self.before(1 << 62)
+        return self._read(self._list(1 << 62))
 
 
 def news2_batch(observations: DataFrame, batch: int, state: StateTable, patients: DataFrame, mode: str = "event_time") -> DataFrame:
     """One batch: score, newest, merge, totals of the batch's patients, change set. The state is committed first."""
     incoming = latest_vitals(scored(observations))
-    merged = state.write(merge_latest(state.before(batch), incoming, mode), batch)
+    merged = state.merge(incoming, batch, mode)
     touched = incoming.select("patient_id").distinct()
     totals = patient_totals(merged.join(touched, "patient_id", "left_semi"))
     return patient_updates(totals, patients)
@@ -87,50 +119,75 @@ def run_news2_stream(
     patients: DataFrame,
     sink: Callable[[DataFrame, int], None],
     mode: str = "event_time",
-    watermark: tuple[str, str] | None = None,
+    pause: str | None = PAUSE,
 ):
     """Start the query. ``sink`` gets each batch's changed patients after the state is committed.
 
-    ``mode='arrival'`` lets late observations replace newer ones; ``watermark`` (column, delay) lets Spark track
-    lateness for stateful steps put before this one.
+    It drains what has arrived, waits for ``pause`` and goes on until it is stopped; with ``pause=None`` it ends
+    when all that is there has been read. ``mode='arrival'`` lets late observations replace newer ones,
+    ``event_time`` never: no observation is too late to be judged by its instant, so there is no watermark here.
     """
-    if watermark:
-        stream = stream.withWatermark(*watermark)
     state = StateTable(stream.sparkSession, state_path)
 
     def step(df: DataFrame, batch: int) -> None:
-        updates = news2_batch(df, batch, state, patients, mode)
-        sink(updates.where("result = 'changed'"), batch)
+        held = df.persist()  # it is read for the parts, for the merge and for the totals
+        sink(news2_batch(held, batch, state, patients, mode).where("result = 'changed'"), batch)
+        held.unpersist()
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return query.trigger(**({"availableNow": True} if pause is None else {"processingTime": pause})).start()
 
 
 class NewestPerCode(StatefulProcessor):
-    """Per patient: the newest score of each vital sign; gives the total whenever it changes."""
+    """Per patient: the newest score of each vital sign; gives the total whenever it changes.
+
+    Rows are reduced to one for each code before state is read, so a batch costs at most five reads and writes
+    of state for a patient, however many observations it has. With ``late`` those older than the watermark are
+    left out; with ``arrival`` the last to come is the newest, whatever its instant.
+    """
+
+    def __init__(self, arrival: bool = False, late: bool = False):
+        self.arrival, self.late = arrival, late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.newest = handle.getMapState("newest", "code string", "news2_value int, at_micros long, seq long")
         self.total = handle.getValueState("total", "total int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            for code, value, at, seq in part[["code", "news2_value", "at_micros", "seq"]].itertuples(index=False):
-                held = self.newest.getValue((code,)) if self.newest.containsKey((code,)) else None
-                if held is None or (at, -seq) > (held[1], -held[2]):
-                    self.newest.updateValue((code,), (int(value), int(at), int(seq)))
-        total = sum(int(v[0]) for v in self.newest.values())
-        if not self.total.exists() or self.total.get()[0] != total:
-            self.total.update((total,))
-            yield pd.DataFrame({"patient_id": [key[0]], "total": [total]})
+        known = pd.concat([part[["code", "news2_value", "at_micros", "seq"]] for part in rows], ignore_index=True)
+        if self.late:
+            known = known[known["at_micros"] >= 1000 * timerValues.getCurrentWatermarkInMs()]
+        if self.arrival:
+            best = known.sort_values("seq").groupby("code").tail(1)
+        else:
+            best = known.sort_values(["at_micros", "seq"], ascending=[True, False]).groupby("code").tail(1)
+        for code, value, at, seq in best.itertuples(index=False):
+            held = self.newest.getValue((code,)) if self.newest.containsKey((code,)) else None
+            newer = held is None or (seq > held[2] if self.arrival else (at, -seq) > (held[1], -held[2]))
+            if newer:
+                self.newest.updateValue((code,), (int(value), int(at), int(seq)))
+        values = [int(v[0]) for v in self.newest.values()]
+        if values and (not self.total.exists() or self.total.get()[0] != sum(values)):
+            self.total.update((sum(values),))
+            yield pd.DataFrame({"patient_id": [key[0]], "total": [sum(values)]})
 
     def close(self) -> None:
         pass
 
 
-def news2_stateful(stream: DataFrame) -> DataFrame:
-    """(patient_id, total) whenever a patient's total changes, from state that Spark keeps (at most five codes each)."""
-    rows = scored(stream).where(F.col("code").isin(*VITAL_CODES))
-    keyed = rows.select("patient_id", "code", "news2_value", F.unix_micros(F.col("obs_instant").cast("timestamp")).alias("at_micros"), "seq")
+def news2_stateful(stream: DataFrame, mode: str = "event_time", watermark: str | None = None) -> DataFrame:
+    """(patient_id, total) whenever a patient's total changes, from state that Spark keeps (at most five codes each).
+
+    ``mode`` as in ``run_news2_stream``. ``watermark``, a delay, leaves out observations that come later than
+    that after the newest instant of earlier batches.
+    """
+    rows = scored(stream).where(F.col("code").isin(*VITAL_CODES)).withColumn("at", F.col("obs_instant").cast("timestamp"))
+    if watermark is not None:
+        rows = rows.withWatermark("at", watermark)
+    keyed = rows.select("patient_id", "code", "news2_value", F.unix_micros("at").alias("at_micros"), "seq", *(["at"] if watermark else []))
     return keyed.groupBy("patient_id").transformWithStateInPandas(
-        statefulProcessor=NewestPerCode(), outputStructType="patient_id string, total int", outputMode="Update", timeMode="None"
+        statefulProcessor=NewestPerCode(mode == "arrival", watermark is not None),
+        outputStructType="patient_id string, total int",
+        outputMode="Update",
+        timeMode="EventTime" if watermark else "None",
     )
