@@ -1,11 +1,13 @@
 """SimHash groups, toxicity and the pipeline against brute force and held-out labels."""
 
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -166,6 +168,48 @@ def test_near_copies_at_the_threshold(spark):
     assert left == {2 * k for k in range(220)} | {2 * k + 1 for k in range(200, 220)}
 
 
+def test_shingle_sets_equal_definition():
+    r = random.Random(3)
+    texts = [None, "", "  ", "a", "A b c d", "a b c d e", " x\ty\x0bz \x85 q\xa0"] + [" ".join(r.choice("abCdef") for _ in range(r.randint(0, 40))) for _ in range(200)]
+    held = [(t or "").encode().lower().split() for t in texts]
+    want = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in held]
+    got = list(simhash.shingle_sets(pa.array(texts, pa.string()), 5))
+    assert list(map(len, got)) == list(map(len, want))
+    for i in range(len(want)):
+        for j in range(i):
+            assert len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j])
+
+
+def test_sketches_bound_what_one_set_has_alone():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 1 << 63, n, np.uint64)) for n in (0, 3, 400, 600, 3000, 20_000)]
+    sets += [np.union1d(s[len(s) // 20 :], r.integers(0, 1 << 63, len(s) // 30, np.uint64)) for s in sets]
+    sketch = lambda s: simhash.wide_sketch(s) or simhash.parity_sketch(s)
+    for x in sets:
+        for y in sets:
+            alone = len(np.setxor1d(x, y))
+            odd = simhash._odd_members(sketch(x), sketch(y))
+            assert odd <= alone and (odd - alone) % 2 == 0
+            if len(x) > 1000 and 0.8 * len(x) <= len(y) <= len(x) and not len(np.intersect1d(x, y)):
+                assert (len(x) + len(y) - odd) / 2 < simhash._least_overlap(len(x) + len(y), 0.8)  # strangers are told apart
+
+
+def test_near_copies_among_strangers_that_share_postings(spark):
+    """2,000 unrelated texts hold parts of a pair's text, some long: the pair is found, and nothing else goes."""
+    r = random.Random(31)
+    pair = [f"p{k}" for k in range(300)]
+    docs = [(0, " ".join(pair)), (1, " ".join([*pair[:290], *[f"q{k}" for k in range(10)]]))]
+    for k in range(2000):
+        own = [f"s{k}x{i}" for i in range(5000 if k % 100 == 0 else 60)]
+        at = r.randrange(0, 280)
+        docs.append((k + 2, " ".join(own + pair[at : at + 20])))
+    long_copy = docs[2][1].split(" ")
+    long_copy[2500] = "changed"
+    docs.append((5000, " ".join(long_copy)))
+    left = {row["doc_id"] for row in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert left == {d for d, _ in docs} - {1, 5000}
+
+
 # ---- toxicity
 
 
@@ -202,6 +246,47 @@ def model(spark):
     return toxicity.fit(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def test_model_by_brute_force(spark):
+    """Counts, log-odds, the law's rate and constant and the curve from their definitions, over the same labelled rows."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    learned = toxicity.fit(docs, labels)
+    toxic = {r["doc_id"]: int(r["toxic"]) for r in labels.collect() if r["toxic"] is not None}
+    rows = [(zlib.crc32(str(r["doc_id"]).encode()) % 5, toxic[r["doc_id"]], r["text"] or "") for r in docs.select("doc_id", "text").collect() if r["doc_id"] in toxic]
+    counts = np.zeros_like(learned.counts)
+    for part, label, text in rows:
+        if part in (1, 2, 3):
+            for piece in text.split():
+                for slot in toxicity.slots_of(piece):
+                    counts[slot, label] += 1
+    assert (counts == learned.counts).all()
+    base = counts[: toxicity.SLOTS, 1].sum() / counts[: toxicity.SLOTS].sum()
+
+    def weight(piece):
+        word = piece.lower().strip(toxicity.MARKS)
+        if not word:
+            return -toxicity.DRIFT
+        share = base
+        for level, cut in enumerate(toxicity.LEVELS):
+            clean, bad = counts[level * toxicity.SLOTS + zlib.crc32(word[:cut].encode()) % toxicity.SLOTS].tolist()
+            share = (bad + toxicity.PRIOR * share) / (clean + bad + toxicity.PRIOR)
+        return math.log(share / (1 - share)) - math.log(base / (1 - base)) - toxicity.DRIFT
+
+    calibration = [(label, text) for part, label, text in rows if part == 4]
+    weights = [np.array([weight(p) for p in text.split()]) for _, text in calibration]
+    assert all(np.allclose(a, b) for a, b in zip(weights, learned.weigher().weights([t for _, t in calibration]), strict=True))
+    clean = [w for w, (label, _) in zip(weights, calibration, strict=True) if not label]
+    steps = np.clip((np.concatenate(clean) + 6.0) / 0.05, 0, 319).astype(int) * 0.05 - 6.0 + 0.025
+    assert np.mean(np.exp(learned.rate * steps)) == pytest.approx(1, abs=1e-4)  # lambda: E[exp(lambda s)] = 1
+    best = [(len(w), max((s for _, _, s in zip(*toxicity.segments(w), strict=True)), default=0)) for w in clean]
+    found = [learned.rate * b - math.log(n) for n, b in best if b > 0]
+    assert learned.log_k == pytest.approx(np.median(found) + math.log(math.log(2)))
+    x = np.array([learned.evidence(toxicity.segments(w)[2], len(w)) for w in weights])
+    y = np.array([label for label, _ in calibration])
+    p = 1 / (1 + np.exp(-(learned.offset + learned.slope * x)))
+    assert abs(np.sum((y - p) * x) - 1e-3 * learned.slope) < 1e-3 and abs(np.sum(y - p) - 1e-3 * learned.offset) < 1e-3  # the best curve
+
+
 def test_held_out_accuracy(spark, model):
     sf = "/root/testdata/sf0.01"
     scored = toxicity.score(table(spark, sf, "documents"), model).join(table(spark, sf, "labels"), "doc_id")

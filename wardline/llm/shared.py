@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.sources.staging import scratch_dir, staged  # noqa: F401  for the operators
+from wardline.sources import staging
+from wardline.sources.staging import scratch_dir  # noqa: F401  for the operators
 
 #: A side is broadcast only if it was counted and has at most so many (narrow) rows.
 BROADCAST_ROWS = 250_000
 
 
+#: Texts are long: batches between the JVM and Python hold so many bytes, or one row, whatever the session allows.
+ARROW_BYTES = 4 << 20
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, in batches of ``ARROW_BYTES`` where Python is used."""
+    _bound_batches(df.sparkSession)
+    return staging.staged(df, name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from wardline.llm.shared import hinted, staged, table, without_rows
+from wardline.llm.pieces import parts_of
+from wardline.llm.shared import hinted, kept, staged, table, without_rows
+from wardline.operators.linkage import golden_ids
 
 BITS = 3
 #: Members of one posting that are compared inside one task; larger postings are compared in blocks of so many.
@@ -159,30 +162,10 @@ def linked_pairs(prints: DataFrame, bits: int = BITS, block: int = BLOCK) -> Dat
     return links.distinct()
 
 
-def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(fp, label) for every fingerprint, label being the least fp (as stored) it is linked to, directly or not.
-
-    Alternates large-star and small-star: each round hooks neighbours onto the least one known, which keeps
-    the number of links and halves the longest path. Each round is written, so lost tasks do not reach back.
-    """
-    edges = staged(links.select("a", "b"), "simhash-links")
-    for _ in range(max_rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = staged(large, "simhash-large")
-        # now each row points down: a > b
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        down = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        hooked = staged(down.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "simhash-small")
-        parents = hooked.select(F.col("b").alias("a"), F.lit(True).alias("parent")).distinct()
-        children = hooked.groupBy("a").count().join(parents, "a", "left")
-        edges = hooked
-        if children.where("count > 1 or parent").isEmpty():  # every child hangs on one root
-            labels = edges.select(F.col("a").alias("fp"), F.col("b").alias("label"))
-            return nodes.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, label) for every fingerprint, label being the least fp (as stored) it is linked to, directly or not."""
+    labels = golden_ids(links).select(F.col("id").alias("fp"), F.col("golden_id").alias("label"))
+    return nodes.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
 
 
 def simhash_groups(
@@ -207,8 +190,8 @@ def simhash_groups(
     nodes = staged(prints.groupBy("fp").agg(F.min(id_col).alias("least_id")), "simhash-nodes")
     labels = staged(components(nodes.select("fp"), linked_pairs(nodes.select("fp"), bits, block)), "simhash-labels")
     named = nodes.join(labels, "fp")
-    groups = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    by_print = staged(named.join(groups, "label").select(F.col("fp").alias("__fp"), "component_id"), "simhash-components")
+    groups = staged(named.groupBy("label").agg(F.min("least_id").alias("component_id")), "simhash-groups")
+    by_print = staged(named.join(hinted(groups), "label").select(F.col("fp").alias("__fp"), "component_id"), "simhash-components")
     return prints.join(by_print, F.col("fp") == F.col("__fp")).select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -236,212 +219,243 @@ def spanning_forest(links: DataFrame) -> DataFrame:
 
 # ---- near copies by similarity, for texts that differ in more than a few bits
 
-#: Bytes of the wide fingerprint and byte triples that it is indexed under.
-WIDE_BYTES, TRIPLES = 64, 256
-MIXERS = np.random.default_rng(2024).integers(1, 1 << 63, WIDE_BYTES // 8, np.uint64) | np.uint64(1)
+MIXERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 65)], np.uint64)
+#: Shingles that a part of a task's texts holds so often are counted over the table; so many of them are ordered by count.
+OFTEN, OFTEN_MOST = 4, 200_000
+#: Bits of the parity sketch that bounds an overlap from above; larger sets have a second one of twice their size or more.
+PARITY_BITS = 1024
 
 
-def byte_triples(n: int = TRIPLES, seed: int = 11) -> np.ndarray:
-    """``n`` different triples of byte positions, drawn by a fixed seed."""
-    every = np.array(list(combinations(range(WIDE_BYTES), 3)))
-    return every[np.random.default_rng(seed).choice(len(every), n, replace=False)]
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
-    """Hashes of the set of word shingles, ascending; a shorter text is one shingle, one without words has none."""
-    held = text.lower().split()
-    shingles = {b" ".join(held[i : i + words]) for i in range(max(1, len(held) - words + 1))} if held else set()
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, len(shingles)))
+def shingle_hashes(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all word shingles of many texts, repeats included, and bounds: text k has those from bounds[k] to bounds[k + 1].
 
+    Words are cut at ASCII white space, A-Z in lower case. A text with fewer words than a shingle is one
+    shingle, one without words has none. Each different word is hashed once.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    held = coded.dictionary.to_pylist()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in held), np.uint64, len(held))
+    filled = np.fromiter((w != "" for w in held), bool, len(held))
+    at = coded.indices.to_numpy()
+    kept_words = filled[at]
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    bounds = np.concatenate([[0], np.cumsum(kept_words)])[offsets - offsets[0]]
+    word = hashes[at[kept_words]]
+    n, size = len(word), np.diff(bounds)
+    owner = np.repeat(np.arange(len(size)), size)
+    total = word * MIXERS[0]
+    for k in range(1, min(words, n)):
+        same = owner[k:] == owner[:-k]
+        total[:-k] += np.where(same, word[k:] * MIXERS[k], np.uint64(0))
+    n_shingles = np.where(size > 0, np.maximum(1, size - words + 1), 0)
+    opens = np.arange(n) - np.repeat(bounds[:-1], size) < np.repeat(n_shingles, size)
+    return mixed(total[opens]), np.concatenate([[0], np.cumsum(n_shingles)])
+
+
+def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The set of shingle hashes of each text, ascending."""
+    for part in parts_of(texts):
+        hashes, bounds = shingle_hashes(part, words)
+        for start, end in pairwise(bounds.tolist()):
+            yield np.unique(hashes[start:end])
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """64-bit SimHash of a set of shingle hashes; 0 for the empty set."""
+    total = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 8192):
+        bits = np.unpackbits(hashes[k : k + 8192].astype("<u8").view(np.uint8), bitorder="little")
+        total += bits.reshape(-1, 64).sum(0, dtype=np.int32)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
-def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """512-bit SimHash of a set of shingle hashes: each is mixed anew for every 64 bits."""
-    total = np.zeros(8 * WIDE_BYTES, np.int64)
-    for k in range(0, len(hashes), 2048):
-        mixed = hashes[k : k + 2048, None] * MIXERS[None, :]
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(32)
-        bits = np.unpackbits(mixed.astype("<u8").view(np.uint8), axis=1, bitorder="little")
-        total += bits.sum(0, dtype=np.int32)
-    return np.packbits(2 * total > len(hashes), bitorder="little").tobytes()
 
+def prefix_length(n: int, similarity: float) -> int:
+    """Leading shingles of which two similar sets share one, in whatever order of all shingles."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
-def estimated_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of the shingle sets (of about equal size) from rows of fingerprint bytes."""
-    share = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) / (8 * a.shape[1])
-    cosine = np.clip(np.cos(np.pi * share), 0, 1)
-    return cosine / (2 - cosine)
 
+def parity_sketch(hashes: np.ndarray, bits: int = PARITY_BITS) -> bytes:
+    """Bits that an odd number of hashes fall on: two sketches differ in at most as many bits as the sets have odd members."""
+    slots = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((slots & 1).astype(np.uint8)).tobytes()
 
-def similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Candidate links (a, b) between nodes (node, fp) whose estimated similarity reaches ``similarity``.
 
-    The index holds each node under 256 triples of byte positions, 24 bits each. Every member of a posting is
-    tied to the posting's least node, so candidates grow with the postings' sizes, not with their squares, and
-    a run of any length streams through one task. Candidates are tallied over postings and compared on all bits.
-    Members that are near each other and not near the least node are not met here: ``missed_pairs`` finds them.
-    """
-    triples = byte_triples()
+def wide_sketch(hashes: np.ndarray) -> bytes | None:
+    """A sketch that strangers of the set's size can be told by; none where the common one is wide enough."""
+    bits = 1 << (2 * len(hashes)).bit_length()
+    return parity_sketch(hashes, bits) if bits > PARITY_BITS else None
 
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                fps = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, WIDE_BYTES).astype(np.int64)
-                keys = np.arange(len(triples)) << 24
-                for place, column in enumerate(triples.T):
-                    keys = keys + (fps[:, column] << (8 * place))
-                nodes_ = np.repeat(part.column(0).to_numpy(), len(triples))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes_)], ["key", "node"])
-
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by (key, node): the first of each key is the root of the others."""
-        last_key, root = None, None
-        for batch in batches:
-            key, node = (batch.column(c).to_numpy() for c in (0, 1))
-            if not len(key):
-                continue
-            opens = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-            first = np.maximum.accumulate(np.where(opens, np.arange(len(key)), -1))
-            roots = np.where(first >= 0, node[first], root if root is not None else 0)
-            last_key, root = key[-1], roots[-1]
-            tied = ~opens
-            yield pa.RecordBatch.from_arrays([pa.array(roots[tied]), pa.array(node[tied])], ["a", "b"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, WIDE_BYTES) for c in (2, 3))
-            keep = pa.array(estimated_similarity(a, b) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    keyed = nodes.select("node", "fp").mapInArrow(postings, "key long, node long")
-    ordered = keyed.repartition("key").sortWithinPartitions("key", "node")
-    tallied = ordered.mapInArrow(stars, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    side = lambda n: nodes.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}"))
-    pairs = tallied.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fp_a", "fp_b")
-    return pairs.mapInArrow(verify, "a long, b long")
-
-
-def jaccard(a: bytes, b: bytes, words: int) -> float:
-    """Similarity of two texts' sets of word shingles; a shorter text is one shingle, one without words has none."""
-    sets = []
-    for text in (a, b):
-        held = text.lower().split()
-        sets.append({tuple(held[i : i + words]) for i in range(max(1, len(held) - words + 1))} if held else set())
-    either = len(sets[0] | sets[1])
-    return len(sets[0] & sets[1]) / either if either else 1.0
-
-
-#: The estimate's standard error is 0.04 at most; candidates this far below the threshold are still compared in full.
-MARGIN = 0.15
-#: Nodes whose shingles are counted to order them; shingles that so many of these hold come last, at most so many.
-ORDER_ROWS, OFTEN, OFTEN_MOST = 10_000, 5, 200_000
-#: Bits of the parity sketch that bounds an overlap from above.
-PARITY_BITS = 1024
 
+def _odd_members(x: bytes, y: bytes) -> int:
+    """Least number of members that only one of two sets has, by sketches of any two sizes: the larger is folded."""
+    small, large = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.bitwise_count(small ^ np.bitwise_xor.reduce(large.reshape(-1, len(small)), 0)).sum(dtype=np.int64))
 
-def prefix_length(n: int, similarity: float) -> int:
-    """Leading shingles of which two similar sets share one, in whatever order of all shingles."""
-    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
+def node_of(hashes: np.ndarray) -> int:
+    """Name of a set of shingles: equal sets have one name."""
+    return int(np.array(xxhash.xxh64_intdigest(hashes.tobytes(), 7), np.uint64).view(np.int64))
 
-def parity_sketch(hashes: np.ndarray) -> bytes:
-    """Bits that an odd number of hashes fall on: two sketches differ in at most as many bits as the sets have odd members."""
-    slots = np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
-    return np.packbits((slots & 1).astype(np.uint8)).tobytes()
 
+def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
+    """Shingles of many texts, commonest first, counted over all of ``docs``.
 
-def frequent_shingles(docs: DataFrame, text_col: str, words: int, rows: int) -> np.ndarray:
-    """Shingles of many texts, ascending hashes. Any answer is right: they only order the shingles, which sets the cost."""
-    kept = F.pmod(F.xxhash64(text_col), F.lit(max(1, rows // ORDER_ROWS))) == 0
+    A task counts the shingles of some megabytes of text at a time and passes on those that occur ``OFTEN``
+    times or more there, so what is summed is a lower bound of the true count. Any answer is right: the counts
+    only order the shingles, which sets the cost and not the result. ``OFTEN_MOST`` are fetched at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(None, dict)  # makes room
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                hashes = [shingle_hashes((t or "").encode(), words) for t in batch.slice(k, 512).column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64))], ["h"])
+            for part in parts_of(batch.column(0)):
+                hashes, n = np.unique(shingle_hashes(part, words)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], ["h", "n"])
 
-    counted = docs.where(kept).select(text_col).mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
-    most = counted.orderBy(F.desc("count"), "h").limit(OFTEN_MOST).select("h").toPandas()["h"]
-    return np.sort(most.to_numpy(np.int64).view(np.uint64))
+    counted = docs.select(text_col).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return counted.orderBy(F.desc("n"), "h").limit(OFTEN_MOST).select("h").toArrow()["h"].to_numpy().view(np.uint64)
 
 
-def missed_pairs(docs: DataFrame, text_col: str, nodes: DataFrame, labels: DataFrame, words: int, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of nodes that may be similar and have different labels: none that is similar is left out.
+def described(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """id, node (name of the text's set of shingles), fp, size, prefix, parity and wide (sketches) of every row.
+
+    The prefix has the set's first shingles under one order of all: rare ones first, by hash, then those of
+    ``frequent_shingles``, the commonest last.
+    """
+    commonest = frequent_shingles(docs, text_col, words)
+    place = np.argsort(commonest)
+    order = docs.sparkSession.sparkContext.broadcast((commonest[place], place))
+    made = "node long, fp long, size int, prefix array<long>, parity binary, wide binary"
+    fields = StructType([docs.schema[id_col], *StructType.fromDDL(made).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(None, dict)  # makes room
+        often, places = order.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                nodes, fps, sizes, prefixes, parities, wides = [], [], [], [], [], []
+                for hashes in shingle_sets(part.column(1), words):
+                    at = np.minimum(np.searchsorted(often, hashes), max(len(often) - 1, 0))
+                    late = often[at] == hashes if len(often) else np.zeros(len(hashes), bool)
+                    ordered = np.concatenate([hashes[~late], hashes[late][np.argsort(-places[at[late]], kind="stable")]])
+                    nodes.append(node_of(hashes))
+                    fps.append(simhash(hashes))
+                    sizes.append(len(hashes))
+                    prefixes.append(ordered[: prefix_length(len(hashes), similarity)].view(np.int64))
+                    parities.append(parity_sketch(hashes))
+                    wides.append(wide_sketch(hashes))
+                ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
+                columns = [
+                    part.column(0),
+                    pa.array(nodes, pa.int64()),
+                    pa.array(np.array(fps, np.uint64).view(np.int64)),
+                    pa.array(sizes, pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes))),
+                    pa.array(parities, pa.binary()),
+                    pa.array(wides, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, fields.fieldNames())
+
+    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, fields)
 
-    Prefix filter: under one order of all shingles, similar sets of n shingles share one of their first
-    ``prefix_length`` ones. The order puts shingles of many texts last, so postings are short. ``nodes`` has
-    (node, parity), ``labels`` (node, label) of the nodes whose label is another node. Postings whose members
-    have one label have nothing to add. In the others every two members of different labels meet, blocks of a
-    posting in tasks of their own, and leave by size, by place in the order and by the bound of their sketches,
-    each of which keeps every similar pair.
+
+def index_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp) whose fingerprints ``linked_pairs`` ties: at most ``BITS`` differing bits."""
+    first = staged(nodes.groupBy("fp").agg(F.min("node").alias("first")), "similar-prints-of-nodes")
+    equal = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    end = lambda x: first.select(F.col("fp").alias(f"fp_{x}"), F.col("first").alias(x))
+    links = linked_pairs(first.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    return equal.union(links.join(end("a"), "fp_a").join(end("b"), "fp_b").select("a", "b"))
+
+
+def shared_prefixes(nodes: DataFrame) -> DataFrame:
+    """Postings of two nodes or more: key, node, size, place, and first, the least node of the posting."""
+    keyed = nodes.select("node", "size", F.posexplode("prefix").alias("place", "key"))
+    counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
+    return keyed.join(staged(counted.select("key", "first"), "similar-keys"), "key")
+
+
+def sized(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b), with their sizes, whose sizes allow the similarity."""
+    side = lambda x: hinted(nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}")))
+    near = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", "size_a", "size_b")
+
+
+def sketched(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b, size_a, size_b) whose sketches allow the similarity: none that is similar leaves.
+
+    All are tried on the common sketch, then those of two large sets on their own ones.
     """
-    often = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col, words, docs.count()))
+    fields = "a long, b long, size_a int, size_b int"
 
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = often.value
-        names = ["key", "node", "size", "place"]
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                parts = []
-                for text in batch.slice(k, 512).column(0).to_pylist():
-                    hashes = shingle_hashes((text or "").encode(), words)
-                    if not len(hashes):
-                        continue  # texts without words are one node already
-                    at = np.minimum(np.searchsorted(late, hashes), max(len(late) - 1, 0))
-                    is_late = late[at] == hashes if len(late) else np.zeros(len(hashes), bool)
-                    first = np.concatenate([hashes[~is_late], hashes[is_late]])[: prefix_length(len(hashes), similarity)]
-                    parts.append((first, node_of(hashes), len(hashes)))
-                if parts:
-                    lengths = [len(x[0]) for x in parts]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate([x[0] for x in parts]).view(np.int64)),
-                            pa.array(np.repeat([x[1] for x in parts], lengths)),
-                            pa.array(np.repeat([x[2] for x in parts], lengths).astype(np.int32)),
-                            pa.array(np.concatenate([np.arange(n) for n in lengths]).astype(np.int32)),
-                        ],
-                        names,
-                    )
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by (key, node): those whose key has another node, each node once."""
-        held = None
+            a, b = (batch.column(c).to_numpy().astype(np.int64) for c in ("size_a", "size_b"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(len(a), -1) for c in ("sketch_a", "sketch_b"))
+            yield batch.filter(pa.array(_allowed(a, b, x, y, similarity))).select(["a", "b", "size_a", "size_b"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
-            key, node = (rows.column(c).to_numpy() for c in (0, 1))
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-            rows, key = rows.filter(pa.array(new)), key[new]
-            same = key[1:] == key[:-1]
-            many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            many[-1] = False
-            # the last row waits for the next batch, with the one before it if that has its key
-            held = rows.slice(rows.num_rows - 1)
-            if len(same) and same[-1]:
-                held, many[-2] = rows.slice(rows.num_rows - 2), False
-            yield rows.filter(pa.array(many))
-        if held is not None and held.num_rows == 2:
-            yield held
-
-    keyed = docs.select(text_col).mapInArrow(postings, "key long, node long, size int, place int")
-    ordered = keyed.repartition("key").sortWithinPartitions("key", "node")
-    several = staged(ordered.mapInArrow(met, "key long, node long, size int, place int"), "missed-postings")
-    named = several.join(hinted(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+            sizes = batch.column("size_a").to_numpy().astype(np.int64) + batch.column("size_b").to_numpy()
+            least = _least_overlap(sizes, similarity)
+            sketches = zip(batch.column("sketch_a"), batch.column("sketch_b"), strict=True)
+            odd = np.array([_odd_members(x.as_py(), y.as_py()) for x, y in sketches], np.int64)
+            yield batch.filter(pa.array((sizes - odd) / 2 >= least)).select(["a", "b", "size_a", "size_b"])
+
+    def tried(rows: DataFrame, column: str, test) -> DataFrame:
+        side = lambda x: nodes.where(f"{column} IS NOT NULL").select(F.col("node").alias(x), F.col(column).alias(f"sketch_{x}"))
+        return rows.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(test, fields)
+
+    first = staged(tried(pairs, "parity", common), "similar-near")
+    large = F.least("size_a", "size_b") * 2 >= PARITY_BITS  # both have a sketch of their own
+    return first.where(~large).union(tried(first.where(large), "wide", own)).select("a", "b")
+
+
+def _least_overlap(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Common members that two similar sets have at least, by the sum of their sizes."""
+    return np.ceil(similarity / (1 + similarity) * sizes - 1e-9)
+
+
+def _allowed(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """For pairs of sets with sizes a, b and sketches x, y whether they can be similar."""
+    odd = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & ((a + b - odd) / 2 >= _least_overlap(a + b, similarity))
+
+
+def missed_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of nodes that may be similar and have different labels: none that is similar is left out.
+
+    Prefix filter: similar sets of n shingles share one of their first ``prefix_length`` ones, so they meet in
+    a posting of the staged ``shared``. ``labels`` has (node, label) of the nodes whose label is another node.
+    Postings whose members have one label have nothing to add. In the others every two members of different
+    labels meet, and leave by size, by place in the order and by the bound of their sketches, each of which
+    keeps every similar pair. A posting with more than ``block`` members is cut into blocks that meet in tasks
+    of their own; members with the posting's commonest label meet only those with another one.
+    """
+    named = shared.drop("first").join(hinted(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = staged(named, "missed-named")
     sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
     sizes = staged(sizes.where("least <> most").select("key", "n"), "missed-sizes")
-    members = named.join(sizes, "key").join(nodes.select("node", "parity"), "node")
-    n_blocks = F.ceil(F.col("n") / block).cast("int")
-    members = members.withColumn("blocks", n_blocks).withColumn(
-        "own", F.when(F.col("n") <= block, 0).otherwise(F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
-    )
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda m: F.struct(F.least("own", m).alias("low"), F.greatest("own", m).alias("high")),
-    )
+    large = sizes.where(F.col("n") > block).select("key")
+    by_label = named.join(hinted(large), "key").groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    top = by_label.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top")).select("key", F.col("top.label").alias("top"), F.col("top.m").alias("m"))
+    sizes = sizes.join(staged(top, "missed-tops"), "key", "left")
+    members = named.join(staged(sizes, "missed-shares"), "key").join(nodes.select("node", "parity"), "node")
+    cut = F.col("n") > block
+    tops, others = F.ceil(F.col("m") / block).cast("int"), F.ceil((F.col("n") - F.col("m")) / block).cast("int")
+    is_top = F.col("label") == F.col("top")
+    mixed_in = F.pmod(F.xxhash64("node"), F.when(is_top, tops).otherwise(others)).cast("int")
+    members = members.withColumn("own", F.when(~cut, 0).otherwise(F.when(is_top, others + mixed_in).otherwise(mixed_in)))
+    last = F.when(~cut, 0).otherwise(F.when(is_top, others - 1).otherwise(others + tops - 1))
+    meets = F.transform(F.sequence(F.lit(0), last), lambda m: F.struct(F.least("own", m).alias("low"), F.greatest("own", m).alias("high")))
     fields = ["key", "node", "size", "place", "label", "parity"]
     dealt = staged(members.select(*fields, F.explode(meets).alias("cell")).select(*fields, "cell.low", "cell.high"), "missed-dealt")
     bucket = F.pmod(F.xxhash64("key", "low", "high"), F.lit(max(1, -(-dealt.count() // BUCKET_ROWS))))
@@ -451,90 +465,84 @@ def missed_pairs(docs: DataFrame, text_col: str, nodes: DataFrame, labels: DataF
         node, label = rows["node"].to_numpy(np.int64), rows["label"].to_numpy(np.int64)
         size, place = rows["size"].to_numpy(np.int64), rows["place"].to_numpy(np.int64)
         parity = np.frombuffer(b"".join(rows["parity"]), "<u8").reshape(len(rows), -1)
-        first = np.flatnonzero(rows[["key", "low", "high"]].diff().ne(0).any(axis=1).to_numpy())
-        found = set()
-        for start, end in zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=True):
-            for k in range(start, end, 256):
-                own, all_ = slice(k, min(k + 256, end)), slice(start, end)
-                sx, sy, px, py = size[own, None], size[None, all_], place[own, None], place[None, all_]
-                needed = np.ceil(similarity / (1 + similarity) * (sx + sy) - 1e-9)
-                near = (label[own, None] != label[None, all_]) & (node[own, None] < node[None, all_])
-                near &= np.minimum(sx, sy) >= similarity * np.maximum(sx, sy) - 1e-9
-                near &= 1 + np.minimum(px, py) + np.minimum(sx - px, sy - py) - 1 >= needed
-                i, j = np.nonzero(near)
-                i, j = i + k, j + start
-                for part in range(0, len(i), 65_536):
-                    a, b = i[part : part + 65_536], j[part : part + 65_536]
-                    odd = np.bitwise_count(parity[a] ^ parity[b]).sum(1, dtype=np.int64)
-                    keep = (size[a] + size[b] - odd) / 2 >= np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - 1e-9)
-                    found.update(zip(node[a[keep]].tolist(), node[b[keep]].tolist(), strict=True))
-        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=np.int64)
+        found = [np.empty((0, 2), np.int64)]
+        for i, j in _meetings(rows[["key", "low", "high"]].diff().ne(0).any(axis=1).to_numpy()):
+            differ = label[i] != label[j]
+            i, j = i[differ], j[differ]
+            least = np.minimum(place[i], place[j]) + np.minimum(size[i] - place[i], size[j] - place[j])
+            near = least >= _least_overlap(size[i] + size[j], similarity)
+            i, j = i[near], j[near]
+            near = _allowed(size[i], size[j], parity[i], parity[j], similarity)
+            pairs = np.stack([node[i[near]], node[j[near]]], 1)
+            found.append(np.stack([pairs.min(1), pairs.max(1)], 1))
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
 
     return dealt.groupBy(bucket.alias("bucket")).applyInPandas(compare, "a long, b long").distinct()
 
 
-def node_of(hashes: np.ndarray) -> int:
-    """Name of a set of shingles: equal sets have one name."""
-    return int(np.array(xxhash.xxh64_intdigest(hashes.tobytes(), 7), np.uint64).view(np.int64))
+def _meetings(opens: np.ndarray, at_once: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j), i < j, of all pairs inside each run; a run begins where ``opens`` is true. Many pairs at a time."""
+    first = np.flatnonzero(opens)
+    ends = np.repeat(np.append(first[1:], len(opens)), np.diff(np.append(first, len(opens))))
+    after = ends - np.arange(len(opens)) - 1
+    cuts = np.flatnonzero(np.diff(np.cumsum(after) // at_once)) + 1
+    for start, end in pairwise([0, *cuts.tolist(), len(opens)]):
+        many = after[start:end]
+        i = np.repeat(np.arange(start, end), many)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
 
 
 def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per input row: id and component_id, the least id reachable by links.
 
     Texts link whose sets of word shingles have a Jaccard similarity of ``similarity`` or more, all of them.
-    Candidates come from the byte index over 512-bit fingerprints, which ties most near copies at a cost that
-    is linear in its postings; then from a prefix filter on the shingles, which meets every similar pair that is
-    not in one group yet. Each candidate is compared on its texts. Texts without words are one group. Ids tell
+    Candidates come from the byte-position index over 64-bit fingerprints, as in ``simhash_groups``, and from
+    ties of the nodes of a posting of shared rare shingles to its least one; both are linear in their postings.
+    An exact pass over those postings then meets every similar pair that is not in one group yet. Each
+    candidate is compared on its sets of 64-bit shingle hashes. Texts without words are one group. Ids tell
     rows apart. Texts with equal shingles fold into one node first, so copies are compared once.
     """
-    fields = StructType(
-        [docs.schema[id_col], StructField("node", LongType()), StructField("fp", BinaryType()), StructField("parity", BinaryType())]
-    )
+    prints = staged(described(docs, id_col, text_col, words, similarity), "similar-prints")
+    folded = prints.groupBy("node").agg(F.min(F.struct(F.col(id_col).alias("id"), "fp", "size", "prefix", "parity", "wide")).alias("x"))
+    nodes = staged(folded.select("node", F.col("x.id").alias("least_id"), "x.fp", "x.size", "x.prefix", "x.parity", "x.wide"), "similar-nodes")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                sets = [shingle_hashes((t or "").encode(), words) for t in part.column(1).to_pylist()]
-                named = pa.array([node_of(h) for h in sets], pa.int64())
-                fps, odd = (pa.array([f(h) for h in sets], pa.binary()) for f in (wide_fingerprint, parity_sketch))
-                yield pa.RecordBatch.from_arrays([part.column(0), named, fps, odd], fields.fieldNames())
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                texts = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
-                keep = pa.array([jaccard(x.encode(), y.encode(), words) >= similarity for x, y in texts], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                held = [h.view(np.int64) for h in shingle_sets(part.column(1), words)]
+                ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
+                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))
+                yield pa.RecordBatch.from_arrays([part.column(0), column], ["node", "held"])
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the staged candidates whose texts are similar."""
-        paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "least_id"), "node")
-        speakers = hinted(staged(paired, "similar-speakers"))
-        texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).join(
-            speakers, F.col("__id") == F.col("least_id")
-        )
-        texts = staged(texts.select("node", "body"), "similar-texts")
-        side = lambda n: texts.select(F.col("node").alias(n), F.col("body").alias(f"body_{n}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "body_a", "body_b")
-        return staged(both.mapInArrow(compare, "a long, b long"), "similar-links")
-
-    prints = staged(docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, fields), "similar-prints")
-    by_set = prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("parity").alias("parity"), F.min(id_col).alias("least_id"))
-    nodes = staged(by_set, "similar-nodes")
-    pairs = staged(similar_pairs(nodes.select("node", "fp"), similarity - MARGIN), "similar-pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        speakers = hinted(staged(ends.join(nodes.select("node", "least_id"), "node"), "similar-speakers"))
+        texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("body")).join(speakers, F.col("__id") == F.col("least_id"))
+        held = staged(texts.select("node", "body").mapInArrow(sets, "node long, held array<long>"), "similar-sets")
+        side = lambda x: held.select(F.col("node").alias(x), F.col("held").alias(f"held_{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        overlap = F.size(F.array_intersect("held_a", "held_b"))
+        either = F.size("held_a") + F.size("held_b") - F.col("overlap")
+        alike = F.when(either == 0, True).otherwise(F.col("overlap") / either >= similarity)
+        return staged(both.withColumn("overlap", overlap).where(alike).select("a", "b"), "similar-links")
+
+    shared = staged(shared_prefixes(nodes.select("node", "size", "prefix")), "similar-shared")
+    ties = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    tied = index_pairs(nodes.select("node", "fp")).union(ties).distinct()
+    pairs = staged(sketched(sized(tied, nodes, similarity), nodes, similarity), "similar-pairs")
     names = nodes.select(F.col("node").alias("fp"))
     forest = staged(spanning_forest(linked(pairs)), "similar-forest")
     labels = staged(components(names, forest), "similar-labels")
     moved = staged(labels.where("fp <> label").select(F.col("fp").alias("node"), "label"), "similar-moved")
-    more = staged(missed_pairs(docs, text_col, nodes, moved, words, similarity), "similar-missed")
+    missed = staged(missed_pairs(shared, nodes, moved, similarity), "similar-missed")
+    more = linked(staged(sketched(sized(missed, nodes, similarity), nodes, similarity), "similar-pairs"))
     if not more.isEmpty():
-        more = staged(spanning_forest(linked(more)), "similar-forest")
-        labels = staged(components(names, forest.union(more)), "similar-labels")
+        labels = staged(components(names, forest.union(staged(spanning_forest(more), "similar-forest"))), "similar-labels")
     named = nodes.select("node", "least_id").join(labels.select(F.col("fp").alias("node"), "label"), "node")
-    groups = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    by_node = staged(named.join(groups, "label").select(F.col("node").alias("__node"), "component_id"), "similar-components")
+    groups = staged(named.groupBy("label").agg(F.min("least_id").alias("component_id")), "similar-names")
+    by_node = staged(named.join(hinted(groups), "label").select(F.col("node").alias("__node"), "component_id"), "similar-components")
     return prints.join(by_node, F.col("node") == F.col("__node")).select(id_col, "component_id")
 
 

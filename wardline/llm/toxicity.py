@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from wardline.llm.shared import table
+from wardline.llm.shared import kept, staged, table
 
 SLOTS = 1 << 17
 #: Leading letters that a word backs off to, shortest first; the last level is the whole word.
@@ -154,7 +154,7 @@ def fit(
     """Learn from labelled rows that are not held out: counts from three parts of four, calibration from the fourth.
 
     Reads texts and ``labels.toxic`` only; ids choose rows and are never an input. What is fetched is bounded
-    by the model's size (counts) and by ``train_rows`` (a few numbers for each calibration text).
+    by the model's size (counts) and by ``train_rows`` (two numbers for each calibration text).
     """
     training = _training(docs, labels, id_col, text_col, train_rows)
 
@@ -201,23 +201,28 @@ def _calibrate(spark: SparkSession, model: Model, training: DataFrame) -> None:
     shared = spark.sparkContext.broadcast(model)
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Lengths and best scores of clean texts, and the histogram of their weights (in a task's batch's first row)."""
-        weigher = shared.value.weigher()
+        """Lengths and best scores of clean texts; last, a row of the task's own with the histogram of their weights."""
+        weigher, total = shared.value.weigher(), np.zeros(bins, np.int64)
         for batch in batches:
-            total, lengths, best = np.zeros(bins, int), [], []
+            lengths, best = [], []
             for k in range(0, batch.num_rows, 512):
                 for w in weigher.weights(batch.slice(k, 512).column(0).to_pylist()):
                     lengths.append(len(w))
                     best.append(float(segments(w)[2].max(initial=0.0)))
                     total += np.bincount(np.clip((w - low) / step, 0, bins - 1).astype(int), minlength=bins)
-            lists = [total.tolist() if k == 0 else None for k in range(len(lengths))]
-            columns = [pa.array(lengths, pa.int64()), pa.array(best, pa.float64()), pa.array(lists, pa.list_(pa.int64()))]
+            columns = [pa.array(lengths, pa.int64()), pa.array(best, pa.float64()), pa.nulls(len(best), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["n", "best", "shape"])
+        if total.any():
+            columns = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.array([total.tolist()], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["n", "best", "shape"])
 
     clean = training.where("__toxic = 0").select("__text").mapInArrow(shapes, "n long, best double, shape array<long>")
-    rows = clean.toArrow().to_pylist()
-    shape = np.sum([r["shape"] for r in rows if r["shape"]], 0) if rows else np.zeros(bins)
-    if not np.sum(shape):
+    clean = staged(clean, "toxic-shapes")
+    summed = clean.select(F.posexplode("shape").alias("k", "times")).groupBy("k").agg(F.sum("times").alias("times")).collect()
+    shape = np.zeros(bins)
+    for r in summed:
+        shape[r["k"]] = r["times"]
+    if not shape.any():
         return
     at = low + step * (np.arange(bins) + 0.5)
     p = shape / shape.sum()
@@ -230,9 +235,10 @@ def _calibrate(spark: SparkSession, model: Model, training: DataFrame) -> None:
             else:
                 left = middle
         model.rate = left
-    found = [model.rate * r["best"] - math.log(r["n"]) for r in rows if r["best"] > 0]
-    if found:  # the median of lambda S - log n under the law is log K - log log 2
-        model.log_k = float(np.median(found)) + math.log(math.log(2))
+    # the median of lambda S - log n under the law is log K - log log 2
+    middle = clean.where("best > 0").agg(F.median(F.lit(model.rate) * F.col("best") - F.log("n"))).first()[0]
+    if middle is not None:
+        model.log_k = middle + math.log(math.log(2))
     shared = spark.sparkContext.broadcast(model)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,15 +271,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
-_weighers: dict[int, Weigher] = {}
-
-
 def _weigher_of(model: Model) -> Weigher:
     """One for each worker process and model: a broadcast value is one object to all of a worker's tasks."""
-    if id(model) not in _weighers:
-        _weighers.clear()
-        _weighers[id(model)] = model.weigher()
-    return _weighers[id(model)]
+    return kept(("weigher", id(model)), model.weigher)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
