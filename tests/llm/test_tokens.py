@@ -48,7 +48,7 @@ def test_piece_memo_equals_library(word_bpe, byte_bpe):
 
 def test_pieces_with_marks_and_separators(word_bpe):
     r = random.Random(8)
-    parts = ["|", "||", "a|b", "word", "Word", "é", "é", "5", "²", "一", "—", "ß", ".", ",", "...", "!?", "$$$", "'s", "#1", "&&&", "x" * 300]
+    parts = ["|", "||", "a|b", "word", "Word", "WORD", "J\u030c", "j\u030c", "H\u0331", "\u0130", "\u0958", "\u03a3\u03a3", "K\u0327x", "é", "é", "5", "²", "一", "—", "ß", ".", ",", "...", "!?", "$$$", "'s", "#1", "&&&", "x" * 300]
     texts = ["".join(r.choice(parts) + r.choice(["", "", " "]) for _ in range(r.randint(0, 30))) for _ in range(2000)]
     coder = pieces.PieceEncoder(pieces.WORD_BPE, limit=300)
     assert coder.mark is not None and coder.tails

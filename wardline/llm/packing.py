@@ -22,7 +22,8 @@ from wardline.llm import pieces
 from wardline.llm.shared import staged, table
 
 CAPACITY = 2048
-SALTS = 256
+#: Groups that pieces of one length are dealt over at least; large tables have one for so many pieces.
+SALTS, PIECES_PER_SALT = 256, 2_000_000
 
 
 def cut_pieces(
@@ -33,6 +34,7 @@ def cut_pieces(
     tokenizer: str = pieces.WORD_BPE,
     end_id: int = 0,
     with_ids: bool = True,
+    memo: int = pieces.MEMO,
 ) -> DataFrame:
     """One row per piece: __row, id, piece, start, length, ids_crc32 and, if wanted, ids (binary, 32-bit little-endian).
 
@@ -49,7 +51,7 @@ def cut_pieces(
     ] + [StructField("ids", BinaryType())] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = pieces.encoder(tokenizer)
+        coder = pieces.encoder(tokenizer, memo)
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
@@ -77,10 +79,16 @@ def cut_pieces(
 
 
 class _Stock:
-    """Pieces still to be placed, by length, and the lookup of which lengths are there."""
+    """Pieces still to be placed, by length, with an index of sums.
+
+    Single lengths are found by their presence. Pairs are hashed by their sum: an entry is made when a sum is first
+    asked for, from the lengths that are there, and stays right as the stock only shrinks. Triples are a length
+    and a pair of the remaining sum.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.left = np.zeros(capacity + 1, np.int64)
+        self.pairs_of: dict[int, list[int]] = {}  # sum: the larger part of each pair, descending
         for n, c in counts.items():
             self.left[n] = c
         self.there = self.left > 0
@@ -110,9 +118,12 @@ class _Stock:
                     yield (a, *pair)
 
     def _pairs(self, total: int, largest: int) -> Iterator[tuple[int, int]]:
-        larger = np.arange(min(largest, total - 1), (total + 1) // 2 - 1, -1)
-        for a in larger[self.there[larger] & self.there[total - larger]].tolist():
-            yield a, total - a
+        if total not in self.pairs_of:
+            larger = np.arange(total - 1, (total + 1) // 2 - 1, -1)
+            self.pairs_of[total] = larger[self.there[larger] & self.there[total - larger]].tolist()
+        for a in self.pairs_of[total]:
+            if a <= largest and self.there[a] and self.there[total - a]:
+                yield a, total - a
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -187,20 +198,21 @@ def pack(
     tokenizer: str = pieces.WORD_BPE,
     end_id: int = 0,
     with_ids: bool = True,
+    memo: int = pieces.MEMO,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset and, if wanted, ids.
 
     Null and empty texts are one ``end_id``. Repeated rows are pieces of their own; an empty table gives no
     rows; long texts are tokenized whole and cut into full pieces and a rest. Only the two named columns are
-    read.
+    read. ``memo`` bounds what a worker remembers of pieces of text; it sets memory and time, not the result.
 
     Tokens are made once and written; the plan is made from at most ``capacity`` counts. Pieces of one length
-    are dealt over up to ``SALTS`` groups, ranked inside them and shifted by the counts of the groups before,
+    are dealt over ``SALTS`` groups or more, ranked inside them and shifted by the counts of the groups before,
     so a length that a third of all pieces have is not one task's work.
     """
     spark = docs.sparkSession
-    made = staged(cut_pieces(docs, id_col, text_col, capacity, tokenizer, end_id, with_ids), "pack-pieces")
-    salt = F.pmod(F.xxhash64("__row", "piece"), F.lit(SALTS)).cast("int")
+    made = staged(cut_pieces(docs, id_col, text_col, capacity, tokenizer, end_id, with_ids, memo), "pack-pieces")
+    salt = F.pmod(F.xxhash64("__row", "piece"), F.lit(max(SALTS, made.count() // PIECES_PER_SALT))).cast("int")
     narrow = made.drop("ids").withColumn("__salt", salt)
     groups = staged(narrow.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     histogram = groups.groupBy("length").agg(F.sum("n").alias("n")).collect()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -16,6 +18,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
+#: Pieces in each of the two generations of a worker's memo, about 250 bytes each: more of them cost memory and spare time.
+MEMO = 450_000
 
 
 def resolve(tokenizer: str) -> str:
@@ -36,6 +40,12 @@ def load(tokenizer: str):
     return loaded
 
 
+@lru_cache(maxsize=10_000)
+def _is_word_end(char: str) -> bool:
+    """Whether the character is a letter or digit and still ends in one once it is composed and in lower case."""
+    return char.isalnum() and unicodedata.normalize("NFC", char).lower()[-1].isalnum()
+
+
 class Generations:
     """A bounded memo: when the young half is full it becomes the old one, and what is used again is carried over."""
 
@@ -44,9 +54,12 @@ class Generations:
         self.young: dict = {}
         self.old: dict = {}
 
-    def missing(self, used: list) -> list:
-        """Keys that nothing is known of; what is known of the others is in ``young`` afterwards."""
-        if len(self.young) > self.limit:
+    def missing(self, used: list, turn: bool = True) -> list:
+        """Keys that nothing is known of; what is known of the others is in ``young`` afterwards.
+
+        Only a call with ``turn`` may begin a new generation, and takes what was found before out of ``young``.
+        """
+        if turn and len(self.young) > self.limit:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         absent = [k for k in used if k not in young]
@@ -54,7 +67,7 @@ class Generations:
         return [k for k in absent if k not in young]
 
 
-def parts_of(texts: pa.Array, limit: int = 1 << 23) -> Iterator[pa.Array]:
+def parts_of(texts: pa.Array, limit: int = 1 << 22) -> Iterator[pa.Array]:
     """The texts in slices of about ``limit`` bytes, so that a batch of long ones is not expanded at once."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // limit)) + 1
@@ -72,19 +85,29 @@ class PieceEncoder:
     """``encode_array`` gives the ids of many texts as one array of unsigned 32-bit integers and the bounds of each text.
 
     Where a tokenizer drops white space, the pieces between blanks and line feeds are encoded one by one and
-    each piece's ids are kept, so common words are looked up instead of merged again; new pieces go to the
-    library many at a time, with a separator of one token between them. Any other tokenizer gets whole texts.
+    each piece's ids are kept, so common words are looked up instead of merged again, in lower case if the
+    tokenizer doesn't tell case apart; new pieces go to the library many at a time, with a separator of one token
+    between them. Any other tokenizer gets whole texts.
     The memo holds two times ``limit`` pieces at most.
     """
 
+    #: Marks that join with a letter before them to one character: case must not be folded before they do.
+    COMBINING = "[\u0300-\u036f]"
     SEPARATOR = "|"
+    TAIL = ".,;:!?#$%&"
     JOINED = 400
 
-    def __init__(self, tokenizer: str, limit: int = 450_000):
+    def __init__(self, tokenizer: str, limit: int = MEMO):
         self.tokenizer = load(tokenizer)
         self.memo = Generations(limit)
         self.by_piece = self._drops_white_space()
         self.mark = self._separator_id() if self.by_piece else None
+        self.tails = self.by_piece and all(
+            self._ids(a + b + c) == self._ids(a) + self._ids(b + c) for a in ("an", "é", "5") for b in self.TAIL for c in ("", *self.TAIL)
+        )
+
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        self.folds_case = self.by_piece and all(self._ids(f"a{x}e") == self._ids(f"a{x}e".lower()) for x in letters)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -117,18 +140,31 @@ class PieceEncoder:
         return [raw[a:b] for a, b in zip([0, *(e + 4 for e in stops[:-1])], stops, strict=True)]
 
     def _learn(self, new: list[str]) -> None:
-        plain = [p for p in new if self.SEPARATOR not in p] if self.mark is not None else []
-        others = new if self.mark is None else [p for p in new if self.SEPARATOR in p]
+        """A piece that ends in marks after a letter or digit is its core and the marks, which are looked up apart."""
+        young, cores = self.memo.young, {}
+        if self.tails:
+            for p in new:
+                core = p.rstrip(self.TAIL)
+                if core and len(core) < len(p) and _is_word_end(core[-1]):
+                    cores[p] = core
+        parts = {*cores.values(), *(p[len(core) :] for p, core in cores.items())}
+        wanted = [p for p in new if p not in cores]
+        wanted += self.memo.missing(list(parts.difference(wanted)), turn=False)
+        plain = [p for p in wanted if self.SEPARATOR not in p] if self.mark is not None else []
+        others = wanted if self.mark is None else [p for p in wanted if self.SEPARATOR in p]
         for pieces, encode in ((plain, self._joined), (others, self._each)):
             for k in range(0, len(pieces), 20_000):
                 some = pieces[k : k + 20_000]
-                self.memo.young.update(zip(some, encode(some), strict=True))
+                young.update(zip(some, encode(some), strict=True))
+        young.update({p: young[core] + young[p[len(core) :]] for p, core in cores.items()})
 
     def _part(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and the number of ids of each text."""
         if not self.by_piece:
             bodies = self._each(texts.to_pylist())
             return np.frombuffer(b"".join(bodies), "<u4"), np.array([len(b) // 4 for b in bodies], np.int64)
+        if self.folds_case:
+            texts = pc.if_else(pc.match_substring_regex(texts, self.COMBINING), texts, pc.ascii_lower(texts))
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
         used = coded.dictionary.to_pylist()
@@ -164,6 +200,6 @@ class PieceEncoder:
         return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
 
-def encoder(tokenizer: str) -> PieceEncoder:
+def encoder(tokenizer: str, limit: int = MEMO) -> PieceEncoder:
     """One for each worker process, so that its memo lasts from task to task of the same work."""
-    return kept(("pieces", tokenizer), lambda: PieceEncoder(tokenizer))
+    return kept(("pieces", tokenizer, limit), lambda: PieceEncoder(tokenizer, limit))

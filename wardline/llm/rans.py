@@ -34,9 +34,9 @@ from wardline.llm import pieces
 from wardline.llm.shared import scratch_dir, staged, table
 
 SCALE_BITS = 20
-LANES = 1024
+LANES = 2048
 BLOCK_IDS = 1 << 18
-CHECKPOINT_STEPS = 128
+CHECKPOINT_STEPS = 64
 LOWEST = np.uint64(1 << 31)
 MAGIC = b"RNS1"
 
