@@ -35,8 +35,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: the place of every piece of every document in sequences of 2,048 tokens."""
-    return packing.pack(docs, with_ids=False)
+    """Operator 2: the place of every piece of every document in sequences of 2,048 tokens.
+
+    Executors have run four stages by now and their heaps are full, so workers get a smaller memo.
+    """
+    return packing.pack(docs, with_ids=False, memo=120_000)
 
 
 STAGES = [
