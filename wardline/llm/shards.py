@@ -10,13 +10,13 @@ from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import MapType, NumericType, StringType, VariantType
 from pyspark.sql.window import Window
 
 from wardline.llm.shared import staged, table
 
-#: Salts within a curve cell. Cells are at most 2 ** (bits * dimensions), so the table of run starts is bounded.
-SALTS = 64
+#: Salts within a curve cell at least; large tables have one for so many rows, which bounds what is ranked in one task.
+SALTS, ROWS_PER_SALT = 64, 2_000_000
 
 
 def _code(docs: DataFrame, dim: str, prefix: int) -> Column:
@@ -108,14 +108,16 @@ def hilbert_shards(
     Rows are ranked by (curve index, salt, id); shard = floor(rank * n_shards / rows), so shard row counts
     differ by at most one. Fewer rows than shards leave shards empty; an empty table gives no rows. Null
     dimension values count as the lowest. Rows that tie in everything take neighbouring slots in any order.
-    Given columns named curve_index, shard or slot are replaced.
+    Equal texts lie together only as far as their dimensions and salts do: law ``rows`` counts rows, not texts.
+    Given columns named curve_index, shard or slot, in whatever case, are replaced; other names do no harm.
 
-    Ranks come from counts of (cell, salt) groups, a table bounded by cells and salts, plus a row number
-    inside each group: a cell that holds a third of all rows is dealt over ``SALTS`` groups.
+    Ranks come from counts of (cell, salt) groups plus a row number inside each group. A salt is a hash of the
+    row, so a cell that holds a third of all rows, or rows without an id, are dealt over many groups.
     """
     if bits * len(dims) > 12:
         raise ValueError("bits * dimensions must not exceed 12, which bounds the table of run starts")
-    own = [c for c in docs.columns if c not in ("curve_index", "shard", "slot")]
+    made = ("curve_index", "shard", "slot")
+    own = [c for c in docs.columns if c.lower() not in made]
     strings = [d for d in dims if isinstance(docs.schema[d].dataType, StringType)]
     prefix = dict.fromkeys(dims, 0)
     if strings:
@@ -125,36 +127,36 @@ def hilbert_shards(
             prefix[d] = next((k for k, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
     codes = {d: _code(docs, d, prefix[d]) for d in dims}
     cuts = _cuts(docs, codes, bits)
-    names = [f"__code{i}" for i in range(len(dims))]
+    helper = "__"  # in front of every column that is added on the way
+    while any(c.lower().startswith(helper) for c in docs.columns):
+        helper += "_"
+    cell, salt, n, starts_at, rows_, rank, shard = (f"{helper}{x}" for x in ("cell", "salt", "n", "start", "rows", "rank", "shard"))
+    names = [f"{helper}code{i}" for i in range(len(dims))]
     axes = []
     for name, d in zip(names, dims, strict=True):
         ends = F.split(F.lit(",".join(map(str, cuts[d])) or "0"), ",").cast("array<int>")
         axes.append(_reached(ends, F.col(name)) if cuts[d] else F.lit(0))
-    placed = docs.withColumns({n: codes[d] for n, d in zip(names, dims, strict=True)})
-    placed = placed.withColumn("curve_index", curve_index(axes, bits)).drop(*names)
-    placed = placed.withColumn("__salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
-    counts = staged(placed.groupBy("curve_index", "__salt").agg(F.count(F.lit(1)).alias("n")), "shard-counts")
-    cells = counts.groupBy("curve_index").agg(F.sum("n").alias("in_cell"))
-    before_cell = Window.orderBy("curve_index").rowsBetween(Window.unboundedPreceding, -1)
-    every_cell = Window.partitionBy(F.lit(0))
-    cells = cells.select(
-        "curve_index",
-        F.coalesce(F.sum("in_cell").over(before_cell), F.lit(0)).alias("cell_start"),
-        F.sum("in_cell").over(every_cell).alias("__rows"),
-    )
-    before_salt = Window.partitionBy("curve_index").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        "curve_index", "__salt", F.coalesce(F.sum("n").over(before_salt), F.lit(0)).alias("salt_start")
-    ).join(F.broadcast(cells), "curve_index")  # at most 4,096 cells
-    order = Window.partitionBy("curve_index", "__salt").orderBy(id_col)
-    ranked = placed.withColumn("__n", F.row_number().over(order)).join(starts, ["curve_index", "__salt"])
-    rank = F.col("cell_start") + F.col("salt_start") + F.col("__n") - 1
-    ranked = ranked.withColumn("__rank", rank).withColumn(
-        "shard", F.expr(f"cast((__rank * {n_shards}) div __rows as int)")
+    hashed = [c for c in docs.columns if not isinstance(docs.schema[c].dataType, (MapType, VariantType))]
+    salts = max(SALTS, docs.count() // ROWS_PER_SALT)
+    placed = docs.withColumns({name: codes[d] for name, d in zip(names, dims, strict=True)} | {salt: F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")})
+    placed = placed.withColumn(cell, curve_index(axes, bits)).select(*own, cell, salt)
+    counts = staged(placed.groupBy(cell, salt).agg(F.count(F.lit(1)).alias(n)), "shard-counts")
+    whole = counts.groupBy(cell).agg(F.sum(n).alias(n))
+    before_cell = Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select(
+        cell,
+        F.coalesce(F.sum(n).over(before_cell), F.lit(0)).alias(starts_at),
+        F.sum(n).over(Window.partitionBy(F.lit(0))).alias(rows_),
     )
+    before_salt = Window.partitionBy(cell).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    in_cell = counts.select(cell, salt, F.coalesce(F.sum(n).over(before_salt), F.lit(0)).alias(n))
+    starts = in_cell.join(F.broadcast(whole), cell).select(cell, salt, rows_, (F.col(n) + F.col(starts_at)).alias(starts_at))  # at most 4,096 cells
+    order = Window.partitionBy(cell, salt).orderBy(id_col)
+    ranked = placed.withColumn(n, F.row_number().over(order)).join(staged(starts, "shard-starts"), [cell, salt])
+    ranked = ranked.withColumn(rank, F.col(starts_at) + F.col(n) - 1).withColumn(shard, F.expr(f"cast((`{rank}` * {n_shards}) div `{rows_}` as int)"))
     # the first rank of shard s is ceil(s * rows / n_shards)
-    first = F.expr(f"(cast(shard as bigint) * __rows + {n_shards - 1}) div {n_shards}")
-    return ranked.withColumn("slot", F.col("__rank") - first).select(*own, "curve_index", "shard", "slot")
+    first = F.expr(f"(cast(`{shard}` as bigint) * `{rows_}` + {n_shards - 1}) div {n_shards}")
+    return ranked.select(*own, F.col(cell).alias("curve_index"), F.col(shard).alias("shard"), (F.col(rank) - first).alias("slot"))
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
