@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.shared import let, staged, table
+from wardline.llm.shared import let, table
 
 #: ASCII white space, as the word pattern [^\x20\x09-\x0D]+ leaves it out.
 SPACE = " \t\n\x0b\x0c\r"
@@ -104,10 +103,20 @@ def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """``fails`` is built from the text alone, so a cascade evaluates it only if no earlier rule failed."""
+    """``fails`` is built from the text alone, so a cascade evaluates it only if no earlier rule failed.
+
+    ``per_char`` and ``per_word`` weigh what it does for each character and word of a text: nanoseconds of one
+    core, measured once. A row's cost follows from its length and not from a clock, so the order of rules on a
+    sample is the same in every run.
+    """
 
     name: str
     fails: Column
+    per_char: float = 1.0
+    per_word: float = 0.0
+
+    def cost(self, chars: Column, words: Column) -> Column:
+        return chars * self.per_char + words * self.per_word
 
 
 def rules(text_col: str = "text") -> list[Rule]:
@@ -116,11 +125,11 @@ def rules(text_col: str = "text") -> list[Rule]:
     n_words = F.size(words_of(text))
     mean = let(words_of(text), lambda w: F.char_length(F.array_join(w, "")) / F.greatest(F.size(w), F.lit(1)))
     return [
-        Rule("few_words", n_words < 20),
-        Rule("repeated_windows", let(words_of(text), lambda w: 100 * n_repeat_words_of(w) > 30 * F.size(w))),
-        Rule("symbols", 4 * n_symbols_of(text) > n_words),
-        Rule("repeated_lines", let(n_dup_lines_of(text), lambda d: (d > 1) & (10 * d > 3 * n_lines_of(text)))),
-        Rule("word_length", ~mean.between(2.0, 16.0)),
+        Rule("few_words", n_words < 20, 25),
+        Rule("repeated_windows", let(words_of(text), lambda w: 100 * n_repeat_words_of(w) > 30 * F.size(w)), 25, 800),
+        Rule("symbols", 4 * n_symbols_of(text) > n_words, 45),
+        Rule("repeated_lines", let(n_dup_lines_of(text), lambda d: (d > 1) & (10 * d > 3 * n_lines_of(text))), 20),
+        Rule("word_length", ~mean.between(2.0, 16.0), 40),
     ]
 
 
@@ -138,22 +147,22 @@ def metric_rules() -> list[Rule]:
 
 
 def rank_rules(docs: DataFrame, given: list[Rule], text_col: str = "text", sample_rows: int = 500) -> list[Rule]:
-    """The rules, most rejections per second first, as measured on about ``sample_rows`` rows.
+    """The rules, most rejections per cost first, as estimated on about ``sample_rows`` rows; ties by name.
 
-    The sample only orders the rules: a row's verdict (fails any rule or none) is the same in every order.
-    An empty sample keeps the given order.
+    The sample is the texts whose hash falls in one of so many classes, so it doesn't depend on how rows are
+    spread. It only orders the rules: a row's verdict (fails any rule or none) is the same in every order. An
+    empty sample keeps the given order.
     """
     total = docs.count()
-    if not total:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sample = docs.select(text_col).where(F.pmod(F.xxhash64(text, F.lit("quality")), F.lit(max(1, total // sample_rows))) == 0)
+    chars, words = F.char_length(text), F.size(words_of(F.col(text_col)))
+    measures = [F.struct(F.count_if(F.coalesce(r.fails, F.lit(False))).alias("rejected"), F.sum(r.cost(chars, words)).alias("cost")) for r in given]
+    found = sample.agg(F.count(F.lit(1)).alias("rows"), *[m.alias(f"rule{k}") for k, m in enumerate(measures)]).first()
+    if not found["rows"]:
         return list(given)
-    sample = staged(docs.select(text_col).sample(min(1.0, sample_rows / total), seed=7), "quality-sample")
-    sample.agg(F.count(text_col)).collect()
-    measured = []
-    for k, rule in enumerate(given):
-        began = time.perf_counter()
-        rejected = sample.agg(F.count_if(rule.fails)).first()[0]
-        measured.append((-(rejected + 0.5) / (time.perf_counter() - began), k, rule))
-    return [rule for _, _, rule in sorted(measured, key=lambda m: m[:2])]
+    gain = lambda k: (found[f"rule{k}"]["rejected"] + 0.5) / (found[f"rule{k}"]["cost"] + 1)
+    return [given[k] for k in sorted(range(len(given)), key=lambda k: (-gain(k), given[k].name))]
 
 
 def first_failure(ordered: list[Rule]) -> Column:
