@@ -1,6 +1,7 @@
 """Sharding, license scan, exact dedup and quality rules against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -18,6 +19,31 @@ def canonical(rows, columns):
     return sorted(tuple(repr(round(r[i], 9) if isinstance(r[i], float) else r[i]) for i in order) for r in rows)
 
 
+def test_scan_equals_sql_on_wrapped_notices(spark, tmp_path):
+    """Every template whole, wrapped at several widths, behind comment marks, with too many words left out, and twice."""
+    texts = []
+    for k, (_, notice) in enumerate(licenses.TEMPLATES):
+        for width in (30, 72, 400):
+            lines, line = [], ""
+            for word in notice.split(" "):
+                line = f"{line} {word}".strip()
+                if len(line) > width:
+                    lines, line = [*lines, line], ""
+            lines.append(line)
+            texts.append("\n".join(["before it", *[f"{('', '# ', ' * ')[k % 3]}{x}" for x in lines], "", "after it " * 3]))
+            texts.append("\n".join(["x y", *lines[:-1]]))
+            texts.append("\n\n".join([*lines, *lines]))
+    texts += [None, "", "\n", "under the\nMIT license"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = registry.QUERIES["op4_license_scan"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = con.sql(registry.ORACLE_SQL["op4_license_scan"])
+    assert canonical(df.collect(), df.columns) == canonical(expected.fetchall(), expected.columns)
+    found = {r["doc_id"]: r["labels"] for r in df.collect()}
+    assert all(licenses.TEMPLATES[k // 9][0] in found[k].split(",") for k in range(0, 9 * len(licenses.TEMPLATES), 3))
+
+
 @pytest.mark.parametrize("name", ["op4_license_scan", "op5_exact_dedup", "op8_quality_cascade"])
 def test_query_equals_sql(name, spark, sf_dir):
     df = registry.QUERIES[name](spark, sf_dir)
@@ -69,6 +95,42 @@ def test_shards_edge_rows(edge_docs, edge_rows, no_docs, tmp_path, spark):
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(edge_rows)
 
 
+def test_curve_index_of_rows_by_brute_force(spark, sf_dir, documents):
+    """Quantile cuts and cells computed anew in Python from the codes of the docstrings."""
+    rows = documents.select("doc_id", "source", "lang", (F.octet_length("text") + 16).alias("size")).collect()
+
+    def string_code(values):
+        raw = [(v or "").encode() for v in values]
+        low, high = min(raw), max(raw)
+        k = next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
+        return [int.from_bytes((r[k : k + 2] + b"\0\0")[:2], "big") for r in raw]
+
+    axes = [string_code([r["source"] for r in rows]), string_code([r["lang"] for r in rows]), [16_000 + int(math.log2(r["size"] + 1) * 16) for r in rows]]
+    points = []
+    for codes in axes:
+        ordered = sorted(codes)
+        cuts = sorted({ordered[min(int(len(codes) * k / 16), len(codes) - 1)] for k in range(1, 16)})
+        points.append([sum(c <= code for c in cuts) for code in codes])
+    want = {r["doc_id"]: shards.hilbert_index(p, 4) for r, p in zip(rows, zip(*points, strict=True), strict=True)}
+    assert {r["doc_id"]: r["curve_index"] for r in shards.op1_hilbert_shards(spark, sf_dir).collect()} == want
+
+
+def test_shards_prune_on_each_dimension(spark, documents):
+    """A shard spans few sources, few languages and a part of the sizes: a filter on any leaves most files out."""
+    placed = shards.hilbert_shards(documents.select("doc_id", "source", "lang", "n_chars"), ["source", "lang", "n_chars"], 20)
+    spans = placed.groupBy("shard").agg(F.countDistinct("source").alias("s"), F.countDistinct("lang").alias("l")).agg(F.avg("s"), F.avg("l")).first()
+    all_ = documents.agg(F.countDistinct("source"), F.countDistinct("lang")).first()
+    assert spans[0] < 0.6 * all_[0] and spans[1] < 0.8 * all_[1]
+
+
+def test_shards_of_clashing_names(spark):
+    rows = [(k % 5 or None, "a" * (k % 7), k, 1, 2, "x", 3.0) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id int, source string, n long, cell_start int, salt_start int, Shard string, __rank double")
+    placed = shards.hilbert_shards(docs, ["source", "n"], 6)
+    assert placed.columns == ["doc_id", "source", "n", "cell_start", "salt_start", "__rank", "curve_index", "shard", "slot"]
+    assert sorted(r["n"] for r in placed.collect()) == list(range(50)) and {(r["cell_start"], r["salt_start"], r["__rank"]) for r in placed.collect()} == {(1, 2, 3.0)}
+
+
 # ---- exact dedup
 
 
@@ -81,8 +143,8 @@ def brute_dedup(rows):
 
 def test_dedup_edge_rows(edge_docs, edge_rows, no_docs):
     groups = brute_dedup([r[:2] for r in edge_rows])
-    for limit in (1_000_000, 0):  # few survivors are broadcast; many mean that every row is hashed
-        rows = dedup.exact_dedup(edge_docs.select("doc_id", "text"), digest_all=True, broadcast_rows=limit)
+    for words in (dedup.FILTER_WORDS, 1):  # a filter that tells keys apart, and one that lets nearly all rows pass
+        rows = dedup.exact_dedup(edge_docs.select("doc_id", "text"), digest_all=True, filter_words=words)
         got = rows.collect()
         by_sha = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in groups.items()}
         assert len(got) == len(edge_rows)
@@ -96,6 +158,12 @@ def test_dedup_edge_rows(edge_docs, edge_rows, no_docs):
     assert dedup.exact_dedup(no_docs).count() == 0
 
 
+def test_dedup_output_does_not_depend_on_the_filter(documents):
+    """Nulls included: a hash stands where there is a copy, whatever rows were hashed in vain."""
+    wide, narrow = (sorted(map(tuple, dedup.exact_dedup(documents, filter_words=w).collect())) for w in (dedup.FILTER_WORDS, 1))
+    assert wide == narrow and all((r[2] > 1) == (r[4] is not None) for r in wide) and any(r[4] for r in wide)
+
+
 def test_dedup_prefix_ties(spark):
     head = "x" * 100
     docs = spark.createDataFrame([(1, head + "ab"), (2, head + "ba"), (3, head + "ab")], "doc_id long, text string")
@@ -154,6 +222,14 @@ def test_cascade_is_one_verdict_in_every_order(edge_docs, no_docs, documents):
     assert quality.quality_cascade(no_docs).count() == 0 and quality.passing(no_docs).count() == 0
 
 
+def test_rules_have_one_order(documents):
+    """However the rows are spread, the sample ranks the rules alike, so a row's first failed rule is stable."""
+    orders = {tuple(r.name for r in quality.rank_rules(documents.repartition(k), quality.rules())) for k in (1, 3, 7)}
+    assert len(orders) == 1
+    failed = [sorted((r["doc_id"], r["failed_rule"]) for r in quality.quality_cascade(documents.repartition(k)).select("doc_id", "failed_rule").collect() if r["failed_rule"]) for k in (1, 5)]
+    assert failed[0] == failed[1]
+
+
 def test_quality_keeps_clean_and_finds_junk(spark, sf_dir, documents):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = quality.quality_cascade(documents).join(labels, "doc_id").where("n_chars > 400")

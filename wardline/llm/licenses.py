@@ -15,7 +15,7 @@ from wardline.llm.shared import let, staged, table
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-LINE_ENDS = "array<struct<line:int,tokens:array<string>,tail:array<string>,head:array<string>>>"
+LINE_ENDS = "array<struct<line:int,tokens:array<string>,tail:array<string>,head:array<string>,reach:int>>"
 
 #: Phrases of the base scan and their labels.
 PHRASES = {
@@ -24,7 +24,7 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Label and text of short public notices; a parameter of the scan.
+#: Label and text of public notices, each in one line; a parameter of the scan.
 TEMPLATES = [
     ("apache-2", "Licensed under the Apache License, Version 2.0"),
     ("mit", "Released under the MIT License"),
@@ -38,6 +38,25 @@ TEMPLATES = [
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc-by", "Licensed under a Creative Commons Attribution 4.0 International License"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the Software), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+        "and to permit persons to whom the Software is furnished to do so",
+    ),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer",
+    ),
+    (
+        "apache-2",
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
+        "distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
+    ),
 ]
 
 
@@ -51,6 +70,12 @@ class Template:
     tokens: tuple[str, ...]  # distinct, rarest first
     least: int  # tokens that a block must hold
     prefix: int  # leading tokens of which such a block holds one
+    reach: int  # words looked at on either side of a line end
+
+
+def reach_of(text: str) -> int:
+    """The template's words and ``SLACK`` more, rounded up to a power of two, so that few widths are looked at."""
+    return 1 << (len([t for t in tokens_of(text) if t]) + SLACK - 1).bit_length()
 
 
 def tokens_of(text: str) -> list[str]:
@@ -114,7 +139,7 @@ def ordered_templates(
         words = {t for t in tokens_of(text) if t}
         tokens = tuple(t for t in order if t in words)
         least = math.ceil(threshold * len(tokens) - 1e-9)
-        out.append(Template(label, tokens, least, len(tokens) - least + 1))
+        out.append(Template(label, tokens, least, len(tokens) - least + 1, reach_of(text)))
     return order, out
 
 
@@ -128,17 +153,17 @@ def license_scan(
 ) -> DataFrame:
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
-    A block is a line, or with ``across`` also the words on both sides of a line end: of the line before it, and of the lines after
-    it, as many as the longest template has and ``SLACK`` more on either side, so a notice is met wherever it is
-    wrapped. A block meets a template if it holds at least ``threshold`` of the template's distinct words,
-    however many others it has; one at a line end only if neither side does alone. matches lists (line from 0,
-    label, containment) of every block that does, with the line in which it begins; labels join those and the base ones; score is 1 where a base phrase stands, else the best
-    containment, else 0. Null and blank texts have no words and no labels. Rows that repeat are scanned each
+    A block is a line, or with ``across`` also the words on both sides of a line end: of the line before it, and
+    of the lines after it, somewhat more than the template has (``reach_of``) on either side, so a notice is met
+    wherever it is wrapped. A block meets a template if it holds at least ``threshold`` of the template's
+    distinct words, however many others it has; one at a line end only if neither side does alone. matches lists
+    (line from 0, label, containment) of every block that does, with the line in which it begins; labels join
+    those and the base ones; score is 1 where a base phrase stands, else the best containment, else 0. Null and blank texts have no words and no labels. Rows that repeat are scanned each
     for itself; an empty table gives no rows; texts are read whole; only the two named columns are read.
 
     Filters, each of which keeps every true match: a row without a prefix word of any template leaves
-    (prefix filter), and so does one that holds too few words of each template; a block with fewer template words than the least needed leaves (length filter); a shared
-    prefix word at places i and j bounds the overlap by min(i, j) + 1 + what follows on the shorter side
+    (prefix filter), and so does one that holds too few words of each template; a block with fewer template words
+    than the least needed leaves (length filter); a shared prefix word at places i and j bounds the overlap by min(i, j) + 1 + what follows on the shorter side
     (positional filter). What stays is verified by intersection.
     """
     templates = TEMPLATES if templates is None else templates
@@ -146,7 +171,7 @@ def license_scan(
     order, ordered = ordered_templates(padded.select("padded"), templates, threshold)
     prefix = sorted({t for x in ordered for t in x.tokens[: x.prefix]})
     every = F.array(*[F.lit(t) for t in order])
-    reach = max((len([t for t in tokens_of(x) if t]) for _, x in templates), default=0) + SLACK
+    reaches = sorted({x.reach for x in ordered}) if across else []
     shortest = min((x.least for x in ordered), default=0)
     worded = F.filter(
         F.transform(
@@ -157,7 +182,7 @@ def license_scan(
     )
     blocks = F.when(
         F.col("padded").rlike(f" (?:{'|'.join(prefix)}) ") & _holds_any(F.array_intersect(every, F.split("padded", " +")), ordered),
-        F.filter(let(worded, lambda x: _blocks(x, every, reach if across else 0)), lambda x: F.size(x["tokens"]) >= shortest),
+        F.filter(let(worded, lambda x: _blocks(x, every, reaches)), lambda x: F.size(x["tokens"]) >= shortest),
     )
     rows = staged(
         with_base(padded)
@@ -192,48 +217,45 @@ def _holds_any(held: Column, ordered: list[Template]) -> Column:
     return let(held, lambda h: reduce(Column.__or__, enough(h), F.lit(False)))
 
 
-def _blocks(lines: Column, every: Column, reach: int) -> Column:
-    """Blocks (line, tokens, tail, head) of the lines (line, words) that have words; tail and head only at line ends.
+def _blocks(lines: Column, every: Column, reaches: list[int]) -> Column:
+    """Blocks (line, tokens, tail, head, reach) of the lines (line, words) that have words.
 
-    Line ends are looked across as far as ``reach`` words, and not at all if it is 0.
+    A line has null in the last three. Each line end has a block for each of the ``reaches``, the words looked
+    at on either side.
     """
     of = lambda words: F.array_intersect(every, words)
     none = F.lit(None).cast("array<string>")
-    whole = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), of(x["words"]).alias("tokens"), none.alias("tail"), none.alias("head")))
 
-    if not reach:
-        return whole
+    def of_line(x: Column) -> Column:
+        return F.struct(x["line"].alias("line"), of(x["words"]).alias("tokens"), none.alias("tail"), none.alias("head"), F.lit(None).cast("int").alias("reach"))
 
-    def at_end(k: Column) -> Column:
+    def at_end(k: Column, reach: int) -> Column:
         last = F.element_at(lines, k)
         tail = F.slice(last["words"], F.greatest(F.size(last["words"]) - reach + 1, F.lit(1)), reach)
         after = F.transform(F.slice(lines, k + 1, reach), lambda x: F.slice(x["words"], 1, reach))
         sides = F.struct(of(tail).alias("tail"), of(F.slice(F.flatten(after), 1, reach)).alias("head"))
-        return let(
-            sides,
-            lambda v: F.struct(
-                last["line"].alias("line"), of(F.concat(v["tail"], v["head"])).alias("tokens"), v["tail"].alias("tail"), v["head"].alias("head")
-            ),
-        )
+        held = lambda v: of(F.concat(v["tail"], v["head"]))
+        return let(sides, lambda v: F.struct(last["line"].alias("line"), held(v).alias("tokens"), v["tail"].alias("tail"), v["head"].alias("head"), F.lit(reach).alias("reach")))
 
-    ends = F.when(F.size(lines) > 1, F.transform(F.sequence(F.lit(1), F.size(lines) - 1), at_end))
-    return F.concat(whole, F.coalesce(ends, F.array().cast(LINE_ENDS)))
+    ends = lambda reach: F.transform(F.sequence(F.lit(1), F.size(lines) - 1), lambda k: at_end(k, reach))
+    empty = F.array().cast(LINE_ENDS)
+    return F.concat(F.transform(lines, of_line), *[F.when(F.size(lines) > 1, ends(reach)).otherwise(empty) for reach in reaches])
 
 
 def _matches(rows: DataFrame, ordered: list[Template]) -> DataFrame:
     """(__row, matches) of the rows that have any. The template side is as large as its parameter."""
     spark = rows.sparkSession
     index = [
-        (k, x.label, list(x.tokens), x.least, place, x.tokens[place])
+        (k, x.label, list(x.tokens), x.least, x.reach, place, x.tokens[place])
         for k, x in enumerate(ordered)
         for place in range(x.prefix)
     ]
-    schema = "template int, label string, wanted array<string>, least int, place int, token string"
+    schema = "template int, label string, wanted array<string>, least int, wide int, place int, token string"
     prefixes = F.broadcast(spark.createDataFrame(index, schema))
     held = (
         rows.select("__row", F.explode("blocks").alias("block"))
         .select("__row", "block.*")
-        .select("__row", "line", "tokens", "tail", "head", F.posexplode("tokens").alias("at", "token"))
+        .select("__row", "line", "tokens", "tail", "head", "reach", F.posexplode("tokens").alias("at", "token"))
     )
     shared = 1 + F.least(F.col("at"), F.col("place"))
     after = F.least(F.size("tokens") - 1 - F.col("at"), F.size("wanted") - 1 - F.col("place"))
@@ -241,7 +263,8 @@ def _matches(rows: DataFrame, ordered: list[Template]) -> DataFrame:
         held.join(prefixes, "token")
         .where(F.size("tokens") >= F.col("least"))
         .where(shared + after >= F.col("least"))
-        .withColumn("at_end", F.col("tail").isNotNull())
+        .where(F.coalesce(F.col("reach") == F.col("wide"), F.lit(True)))
+        .withColumn("at_end", F.col("reach").isNotNull())
         .dropDuplicates(["__row", "line", "at_end", "template"])
     )
     overlap = F.size(F.array_intersect("wanted", "tokens"))
@@ -258,13 +281,13 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sql(threshold: float = 0.9) -> str:
-    """Brute force: every line of every document against every template."""
+    """Brute force: every line, and the words around every line end, of every document against every template."""
     values = []
     for k, (label, text) in enumerate(TEMPLATES):
         words = sorted({t for t in tokens_of(text) if t})
         least = math.ceil(threshold * len(words) - 1e-9)
         listed = ", ".join(f"'{w}'" for w in words)
-        values.append(f"({k}, '{label}', [{listed}], {least})")
+        values.append(f"({k}, '{label}', [{listed}], {least}, {reach_of(text)})")
     places = " UNION ALL ".join(
         f"""SELECT rid, '{label}' AS label, i - 1 AS pos FROM (
           SELECT rid, words, unnest(range(1, len(words) - {len(phrase.split()) - 2})) AS i FROM w
@@ -279,11 +302,19 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, COALESCE(text, '') AS tex
 w AS (SELECT rid, doc_id, text, regexp_extract_all({lower}, '{pattern}') AS words FROM d),
 p AS ({places}),
 base AS (SELECT rid, COUNT(*) AS n_base, MIN(pos) AS first_word, MAX(pos) AS last_word FROM p GROUP BY rid),
-t(template, label, wanted, least) AS (VALUES {', '.join(values)}),
-b AS (SELECT rid, list_distinct(regexp_extract_all(line, '{pattern}')) AS held
-      FROM (SELECT rid, unnest(string_split({lower}, chr(10))) AS line FROM d)),
+t(template, label, wanted, least, reach) AS (VALUES {', '.join(values)}),
+l AS (SELECT rid, k, regexp_extract_all(line, '{pattern}') AS line_words
+      FROM (SELECT rid, unnest(string_split({lower}, chr(10))) AS line, unnest(range(len(string_split({lower}, chr(10))))) AS k FROM d)),
+b AS (SELECT rid, list_distinct(line_words) AS held FROM l),
+e AS (SELECT rid, len(line_words) AS n, SUM(len(line_words)) OVER (PARTITION BY rid ORDER BY k)::BIGINT AS ends FROM l WHERE len(line_words) > 0),
+be AS (SELECT rid, reach, words[greatest(ends - reach + 1, ends - n + 1):ends] AS tail, words[ends + 1:ends + reach] AS head
+       FROM e JOIN w USING (rid), (SELECT DISTINCT reach FROM t) WHERE ends < len(words)),
 m AS (SELECT rid, label, len(list_intersect(wanted, held)) / len(wanted) AS c
-      FROM b, t WHERE len(held) >= least AND len(list_intersect(wanted, held)) >= least),
+      FROM b, t WHERE len(held) >= least AND len(list_intersect(wanted, held)) >= least
+      UNION ALL
+      SELECT rid, label, len(list_intersect(wanted, list_concat(tail, head))) / len(wanted) AS c
+      FROM be JOIN t USING (reach) WHERE len(list_intersect(wanted, list_concat(tail, head))) >= least
+      AND len(list_intersect(wanted, tail)) < least AND len(list_intersect(wanted, head)) < least),
 best AS (SELECT rid, MAX(c) AS c FROM m GROUP BY rid),
 bl AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS s FROM p GROUP BY rid),
 al AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS s
