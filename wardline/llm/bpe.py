@@ -298,19 +298,12 @@ class SpeculativeEncoder:
         marked = pc.replace_substring(pc.binary_join_element_wise("\0", plain, ""), "\n", " \n \0")
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
-        used = coded.dictionary.to_pylist()
-        self._learn(self.memo.missing(used))
-        bodies = list(map(self.memo.young.__getitem__, used))
-        alone = np.fromiter((b is not None for b in bodies), bool, len(bodies))
-        sizes = np.fromiter((len(b) if b else 0 for b in bodies), np.int64, len(bodies)) // 4
-        at = coded.indices.to_numpy()
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        offsets -= offsets[0]
-        counts = sizes[at]
-        ids = pieces.gather(np.frombuffer(b"".join(filter(None, bodies)), "<u4"), (np.cumsum(sizes) - sizes)[at], counts)
-        before = np.concatenate([[0], np.cumsum(counts)])
-        bounds = before[offsets]
-        odd |= np.diff(np.concatenate([[0], np.cumsum(~alone[at])])[offsets]) > 0
+        bodies = self.memo.values(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._learn)
+        ids, bounds = pieces.laid_out(bodies, lists, coded.indices)
+        if None in bodies:
+            alone = np.fromiter((b is not None for b in bodies), bool, len(bodies))[coded.indices.to_numpy()]
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            odd |= np.diff(np.concatenate([[0], np.cumsum(~alone)])[offsets - offsets[0]]) > 0
         if not odd.any():
             return ids, np.diff(bounds)
         parts = [ids[a:b] for a, b in pairwise(bounds.tolist())]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,9 @@ def _is_word_end(char: str) -> bool:
     return char.isalnum() and unicodedata.normalize("NFC", char).lower()[-1].isalnum()
 
 
+UNKNOWN = object()
+
+
 class Generations:
     """A bounded memo: when the young half is full it becomes the old one, and what is used again is carried over."""
 
@@ -54,6 +57,19 @@ class Generations:
         self.young: dict = {}
         self.old: dict = {}
 
+    def values(self, used: list, learn: Callable[[list], None]) -> list:
+        """What is known of the keys; ``learn`` is called with those that nothing is known of and puts them in ``young``."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, used, repeat(UNKNOWN)))
+        absent = [k for k, x in enumerate(found) if x is UNKNOWN]
+        if absent:
+            learn(self.missing([used[k] for k in absent], turn=False))
+            young = self.young
+            for k in absent:
+                found[k] = young[used[k]]
+        return found
+
     def missing(self, used: list, turn: bool = True) -> list:
         """Keys that nothing is known of; what is known of the others is in ``young`` afterwards.
 
@@ -75,10 +91,14 @@ def parts_of(texts: pa.Array, limit: int = 1 << 22) -> Iterator[pa.Array]:
         yield texts.slice(start, end - start)
 
 
-def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The runs flat[start : start + size], one after another."""
-    ends = np.cumsum(sizes)
-    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+def laid_out(bodies: list[bytes | None], lists: pa.ListArray, at: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts that are given as lists of places ``at`` in ``bodies``, one after another, and the bounds of each text."""
+    taken = pa.array(bodies, pa.large_binary()).take(at)
+    _, places, data = taken.buffers()
+    ends = np.frombuffer(places, "<i8", len(taken) + 1, 8 * taken.offset)
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    ids = np.frombuffer(data, "<u4", int(ends[-1] - ends[0]) // 4, int(ends[0])) if data is not None and ends[-1] > ends[0] else np.empty(0, np.uint32)
+    return ids, (ends[offsets - offsets[0]] - ends[0]) // 4
 
 
 class PieceEncoder:
@@ -167,16 +187,9 @@ class PieceEncoder:
             texts = pc.if_else(pc.match_substring_regex(texts, self.COMBINING), texts, pc.ascii_lower(texts))
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
-        used = coded.dictionary.to_pylist()
-        self._learn(self.memo.missing(used))
-        bodies = list(map(self.memo.young.__getitem__, used))
-        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
-        at = coded.indices.to_numpy()
-        counts = sizes[at]
-        ids = gather(np.frombuffer(b"".join(bodies), "<u4"), (np.cumsum(sizes) - sizes)[at], counts)
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        before = np.concatenate([[0], np.cumsum(counts)])
-        return ids, np.diff(before[offsets - offsets[0]])
+        bodies = self.memo.values(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._learn)
+        ids, bounds = laid_out(bodies, lists, coded.indices)
+        return ids, np.diff(bounds)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

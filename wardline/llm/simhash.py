@@ -239,7 +239,7 @@ def shingle_hashes(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]
     """
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     coded = lists.flatten().dictionary_encode()
-    held = coded.dictionary.to_pylist()
+    held = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in held), np.uint64, len(held))
     filled = np.fromiter((w != "" for w in held), bool, len(held))
     at = coded.indices.to_numpy()
