@@ -134,6 +134,15 @@ def test_speculation_equals_library(byte_bpe):
     assert found == [struct.pack(f"<{len(i)}I", *i) for i in library_ids(byte_bpe, texts)]
 
 
+def test_words_of_any_length(byte_bpe):
+    """Words of thousands of letters, one letter over and over, and texts of nothing but such words."""
+    r = random.Random(14)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEF") for _ in range(n)) for n in (1, 95, 97, 3000, 20_000)]
+    texts += ["a" * 5000, "ab" * 4000, " ".join("e" * k for k in range(1, 200)), "é" * 3000]
+    coder = bpe.SpeculativeEncoder(pieces.BYTE_BPE)
+    assert coder.encode(texts) == [struct.pack(f"<{len(i)}I", *i) for i in library_ids(byte_bpe, texts)]
+
+
 def test_pair_check_equals_merging():
     v = bpe.Vocabulary(pieces.BYTE_BPE)
     r = np.random.default_rng(3)

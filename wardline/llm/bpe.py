@@ -23,8 +23,6 @@ from wardline.llm import pieces
 from wardline.llm.shared import kept, table
 
 NEVER = np.int64(1 << 40)
-#: Bytes of a word beyond which longest match goes through it alone, not step by step with others.
-LONG_WORD = 96
 
 
 class Lookup:
@@ -177,18 +175,16 @@ class Vocabulary:
         return np.where((found >= 0) & (right > at) & (owner[right] == owner[at]), found, NEVER)
 
     def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Longest match from the left. Ids, and where each word ends."""
+        """Longest match from the left, a token of every word at a time. Ids, and where each word ends."""
         raw, ends = self.bytes_of(words)
         at = ends - np.diff(ends, prepend=0)
-        short = ends - at <= LONG_WORD
-        groups = [np.flatnonzero(short & (at < ends)), *np.flatnonzero(~short).reshape(-1, 1)]
+        live = np.flatnonzero(at < ends)
         done: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        for live in groups:  # the short words step by step together
-            while len(live):
-                found, length = self._longest(raw, at[live], ends[live])
-                done.append((live, found))
-                at[live] += length
-                live = live[at[live] < ends[live]]
+        while len(live):
+            found, length = self._longest(raw, at[live], ends[live])
+            done.append((live, found))
+            at[live] += length
+            live = live[at[live] < ends[live]]
         owners, found = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(owners, kind="stable")
         return found[order], np.cumsum(np.bincount(owners, minlength=len(words)))
