@@ -19,7 +19,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType, Bi
 from pyspark.sql.window import Window
 
 from wardline.llm import pieces
-from wardline.llm.shared import staged, table
+from wardline.llm.shared import give_back, staged, table
 
 CAPACITY = 2048
 #: Groups that pieces of one length are dealt over at least; large tables have one for so many pieces.
@@ -73,6 +73,7 @@ def cut_pieces(
                     pa.array([zlib.crc32(b) for b in bodies], pa.int64()),
                 ] + [pa.array(bodies, pa.binary())] * with_ids
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+        give_back()
 
     source = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col), F.col(text_col).alias("__text"))
     return source.mapInArrow(cut, StructType(fields))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +49,20 @@ def hinted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 _kept: dict = {}
 
 
+def give_back() -> None:
+    """Return what a worker process has freed to the system: allocators hold on to it, and its neighbours need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if trim is not None:
+        trim(0)
+
+
 def kept(key: object, make: Callable[[], object]) -> object:
     """What a worker process keeps from task to task: one large object, which makes room for that of other work."""
     if key not in _kept:
         _kept.clear()
+        give_back()
         _kept[key] = make()
     return _kept[key]
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from wardline.llm.pieces import parts_of
-from wardline.llm.shared import hinted, kept, staged, table, without_rows
+from wardline.llm.shared import give_back, hinted, kept, staged, table, without_rows
 from wardline.operators.linkage import golden_ids
 
 BITS = 3
@@ -317,6 +317,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
             for part in parts_of(batch.column(0)):
                 hashes, n = np.unique(shingle_hashes(part, words)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], ["h", "n"])
+        give_back()
 
     counted = docs.select(text_col).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     return counted.orderBy(F.desc("n"), "h").limit(OFTEN_MOST).select("h").toArrow()["h"].to_numpy().view(np.uint64)
@@ -362,6 +363,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, words: int, similarit
                     pa.array(wides, pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, fields.fieldNames())
+        give_back()
 
     return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, fields)
 

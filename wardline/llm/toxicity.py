@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from wardline.llm.shared import kept, staged, table
+from wardline.llm.shared import give_back, kept, staged, table
 
 SLOTS = 1 << 17
 #: Leading letters that a word backs off to, shortest first; the last level is the whole word.
@@ -73,7 +73,7 @@ class Model:
 class Weigher:
     """Token weights of whole texts, with a memo of pieces: beyond ``limit`` it keeps what the texts at hand use."""
 
-    def __init__(self, model: Model, limit: int = 250_000):
+    def __init__(self, model: Model, limit: int = 150_000):
         self.model, self.limit = model, limit
         totals = model.counts[:SLOTS].sum(0)
         self.ready = bool(totals.all())
@@ -176,6 +176,8 @@ def fit(
                 if len(memo) > 150_000:
                     memo = {}
         used = np.flatnonzero(counts.any(1))
+        memo.clear()
+        give_back()
         yield pa.RecordBatch.from_arrays(
             [pa.array(used), pa.array(counts[used, 0]), pa.array(counts[used, 1])], ["slot", "clean", "toxic"]
         )
@@ -212,6 +214,8 @@ def _calibrate(spark: SparkSession, model: Model, training: DataFrame) -> None:
                     total += np.bincount(np.clip((w - low) / step, 0, bins - 1).astype(int), minlength=bins)
             columns = [pa.array(lengths, pa.int64()), pa.array(best, pa.float64()), pa.nulls(len(best), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["n", "best", "shape"])
+        del weigher
+        give_back()
         if total.any():
             columns = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.array([total.tolist()], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["n", "best", "shape"])
@@ -249,6 +253,8 @@ def _calibrate(spark: SparkSession, model: Model, training: DataFrame) -> None:
                 part = batch.slice(k, 512)
                 x = [model.evidence(segments(w)[2], len(w)) for w in weigher.weights(part.column(0).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), part.column(1)], ["x", "toxic"])
+        del weigher
+        give_back()
 
     judged = training.select("__text", "__toxic").mapInArrow(evidence, "x double, toxic int").toArrow()
     x, y = judged["x"].to_numpy(), (judged["toxic"].to_numpy() > 0).astype(float)
@@ -330,6 +336,7 @@ def flagged(docs: DataFrame, model: Model, text_col: str = "text", threshold: fl
                 found = [model.evidence(segments(w)[2], len(w)) for w in weigher.weights(part.column(at).to_pylist())]
                 flags = model.probability(np.array(found)) >= threshold
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(flags)], fields.fieldNames())
+        give_back()
 
     return docs.mapInArrow(run, fields)
 
