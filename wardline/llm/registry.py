@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import bpe, dedup, edits, licenses, packing, quality, rans, shards, simhash, toxicity
+from wardline.llm import bpe, dedup, edits, licenses, manifest, packing, quality, rans, repair, shards, simhash, toxicity
 
 QUERIES = {
     "op1_hilbert_shards": shards.op1_hilbert_shards,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_quality_cascade": quality.op8_quality_cascade,
     "op9_toxic_segments": toxicity.op9_toxic_segments,
     "op10_edit_aware_counts": edits.op10_edit_aware_counts,
+    "op11_merkle_manifest": manifest.op11_merkle_manifest,
+    "op12_conversation_repair": repair.op12_conversation_repair,
 }
 
 ORACLE_SQL = {
