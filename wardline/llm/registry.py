@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import bpe, dedup, edits, licenses, manifest, packing, quality, rans, repair, shards, simhash, toxicity
+from wardline.llm import bpe, dedup, edits, licenses, lm, manifest, packing, quality, rans, repair, shards, simhash, toxicity
 
 QUERIES = {
     "op1_hilbert_shards": shards.op1_hilbert_shards,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_edit_aware_counts": edits.op10_edit_aware_counts,
     "op11_merkle_manifest": manifest.op11_merkle_manifest,
     "op12_conversation_repair": repair.op12_conversation_repair,
+    "op13_backoff_scores": lm.op13_backoff_scores,
 }
 
 ORACLE_SQL = {
