@@ -2,6 +2,8 @@
 
 import time
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from wardline.operators import vitals as V
@@ -18,50 +20,128 @@ def _files(spark, sf_dir, path, n=4):
     return obs
 
 
+def _flow(spark, path, checkpoint, patients, **options):
+    """Run the flow over what is there; gives the batches' changed patients with their new totals."""
+    sent = []
+    sink = lambda df, batch: sent.append((batch, sorted((r["patient_id"], r["new_total"]) for r in df.collect())))
+    query = ST.run_news2_stream(ST.vitals_stream(spark, str(path), SCHEMA), str(checkpoint), patients, sink, pause=None, **options)
+    query.awaitTermination(180)
+    assert query.exception() is None
+    return sent, query
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
-    obs = _files(spark, sf_dir, str(tmp_path / "in"))
+    """Batches, a restart between them, and the counts seen by a listener give what one batch over all rows gives."""
+    obs = tables(spark, sf_dir, "observation")[0].select("id", "seq", "subject", "issued", "effective", "code", "value")
     patients = tables(spark, sf_dir, "patient")[0]
-    stream = ST.vitals_stream(spark, str(tmp_path / "in"), SCHEMA)
-    sent = []
-    query = ST.run_news2_stream(
-        stream, str(tmp_path / "state"), str(tmp_path / "cp"), patients, lambda df, batch: sent.append((batch, sorted(r["patient_id"] for r in df.collect()))), pause=None
-    )
-    query.awaitTermination(120)
-    assert query.exception() is None and len(sent) == 4
-    state = ST.StateTable(spark, str(tmp_path / "state"))
-    newest = V.latest_vitals(V.scored(obs))
-    assert sorted(map(tuple, state.newest().collect())) == sorted(map(tuple, newest.collect()))
-    # a replay of the last batch changes nothing
-    last = obs.where("seq % 4 = 3")
-    ST.news2_batch(last, 3, state, patients).collect()
-    assert sorted(map(tuple, state.newest().collect())) == sorted(map(tuple, newest.collect()))
-
-
-def test_state_of_other_patients_is_left_alone(spark, sf_dir, tmp_path):
-    """A batch of one patient writes that patient's partition only; old folders go, a replay gives the same."""
-    obs = tables(spark, sf_dir, "observation")[0]
+    counts = ST.FlowCounts()
+    spark.streams.addListener(counts)
+    want = {"changed": 0, "unchanged": 0, "patients": 0}
+    for k in range(2):  # the second run goes on from the checkpoint of the first
+        obs.where(f"seq % 2 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        sent, _ = _flow(spark, tmp_path / "in", tmp_path / "cp", patients)
+        so_far = V.latest_vitals(V.scored(obs.where(f"seq % 2 <= {k}")))
+        touched = V.affected_patients(obs.where(f"seq % 2 = {k}"), obs.limit(0))
+        updates = V.patient_updates(V.patient_totals(so_far).join(touched, "patient_id", "left_semi"), patients)
+        assert [s[0] for s in sent] == [k]
+        assert sent[0][1] == _rows(updates.where("result = 'changed'").select("patient_id", "new_total"))
+        for result, n in map(tuple, V.update_outcomes(updates).collect()):
+            want[result] += n
+            want["patients"] += n
+        assert _rows(ST.stored_aggregate(spark, str(tmp_path / "cp"))) == _rows(so_far)
+    for _ in range(50):  # listeners are told a little later
+        if len(counts.batches) >= 2:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(counts)
+    assert {k: counts.total(k) for k in want} == want and want["changed"] and want["unchanged"]
+
+
+def test_stream_begins_with_a_stored_aggregate(spark, sf_dir, tmp_path):
+    """Old half as the stored table, new half as the stream: ``merge_latest`` in both modes; patients without news stay."""
+    obs = tables(spark, sf_dir, "observation")[0].select("id", "seq", "subject", "issued", "effective", "code", "value")
+    patients = tables(spark, sf_dir, "patient")[0]
+    old, new = obs.where("seq % 2 = 1"), obs.where("seq % 2 = 0 AND cast(substr(subject, 9) as int) % 3 = 0")
+    new.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stored = V.latest_vitals(V.scored(old))
+    for mode in ("event_time", "arrival"):
+        sent, _ = _flow(spark, tmp_path / "in", tmp_path / mode, patients, mode=mode, initial=stored)
+        newest = V.latest_vitals(V.scored(new)) if mode == "event_time" else _last_arrived(V.scored(new))
+        want = V.merge_latest(stored, newest, mode)
+        assert _rows(ST.stored_aggregate(spark, str(tmp_path / mode))) == _rows(want)
+        totals = V.patient_totals(want).join(V.affected_patients(new, new), "patient_id", "left_semi")
+        assert sent[0][1] == _rows(V.patient_updates(totals, patients).where("result = 'changed'").select("patient_id", "new_total"))
+    # the state of one flow is the beginning of another
+    again, _ = _flow(spark, tmp_path / "in", tmp_path / "again", patients, initial=ST.stored_aggregate(spark, str(tmp_path / "event_time")))
+    assert _rows(ST.stored_aggregate(spark, str(tmp_path / "again"))) == _rows(ST.stored_aggregate(spark, str(tmp_path / "event_time")))
+
+
+def _last_arrived(scores):
+    return scores.groupBy("patient_id", "code").agg(F.max_by(F.struct("news2_value", "obs_instant"), "seq").alias("n")).select("patient_id", "code", "n.*")
+
+
+def test_a_batch_that_failed_is_given_again(spark, sf_dir, tmp_path):
+    """The sink fails on the second batch; the restarted flow gives that batch once more, with the same rows."""
+    obs = _files(spark, sf_dir, str(tmp_path / "in"), 3)
     patients = tables(spark, sf_dir, "patient")[0]
-    state = ST.StateTable(spark, str(tmp_path / "state"), parts=8)
-    first = obs.where("seq % 2 = 0")
-    ST.news2_batch(first, 0, state, patients).collect()
-    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "state").rglob("rows-0/part=*/*.parquet")}
-    before = files()
-    one = obs.where("subject = 'Patient/7'")
-    for batch in (1, 1):  # the second is a replay
-        ST.news2_batch(one, batch, state, patients).collect()
-        assert len(list((tmp_path / "state" / "rows-1").glob("part=*"))) == 1 and files() == before
-    want = V.merge_latest(V.latest_vitals(V.scored(first)), V.latest_vitals(V.scored(one)))
-    assert sorted(map(tuple, state.newest().collect())) == sorted(map(tuple, want.collect()))
-    for batch in range(2, 8):
-        ST.news2_batch(obs, batch, state, patients).collect()
-    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == [f"list-{k}" for k in (5, 6, 7)] + [f"rows-{k}" for k in (5, 6, 7)]
-    assert sorted(map(tuple, state.newest().collect())) == sorted(map(tuple, V.latest_vitals(V.scored(obs)).collect()))
+    seen = []
+
+    def sink(df, batch):
+        seen.append((batch, _rows(df)))
+        if len(seen) == 2:
+            raise RuntimeError("lost")
+
+    start = lambda: ST.run_news2_stream(ST.vitals_stream(spark, str(tmp_path / "in"), SCHEMA), str(tmp_path / "cp"), patients, sink, pause=None)
+    query = start()
+    with pytest.raises(StreamingQueryException):
+        query.awaitTermination(120)
+    start().awaitTermination(120)
+    assert [b for b, _ in seen] == [0, 1, 1, 2] and seen[1] == seen[2]
+    assert _rows(ST.stored_aggregate(spark, str(tmp_path / "cp"))) == _rows(V.latest_vitals(V.scored(obs)))
+
+
+def test_a_batch_writes_state_of_its_own_patients(spark, tmp_path):
+    """500 stored patients; a batch of 500 observations of ten of them puts at most ten times five codes and a total."""
+    codes = ["9279-1", "59408-5", "8867-4", "8480-6", "8310-5"]
+    stored = spark.range(500).select(F.col("id").cast("string").alias("patient_id"), F.explode(F.array(*map(F.lit, codes))).alias("code"), F.lit(1).alias("news2_value"), F.lit("2024-01-01").cast("timestamp_ntz").alias("obs_instant"))
+    patients = spark.range(500).select(F.col("id").cast("string").alias("id"), F.lit(5).alias("stored_total"), F.lit("East").alias("block"))
+
+    def batch(first):
+        rows = spark.range(first, first + 500).selectExpr(
+            "cast(id as string) id", "id seq", "concat('Patient/', id % 10) subject", "timestamp_ntz'2024-02-01' + make_interval(0, 0, 0, 0, 0, 0, id) issued",
+            "cast(null as timestamp_ntz) effective", f"array({', '.join(repr(c) for c in codes)})[id div 10 % 5] code", "cast(20 + id % 90 as decimal(18,2)) value")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    batch(0)
+    _flow(spark, tmp_path / "in", tmp_path / "cp", patients, initial=stored)
+    batch(500)
+    _, query = _flow(spark, tmp_path / "in", tmp_path / "cp", patients, initial=stored)
+    state = query.lastProgress["stateOperators"][0]
+    assert 0 < state["numRowsUpdated"] <= 60 and state["customMetrics"]["rocksdbPutCount"] <= 200
+    assert ST.stored_aggregate(spark, str(tmp_path / "cp")).count() == 2500
+
+
+def test_idle_patients_are_forgotten(spark, tmp_path):
+    """Patient 1 is last seen in January; when the watermark is in March its state is gone and patient 2's is not."""
+    patients = spark.createDataFrame([("1", None, "East"), ("2", None, "East")], "id string, stored_total int, block string")
+    for seq, (who, at) in enumerate([("1", "2024-01-05"), ("2", "2024-03-05"), ("2", "2024-03-06"), ("2", "2024-03-07")]):
+        df = spark.createDataFrame([(str(seq), seq, f"Patient/{who}", at, "8867-4", "131")], "id string, seq long, subject string, issued string, code string, value string")
+        df = df.selectExpr("id", "seq", "subject", "cast(issued as timestamp_ntz) issued", "cast(null as timestamp_ntz) effective", "code", "cast(value as decimal(18,2)) value")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        _flow(spark, tmp_path / "in", tmp_path / "cp", patients, watermark="1 hour", idle_days=30)
+    assert [r["patient_id"] for r in ST.stored_aggregate(spark, str(tmp_path / "cp")).collect()] == ["2"]
+    with pytest.raises(ValueError):
+        ST.news2_stateful(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), idle_days=30)
 
 
 def test_stream_goes_on_until_it_is_stopped(spark, sf_dir, tmp_path):
     obs = _files(spark, sf_dir, str(tmp_path / "in"), 1)
     seen = []
-    query = ST.run_news2_stream(ST.vitals_stream(spark, str(tmp_path / "in"), SCHEMA), str(tmp_path / "state"), str(tmp_path / "cp"), tables(spark, sf_dir, "patient")[0], lambda df, batch: seen.append(batch))
+    query = ST.run_news2_stream(ST.vitals_stream(spark, str(tmp_path / "in"), SCHEMA), str(tmp_path / "cp"), tables(spark, sf_dir, "patient")[0], lambda df, batch: seen.append(batch))
     query.processAllAvailable()
     assert seen == [0] and query.isActive
     obs.where("seq % 50 = 0").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))

@@ -3,20 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from wardline.functions.scoring import VITAL_CODES
 from wardline.operators.subscriptions import match_subscriptions
-from wardline.operators.vitals import latest_vitals, merge_latest, patient_totals, patient_updates, scored
+from wardline.operators.vitals import patient_updates, scored
 
 #: Observations in a drain and pause between drains of the micro-batch intake.
 ROWS_PER_BATCH, PAUSE = 500, "150 milliseconds"
 
-AGG = "patient_id string, code string, news2_value int, obs_instant timestamp_ntz"
+#: Stored rows came before any observation of the stream.
+STORED_SEQ = -(1 << 62)
+#: Keeps state on local disk with changelogs in the checkpoint; state variables need it.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+#: Name of the metrics that ``run_news2_stream`` observes for each batch.
+OUTCOMES = "news2_outcomes"
 
 
 def vitals_stream(spark: SparkSession, path: str, schema: str, rows_per_batch: int = ROWS_PER_BATCH, rows_per_file: int = ROWS_PER_BATCH) -> DataFrame:
@@ -40,119 +50,41 @@ def subscription_stream(events: DataFrame, subscriptions: DataFrame) -> DataFram
     return match_subscriptions(events, subscriptions)
 
 
-class StateTable:
-    """The aggregate in ``parts`` hash partitions of patients, and for each batch which folder holds each part.
-
-    A batch reads and writes only the parts that its patients fall in, into a folder of its own; then its list of
-    parts is written, which commits it. A replayed batch starts from the list before its own and overwrites its
-    folder from the same input, so replays change nothing. Folders that neither the last ``keep`` lists nor the
-    newest one name are deleted.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, parts: int = 64, keep: int = 3):
-        self.spark, self.path, self.parts, self.keep = spark, path.rstrip("/"), parts, keep
-        root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        self.files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-    def _path(self, *names: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *names]))
-
-    def _batches(self, kind: str) -> list[int]:
-        """Batches that have a folder ``kind-batch``; of lists, only finished ones."""
-        if not self.files.exists(self._path()):
-            return []
-        names = [x.getPath().getName() for x in self.files.listStatus(self._path())]
-        found = [int(n.rpartition("-")[2]) for n in names if n.startswith(f"{kind}-")]
-        return sorted(k for k in found if kind != "list" or self.files.exists(self._path(f"list-{k}", "_SUCCESS")))
-
-    def _list(self, batch: int) -> dict[int, int]:
-        """Part to the batch whose folder holds it, after ``batch``: at most ``parts`` rows."""
-        earlier = [k for k in self._batches("list") if k <= batch]
-        if not earlier:
-            return {}
-        rows = self.spark.read.schema("part int, held_by long").parquet(f"{self.path}/list-{earlier[-1]}").collect()
-        return {r["part"]: r["held_by"] for r in rows}
-
-    def _read(self, held: dict[int, int]) -> DataFrame:
-        paths = [f"{self.path}/rows-{b}/part={p}" for p, b in held.items()]
-        return self.spark.read.schema(AGG).parquet(*paths) if paths else self.spark.createDataFrame([], AGG)
-
-    def part_of(self, patient: Column) -> Column:
-        return F.pmod(F.xxhash64(patient), F.lit(self.parts)).cast("int")
-
-    def merge(self, incoming: DataFrame, batch: int, mode: str) -> DataFrame:
-        """Merge a batch's newest rows into its parts; gives the rows of those parts as they are now."""
-        touched = sorted(r[0] for r in incoming.select(self.part_of(F.col("patient_id"))).distinct().collect())
-        before = self._list(batch - 1)
-        merged = merge_latest(self._read({p: b for p, b in before.items() if p in touched}), incoming, mode)
-        merged.withColumn("part", self.part_of(F.col("patient_id"))).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/rows-{batch}")
-        now = before | dict.fromkeys(touched, batch)
-        self.spark.createDataFrame(sorted(now.items()), "part int, held_by long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/list-{batch}")
-        self._forget()
-        return self._read(dict.fromkeys(touched, batch))
-
-    def _forget(self) -> None:
-        lists = self._batches("list")
-        kept = lists[-self.keep :]
-        needed = {b for k in kept for b in self._list(k).values()}
-        for kind, gone in (("list", set(lists) - set(kept)), ("rows", {b for b in self._batches("rows") if b < kept[-1]} - needed)):
-            for batch in gone:
-                self.files.delete(self._path(f"{kind}-{batch}"), True)
-
-    def newest(self) -> DataFrame:
-        return self._read(self._list(1 << 62))
-
-
-def news2_batch(observations: DataFrame, batch: int, state: StateTable, patients: DataFrame, mode: str = "event_time") -> DataFrame:
-    """One batch: score, newest, merge, totals of the batch's patients, change set. The state is committed first."""
-    incoming = latest_vitals(scored(observations))
-    merged = state.merge(incoming, batch, mode)
-    touched = incoming.select("patient_id").distinct()
-    totals = patient_totals(merged.join(touched, "patient_id", "left_semi"))
-    return patient_updates(totals, patients)
-
-
-def run_news2_stream(
-    stream: DataFrame,
-    state_path: str,
-    checkpoint: str,
-    patients: DataFrame,
-    sink: Callable[[DataFrame, int], None],
-    mode: str = "event_time",
-    pause: str | None = PAUSE,
-):
-    """Start the query. ``sink`` gets each batch's changed patients after the state is committed.
-
-    It drains what has arrived, waits for ``pause`` and goes on until it is stopped; with ``pause=None`` it ends
-    when all that is there has been read. ``mode='arrival'`` lets late observations replace newer ones,
-    ``event_time`` never: no observation is too late to be judged by its instant, so there is no watermark here.
-    """
-    state = StateTable(stream.sparkSession, state_path)
-
-    def step(df: DataFrame, batch: int) -> None:
-        held = df.persist()  # it is read for the parts, for the merge and for the totals
-        sink(news2_batch(held, batch, state, patients, mode).where("result = 'changed'"), batch)
-        held.unpersist()
-
-    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return query.trigger(**({"availableNow": True} if pause is None else {"processingTime": pause})).start()
-
-
 class NewestPerCode(StatefulProcessor):
-    """Per patient: the newest score of each vital sign; gives the total whenever it changes.
+    """Per patient: the newest score of each vital sign; gives the total of each patient that a batch touches.
 
     Rows are reduced to one for each code before state is read, so a batch costs at most five reads and writes
-    of state for a patient, however many observations it has. With ``late`` those older than the watermark are
-    left out; with ``arrival`` the last to come is the newest, whatever its instant.
+    of state for a patient, however many observations it has. With ``arrival`` the last to come is the newest,
+    whatever its instant. With ``late`` observations older than the watermark are left out. With ``idle_ms`` a
+    patient whose newest instant lies so far behind the watermark is forgotten. With ``changes`` a total is given
+    only when it differs from the one before.
     """
 
-    def __init__(self, arrival: bool = False, late: bool = False):
-        self.arrival, self.late = arrival, late
+    def __init__(self, arrival: bool = False, late: bool = False, idle_ms: int | None = None, changes: bool = True):
+        self.arrival, self.late, self.idle_ms, self.changes = arrival, late, idle_ms, changes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.newest = handle.getMapState("newest", "code string", "news2_value int, at_micros long, seq long")
         self.total = handle.getValueState("total", "total int")
 
+    def _held(self) -> list[tuple[int, int]]:
+        return [(int(v[0]), int(v[1])) for v in self.newest.values()]
+
+    def _wake(self) -> None:
+        """Move the patient's timer to the end of its idle time."""
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(max(at for _, at in self._held()) // 1000 + self.idle_ms)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for row in initialState["rows"]:
+            for held in row:
+                self.newest.updateValue((held["code"],), (int(held["news2_value"]), int(held["at_micros"]), STORED_SEQ))
+        self.total.update((sum(v for v, _ in self._held()),))
+        if self.idle_ms is not None:
+            self._wake()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = pd.concat([part[["code", "news2_value", "at_micros", "seq"]] for part in rows], ignore_index=True)
         if self.late:
@@ -161,33 +93,172 @@ class NewestPerCode(StatefulProcessor):
             best = known.sort_values("seq").groupby("code").tail(1)
         else:
             best = known.sort_values(["at_micros", "seq"], ascending=[True, False]).groupby("code").tail(1)
+        moved = False
         for code, value, at, seq in best.itertuples(index=False):
             held = self.newest.getValue((code,)) if self.newest.containsKey((code,)) else None
-            newer = held is None or (seq > held[2] if self.arrival else (at, -seq) > (held[1], -held[2]))
-            if newer:
+            if held is None or (seq > held[2] if self.arrival else (at, -seq) > (held[1], -held[2])):
                 self.newest.updateValue((code,), (int(value), int(at), int(seq)))
-        values = [int(v[0]) for v in self.newest.values()]
-        if values and (not self.total.exists() or self.total.get()[0] != sum(values)):
-            self.total.update((sum(values),))
-            yield pd.DataFrame({"patient_id": [key[0]], "total": [sum(values)]})
+                moved = True
+        if moved and self.idle_ms is not None:
+            self._wake()
+        values = self._held()
+        if not values:
+            return
+        now = sum(v for v, _ in values)
+        new = not self.total.exists() or self.total.get()[0] != now
+        if new:
+            self.total.update((now,))
+        if new or not self.changes:
+            yield pd.DataFrame({"patient_id": [key[0]], "total": [now]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.newest.clear()
+        self.total.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def news2_stateful(stream: DataFrame, mode: str = "event_time", watermark: str | None = None) -> DataFrame:
-    """(patient_id, total) whenever a patient's total changes, from state that Spark keeps (at most five codes each).
-
-    ``mode`` as in ``run_news2_stream``. ``watermark``, a delay, leaves out observations that come later than
-    that after the newest instant of earlier batches.
+def news2_stateful(
+    stream: DataFrame,
+    mode: str = "event_time",
+    watermark: str | None = None,
+    initial: DataFrame | None = None,
+    idle_days: float | None = None,
+    changes: bool = True,
+) -> DataFrame:
+    """(patient_id, total) from state that Spark keeps: at most five codes for each patient.
+
+    ``event_time``: only a newer observation replaces a stored one, the first arrival stays on a tie; ``arrival``:
+    the last to come replaces. ``initial`` is a stored aggregate (patient_id, code, news2_value, obs_instant) that the
+    first batch starts from; its rows count as older arrivals. ``watermark``, a delay, leaves out observations that come
+    later than that after the newest instant of earlier batches. ``idle_days`` (with a watermark) forgets patients
+    whose newest observation is so much older than the watermark; what they were last told stays as it is downstream.
+    With ``changes`` a total is given when it changes, else for each patient of a batch.
     """
+    if mode not in ("arrival", "event_time"):
+        raise ValueError(mode)
+    if idle_days is not None and watermark is None:
+        raise ValueError("patients can be forgotten only behind a watermark")
     rows = scored(stream).where(F.col("code").isin(*VITAL_CODES)).withColumn("at", F.col("obs_instant").cast("timestamp"))
     if watermark is not None:
         rows = rows.withWatermark("at", watermark)
     keyed = rows.select("patient_id", "code", "news2_value", F.unix_micros("at").alias("at_micros"), "seq", *(["at"] if watermark else []))
+    if initial is not None:
+        at = F.unix_micros(F.col("obs_instant").cast("timestamp"))
+        held = F.collect_list(F.struct("code", "news2_value", at.alias("at_micros")))  # a row for each of five codes
+        initial = initial.where(F.col("code").isin(*VITAL_CODES)).groupBy("patient_id").agg(held.alias("rows")).groupBy("patient_id")
+    idle_ms = None if idle_days is None else int(idle_days * 86_400_000)
     return keyed.groupBy("patient_id").transformWithStateInPandas(
-        statefulProcessor=NewestPerCode(mode == "arrival", watermark is not None),
+        statefulProcessor=NewestPerCode(mode == "arrival", watermark is not None, idle_ms, changes),
         outputStructType="patient_id string, total int",
         outputMode="Update",
         timeMode="EventTime" if watermark else "None",
+        initialState=initial,
+    )
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """Session settings under which a stateful query must be started; the query keeps them, the session doesn't."""
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def observed_outcomes(updates: DataFrame) -> DataFrame:
+    """The updates, whose counts of patients, changed and unchanged Spark reports while it makes them."""
+    result = F.col("result")
+    return updates.observe(
+        OUTCOMES,
+        F.count(F.lit(1)).alias("patients"),
+        F.count_if(result == "changed").alias("changed"),
+        F.count_if(result == "unchanged").alias("unchanged"),
+    )
+
+
+class FlowCounts(StreamingQueryListener):
+    """Counts of ``observed_outcomes`` as they come: one entry a batch, in ``batches``, and their sums.
+
+    To be added with ``spark.streams.addListener``. A batch that is run again after a failure replaces its entry.
+    """
+
+    def __init__(self):
+        self.batches: dict[tuple[str, int], dict[str, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(OUTCOMES)
+        if row is not None:
+            self.batches[str(event.progress.id), event.progress.batchId] = {k: int(row[k]) for k in ("patients", "changed", "unchanged")}
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def total(self, name: str) -> int:
+        return sum(b[name] for b in self.batches.values())
+
+
+def news2_updates(stream: DataFrame, patients: DataFrame, **options) -> DataFrame:
+    """Stream of ``patient_updates`` for the patients that a batch touches, with observed counts.
+
+    ``patients`` (id, stored_total, block) is a table that is read again for each batch, so totals written there by the
+    sink count as stored from the next batch on. Options are those of ``news2_stateful``.
+    """
+    return observed_outcomes(patient_updates(news2_stateful(stream, changes=False, **options), patients))
+
+
+def run_news2_stream(
+    stream: DataFrame,
+    checkpoint: str,
+    patients: DataFrame,
+    sink: Callable[[DataFrame, int], None],
+    pause: str | None = PAUSE,
+    **options,
+) -> StreamingQuery:
+    """Start the flow: score, newest, totals, change set; ``sink`` gets each batch's changed patients and its number.
+
+    It drains what has arrived, waits for ``pause`` and goes on until it is stopped; with ``pause=None`` it ends
+    when all that is there has been read. State and place in the input lie in ``checkpoint``: a restarted query goes on
+    from the last batch that it finished, and gives an unfinished one to the sink again under the same number. Options
+    are those of ``news2_stateful``; ``initial`` counts when the checkpoint is new.
+    """
+
+    def step(updates: DataFrame, batch: int) -> None:
+        held = updates.persist()  # state is stepped once, all of it, however the sink reads
+        try:
+            held.count()
+            sink(held.where("result = 'changed'"), batch)
+        finally:
+            held.unpersist()
+
+    with state_store(stream.sparkSession):
+        query = news2_updates(stream, patients, **options).writeStream.outputMode("update").foreachBatch(step)
+        query = query.option("checkpointLocation", checkpoint)
+        return query.trigger(**({"availableNow": True} if pause is None else {"processingTime": pause})).start()
+
+
+def stored_aggregate(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The aggregate that a flow keeps (patient_id, code, news2_value, obs_instant), read from its checkpoint.
+
+    It is what ``merge_latest`` would have made of all batches so far, and can be the ``initial`` of another flow.
+    """
+    with state_store(spark):
+        rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "newest").load()
+    return rows.select(
+        F.col("key.patient_id").alias("patient_id"),
+        F.col("user_map_key.code").alias("code"),
+        F.col("user_map_value.news2_value").alias("news2_value"),
+        F.timestamp_micros("user_map_value.at_micros").cast("timestamp_ntz").alias("obs_instant"),
     )
