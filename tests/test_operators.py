@@ -1,6 +1,6 @@
 """Operators on small literal rows: nested searches, writes, measures, linkage, hooks."""
 
-from datetime import datetime
+from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
@@ -130,6 +130,62 @@ def test_match_over_several_given_names(spark):
     assert got == {("1", "2"): "MATCH", ("2", "3"): "NO_MATCH", ("1", "4"): "NO_MATCH"}
 
 
+PERSON = "resource_type string, id string, active boolean, birthdate date, identifier array<string>, practitioner string, given string, family string"
+
+
+def _people(spark, rows):
+    return spark.createDataFrame(rows, PERSON)
+
+
+def test_candidates_by_type_and_once(spark):
+    """Two blocks in common are one pair; practitioners block on identifiers alone; types never meet; nulls never block."""
+    day = date(1970, 1, 1)
+    rows = [
+        ("Patient", "1", True, day, ["a", "b", None, "a"], "x", "Anna", "Meyer"),
+        ("Patient", "2", True, day, ["b", "a"], "x", "Hanna", "Maier"),
+        ("Patient", "3", True, None, None, None, "Anna", "Meyer"),
+        ("Patient", "4", False, day, ["a"], "x", "Anna", "Meyer"),
+        ("Patient", "5", True, day, [None], "y", "Peter", "Meyer"),
+        ("Practitioner", "1", True, day, ["a"], "x", "Anna", "Meyer"),
+        ("Practitioner", "2", True, day, ["z"], "x", "Anna", "Meyer"),
+        ("Practitioner", "3", True, None, ["a"], "x", "Anna", "Weber"),
+        ("Device", "1", True, day, ["a"], "x", "Anna", "Meyer"),
+        ("Device", "2", True, day, ["a"], "x", "Anna", "Meyer"),
+    ]
+    people = _people(spark, rows)
+    want = [("Patient", "1", "2"), ("Patient", "1", "5"), ("Patient", "2", "5"), ("Practitioner", "1", "3")]
+    assert sorted(map(tuple, linkage.mdm_candidates(people).collect())) == want
+    compared = {tuple(r[:3]): r["result"] for r in linkage.mdm_compare(people).collect()}
+    assert compared == dict(zip(want, ["MATCH", "NO_MATCH", "NO_MATCH", "POSSIBLE_MATCH"], strict=True))
+    assert {tuple(r[:3]): r["result"] for r in linkage.mdm_links(people).collect()} == {k: v for k, v in compared.items() if v != "NO_MATCH"}
+    assert linkage.mdm_candidates(people.limit(0)).collect() == []
+    plan = linkage.mdm_candidates(people)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [a" not in plan and "Deduplicate" not in plan
+
+
+def test_a_busy_block_is_cut_into_cells(spark):
+    """3,000 patients of one practitioner, some sharing identifiers, in cells of 250: every pair once, no cell above its bounds."""
+    people = spark.range(3000).selectExpr("'Patient' resource_type", "cast(id as string) id", "true active", "cast(null as date) birthdate", "array(cast(id % 100 as string)) identifier", "'busy' practitioner")
+    records = linkage._records(people, linkage.RULES, [], None)
+    pairs = linkage.paired(records, 250).select("a.id", F.col("b.id").alias("b")).persist()
+    assert pairs.count() == pairs.distinct().count() == 3000 * 2999 // 2
+    assert pairs.where("id >= b").isEmpty()
+    parts = people.select(F.pmod(F.xxhash64("id"), F.lit(12)).alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert parts <= 330
+    pairs.unpersist()
+
+
+def test_a_second_key_for_busy_blocks(spark):
+    """20,000 patients of one practitioner: above 1,000 they must agree in the birth date too; the report says what is lost."""
+    people = spark.range(20_000).selectExpr("'Patient' resource_type", "cast(id as string) id", "true active", "case when id % 5 > 0 then date_add(date'1950-01-01', cast(id % 4000 as int)) end birthdate", "array(cast(null as string)) identifier", "'busy' practitioner")
+    rules = linkage.RULES | {"blocks": [("Patient", "practitioner")]}
+    got = linkage.mdm_candidates(people, rules, over=(1000, "birthdate"))
+    assert got.count() == 3200 * 10  # 16,000 with a date, five of each date
+    (row,) = linkage.left_out(people, 1000, "birthdate", rules).collect()
+    assert tuple(row) == ("Patient", "practitioner", "busy", 20_000, 20_000 * 19_999 // 2, 32_000)
+    assert linkage.left_out(people, 20_000, "birthdate", rules).collect() == []
+
+
 def test_valueset_limit(spark):
     compose = spark.createDataFrame([("u", "s", None)], "url string, system string, code string")
     concepts = spark.createDataFrame([("s", str(k)) for k in range(5)], "system string, code string")

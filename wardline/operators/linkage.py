@@ -10,41 +10,112 @@ from pyspark.sql import functions as F
 from wardline.functions.phonetic import cologne_phonetic, soundex
 from wardline.sources.staging import staged
 
-#: Blocking columns, matchers and result map; ``matches`` names are those of ``match_vector``.
+#: Types that are linked, blocking fields and the type that each holds for (``*``: all), and the result map over the
+#: names in ``mdm_match``.
 RULES = {
-    "blocks": ["birthdate", "identifier", "practitioner"],
+    "types": ["Patient", "Practitioner"],
+    "blocks": [("Patient", "birthdate"), ("*", "identifier"), ("Patient", "practitioner")],
     "results": {"given": "POSSIBLE_MATCH", "given,family": "MATCH"},
 }
+#: Records that meet records in one cell of a block; a busier block is cut into more cells.
+CELL = 2_000
 
 
-def mdm_candidates(patients: DataFrame, rules: dict = RULES) -> DataFrame:
-    """Distinct pairs (a, b), a before b, of active records that share a block value. Null values never block.
+def _typed(people: DataFrame, rules: dict) -> DataFrame:
+    """Active records of the types that are linked; without a column ``resource_type`` all are patients."""
+    if "resource_type" not in people.columns:
+        people = people.withColumn("resource_type", F.lit("Patient"))
+    return people.where(F.col("active") & F.col("resource_type").isin(*rules["types"]))
 
-    One self equi-join for each rule; adaptive execution splits a busy block. All pairs of a block are
-    candidates by definition, so a rule should name columns of many values.
+
+def block_keys(people: DataFrame, rules: dict) -> Column:
+    """Distinct block keys of a record, ``type|rule|value``; null values, and null members of arrays, never block."""
+    none, parts = F.array().cast("array<string>"), []
+    for k, (kind, field) in enumerate(rules["blocks"]):
+        values = F.col(field) if people.schema[field].dataType.typeName() == "array" else F.array(field)
+        prefix = F.concat_ws("|", "resource_type", F.lit(k), F.lit(""))
+        named = F.transform(F.coalesce(values.cast("array<string>"), none), _behind(prefix))
+        parts.append(named if kind == "*" else F.when(F.col("resource_type") == kind, named).otherwise(none))
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(*parts))))
+
+
+def _behind(prefix: Column):
+    return lambda value: F.concat(prefix, value)  # null if the value is null
+
+
+def paired(records: DataFrame, cell: int | None = None) -> DataFrame:
+    """Each pair of records that share a member of ``keys`` (id, keys, further columns), once: structs a and b, a.id before b.id.
+
+    A pair is made in the least block that both are in, and nowhere else, so no set of all pairs is held against itself.
+    A block of more than ``cell`` records (default ``CELL``) is dealt into parts by a hash of the id, and each two parts
+    meet in a task-sized cell of their own. A block of one record is no work.
+    """
+    cell = cell or CELL
+    held = F.struct(*[c for c in records.columns if c != "keys"])
+    members = records.select(F.col("id").alias("__id"), held.alias("r"), "keys", F.explode("keys").alias("key"))
+    members = members.select("__id", "r", "key", F.filter("keys", lambda k: k < F.col("key")).alias("earlier"))
+    sizes = records.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / cell).cast("int")
+    busy = members.join(sizes, "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("__id"), "parts").cast("int"))
+    side = lambda name, low, high: busy.select(
+        "key", F.col("r").alias(name), F.col("earlier").alias(f"earlier_{name}"), "part", "parts", F.explode(F.sequence(low, high)).alias("other")
+    )
+    upper = side("x", F.col("part"), F.col("parts") - 1).select("key", "x", "earlier_x", F.col("part").alias("i"), F.col("other").alias("j"))
+    lower = side("y", F.lit(0), F.col("part")).select("key", "y", "earlier_y", F.col("other").alias("i"), F.col("part").alias("j"))
+    met = upper.join(lower, ["key", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x.id") < F.col("y.id")))
+    first = met.where(~F.arrays_overlap("earlier_x", "earlier_y") & (F.col("x.id") != F.col("y.id")))
+    swap = F.col("x.id") > F.col("y.id")
+    return first.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("b"))
+
+
+def _records(people: DataFrame, rules: dict, carry: list[str], over: tuple[int, str] | None) -> DataFrame:
+    """Records with their block keys. With ``over`` (limit, field) the keys of blocks above the limit are joined with the
+    field's value, so such a block holds only records that agree in it; null values leave the block."""
+    active = _typed(people, rules)
+    keyed = active.select("id", "resource_type", *carry, *([] if over is None else [F.col(over[1]).cast("string").alias("__second")]), block_keys(active, rules).alias("keys"))
+    if over is None:
+        return keyed
+    sizes = keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    flat = keyed.select("id", "resource_type", *carry, "__second", F.explode("keys").alias("key")).join(sizes, "key")
+    key = F.when(F.col("n") <= over[0], F.col("key")).otherwise(F.to_json(F.when(F.col("__second").isNotNull(), F.struct("key", "__second"))))
+    return flat.groupBy("resource_type", "id").agg(*[F.first(c).alias(c) for c in carry], F.array_sort(F.collect_set(key)).alias("keys")).select("id", "resource_type", *carry, "keys")
+
+
+def mdm_candidates(people: DataFrame, rules: dict = RULES, over: tuple[int, str] | None = None) -> DataFrame:
+    """Pairs (resource_type, a, b), a before b, of active records of one type that share a block value, each once.
+
+    ``people`` has id, active, the blocking fields (a value or an array of values) and resource_type (without it all are
+    patients). Records of other types than the rules' are not linked. All pairs of a block are candidates by
+    definition. ``over`` = (limit, field) is for blocks that are too busy to be worth it: above so many records two must
+    agree in that field as well; ``left_out`` tells what that costs.
     """
-    active = patients.where("active")
-    pairs = []
-    for block in rules["blocks"]:
-        keyed = active.select("id", F.col(block).alias("k")).where("k IS NOT NULL")
-        if keyed.schema["k"].dataType.typeName() == "array":
-            keyed = keyed.select("id", F.explode(F.array_distinct("k")).alias("k"))
-        left, right = keyed.select(F.col("id").alias("a"), "k"), keyed.select(F.col("id").alias("b"), "k")
-        pairs.append(left.join(right, "k").where("a < b").select("a", "b"))
-    return reduce(DataFrame.union, pairs).distinct()
-
-
-def block_report(patients: DataFrame, rules: dict = RULES, least: int = 2) -> DataFrame:
-    """(rule, value, records, pairs) of blocks with ``least`` active records or more: what ``mdm_candidates`` would make of them."""
-    active = patients.where("active")
-    parts = []
-    for block in rules["blocks"]:
-        keyed = active.select("id", F.col(block).alias("k"))
-        if keyed.schema["k"].dataType.typeName() == "array":
-            keyed = keyed.select("id", F.explode(F.array_distinct("k")).alias("k"))
-        parts.append(keyed.where("k IS NOT NULL").groupBy(F.lit(block).alias("rule"), F.col("k").cast("string").alias("value")).agg(F.count(F.lit(1)).alias("records")))
+    pairs = paired(_records(people, rules, [], over))
+    return pairs.select("a.resource_type", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
+def block_report(people: DataFrame, rules: dict = RULES, least: int = 2) -> DataFrame:
+    """(resource_type, rule, value, records, pairs) of blocks with ``least`` active records or more: what
+    ``mdm_candidates`` would make of them."""
+    active = _typed(people, rules)
+    flat = active.select("id", "resource_type", F.explode(block_keys(active, rules)).alias("key"))
+    rule = F.split("key", r"\|", 3)
+    names = F.array(*[F.lit(field) for _, field in rules["blocks"]])
+    found = flat.groupBy("resource_type", names[rule[1].cast("int")].alias("rule"), rule[2].alias("value")).agg(F.count(F.lit(1)).alias("records"))
     n = F.col("records")
-    return reduce(DataFrame.union, parts).where(n >= least).withColumn("pairs", F.floor(n * (n - 1) / 2))
+    return found.where(n >= least).withColumn("pairs", F.floor(n * (n - 1) / 2))
+
+
+def left_out(people: DataFrame, limit: int, field: str, rules: dict = RULES) -> DataFrame:
+    """(resource_type, rule, value, records, pairs, kept) of blocks above ``limit``: pairs that the block has and those that
+    ``over=(limit, field)`` keeps, from counts alone. A pair that is not kept here may still be one by another block."""
+    active = _typed(people, rules)
+    flat = active.select("resource_type", F.col(field).cast("string").alias("second"), F.explode(block_keys(active, rules)).alias("key"))
+    agreed = flat.groupBy("resource_type", "key", "second").agg(F.count(F.lit(1)).alias("n"))
+    n, m = F.col("records"), F.when(F.col("second").isNotNull(), F.col("n")).otherwise(0)
+    rule = F.split("key", r"\|", 3)
+    names = F.array(*[F.lit(name) for _, name in rules["blocks"]])
+    blocks = agreed.groupBy("resource_type", "key").agg(F.sum("n").alias("records"), F.sum(F.floor(m * (m - 1) / 2)).alias("kept")).where(n > limit)
+    return blocks.select("resource_type", names[rule[1].cast("int")].alias("rule"), rule[2].alias("value"), "records", F.floor(n * (n - 1) / 2).alias("pairs"), "kept")
 
 
 def phonetic_keys(patients: DataFrame) -> DataFrame:
@@ -58,34 +129,52 @@ def phonetic_keys(patients: DataFrame) -> DataFrame:
     return names.select("id", soundex(F.col("family")).alias("family_key")).join(given, "id", "left")
 
 
+def _result(rules: dict) -> Column:
+    vector = F.concat_ws(",", F.when(F.col("given"), "given"), F.when(F.col("family"), "family"))
+    result = reduce(lambda c, kv: c.when(vector == kv[0], kv[1]), rules["results"].items(), F.when(F.lit(False), ""))
+    return result.otherwise("NO_MATCH")
+
+
 def mdm_match(candidates: DataFrame, keys: DataFrame, rules: dict = RULES) -> DataFrame:
     """(a, b, given, family, result) from keys (id, given_keys, family_key). A combination not in the map is NO_MATCH."""
     side = lambda name: keys.select(F.col("id").alias(name), F.col("given_keys").alias(f"g_{name}"), F.col("family_key").alias(f"f_{name}"))
     joined = candidates.join(side("a"), "a").join(side("b"), "b")
     given = F.coalesce(F.arrays_overlap("g_a", "g_b"), F.lit(False))
     family = F.coalesce(F.col("f_a") == F.col("f_b"), F.lit(False))
-    vector: Column = F.concat_ws(",", F.when(F.col("given"), "given"), F.when(F.col("family"), "family"))
     scored = joined.select("a", "b", given.alias("given"), family.alias("family"))
-    result = reduce(lambda c, kv: c.when(vector == kv[0], kv[1]), rules["results"].items(), F.when(F.lit(False), ""))
-    return scored.withColumn("result", result.otherwise("NO_MATCH"))
+    return scored.withColumn("result", _result(rules))
+
+
+def _named(people: DataFrame, rules: dict, carry: list[str]) -> DataFrame:
+    """Active records with their block keys and phonetic keys, one row a record."""
+    active = _typed(people, rules)
+    keyed = active.select("id", "resource_type", *carry, block_keys(active, rules).alias("keys"))
+    names = phonetic_keys(active.withColumn("id", F.struct("resource_type", "id")))
+    return keyed.join(names.select("id.resource_type", "id.id", "given_keys", "family_key"), ["resource_type", "id"])
 
 
-def mdm_links(patients: DataFrame, rules: dict = RULES) -> DataFrame:
-    """(a, b, result) of the candidate pairs that are a MATCH or POSSIBLE_MATCH.
+def _judged(pairs: DataFrame, rules: dict) -> DataFrame:
+    given = F.coalesce(F.arrays_overlap("a.given_keys", "b.given_keys"), F.lit(False))
+    family = F.coalesce(F.col("a.family_key") == F.col("b.family_key"), F.lit(False))
+    flat = pairs.select("a.resource_type", F.col("a.id").alias("a"), F.col("b.id").alias("b"), given.alias("given"), family.alias("family"))
+    return flat.withColumn("result", _result(rules))
 
-    Both results need a shared given key, so the pairs come from a join on (block value, given key): pairs of a
-    busy block that do not match are never made.
+
+def mdm_compare(people: DataFrame, rules: dict = RULES) -> DataFrame:
+    """(resource_type, a, b, given, family, result) of every candidate pair: names are encoded and joined to the records
+    before these are paired, so the pairs themselves are never joined."""
+    return _judged(paired(_named(people, rules, [])), rules)
+
+
+def mdm_links(people: DataFrame, rules: dict = RULES) -> DataFrame:
+    """(resource_type, a, b, result) of the candidate pairs that are a MATCH or POSSIBLE_MATCH.
+
+    Both results need a shared given key, so records meet in blocks of (block value, given key): pairs of a busy block
+    that do not match are never made.
     """
-    keys = phonetic_keys(patients)
-    people = patients.where("active").join(keys, "id")
-    given = people.select("id", *rules["blocks"], "family_key", F.explode("given_keys").alias("g"))
-    pairs = []
-    for block in rules["blocks"]:
-        side = lambda name, block=block: given.where(F.col(block).isNotNull()).select(F.col("id").alias(name), F.col(block).alias("k"), "g", F.col("family_key").alias(f"f_{name}"))
-        pairs.append(side("a").join(side("b"), ["k", "g"]).where("a < b").select("a", "b", "f_a", "f_b"))
-    found = reduce(DataFrame.union, pairs).distinct()
-    family = F.coalesce(F.col("f_a") == F.col("f_b"), F.lit(False))
-    return found.select("a", "b", F.when(family, rules["results"]["given,family"]).otherwise(rules["results"]["given"]).alias("result"))
+    named = _named(people, rules, []).where("given_keys IS NOT NULL")
+    finer = F.flatten(F.transform("keys", lambda k: F.transform("given_keys", lambda g: F.concat(k, F.lit("|"), g))))
+    return _judged(paired(named.withColumn("keys", F.array_sort(F.array_distinct(finer)))), rules).drop("given", "family")
 
 
 def mdm_eid_matches(identifiers: DataFrame, eid_system: str) -> DataFrame:

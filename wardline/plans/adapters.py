@@ -26,6 +26,19 @@ VIEWS = {
                     WHEN 4 THEN 'Fischer' WHEN 5 THEN 'Vischer' WHEN 6 THEN 'Weber' WHEN 7 THEN 'Wagner'
                     WHEN 8 THEN 'Becker' WHEN 9 THEN 'Bekker' ELSE 'Hoffmann' END AS family
         FROM customer""",
+    "person": """
+        SELECT 'Patient' AS resource_type, CAST(c_custkey AS STRING) AS id, c_acctbal > 0 AS active, CAST(c_custkey % 500 AS STRING) AS identifier,
+               CAST(c_nationkey AS STRING) AS practitioner, CAST(c_custkey % 400 AS INT) AS birth_no, CASE c_custkey % 7 WHEN 0 THEN 'Maria' WHEN 1 THEN 'Marie' WHEN 2 THEN 'Peter' WHEN 3 THEN 'Pieter'
+                    WHEN 4 THEN 'Anna' WHEN 5 THEN 'Hanna' ELSE 'Klaus' END AS given,
+               CASE c_custkey % 11 WHEN 0 THEN 'Meyer' WHEN 1 THEN 'Maier' WHEN 2 THEN 'Schmidt' WHEN 3 THEN 'Schmitt'
+                    WHEN 4 THEN 'Fischer' WHEN 5 THEN 'Vischer' WHEN 6 THEN 'Weber' WHEN 7 THEN 'Wagner'
+                    WHEN 8 THEN 'Becker' WHEN 9 THEN 'Bekker' ELSE 'Hoffmann' END AS family
+        FROM customer
+        UNION ALL
+        SELECT 'Practitioner', CAST(s_suppkey AS STRING), s_acctbal > 0, CAST(s_suppkey % 25 AS STRING),
+               CAST(s_nationkey AS STRING), CAST(s_suppkey % 10 AS INT), CASE s_suppkey % 3 WHEN 0 THEN 'Anna' WHEN 1 THEN 'Hanna' ELSE 'Peter' END,
+               CASE s_suppkey % 4 WHEN 0 THEN 'Meyer' WHEN 1 THEN 'Maier' WHEN 2 THEN 'Schmidt' ELSE 'Schmitt' END
+        FROM supplier""",
     "observation": f"""
         SELECT CAST(event_id AS STRING) AS id, event_id AS seq, concat('Patient/', CAST(user_id AS STRING)) AS subject,
                CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts END AS issued,

@@ -212,24 +212,37 @@ def care_gaps(spark, sf_dir):
 
 
 def _linkable(spark, sf_dir):
-    return tables(spark, sf_dir, "patient")[0].withColumn("birthdate", F.date_add(F.lit("1950-01-01").cast("date"), F.col("birth_no")))
+    return tables(spark, sf_dir, "person")[0].withColumn("birthdate", F.date_add(F.lit("1950-01-01").cast("date"), F.col("birth_no")))
 
 
-_CANDIDATES = "act AS (SELECT * FROM patient WHERE active), cand AS (SELECT a.id AS a, b.id AS b FROM act a JOIN act b ON a.birth_no = b.birth_no AND a.id < b.id UNION SELECT a.id, b.id FROM act a JOIN act b ON a.identifier = b.identifier AND a.id < b.id UNION SELECT a.id, b.id FROM act a JOIN act b ON a.practitioner = b.practitioner AND a.id < b.id)"
+_CANDIDATES = "act AS (SELECT * FROM person WHERE active), cand AS (SELECT a.resource_type, a.id AS a, b.id AS b FROM act a JOIN act b ON a.resource_type = b.resource_type AND a.birth_no = b.birth_no AND a.id < b.id WHERE a.resource_type = 'Patient' UNION SELECT a.resource_type, a.id, b.id FROM act a JOIN act b ON a.resource_type = b.resource_type AND a.identifier = b.identifier AND a.id < b.id UNION SELECT a.resource_type, a.id, b.id FROM act a JOIN act b ON a.resource_type = b.resource_type AND a.practitioner = b.practitioner AND a.id < b.id WHERE a.resource_type = 'Patient')"
+_BLOCKS = "b AS (SELECT resource_type, 'birthdate' AS rule, substr(CAST(DATE '1950-01-01' + birth_no AS STRING), 1, 10) AS value, * EXCLUDE (resource_type) FROM person WHERE active AND resource_type = 'Patient' UNION ALL SELECT resource_type, 'identifier', identifier, * EXCLUDE (resource_type) FROM person WHERE active UNION ALL SELECT resource_type, 'practitioner', practitioner, * EXCLUDE (resource_type) FROM person WHERE active AND resource_type = 'Patient')"
 
 
 @query(
     "block_report",
     sql(
-        "WITH act AS (SELECT * FROM patient WHERE active), b AS (SELECT 'birthdate' AS rule, CAST(DATE '1950-01-01' + birth_no AS STRING) AS value FROM act UNION ALL SELECT 'identifier', identifier FROM act UNION ALL SELECT 'practitioner', practitioner FROM act) SELECT rule, substr(value, 1, 10) AS value, COUNT(*) AS records, CAST(COUNT(*) * (COUNT(*) - 1) // 2 AS BIGINT) AS pairs FROM b GROUP BY rule, value HAVING COUNT(*) >= 2",
-        "patient",
+        f"WITH {_BLOCKS} SELECT resource_type, rule, value, COUNT(*) AS records, CAST(COUNT(*) * (COUNT(*) - 1) // 2 AS BIGINT) AS pairs FROM b GROUP BY ALL HAVING COUNT(*) >= 2",
+        "person",
     ),
 )
 def block_report(spark, sf_dir):
     return L.block_report(_linkable(spark, sf_dir))
 
 
-@query("mdm_candidates", sql(f"WITH {_CANDIDATES} SELECT a, b FROM cand", "patient"))
+@query(
+    "mdm_left_out",
+    sql(
+        f"WITH {_BLOCKS}, g AS (SELECT resource_type, rule, value, birth_no, COUNT(*) AS n FROM b GROUP BY ALL) SELECT resource_type, rule, value, CAST(SUM(n) AS BIGINT) AS records, CAST(SUM(n) * (SUM(n) - 1) // 2 AS BIGINT) AS pairs, CAST(SUM(n * (n - 1) // 2) AS BIGINT) AS kept FROM g GROUP BY resource_type, rule, value HAVING SUM(n) > 20",
+        "person",
+    ),
+)
+def mdm_left_out(spark, sf_dir):
+    """What blocks of more than 20 records would lose if their pairs had to agree in the birth date."""
+    return L.left_out(_linkable(spark, sf_dir), 20, "birthdate")
+
+
+@query("mdm_candidates", sql(f"WITH {_CANDIDATES} SELECT resource_type, a, b FROM cand", "person"))
 def mdm_candidates(spark, sf_dir):
     return L.mdm_candidates(_linkable(spark, sf_dir))
 
@@ -238,16 +251,19 @@ _GIVEN = "CASE {0} WHEN 'Maria' THEN '67' WHEN 'Marie' THEN '67' WHEN 'Peter' TH
 _FAMILY = "CASE {0} WHEN 'Meyer' THEN 'M600' WHEN 'Maier' THEN 'M600' WHEN 'Schmidt' THEN 'S530' WHEN 'Schmitt' THEN 'S530' WHEN 'Fischer' THEN 'F260' WHEN 'Vischer' THEN 'V260' WHEN 'Weber' THEN 'W160' WHEN 'Wagner' THEN 'W256' WHEN 'Becker' THEN 'B260' WHEN 'Bekker' THEN 'B260' ELSE 'H155' END"
 
 
+_NAMED = f"k AS (SELECT resource_type, id, {_GIVEN.format('given')} AS g, {_FAMILY.format('family')} AS f FROM person)"
+_COMPARED = "cand JOIN k x ON x.resource_type = cand.resource_type AND x.id = a JOIN k y ON y.resource_type = cand.resource_type AND y.id = b"
+
+
 @query(
     "mdm_match",
     sql(
-        f"WITH {_CANDIDATES}, k AS (SELECT id, {_GIVEN.format('given')} AS g, {_FAMILY.format('family')} AS f FROM patient) SELECT a, b, x.g = y.g AS given, x.f = y.f AS family, CASE WHEN x.g = y.g AND x.f = y.f THEN 'MATCH' WHEN x.g = y.g THEN 'POSSIBLE_MATCH' ELSE 'NO_MATCH' END AS result FROM cand JOIN k x ON x.id = a JOIN k y ON y.id = b",
-        "patient",
+        f"WITH {_CANDIDATES}, {_NAMED} SELECT cand.resource_type, a, b, x.g = y.g AS given, x.f = y.f AS family, CASE WHEN x.g = y.g AND x.f = y.f THEN 'MATCH' WHEN x.g = y.g THEN 'POSSIBLE_MATCH' ELSE 'NO_MATCH' END AS result FROM {_COMPARED}",
+        "person",
     ),
 )
 def mdm_match(spark, sf_dir):
-    p = _linkable(spark, sf_dir)
-    return L.mdm_match(L.mdm_candidates(p), L.phonetic_keys(p))
+    return L.mdm_compare(_linkable(spark, sf_dir))
 
 
 @query(
@@ -258,15 +274,15 @@ def mdm_match(spark, sf_dir):
     ),
 )
 def phonetic_keys(spark, sf_dir):
-    keys = L.phonetic_keys(_linkable(spark, sf_dir))
+    keys = L.phonetic_keys(tables(spark, sf_dir, "patient")[0])
     return keys.select("id", "family_key", F.array_join(F.array_sort("given_keys"), ",").alias("given_keys"))
 
 
 @query(
     "mdm_links",
     sql(
-        f"WITH {_CANDIDATES}, k AS (SELECT id, {_GIVEN.format('given')} AS g, {_FAMILY.format('family')} AS f FROM patient) SELECT a, b, CASE WHEN x.f = y.f THEN 'MATCH' ELSE 'POSSIBLE_MATCH' END AS result FROM cand JOIN k x ON x.id = a JOIN k y ON y.id = b WHERE x.g = y.g",
-        "patient",
+        f"WITH {_CANDIDATES}, {_NAMED} SELECT cand.resource_type, a, b, CASE WHEN x.f = y.f THEN 'MATCH' ELSE 'POSSIBLE_MATCH' END AS result FROM {_COMPARED} WHERE x.g = y.g",
+        "person",
     ),
 )
 def mdm_links(spark, sf_dir):
