@@ -1,5 +1,6 @@
 """Operators on small literal rows: nested searches, writes, measures, linkage, hooks."""
 
+import json
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -130,6 +131,46 @@ def test_match_over_several_given_names(spark):
     assert got == {("1", "2"): "MATCH", ("2", "3"): "NO_MATCH", ("1", "4"): "NO_MATCH"}
 
 
+def test_structural_diff_of_nested_resources(spark):
+    """A birth date, a nested member, array members that come and go, a type that changes, gaps in the numbers, repeats."""
+    bodies = {
+        ("1", 1): {"birthDate": "2020-01-01", "name": [{"family": "A", "given": ["x", "y"]}], "active": True},
+        ("1", 2): {"birthDate": "2025-01-01", "name": [{"family": "A", "given": ["x"]}], "active": True},
+        ("1", 7): {"birthDate": "2025-01-01", "name": [{"family": "B", "given": ["x", "z"]}], "active": "true", "address": {}},
+        ("1", 8): {"birthDate": "2025-01-01", "name": [{"family": "B", "given": ["x", "z"]}], "active": "true", "address": {"city": {"a": {"b": 1}}}},
+        ("2", 3): {"birthDate": "1990-01-01"},
+        ("3", 1): None,
+        ("3", 2): {"a": None},
+    }
+    rows = [(i, v, None if b is None else json.dumps(b)) for (i, v), b in bodies.items()]
+    versions = spark.createDataFrame(rows, "id string, version_id int, body string")
+    want = [
+        ("1", 2, "Patient.birthDate", "replace", '"2020-01-01"', '"2025-01-01"'),
+        ("1", 2, "Patient.name[0].given[1]", "delete", '"y"', None),
+        ("1", 7, "Patient.active", "replace", "true", '"true"'),
+        ("1", 7, "Patient.address", "insert", None, "{}"),
+        ("1", 7, "Patient.name[0].family", "replace", '"A"', '"B"'),
+        ("1", 7, "Patient.name[0].given[1]", "insert", None, '"z"'),
+        ("1", 8, "Patient.address", "delete", "{}", None),
+        ("1", 8, "Patient.address.city.a.b", "insert", None, "1"),
+        ("3", 2, "Patient.a", "insert", None, "null"),
+    ]
+    assert sorted(map(tuple, history.structural_diff(versions, root=F.lit("Patient")).collect())) == want
+    shallow = history.structural_diff(versions, root=F.lit("Patient"), depth=1).where("version_id = 8").collect()
+    assert [tuple(r) for r in shallow] == [("1", 8, "Patient.address", "replace", "{}", '{"city":{"a":{"b":1}}}')]
+    parsed = versions.withColumn("body", F.parse_json("body"))
+    assert sorted(map(tuple, history.structural_diff(parsed, root=F.lit("Patient")).collect())) == want
+    assert history.structural_diff(versions.limit(0)).collect() == []
+
+
+def test_versions_of_one_busy_id_follow_each_other(spark):
+    """Spans of 100 numbers, some of them empty: each version is followed by the next there is."""
+    numbers = [k for k in range(1, 2000) if k % 7 and not 300 <= k < 650]
+    versions = spark.createDataFrame([("a", k) for k in numbers] + [("b", 5)], "id string, version_id int").repartition(3)
+    got = {(r["id"], r["version_id"]): (r["following"], r["first"]) for r in history.next_versions(versions, 100).collect()}
+    assert got == {("a", k): (n, k == 1) for k, n in zip(numbers, [*numbers[1:], None], strict=True)} | {("b", 5): (None, True)}
+
+
 PERSON = "resource_type string, id string, active boolean, birthdate date, identifier array<string>, practitioner string, given string, family string"
 
 

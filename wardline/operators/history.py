@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -59,6 +59,76 @@ def version_diff(versions: DataFrame, columns: list[str]) -> DataFrame:
     return flat.where(~F.col("old").eqNullSafe(F.col("new"))).select("id", "version_id", "path", operation.alias("operation"), "old", "new")
 
 
+#: Levels of objects and arrays that are taken apart; what lies deeper is compared as a whole.
+DEPTH = 16
+#: Versions of one id that are put in order together.
+VERSION_SPAN = 100_000
+
+
+def leaves(rows: DataFrame, body: str = "body", root: Column | None = None, depth: int = DEPTH) -> DataFrame:
+    """One row for each value inside the resources: the other columns, path and value (JSON text).
+
+    ``body`` is JSON text or a variant. Paths name members by a dot and array places from 0, as ``Patient.name[0].family``;
+    ``root`` is what they begin with. Empty objects and arrays are values. Each level is a generator over the rows of the
+    level above, so nothing is shuffled. Text that is not JSON fails the job; a null body has no values.
+    """
+    kept = [c for c in rows.columns if c != body]
+    value = F.col(body) if rows.schema[body].dataType.typeName() == "variant" else F.parse_json(body)
+    flat = rows.where(F.col(body).isNotNull()).select(*kept, (F.lit("") if root is None else root).alias("path"), value.alias("value"))
+    dotted = lambda key: F.when(F.col("path") == "", key).otherwise(F.concat("path", F.lit("."), key))
+    for _ in range(depth):
+        members = F.map_entries(F.try_variant_get("value", "$", "map<string,variant>"))
+        places = F.try_variant_get("value", "$", "array<variant>")
+        inner = (
+            F.when(F.size(members) > 0, F.transform(members, lambda m: F.struct(dotted(m["key"]).alias("path"), m["value"].alias("value"))))
+            .when(
+                F.size(places) > 0,
+                F.transform(places, lambda v, k: F.struct(F.concat("path", F.lit("["), k.cast("string"), F.lit("]")).alias("path"), v.alias("value"))),
+            )
+            .otherwise(F.array(F.struct("path", "value")))
+        )
+        flat = flat.select(*kept, F.explode(inner).alias("v")).select(*kept, "v.path", "v.value")
+    return flat.withColumn("value", F.to_json("value"))
+
+
+def next_versions(versions: DataFrame, span: int = VERSION_SPAN) -> DataFrame:
+    """(id, version_id, following, first): each version's successor, null after the last, and whether none came before.
+
+    Versions are put in order in spans of ids and numbers, then the spans of an id among each other, so an id with very
+    many versions is many tasks.
+    """
+    keyed = versions.select("id", "version_id").distinct().withColumn("span", F.floor(F.col("version_id") / span))
+    inside = Window.partitionBy("id", "span").orderBy("version_id")
+    rows = keyed.select("id", "version_id", "span", F.lead("version_id").over(inside).alias("following"), (F.row_number().over(inside) == 1).alias("opens"))
+    ends = keyed.groupBy("id", "span").agg(F.min("version_id").alias("low"))
+    between = Window.partitionBy("id").orderBy("span")
+    ends = ends.select("id", "span", F.lead("low").over(between).alias("next_low"), (F.row_number().over(between) == 1).alias("earliest"))
+    found = rows.join(ends, ["id", "span"])
+    return found.select("id", "version_id", F.coalesce("following", "next_low").alias("following"), (F.col("opens") & F.col("earliest")).alias("first"))
+
+
+def structural_diff(versions: DataFrame, body: str = "body", root: Column | None = None, depth: int = DEPTH) -> DataFrame:
+    """(id, version_id, path, operation, old, new) for each value in a resource that differs from the version before.
+
+    Resources (id, version_id, body) are taken apart by ``leaves``. Each value is met as the new one of its version and the
+    old one of the next, under one key of (id, version, path): one shuffle, whatever the number of versions. A value that was
+    not there is an ``insert``, one that is gone a ``delete``, else it is a ``replace``; array members are told apart by their
+    place. The first version of an id has no rows. Rows of an (id, version_id) must be one.
+    """
+    order = next_versions(versions)
+    flat = leaves(versions.select("id", "version_id", body, *([] if root is None else [root.alias("__root")])), body, None if root is None else F.col("__root"), depth)
+    met = flat.join(order, ["id", "version_id"])
+    sides = F.array(
+        F.when(~F.col("first"), F.struct(F.col("version_id").alias("at"), F.lit(None).cast("string").alias("old"), F.col("value").alias("new"))),
+        F.when(F.col("following").isNotNull(), F.struct(F.col("following").alias("at"), F.col("value").alias("old"), F.lit(None).cast("string").alias("new"))),
+    )
+    both = met.select("id", "path", F.explode(F.array_compact(sides)).alias("s"))
+    compared = both.groupBy("id", F.col("s.at").alias("version_id"), "path").agg(F.max("s.old").alias("old"), F.max("s.new").alias("new"))
+    operation = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").otherwise("replace")
+    changed = compared.where(~F.col("old").eqNullSafe(F.col("new")))
+    return changed.select("id", "version_id", "path", operation.alias("operation"), "old", "new")
+
+
 def resolve_updates(current: DataFrame, updates: DataFrame, retry: bool, max_retries: int = 10) -> DataFrame:
     """Outcome of concurrent updates (id, base_version, arrival): (id, arrival, status, version_id).
 

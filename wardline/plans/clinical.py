@@ -537,6 +537,34 @@ def version_diff(spark, sf_dir):
     return H.version_diff(v, ["status", "props"])
 
 
+_BODY = """concat('{"resourceType":"Observation","status":"', status, '","data":', props, ',"tag":[', CASE seq % 3 WHEN 0 THEN '' WHEN 1 THEN concat('{"code":"', status, '"}') ELSE concat('{"code":"', status, '"},{"code":"x","n":', CAST(seq % 5 AS STRING), '}') END, ']', CASE WHEN seq % 2 = 0 THEN ',"note":null' ELSE '' END, '}')"""
+
+
+@query(
+    "structural_diff",
+    sql(
+        f"""WITH {_HISTORY}, flat AS (
+SELECT id, version_id, 'Observation.status' AS path, concat('"', status, '"') AS value FROM hist
+UNION ALL SELECT id, version_id, 'Observation.resourceType', '"Observation"' FROM hist
+UNION ALL SELECT id, version_id, 'Observation.data.k', regexp_extract(props, '[0-9]+') FROM hist
+UNION ALL SELECT id, version_id, 'Observation.tag', '[]' FROM hist WHERE seq % 3 = 0
+UNION ALL SELECT id, version_id, 'Observation.tag[0].code', concat('"', status, '"') FROM hist WHERE seq % 3 > 0
+UNION ALL SELECT id, version_id, 'Observation.tag[1].code', '"x"' FROM hist WHERE seq % 3 = 2
+UNION ALL SELECT id, version_id, 'Observation.tag[1].n', CAST(seq % 5 AS STRING) FROM hist WHERE seq % 3 = 2
+UNION ALL SELECT id, version_id, 'Observation.note', 'null' FROM hist WHERE seq % 2 = 0),
+d AS (SELECT COALESCE(n.id, o.id) AS id, COALESCE(n.version_id, o.version_id + 1) AS version_id, COALESCE(n.path, o.path) AS path, o.value AS old, n.value AS new
+FROM flat n FULL JOIN flat o ON n.id = o.id AND n.path = o.path AND n.version_id = o.version_id + 1)
+SELECT d.id, CAST(d.version_id AS INT) AS version_id, path, CASE WHEN old IS NULL THEN 'insert' WHEN new IS NULL THEN 'delete' ELSE 'replace' END AS operation, old, new
+FROM d JOIN hist h ON h.id = d.id AND h.version_id = d.version_id WHERE d.version_id > 1 AND old IS DISTINCT FROM new""",
+        "version",
+    ),
+)
+def structural_diff(spark, sf_dir):
+    """All versions as resources of nested members and arrays of none to two tags."""
+    v = H.history(tables(spark, sf_dir, "version")[0]).select("id", "version_id", F.expr(_BODY).alias("body"))
+    return H.structural_diff(v, root=F.lit("Observation"))
+
+
 def _conflicts(spark, sf_dir):
     e, c = tables(spark, sf_dir, "events", "customer")
     updates = e.select(F.col("user_id").cast("string").alias("id"), (F.col("event_id") % 3).cast("int").alias("base_version"), F.col("event_id").alias("arrival"))
