@@ -1,7 +1,8 @@
 """Operators on small literal rows: nested searches, writes, measures, linkage, hooks."""
 
 import json
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -227,6 +228,100 @@ def test_a_second_key_for_busy_blocks(spark):
     assert linkage.left_out(people, 20_000, "birthdate", rules).collect() == []
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components_grow_with_batches_of_any_split(spark, seed):
+    rng = random.Random(seed)
+    links = [(f"{rng.randrange(70):02d}", f"{rng.randrange(70):02d}") for _ in range(60)]
+    kind = "a string, b string"
+    whole = {r["id"]: r["golden_id"] for r in linkage.golden_ids(spark.createDataFrame(links, kind)).collect()}
+    cuts = sorted(rng.sample(range(61), 2))
+    labels = spark.createDataFrame([], "id string, golden_id string")
+    for batch in (links[: cuts[0]], links[cuts[0] : cuts[1]], links[cuts[1] :]):
+        old = {r["id"]: r["golden_id"] for r in labels.collect()}
+        changed, merges = linkage.grow_golden_ids(labels, spark.createDataFrame(batch, kind))
+        labels = spark.createDataFrame(linkage.relabelled(labels, changed).collect(), "id string, golden_id string")
+        new = {r["id"]: r["golden_id"] for r in labels.collect()}
+        assert len(new) == labels.count()
+        assert {r["id"] for r in changed.collect()} == {k for k in new if old.get(k) != new[k]}
+        assert {tuple(r) for r in merges.collect()} == {(old[k], new[k]) for k in old if old[k] != new[k]}
+    assert new == whole
+
+
+def _periods(spark, rows, kind):
+    return spark.createDataFrame(rows, "id int, who string, start string, end string").select("id", "who", F.col("start").cast(kind).alias("start"), F.col("end").cast(kind).alias("end"))
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp"])
+def test_binned_overlaps_are_those_of_the_plain_join(spark, kind):
+    """Random, open, empty, equal and inverted periods, null keys and starts."""
+    rng = random.Random(9)
+
+    def day(k):
+        moment = datetime(2001, 1, 1) + timedelta(days=k, hours=(k * 7) % 24 if kind == "timestamp" else 0)
+        return moment.isoformat(sep=" ")
+
+    def rows():
+        out = [(k, rng.choice(["x", "y"]), day(s := rng.randrange(900)), rng.choice([None, day(s), day(s + rng.randrange(1, 500)), day(s - 3)])) for k in range(80)]
+        return [*out, (80, None, day(1), None), (81, "x", None, day(5)), (82, "z", day(0), None)]
+
+    left, right = _periods(spark, rows(), kind), _periods(spark, rows(), kind)
+    want = cohort.overlap_join(left, right, "who").where("l_start is not null and r_start is not null")
+    got = cohort.overlap_join_binned(left, right, "who")
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert cohort.overlap_join_binned(left, right.limit(0), "who").collect() == []
+
+
+def test_a_patient_with_very_many_periods_is_many_bins(spark):
+    """6,000 short stays of one patient on each side: pairs as in the plain join, and no bin holds a twentieth of the rows."""
+    stays = spark.range(6000).selectExpr("cast(id as int) id", "'busy' who", "date_add(date'1990-01-01', cast(id as int)) start", "date_add(date'1990-01-01', cast(id + id % 4 as int)) end")
+    got = cohort.overlap_join_binned(stays, stays, "who").select("l_id", "r_id")
+    want = cohort.overlap_join(stays, stays, "who").select("l_id", "r_id")
+    assert got.count() == got.distinct().count() == want.count()
+    assert got.exceptAll(want).isEmpty()
+    bins = stays.select(F.explode(cohort._covering(F.datediff("start", F.lit("1990-01-01")).cast("long"), F.datediff("end", F.lit("1990-01-01")).cast("long"), 13)).alias("b"))
+    assert bins.groupBy("b").count().agg(F.max("count")).first()[0] <= 4 and bins.count() < 3 * 6000
+
+
+def test_measures_from_criteria(spark):
+    """Alternatives of one part, parts together, minimum counts, periods, kinds, flags without criteria."""
+    patients = spark.createDataFrame([(k,) for k in "abcdef"], "id string")
+    day = date(2020, 5, 1)
+    facts = spark.createDataFrame(
+        [
+            ("a", "Visit", "s", "v1", day, day),
+            ("a", "Visit", "s", "v1", date(2021, 1, 1), None),
+            ("a", "Test", "s", "t", None, None),
+            ("b", "Visit", "s", "v2", date(2019, 1, 1), date(2019, 2, 1)),
+            ("b", "Call", "s", "v2", day, None),
+            ("c", "Visit", "s", "v1", date(2019, 1, 1), None),
+            ("d", "Visit", None, None, day, day),
+            ("e", "Visit", "s", "other", day, day),
+            (None, "Visit", "s", "v1", day, day),
+        ],
+        "patient_id string, kind string, system string, code string, start date, end date",
+    )
+    members = spark.createDataFrame([("visits", "s", "v1"), ("visits", "s", "v2"), ("tests", "s", "t"), ("tests", "s", "t")], "url string, system string, code string")
+    rule = "flag string, part string, kind string, valueset_url string, period_start date, period_end date, min_count int"
+    first, last = date(2020, 1, 1), date(2020, 12, 31)
+    criteria = [
+        ("initial_population", "seen", "Visit", "visits", first, last, None),
+        ("initial_population", "seen", "Call", "visits", first, last, None),
+        ("denominator", "p", "Visit", "visits", None, None, 0),
+        ("numerator", "often", "Visit", "visits", None, None, 2),
+        ("numerator", "tested", "Test", "tests", None, None, 1),
+    ]
+    flags = cohort.measure_flags(patients, facts, members, spark.createDataFrame(criteria, rule))
+    got = {r["patient_id"]: tuple(r[1:]) for r in flags.collect()}
+    seen, unseen = (True, True, False), (False, True, False)
+    assert got == {"a": (*seen, True), "b": (*seen, False), "c": (*seen, False), **{k: (*unseen, False) for k in "def"}}
+    assert tuple(cohort.evaluate_measure(flags).first()) == (3, 3, 0, 1, pytest.approx(1 / 3))
+    none = cohort.measure_flags(patients, facts, members, spark.createDataFrame([], rule))
+    assert [tuple(r[1:]) for r in none.collect()] == [(False,) * 4] * 6
+    with pytest.raises(ValueError):
+        cohort.measure_flags(patients, facts, members, spark.createDataFrame([("other", "p", "Visit", None, None, None, None)], rule))
+
+
 def test_valueset_limit(spark):
     compose = spark.createDataFrame([("u", "s", None)], "url string, system string, code string")
     concepts = spark.createDataFrame([("s", str(k)) for k in range(5)], "system string, code string")

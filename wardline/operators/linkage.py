@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.phonetic import cologne_phonetic, soundex
+from wardline.operators.joins import hinted
 from wardline.sources.staging import staged
 
 #: Types that are linked, blocking fields and the type that each holds for (``*``: all), and the result map over the
@@ -207,3 +208,32 @@ def golden_ids(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             named = edges.select(F.col("a").alias("id"), F.col("b").alias("golden_id"))
             return named.union(edges.select(F.col("b").alias("id"), F.col("b").alias("golden_id")).distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def grow_golden_ids(labels: DataFrame, links: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, DataFrame]:
+    """Labels after a batch of new links: (changed, merges).
+
+    ``labels`` (id, golden_id) are those of all links so far. ``changed`` has the ids whose label is new or another than
+    before, to be written over the stored ones; ``merges`` (golden_id, into) says which components went into which, for
+    whoever kept the old golden ids. Links are first put on the golden ids of their ends, so the rounds run over
+    components that the batch ties together, not over their members, and no other component is read but by its label.
+    Any split of links into batches gives the labels of ``golden_ids`` over all of them.
+    """
+    ends = links.select("a", "b").where("a <> b")
+    known = labels.select("id", F.col("golden_id").alias("g"))
+    asked = ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct()
+    named = staged(asked.join(known, "id", "left").select("id", F.coalesce("g", "id").alias("g"), F.col("g").isNull().alias("new")), "golden-ends")
+    side = lambda name: named.select(F.col("id").alias(name), F.col("g").alias(f"g_{name}"))
+    roots = ends.join(side("a"), "a").join(side("b"), "b").select(F.col("g_a").alias("a"), F.col("g_b").alias("b")).distinct()
+    moved = staged(golden_ids(roots, max_rounds).where("id <> golden_id").select(F.col("id").alias("g"), F.col("golden_id").alias("into")), "golden-moved")
+    side_moved = hinted(moved)
+    again = known.join(side_moved, "g").select("id", F.col("into").alias("golden_id"))
+    fresh = named.where("new").join(side_moved, "g", "left").select("id", F.coalesce("into", "g").alias("golden_id"))
+    before = named.where("new").select(F.col("id").alias("g")).distinct()
+    merges = moved.join(before, "g", "left_anti").select(F.col("g").alias("golden_id"), "into")
+    return again.unionByName(fresh), merges
+
+
+def relabelled(labels: DataFrame, changed: DataFrame) -> DataFrame:
+    """All labels after ``grow_golden_ids``."""
+    return labels.select("id", "golden_id").join(changed.select("id"), "id", "left_anti").unionByName(changed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from wardline.functions import scoring as S
@@ -11,8 +13,9 @@ from wardline.operators import refs as R
 from wardline.operators import subscriptions as U
 from wardline.operators import terminology as T
 from wardline.plans.adapters import sql, tables
-from wardline.plans.clinical import query
+from wardline.plans.clinical import SQL, query
 from wardline.sources import records as B
+from wardline.sources.staging import staged
 
 # ---- references
 
@@ -108,6 +111,12 @@ def overlap_join(spark, sf_dir):
     return C.overlap_join(e.where("status = 'F'"), e.where("status = 'P'"), "patient_id").select("l_id", "r_id")
 
 
+@query("overlap_join_binned", SQL["overlap_join"])
+def overlap_join_binned(spark, sf_dir):
+    e = tables(spark, sf_dir, "encounter")[0].withColumnsRenamed({"period_start": "start", "period_end": "end"})
+    return C.overlap_join_binned(e.where("status = 'F'"), e.where("status = 'P'"), "patient_id").select("l_id", "r_id")
+
+
 @query(
     "everything",
     sql(
@@ -208,6 +217,38 @@ def care_gaps(spark, sf_dir):
     return C.care_gaps(_flags(spark, sf_dir))
 
 
+def _criteria_flags(spark, sf_dir, least=1):
+    """The flags of ``_flags`` from criteria: patients' own states, encounters and conditions are facts of three kinds."""
+    p, e, c = tables(spark, sf_dir, "patient", "encounter", "condition")
+    none = F.lit(None).cast("date")
+    states = F.array_compact(F.array(F.when(F.col("active"), F.lit("active")), F.when(F.col("seq") % 17 == 0, F.lit("excused"))))
+    facts = p.select(F.col("id").alias("patient_id"), F.lit("Patient").alias("kind"), F.lit("state").alias("system"), F.explode(states).alias("code"), none.alias("start"), none.alias("end"))
+    facts = facts.unionByName(e.select("patient_id", F.lit("Encounter").alias("kind"), F.lit("status").alias("system"), F.col("status").alias("code"), F.col("period_start").alias("start"), F.col("period_end").alias("end")))
+    facts = facts.unionByName(c.select("patient_id", F.lit("Condition").alias("kind"), F.lit("codes").alias("system"), "code", none.alias("start"), none.alias("end")))
+    members = spark.createDataFrame([("vs-active", "state", "active"), ("vs-excused", "state", "excused")] + [("vs-met", "codes", str(k)) for k in range(1, 6)], "url string, system string, code string")
+    criteria = spark.createDataFrame(
+        [
+            ("initial_population", "state", "Patient", "vs-active", None, None, None),
+            ("denominator", "seen", "Encounter", None, date(1997, 1, 1), date(1997, 12, 31), None),
+            ("exclusion", "state", "Patient", "vs-excused", None, None, None),
+            ("numerator", "met", "Condition", "vs-met", None, None, least),
+        ],
+        "flag string, part string, kind string, valueset_url string, period_start date, period_end date, min_count int",
+    )
+    return C.measure_flags(p, facts, members, criteria)
+
+
+@query("measure_from_criteria", SQL["evaluate_measure_individual"])
+def measure_from_criteria(spark, sf_dir):
+    return C.evaluate_measure(_criteria_flags(spark, sf_dir), "individual")
+
+
+@query("measure_from_criteria_twice", SQL["evaluate_measure"].replace("COALESCE(c.n > 0, FALSE) AS num", "COALESCE(c.n > 1, FALSE) AS num"))
+def measure_from_criteria_twice(spark, sf_dir):
+    """The numerator asks for two conditions of the value set."""
+    return C.evaluate_measure(_criteria_flags(spark, sf_dir, 2))
+
+
 # ---- linkage
 
 
@@ -317,6 +358,20 @@ def golden_ids(spark, sf_dir):
     return L.golden_ids(L.mdm_eid_matches(_identifiers(spark, sf_dir), "urn:eid").select("a", "b").unionByName(born))
 
 
+@query("golden_ids_grown", SQL["golden_ids"])
+def golden_ids_grown(spark, sf_dir):
+    """The components of ``golden_ids``, its links come in three batches."""
+    p = tables(spark, sf_dir, "patient")[0]
+    least = p.groupBy("birth_no").agg(F.min("id").alias("a"))
+    born = p.select(F.col("id").alias("b"), "birth_no").join(least, "birth_no").where("a <> b").select("a", "b")
+    by_identifier = L.mdm_eid_matches(_identifiers(spark, sf_dir), "urn:eid").select("a", "b")
+    labels = L.golden_ids(by_identifier)
+    for odd in (0, 1):
+        changed, _ = L.grow_golden_ids(labels, born.where(F.pmod(F.xxhash64("b"), F.lit(2)) == odd))
+        labels = staged(L.relabelled(labels, changed), "golden-labels")
+    return labels
+
+
 # ---- terminology
 
 
