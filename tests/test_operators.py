@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.operators import cohort, history, hooks, linkage, refs, search, subscriptions, terminology, vitals
+from wardline.plans.adapters import tables
+from wardline.sources import layout
 
 
 def test_nested_searches(spark):
@@ -132,6 +134,48 @@ def test_match_over_several_given_names(spark):
     assert got == {("1", "2"): "MATCH", ("2", "3"): "NO_MATCH", ("1", "4"): "NO_MATCH"}
 
 
+def _entries(spark, *rows):
+    kind = "resource_type string, id string, method string, body string, seq int"
+    return spark.createDataFrame([("Patient", i, m, None if m == "DELETE" else f"{m} {k}", k) for k, (i, m) in enumerate(rows)], kind)
+
+
+def test_bundles_in_a_row(spark):
+    """Creates never update, versions outlive deletes in the bundle and after it, deletes of nothing are nothing."""
+    table = spark.createDataFrame([], "resource_type string, id string, version_id int, body string, deleted boolean")
+    state = lambda df: {r["id"]: (r["version_id"], r["body"], r["deleted"]) for r in df.collect() if not r["id"].startswith("new-")}
+    first = _entries(spark, ("1", "PUT"), ("2", "PUT"), ("2", "PUT"), ("2", "DELETE"), ("2", "DELETE"), ("3", "PUT"), ("3", "DELETE"), ("3", "PUT"), ("4", "DELETE"), (None, "PUT"), ("1", "GET"))
+    table = history.apply_bundle(table, first)
+    assert state(table) == {"1": (1, "PUT 0", False), "2": (3, None, True), "3": (3, "PUT 7", False)}
+    table = spark.createDataFrame(table.collect(), table.schema)
+    second = _entries(spark, ("1", "POST"), ("2", "PUT"), ("3", "DELETE"), ("1", "DELETE"), ("1", "PUT"), (None, "POST"), ("4", "PUT"))
+    after = history.apply_bundle(table, second)
+    assert state(after) == {"1": (3, "PUT 4", False), "2": (4, "PUT 1", False), "3": (4, None, True), "4": (1, "PUT 6", False)}
+    made = [tuple(r)[2:] for r in after.where("id like 'new-%'").collect()]
+    assert sorted(made) == [(1, "POST 0", False), (1, "POST 5", False)]
+    again = history.apply_bundle(table, second)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, after.collect()))
+    assert state(history.apply_bundle(spark.createDataFrame(after.collect(), after.schema), _entries(spark, ("2", "DELETE"), ("2", "PUT"))))["2"] == (6, "PUT 1", False)
+
+
+@pytest.mark.parametrize("span", [1, 3, 1000])
+def test_bundle_entries_in_spans(spark, span):
+    """However the entries of an id are cut into spans, they apply as one after the other."""
+    rng = random.Random(4)
+    steps = [(str(rng.randrange(6)), rng.choice(["PUT", "DELETE", "DELETE", "POST"])) for _ in range(120)]
+    start = {"0": (5, "old", False), "1": (2, None, True), "7": (1, "alone", False)}
+    want = dict(start)
+    for k, (i, method) in enumerate(steps):
+        version, _, gone = want.get(i, (0, None, True))
+        if method == "PUT":
+            want[i] = (version + 1, f"PUT {k}", False)
+        elif method == "DELETE" and not gone:
+            want[i] = (version + 1, None, True)
+    current = spark.createDataFrame([("Patient", i, *v) for i, v in start.items()], "resource_type string, id string, version_id int, body string, deleted boolean")
+    after = history.apply_bundle(current, _entries(spark, *steps), span)
+    assert {r["id"]: tuple(r)[2:] for r in after.collect() if not r["id"].startswith("new-")} == want
+    assert after.where("id like 'new-%'").count() == sum(m == "POST" for _, m in steps)
+
+
 def test_structural_diff_of_nested_resources(spark):
     """A birth date, a nested member, array members that come and go, a type that changes, gaps in the numbers, repeats."""
     bodies = {
@@ -431,3 +475,34 @@ def test_hooks_and_operations(spark):
         operations.register("count", lambda df: df)
     with pytest.raises(KeyError):
         operations.call("nothing", df=df)
+
+
+def test_flow_over_tables_laid_out_by_patient(spark, sf_dir, tmp_path):
+    """Newest, merge, totals and change set over bucketed tables without an exchange, with the rows of the plain tables."""
+    obs, patients = tables(spark, sf_dir, "observation", "patient")
+    columns = ["id", "seq", "subject", "issued", "effective", "code", "value"]
+    old, new = (obs.where(f"seq % 2 = {k}").select(*columns) for k in (0, 1))
+    plain = vitals.patient_updates(vitals.patient_totals(vitals.merge_latest(*(vitals.latest_vitals(vitals.scored(x)) for x in (old, new)))), patients)
+    names = [f"laid_{k}" for k in range(3)]
+    try:
+        first, second = (layout.save_by_patient(x, n, 4) for x, n in zip((old, new), names[:2], strict=True))
+        people = layout.save_by_patient(patients.withColumn("patient_id", F.col("id")), names[2], 4).select(F.col("patient_id").alias("id"), "stored_total", "block")
+        newest = [vitals.latest_vitals(vitals.scored(x)) for x in (first, second)]
+        totals = vitals.patient_totals(newest[0])
+        laid = vitals.patient_updates(totals, people.hint("merge"))
+        assert "Exchange" not in laid._jdf.queryExecution().executedPlan().toString()
+        merged = vitals.patient_updates(vitals.patient_totals(vitals.merge_latest(*newest)), people)
+        assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, plain.collect()))
+        assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, vitals.patient_totals(vitals.latest_vitals(vitals.scored(old))).collect()))
+    finally:
+        for n in names:
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
+
+
+def test_partitions_are_even(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 10 > 0, F.col("id") % 1000).alias("patient_id"))
+    placed = terminology.assign_portable_partition(rows, 8)
+    got = {r["partition_id"]: r for r in terminology.partition_balance(placed, 8).collect()}
+    assert sorted(got) == list(range(9)) and got[0]["rows"] == 400 and got[0]["patients"] == 0 and got[0]["times_even"] is None
+    assert sum(r["patients"] for r in got.values()) == 900 and all(0.7 < r["times_even"] < 1.3 for k, r in got.items() if k)
+    assert {r["rows"] for r in terminology.partition_balance(placed.limit(0), 2).collect()} == {0}

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from wardline.operators import history
 from wardline.sources import records as R
@@ -90,6 +91,37 @@ def test_contained(spark):
     assert sorted((r["parent_id"], r["resource_type"], r["id"]) for r in rows) == [("m", "Bundle", "in"), ("m", "List", "l"), ("m", "Patient", "p")]
 
 
+def test_typed_bundles_are_the_same_rows(spark, tmp_path):
+    """Variant bodies, parsed by the reader: same rows, same bodies, no parse of text after it."""
+    more = [{"request": {"method": "DELETE", "url": "Patient/7"}}, {"resource": {"resourceType": "Observation", "valueQuantity": {"value": 1.5}, "note": ["é", None]}, "request": {"method": "POST", "url": "Observation"}}]
+    (tmp_path / "a.json").write_text(json.dumps(BUNDLE | {"entry": BUNDLE["entry"] + more}, indent=2))
+    plain, typed = (R.read_bundles(spark, str(tmp_path), typed=t) for t in (False, True))
+    assert typed.schema["body"].dataType.typeName() == "variant"
+    pick = lambda df, body: sorted(((*map(str, r[:8]), json.loads(r[8]) if r[8] else None) for r in df.withColumn("body", body).collect()), key=str)
+    assert pick(plain, F.col("body")) == pick(typed, F.to_json("body"))
+    plan = typed._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and "parseJson" not in plan
+
+
+def test_resources_of_any_type(spark, tmp_path):
+    lines = [{"resourceType": "Observation", "id": "1", "valueQuantity": {"value": 2}}, {"resourceType": "Odd", "id": "2", "valueOdd": [1]}, {"resourceType": "Patient", "id": "3", "values": 1}]
+    (tmp_path / "x.ndjson").write_text("\n".join([*map(json.dumps, lines), "", "{no", "[1]", "3"]))
+    rows, bad = R.read_resources(spark, str(tmp_path))
+    value = R.polymorphic(F.col("body"), "value")
+    got = rows.select("resource_type", "id", value["kind"].alias("kind"), F.to_json(value["value"]).alias("value"))
+    assert sorted(map(tuple, got.collect())) == [("Observation", "1", "Quantity", '{"value":2}'), ("Odd", "2", "Odd", "[1]"), ("Patient", "3", None, None)]
+    assert sorted(r["value"] for r in bad.collect()) == ["3", "[1]", "{no"]
+
+
+def test_contained_of_typed_bodies(spark):
+    inner = {"resourceType": "Bundle", "id": "in", "entry": [{"resource": {"resourceType": "Patient", "id": "p"}}, {}]}
+    body = {"resourceType": "MeasureReport", "id": "m", "contained": [inner, {"resourceType": "List", "id": "l"}]}
+    df = spark.createDataFrame([(json.dumps(body),), ('{"id": "none"}',), ('{"contained": {}}',), (None,)], "body string")
+    plain, typed = R.explode_contained(df), R.explode_contained(df.withColumn("body", F.parse_json("body"))).withColumn("body", F.to_json("body"))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, typed.collect())) and plain.count() == 4
+    assert plain._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") == 1
+
+
 def test_relational_round_trip(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     df = spark.range(100).selectExpr("id", "id * 2 AS twice")

@@ -7,34 +7,61 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def apply_bundle(current: DataFrame, entries: DataFrame) -> DataFrame:
-    """Apply entries (id, method, body, seq) to a table (id, version_id, body): POST and PUT write, DELETE removes.
-
-    Where both have ``resource_type``, an id counts for its type. Entries of one id apply in ``seq`` order (ties
-    by bundle). Every write raises the version by one, from 1 for a new id; an id written again after a delete
-    goes on from its last version. A POST without an id makes a resource of its own: its id comes from its
-    place (seq, and the bundle_id and source of ``read_bundles`` if they are there), so a retry gives the same.
-    Other methods, and PUT or DELETE without an id, change nothing.
+#: Levels of objects and arrays that are taken apart; what lies deeper is compared as a whole.
+DEPTH = 16
+#: Versions of one id that are put in order together.
+VERSION_SPAN = 100_000
+
+
+def apply_bundle(current: DataFrame, entries: DataFrame, span: int = VERSION_SPAN) -> DataFrame:
+    """Apply entries (id, method, body, seq) to a table (id, version_id, body): POST creates, PUT writes, DELETE removes.
+
+    Where both have ``resource_type``, an id counts for its type. Entries of one id apply in ``seq`` order (ties by
+    bundle). A POST always makes a resource of its own, whatever id it brings: the new id comes from its place (seq, and
+    the bundle_id and source of ``read_bundles`` if they are there), so a retry gives the same, and it has version 1. Each
+    PUT, and each DELETE of a resource that is there at that point, raises the version by one. Other methods, PUT or DELETE
+    without an id, and a DELETE of what is not there change nothing.
+
+    If ``current`` has a column ``deleted``, so has the result, and deleted resources stay in it as tombstones with their
+    last version and no body: a later PUT, in this bundle or another, goes on from there. Without that column only what
+    is there is returned, and versions go on within the bundle alone. Entries are put in order in spans of ``seq``, so one
+    id with very many entries is many tasks.
     """
     key = [c for c in ("resource_type", "id") if c in current.columns and c in entries.columns]
     bundle = [c for c in ("source", "bundle_id") if c in entries.columns]
     place = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*bundle, "seq")])
+    posts = F.col("method") == "POST"
     own = F.concat(F.lit("new-"), F.substring(F.sha2(place, 256), 1, 32))
-    named = entries.where(F.col("method").isin("POST", "PUT", "DELETE")).withColumn(
-        "id", F.coalesce("id", F.when(F.col("method") == "POST", own))
+    named = entries.where(F.col("method").isin("POST", "PUT", "DELETE")).withColumn("id", F.when(posts, own).otherwise(F.col("id"))).where("id IS NOT NULL")
+
+    order, gone = F.struct("seq", *bundle), F.col("method") == "DELETE"
+    before = F.lag(gone).over(Window.partitionBy(*key, "span").orderBy("seq", *bundle))
+    steps = named.withColumn("span", F.floor(F.col("seq") / span)).withColumn("before", before)
+    spans = steps.groupBy(*key, "span").agg(
+        F.count_if(~gone).alias("writes"),
+        F.count_if(gone & ~F.col("before")).alias("removals"),  # a null before, the first of a span, doesn't count yet
+        F.min_by(gone, order).alias("begins_gone"),
+        F.max_by(F.struct(gone.alias("gone"), F.col("body")), order).alias("last"),
     )
-    writes = F.col("method") != "DELETE"
-    changes = named.where("id IS NOT NULL").groupBy(*key).agg(
-        F.count_if(writes).alias("n_writes"),
-        F.max_by(F.struct("method", "body"), F.struct("seq", *bundle)).alias("last"),
+    earlier = F.lag("last.gone").over(Window.partitionBy(*key).orderBy("span"))
+    changes = spans.withColumn("earlier", earlier).groupBy(*key).agg(
+        F.sum("writes").alias("writes"),
+        F.sum(F.col("removals") + F.when(F.col("begins_gone") & ~F.col("earlier"), 1).otherwise(0)).alias("removals"),
+        F.min_by("begins_gone", "span").alias("begins_gone"),
+        F.max_by("last", "span").alias("last"),
     )
-    joined = current.select(*key, "version_id", F.col("body").alias("old_body")).join(changes, key, "full")
-    stays = F.col("last").isNull() | (F.col("last.method") != "DELETE")
-    return joined.where(stays).select(
+    tombstones = "deleted" in current.columns
+    stored = current.select(*key, "version_id", F.col("body").alias("old_body"), (F.coalesce("deleted", F.lit(False)) if tombstones else F.lit(False)).alias("was_gone"))
+    joined = stored.join(changes, key, "full")
+    at_first = F.when(F.col("begins_gone") & ~F.coalesce("was_gone", F.lit(True)), 1).otherwise(0)
+    raised = F.coalesce("version_id", F.lit(0)) + F.when(F.col("last").isNull(), 0).otherwise(F.col("writes") + F.col("removals") + at_first)
+    now = joined.select(
         *key,
-        (F.coalesce("version_id", F.lit(0)) + F.coalesce("n_writes", F.lit(0))).cast("int").alias("version_id"),
-        F.when(F.col("last").isNull(), F.col("old_body")).otherwise(F.col("last.body")).alias("body"),
-    )
+        raised.cast("int").alias("version_id"),
+        F.when(F.col("last").isNull(), F.col("old_body")).when(~F.col("last.gone"), F.col("last.body")).alias("body"),
+        F.coalesce("last.gone", "was_gone").alias("deleted"),
+    ).where("version_id > 0")  # a delete of what never was leaves nothing
+    return now if tombstones else now.where(~F.col("deleted")).drop("deleted")
 
 
 def history(df: DataFrame) -> DataFrame:
@@ -59,12 +86,6 @@ def version_diff(versions: DataFrame, columns: list[str]) -> DataFrame:
     return flat.where(~F.col("old").eqNullSafe(F.col("new"))).select("id", "version_id", "path", operation.alias("operation"), "old", "new")
 
 
-#: Levels of objects and arrays that are taken apart; what lies deeper is compared as a whole.
-DEPTH = 16
-#: Versions of one id that are put in order together.
-VERSION_SPAN = 100_000
-
-
 def leaves(rows: DataFrame, body: str = "body", root: Column | None = None, depth: int = DEPTH) -> DataFrame:
     """One row for each value inside the resources: the other columns, path and value (JSON text).
 

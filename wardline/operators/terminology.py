@@ -68,6 +68,27 @@ def assign_patient_partition(df: DataFrame, n: int, patient_col: str = "patient_
     return df.withColumn("partition_id", F.when(F.col(patient_col).isNull(), 0).otherwise(hashed))
 
 
+def assign_portable_partition(df: DataFrame, n: int, patient_col: str = "patient_id") -> DataFrame:
+    """As ``assign_patient_partition``, by the first 32 bits of the id's md5, which other systems compute alike: a partition
+    written elsewhere is found here. The partition of an id never depends on the table it is in."""
+    hashed = (F.conv(F.substring(F.md5(F.col(patient_col).cast("string")), 1, 8), 16, 10).cast("long") % n + 1).cast("int")
+    return df.withColumn("partition_id", F.when(F.col(patient_col).isNull(), 0).otherwise(hashed))
+
+
+def partition_balance(placed: DataFrame, n: int, patient_col: str = "patient_id") -> DataFrame:
+    """(partition_id, rows, patients, times_even) of each partition from 0 to n, empty ones too.
+
+    ``times_even`` is the partition's patients over an even share of all, null for the default partition: what a hash
+    should keep near 1. Rows may be uneven all the same, as a patient has any number of them.
+    """
+    per_patient = placed.groupBy("partition_id", patient_col).agg(F.count(F.lit(1)).alias("n"))
+    used = per_patient.groupBy("partition_id").agg(F.sum("n").alias("rows"), F.count(patient_col).alias("patients"))
+    every = placed.sparkSession.range(n + 1).select(F.col("id").cast("int").alias("partition_id")).join(used, "partition_id", "left").fillna(0, ["rows", "patients"])
+    held = F.broadcast(used.agg(F.sum("patients").alias("all")))  # one row
+    share = F.when(F.col("partition_id") > 0, F.try_divide(F.col("patients").cast("double") * n, F.col("all")))
+    return every.join(held).select("partition_id", "rows", "patients", share.alias("times_even"))
+
+
 def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("tenant", "partition_id"), mode: str = "overwrite") -> None:
     """A table with a folder for each tenant and patient partition: reads of one leave the files of others alone."""
     df.repartition(*by).write.mode(mode).partitionBy(*by).parquet(path)

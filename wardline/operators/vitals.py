@@ -16,9 +16,12 @@ from wardline.functions.scoring import (
 
 
 def scored(observations: DataFrame) -> DataFrame:
-    """patient_id, code, news2_value, obs_instant and seq of observations that belong to a patient."""
+    """patient_id, code, news2_value, obs_instant and seq of observations that belong to a patient.
+
+    A ``patient_id`` that is there already is taken, so a table laid out by it stays so.
+    """
     return observations.select(
-        patient_id(F.col("subject")).alias("patient_id"),
+        F.col("patient_id") if "patient_id" in observations.columns else patient_id(F.col("subject")).alias("patient_id"),
         "code",
         news2_score(F.col("code"), F.col("value")).alias("news2_value"),
         observed_at(F.col("issued"), F.col("effective")).alias("obs_instant"),

@@ -488,21 +488,23 @@ def bulk_export_since(spark, sf_dir):
     return export_rows(v, ["Observation"], "2024-01-10 00:00:00").select("id", "last_updated")
 
 
-_ENTRIES = "entries AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'Patient' ELSE 'Observation' END AS resource_type, CASE WHEN event_id % 14 = 1 THEN concat('new-', substr(sha256(CAST(event_id AS VARCHAR)), 1, 32)) ELSE concat('p', user_id) END AS id, CASE event_id % 7 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'POST' ELSE 'PUT' END AS method, props AS body, event_id AS seq FROM events WHERE event_id % 19 <> 5)"
+_ENTRIES = "entries AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'Patient' ELSE 'Observation' END AS resource_type, CASE WHEN event_id % 7 = 1 THEN concat('new-', substr(sha256(CAST(event_id AS VARCHAR)), 1, 32)) ELSE concat('p', user_id) END AS id, event_id % 7 IN (0, 2) AS gone, props AS body, event_id AS seq FROM events WHERE event_id % 19 <> 5)"
 
 
 @query(
     "apply_bundle",
-    f"""WITH {_ENTRIES}, cur AS (SELECT 'Patient' AS resource_type, concat('p', c_custkey) AS id, 2 AS version_id, c_name AS body FROM customer),
-ch AS (SELECT resource_type, id, SUM(CASE WHEN method <> 'DELETE' THEN 1 ELSE 0 END) AS n, arg_max(method, seq) AS method, arg_max(struct_pack(b := body), seq).b AS body FROM entries GROUP BY resource_type, id)
-SELECT COALESCE(cur.resource_type, ch.resource_type) AS resource_type, COALESCE(cur.id, ch.id) AS id, CAST(COALESCE(version_id, 0) + COALESCE(n, 0) AS INT) AS version_id, CASE WHEN method IS NULL THEN cur.body ELSE ch.body END AS body
-FROM cur FULL JOIN ch ON cur.resource_type = ch.resource_type AND cur.id = ch.id WHERE method IS DISTINCT FROM 'DELETE'""",
+    f"""WITH {_ENTRIES}, cur AS (SELECT 'Patient' AS resource_type, concat('p', c_custkey) AS id, 2 AS version_id, CASE WHEN c_custkey % 6 <> 0 THEN c_name END AS body, c_custkey % 6 = 0 AS deleted FROM customer),
+steps AS (SELECT resource_type, id, gone, body, seq, 0 AS base FROM entries UNION ALL SELECT resource_type, id, deleted, body, -1, version_id FROM cur),
+told AS (SELECT *, COALESCE(lag(gone) OVER w, TRUE) AS gone_before FROM steps WINDOW w AS (PARTITION BY resource_type, id ORDER BY seq))
+SELECT resource_type, id, CAST(SUM(CASE WHEN seq = -1 THEN base WHEN gone AND gone_before THEN 0 ELSE 1 END) AS INT) AS version_id, CASE WHEN NOT arg_max(gone, seq) THEN arg_max(struct_pack(b := body), seq).b END AS body, arg_max(gone, seq) AS deleted
+FROM told GROUP BY resource_type, id HAVING version_id > 0""",
 )
 def apply_bundle(spark, sf_dir):
-    """All events as entries of two types against all customers; some POSTs have no id, GET changes nothing."""
+    """All events as entries of two types against all customers, some of them deleted before; some POSTs bring an id, GET
+    changes nothing."""
     e, c = tables(spark, sf_dir, "events", "customer")
     k = F.col("event_id")
-    method = F.when(k % 19 == 5, "GET").when(k % 7 == 0, "DELETE").when(k % 7 == 1, "POST").otherwise("PUT")
+    method = F.when(k % 19 == 5, "GET").when((k % 7).isin(0, 2), "DELETE").when(k % 7 == 1, "POST").otherwise("PUT")
     entries = e.select(
         F.when(k % 2 == 0, "Patient").otherwise("Observation").alias("resource_type"),
         F.when(k % 14 != 1, F.concat(F.lit("p"), F.col("user_id").cast("string"))).alias("id"),
@@ -510,7 +512,8 @@ def apply_bundle(spark, sf_dir):
         F.col("props").alias("body"),
         k.alias("seq"),
     )
-    current = c.select(F.lit("Patient").alias("resource_type"), F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("id"), F.lit(2).alias("version_id"), F.col("c_name").alias("body"))
+    gone = F.col("c_custkey") % 6 == 0
+    current = c.select(F.lit("Patient").alias("resource_type"), F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("id"), F.lit(2).alias("version_id"), F.when(~gone, F.col("c_name")).alias("body"), gone.alias("deleted"))
     return H.apply_bundle(current, entries)
 
 

@@ -446,6 +446,32 @@ def assign_patient_partition(spark, sf_dir):
     return per.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("p") == 0, F.col("n")).otherwise(0)).alias("in_default"), F.max("parts").__eq__(1).alias("one_each"))
 
 
+_PLACED = "placed AS (SELECT id, CASE WHEN seq % 5 = 0 THEN 0 ELSE CAST(CAST(concat('0x', substr(md5(substr(subject, 9)), 1, 8)) AS BIGINT) % 16 + 1 AS INT) END AS partition_id, CASE WHEN seq % 5 <> 0 THEN substr(subject, 9) END AS patient_id FROM observation)"
+
+
+def _placed(spark, sf_dir):
+    obs = tables(spark, sf_dir, "observation")[0]
+    patient = F.when(F.col("seq") % 5 != 0, S.patient_id(F.col("subject")))
+    return T.assign_portable_partition(obs.select("id", patient.alias("patient_id")), 16)
+
+
+@query("patient_partitions", sql(f"WITH {_PLACED} SELECT id, partition_id FROM placed", "observation"))
+def patient_partitions(spark, sf_dir):
+    """The partition of every observation; a fifth of them has no patient."""
+    return _placed(spark, sf_dir).select("id", "partition_id")
+
+
+@query(
+    "partition_balance",
+    sql(
+        f"WITH {_PLACED}, u AS (SELECT partition_id, COUNT(*) AS rows, COUNT(DISTINCT patient_id) AS patients FROM placed GROUP BY 1), e AS (SELECT CAST(p AS INT) AS partition_id, COALESCE(rows, 0) AS rows, COALESCE(patients, 0) AS patients FROM range(17) r(p) LEFT JOIN u ON u.partition_id = p) SELECT *, CASE WHEN partition_id > 0 THEN patients * 16.0::DOUBLE / (SELECT SUM(patients) FROM e) END AS times_even FROM e",
+        "observation",
+    ),
+)
+def partition_balance(spark, sf_dir):
+    return T.partition_balance(_placed(spark, sf_dir), 16)
+
+
 @query("for_tenant", sql("SELECT id, family FROM patient WHERE tenant = 7", "patient"))
 def for_tenant(spark, sf_dir):
     return T.for_tenant(tables(spark, sf_dir, "patient")[0], 7).select("id", "family")

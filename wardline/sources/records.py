@@ -10,19 +10,44 @@ from pyspark.sql.window import Window
 #: A bundle; resources stay JSON text.
 BUNDLE = "resourceType string, id string, type string, entry array<struct<fullUrl: string, resource: string, request: struct<method: string, url: string>>>"
 
+TYPED_BUNDLE = BUNDLE.replace("resource: string", "resource: variant")
 
-def read_bundles(spark: SparkSession, path: str, allowed_types: list[str] | None = None) -> DataFrame:
-    """One row per entry: source (file), bundle_id, bundle_type, seq, resource_type, id, method, url, body (JSON text).
+
+def text_of(body: Column, path: str) -> Column:
+    """The string at a path of a variant, null where there is none or something else."""
+    return F.try_variant_get(body, path, "string")
+
+
+def members_of(body: Column, path: str) -> Column:
+    """The array at a path of a variant, null where there is none."""
+    return F.try_variant_get(body, path, "array<variant>")
+
+
+def polymorphic(body: Column, name: str) -> Column:
+    """A member that is named after its type, as valueQuantity or valueString: struct (kind, value), the kind as written
+    after the name and the value as a variant. Kinds that nobody has heard of are kept like any other; of several the
+    first by name counts; null if there is none."""
+    found = F.map_entries(F.map_filter(F.try_variant_get(body, "$", "map<string,variant>"), lambda k, _: k.rlike(f"^{name}[A-Z]")))
+    first = F.array_min(F.transform(found, lambda e: e["key"]))
+    value = F.get(F.filter(found, lambda e: e["key"] == first), F.lit(0))["value"]
+    return F.when(first.isNotNull(), F.struct(F.substring(first, len(name) + 1, 1000).alias("kind"), value.alias("value")))
+
+
+def read_bundles(spark: SparkSession, path: str, allowed_types: list[str] | None = None, typed: bool = False) -> DataFrame:
+    """One row per entry: source (file), bundle_id, bundle_type, seq, resource_type, id, method, url, body (JSON text, or
+    a variant if ``typed``).
 
     Type and id come from the resource, or where it has none (as in a DELETE) from the request's URL. Only
-    bundles of the allowed types are kept; None allows all. Files that are no bundle give no rows.
+    bundles of the allowed types are kept; None allows all. Files that are no bundle give no rows. Typed bodies are
+    parsed once, by the reader, and every later path is a lookup.
     """
-    read = spark.read.schema(BUNDLE).option("multiLine", True).json(path)
+    read = spark.read.schema(TYPED_BUNDLE if typed else BUNDLE).option("multiLine", True).json(path)
     bundles = read.select("*", F.col("_metadata.file_path").alias("source")).where("resourceType = 'Bundle'")
     if allowed_types is not None:
         bundles = bundles.where(F.col("type").isin(*allowed_types))
     entries = bundles.select("source", F.col("id").alias("bundle_id"), F.col("type").alias("bundle_type"), F.posexplode("entry").alias("seq", "e"))
     body = F.col("e.resource")
+    member = text_of if typed else F.get_json_object
     asked = F.regexp_replace(F.col("e.request.url"), r"(/_history/[^/?]*)?(\?.*)?$", "")
     part = lambda k: F.nullif(F.regexp_extract(asked, r"(?:^|/)([A-Z][A-Za-z]+)(?:/([A-Za-z0-9.\-]{1,64}))?$", k), F.lit(""))
     return entries.select(
@@ -30,14 +55,26 @@ def read_bundles(spark: SparkSession, path: str, allowed_types: list[str] | None
         "bundle_id",
         "bundle_type",
         "seq",
-        F.coalesce(F.get_json_object(body, "$.resourceType"), part(1)).alias("resource_type"),
-        F.coalesce(F.get_json_object(body, "$.id"), part(2)).alias("id"),
+        F.coalesce(member(body, "$.resourceType"), part(1)).alias("resource_type"),
+        F.coalesce(member(body, "$.id"), part(2)).alias("id"),
         F.col("e.request.method").alias("method"),
         F.col("e.request.url").alias("url"),
         body.alias("body"),
     )
 
 
+def read_resources(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(resources, lines that are no JSON object) of line-delimited JSON of any types: resource_type, id, body (variant).
+
+    Nothing need be known of the types beforehand and nothing of a resource is lost: each line is parsed once to a variant.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select("value", F.try_parse_json("value").alias("body"))
+    good = F.try_variant_get("body", "$", "map<string,variant>").isNotNull()
+    rows = parsed.where(good).select(text_of(F.col("body"), "$.resourceType").alias("resource_type"), text_of(F.col("body"), "$.id").alias("id"), "body")
+    return rows, parsed.where(~good).select("value")
+
+
 def read_ndjson(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
     """(good rows, lines that don't parse) of line-delimited JSON."""
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -95,23 +132,20 @@ def write_table(df: DataFrame, url: str, table: str, mode: str = "append", batch
 
 
 def explode_contained(df: DataFrame, body: str = "body") -> DataFrame:
-    """(parent_type, parent_id, seq, resource_type, id, body) of contained resources and of contained bundles' entries."""
-    inner = "array<string>"
-    text = F.col(body)
-    items = F.from_json(F.get_json_object(text, "$.contained"), inner)
-    rows = df.select(
-        F.get_json_object(text, "$.resourceType").alias("parent_type"),
-        F.get_json_object(text, "$.id").alias("parent_id"),
-        F.explode(items).alias("c"),
-    )
-    nested = F.transform(F.from_json(F.get_json_object("c", "$.entry"), inner), lambda e: F.get_json_object(e, "$.resource"))
-    held: Column = F.concat(F.array("c"), F.coalesce(nested, F.array().cast(inner)))
-    flat = rows.select("parent_type", "parent_id", F.posexplode(held).alias("seq", "body"))
+    """(parent_type, parent_id, seq, resource_type, id, body) of contained resources and of contained bundles' entries.
+
+    ``body`` is JSON text, which is parsed once, or a variant; what is given out is the same.
+    """
+    typed = df.schema[body].dataType.typeName() == "variant"
+    value = F.col(body) if typed else F.parse_json(body)
+    parents = df.select(value.alias("v")).select(text_of(F.col("v"), "$.resourceType").alias("parent_type"), text_of(F.col("v"), "$.id").alias("parent_id"), F.explode(members_of(F.col("v"), "$.contained")).alias("c"))
+    nested = F.transform(members_of(F.col("c"), "$.entry"), lambda e: F.try_variant_get(e, "$.resource", "variant"))
+    flat = parents.select("parent_type", "parent_id", F.posexplode(F.concat(F.array("c"), F.coalesce(nested, F.array().cast("array<variant>")))).alias("seq", "v"))
     return flat.select(
         "parent_type",
         "parent_id",
         "seq",
-        F.get_json_object("body", "$.resourceType").alias("resource_type"),
-        F.get_json_object("body", "$.id").alias("id"),
-        "body",
+        text_of(F.col("v"), "$.resourceType").alias("resource_type"),
+        text_of(F.col("v"), "$.id").alias("id"),
+        (F.col("v") if typed else F.to_json("v")).alias("body"),
     )
