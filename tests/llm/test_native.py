@@ -246,16 +246,32 @@ def brute_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
 
 
-def brute_scan(text, threshold=0.9):
+def brute_met(words, threshold=0.9):
+    """(template, start, width) of all runs of words that meet a template."""
+    sets = [set(brute_words(t)) for _, t in licenses.TEMPLATES]
+    enough = [math.ceil(threshold * len(w) - 1e-9) for w in sets]
+
+    def told(k, i):
+        own = sets[k] - sets[i]
+        return own if len(own) <= len(sets[k]) - enough[k] else set()
+
+    others = lambda k: [i for i in range(len(sets)) if licenses.TEMPLATES[i][0] != licenses.TEMPLATES[k][0]]
+    met = []
+    for k, (_, text) in enumerate(licenses.TEMPLATES):
+        if len(sets[k] & set(words)) >= enough[k]:
+            width, must = len(brute_words(text)) + licenses.SLACK, set().union(*(told(k, i) for i in others(k)))
+            for s in range(len(words)):
+                held = set(words[s : s + width])
+                if words[s] in sets[k] and len(held & sets[k]) >= enough[k] and must <= held:
+                    met.append((k, s, width))
+    beats = lambda x, m: x[0] in others(m[0]) and told(x[0], m[0]) and not told(m[0], x[0]) and x[1] < m[1] + m[2] and m[1] < x[1] + x[2]
+    return [m for m in met if not any(beats(x, m) for x in met)]
+
+
+def brute_scan(text):
     words = brute_words(text)
     places = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
-    labels = {x for _, x in places}
-    for line in (text or "").split("\n"):
-        held = set(brute_words(line))
-        for label, template in licenses.TEMPLATES:
-            wanted = set(brute_words(template))
-            if len(held & wanted) >= threshold * len(wanted) - 1e-9:
-                labels.add(label)
+    labels = {x for _, x in places} | {licenses.TEMPLATES[k][0] for k, _, _ in brute_met(words)}
     at = [i for i, _ in places]
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(labels))
 
@@ -292,6 +308,47 @@ def test_scan_wrapped_notices(spark):
     made += [("", t.replace("\n", "\n" + "x " * 60)) for t in notices.values()]
     made += [("", None), ("", "\n\n"), ("mit", notices["mit"].replace("\n", " "))]
     rows = [(k, t) for k, (_, t) in enumerate(made)]
-    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), across=True).collect()}
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[k]["labels"] for k in range(len(made))] == [label for label, _ in made]
-    assert got[0]["matches"][0]["line"] == 1 and got[0]["score"] == 1
+    assert [m["word"] for m in got[0]["matches"]] == [3] and got[0]["score"] == 1
+
+
+def test_rival_notices_are_told_apart(spark):
+    """One label for each notice of a family, in one line, wrapped, and with the next one behind it."""
+    gnu = "licensed under the GNU {0}General Public License, version {1}"
+    notices = [("gpl-3", "This work is " + gnu.format("", 3)), ("gpl-2", "This work is " + gnu.format("", 2)), ("lgpl-3", gnu.format("Lesser ", 3)), ("agpl-3", gnu.format("Affero ", 3))]
+    notices += [("agpl-3", "This work is " + gnu.format("Affero ", 3)), ("lgpl-3", "This work is " + gnu.format("Lesser ", 3))]
+    rows = [(label, f"{before}{text}.{after}") for label, text in notices for before, after in (("", ""), ("Some words\n", "\nAnd more"))]
+    rows += [(label, text.replace(" ", "\n# ")) for label, text in notices]
+    far = " and so on" * 20
+    rows += [("gpl-2,gpl-3", notices[0][1] + far + notices[1][1]), ("agpl-3,gpl-3", notices[4][1] + far + notices[0][1])]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.license_scan(docs).collect()}
+    assert [got[k] for k in range(len(rows))] == [label for label, _ in rows]
+
+
+@pytest.mark.parametrize("length", [50, 400, 3000])
+def test_strewn_words_are_no_notice(spark, length):
+    """The words of each short template, evenly strewn over one line; and the same line with the notice whole behind it."""
+    short = [(label, t) for label, t in licenses.TEMPLATES if len(brute_words(t)) * 3 <= length]
+    rows = []
+    for label, notice in short:
+        words = brute_words(notice)
+        line = [f"filler{k}" for k in range(length)]
+        for k, w in enumerate(words):
+            line[k * length // len(words)] = w
+        rows += [("", " ".join(line)), (label, " ".join([*line, *["tail"] * 40, notice]))]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.license_scan(docs).collect()}
+    assert [got[k] for k in range(len(rows))] == [label for label, _ in rows]
+
+
+def test_labels_of_the_test_documents(spark):
+    """The licence lines of the test tables have one label each, the one they name."""
+    names = {"GNU General Public License, version 3": "gpl-3", "MIT License": "mit", "Apache License, Version 2": "apache-2", "CC BY-NC": "cc-by-nc"}
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = licenses.license_scan(documents).join(documents, "doc_id").select("labels", "text").collect()
+    for r in rows:
+        named = {label for words, label in names.items() if words.lower() in (r["text"] or "").lower()}
+        assert set(r["labels"].split(",")) - {""} <= named
+    assert any(r["labels"] == "gpl-3" for r in rows)

@@ -15,8 +15,6 @@ from wardline.llm.shared import let, staged, table
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-LINE_ENDS = "array<struct<line:int,tokens:array<string>,tail:array<string>,head:array<string>,reach:int>>"
-
 #: Phrases of the base scan and their labels.
 PHRASES = {
     "under the mit license": "mit",
@@ -24,7 +22,7 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Label and text of public notices, each in one line; a parameter of the scan.
+#: Label and text of public notices, each in one line; a parameter of the scan.
 TEMPLATES = [
     ("apache-2", "Licensed under the Apache License, Version 2.0"),
     ("mit", "Released under the MIT License"),
@@ -60,7 +58,7 @@ TEMPLATES = [
 ]
 
 
-#: Words that a wrapped notice may hold besides those of the longest template.
+#: Words that a block may hold besides those of its template.
 SLACK = 4
 
 
@@ -70,12 +68,31 @@ class Template:
     tokens: tuple[str, ...]  # distinct, rarest first
     least: int  # tokens that a block must hold
     prefix: int  # leading tokens of which such a block holds one
-    reach: int  # words looked at on either side of a line end
+    words: int  # words with repeats
+    must: frozenset[str]  # tokens that tell it from the template of another label
+
+    @property
+    def width(self) -> int:
+        """Words in a block."""
+        return self.words + SLACK
+
 
+def told_by(wanted: set[str], other: set[str], threshold: float) -> set[str]:
+    """Words of a template that a block may not lack, as without them it would meet a notice with the words of ``other``."""
+    own = wanted - other
+    return own if len(own) <= len(wanted) - math.ceil(threshold * len(wanted) - 1e-9) else set()
 
-def reach_of(text: str) -> int:
-    """The template's words and ``SLACK`` more, rounded up to a power of two, so that few widths are looked at."""
-    return 1 << (len([t for t in tokens_of(text) if t]) + SLACK - 1).bit_length()
+
+def rivals(templates: list[tuple[str, str]], threshold: float) -> list[tuple[int, int]]:
+    """(winner, loser) by place in the list: where both are met in one place, the winner has words of its own that tell it
+    from the loser, as a version or a qualifier, and the loser has none that tell it from the winner."""
+    sets = [{t for t in tokens_of(text) if t} for _, text in templates]
+    out = []
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if templates[i][0] != templates[j][0] and told_by(a, b, threshold) and not told_by(b, a, threshold):
+                out.append((i, j))
+    return out
 
 
 def tokens_of(text: str) -> list[str]:
@@ -135,11 +152,12 @@ def ordered_templates(
     frequency = {r["token"]: r["count"] for r in counted}
     order = sorted(vocabulary, key=lambda t: (frequency.get(t, 0), t))
     out = []
-    for label, text in templates:
-        words = {t for t in tokens_of(text) if t}
+    sets = [{t for t in tokens_of(text) if t} for _, text in templates]
+    for (label, text), words in zip(templates, sets, strict=True):
         tokens = tuple(t for t in order if t in words)
         least = math.ceil(threshold * len(tokens) - 1e-9)
-        out.append(Template(label, tokens, least, len(tokens) - least + 1, reach_of(text)))
+        must = frozenset().union(*(told_by(words, other, threshold) for (name, _), other in zip(templates, sets, strict=True) if name != label))
+        out.append(Template(label, tokens, least, len(tokens) - least + 1, sum(1 for t in tokens_of(text) if t), must))
     return order, out
 
 
@@ -149,50 +167,37 @@ def license_scan(
     text_col: str = "text",
     templates: list[tuple[str, str]] | None = None,
     threshold: float = 0.9,
-    across: bool = False,
 ) -> DataFrame:
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
-    A block is a line, or with ``across`` also the words on both sides of a line end: of the line before it, and
-    of the lines after it, somewhat more than the template has (``reach_of``) on either side, so a notice is met
-    wherever it is wrapped. A block meets a template if it holds at least ``threshold`` of the template's
-    distinct words, however many others it has; one at a line end only if neither side does alone. matches lists
-    (line from 0, label, containment) of every block that does, with the line in which it begins; labels join
-    those and the base ones; score is 1 where a base phrase stands, else the best containment, else 0. Null and blank texts have no words and no labels. Rows that repeat are scanned each
-    for itself; an empty table gives no rows; texts are read whole; only the two named columns are read.
-
-    Filters, each of which keeps every true match: a row without a prefix word of any template leaves
-    (prefix filter), and so does one that holds too few words of each template; a block with fewer template words
-    than the least needed leaves (length filter); a shared prefix word at places i and j bounds the overlap by min(i, j) + 1 + what follows on the shorter side
-    (positional filter). What stays is verified by intersection.
+    A block is so many consecutive words as the template has, and ``SLACK`` more, from any word on: line ends and comment
+    marks don't matter, and words strewn over more than that are no notice. A block meets a template if it holds at least
+    ``threshold`` of the template's distinct words, and among them those that tell it from a template of another
+    label, as the number of a version. Of two templates met in one place, one that is told from the other by words of its own
+    rules out the other if that has none (``rivals``). matches lists (first word of the block, label, containment), of
+    blocks of one notice the one that holds most and begins last; labels join those and the base ones; score is 1 where a
+    base phrase stands, else the best containment, else 0. Null and blank texts have no words and no labels. Rows that
+    repeat are scanned each for itself; an empty table gives no rows; texts are read whole; only the two named columns are
+    read.
+
+    Filters, each of which keeps every true match: a row without a prefix word of any template leaves (prefix filter), and
+    so does one that holds too few words of each template; blocks are looked for around prefix words alone, where the
+    words within reach are at least as many as needed (length filter), and the places i and j of the shared prefix word
+    bound what is in common by min(i, j) + 1 + what follows on the shorter side (positional filter). What stays is
+    verified by intersection.
     """
     templates = TEMPLATES if templates is None else templates
-    padded = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), spaced(F.col(text_col)).alias("padded"))
+    padded = docs.select(F.col(id_col).alias("__id"), spaced(F.col(text_col)).alias("padded"))
     order, ordered = ordered_templates(padded.select("padded"), templates, threshold)
     prefix = sorted({t for x in ordered for t in x.tokens[: x.prefix]})
     every = F.array(*[F.lit(t) for t in order])
-    reaches = sorted({x.reach for x in ordered}) if across else []
-    shortest = min((x.least for x in ordered), default=0)
-    worded = F.filter(
-        F.transform(
-            F.split("__text", "\n"),
-            lambda x, i: F.struct(i.alias("line"), F.filter(F.split(spaced(x), " +"), lambda w: w != "").alias("words")),
-        ),
-        lambda x: F.size(x["words"]) > 0,
-    )
-    blocks = F.when(
-        F.col("padded").rlike(f" (?:{'|'.join(prefix)}) ") & _holds_any(F.array_intersect(every, F.split("padded", " +")), ordered),
-        F.filter(let(worded, lambda x: _blocks(x, every, reaches)), lambda x: F.size(x["tokens"]) >= shortest),
-    )
-    rows = staged(
-        with_base(padded)
-        .withColumn("blocks", blocks)
-        .withColumn("__row", F.monotonically_increasing_id())
-        .drop("__text", "padded"),
-        "license-rows",
-    )
-    matches = _matches(rows.select("__row", "blocks"), ordered)
-    joined = rows.drop("blocks").join(matches, "__row", "left")
+    words = F.split(F.trim("padded"), " +")
+    held = F.filter(F.transform(words, lambda w, k: F.struct(k.alias("at"), w.alias("word"))), lambda h: F.array_contains(every, h["word"]))
+    hits = F.when(F.col("padded").rlike(f" (?:{'|'.join(prefix)}) ") & _holds_any(F.array_intersect(every, words), ordered), held) if ordered else F.lit(None).cast("array<struct<at:int,word:string>>")
+    rows = staged(with_base(padded).withColumn("hits", hits).withColumn("__row", F.monotonically_increasing_id()).drop("padded"), "license-rows")
+    met = staged(_met(rows.where("hits is not null").select("__row", "hits"), order, ordered), "license-met")
+    matches = _matches(met, rivals(templates, threshold))
+    joined = rows.drop("hits").join(matches, "__row", "left")
     found = F.coalesce("matches", F.array().cast(matches.schema["matches"].dataType))
     label_of = F.transform(found, lambda m: m["label"])
     joined_up = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
@@ -217,77 +222,77 @@ def _holds_any(held: Column, ordered: list[Template]) -> Column:
     return let(held, lambda h: reduce(Column.__or__, enough(h), F.lit(False)))
 
 
-def _blocks(lines: Column, every: Column, reaches: list[int]) -> Column:
-    """Blocks (line, tokens, tail, head, reach) of the lines (line, words) that have words.
-
-    A line has null in the last three. Each line end has a block for each of the ``reaches``, the words looked
-    at on either side.
-    """
-    of = lambda words: F.array_intersect(every, words)
-    none = F.lit(None).cast("array<string>")
-
-    def of_line(x: Column) -> Column:
-        return F.struct(x["line"].alias("line"), of(x["words"]).alias("tokens"), none.alias("tail"), none.alias("head"), F.lit(None).cast("int").alias("reach"))
-
-    def at_end(k: Column, reach: int) -> Column:
-        last = F.element_at(lines, k)
-        tail = F.slice(last["words"], F.greatest(F.size(last["words"]) - reach + 1, F.lit(1)), reach)
-        after = F.transform(F.slice(lines, k + 1, reach), lambda x: F.slice(x["words"], 1, reach))
-        sides = F.struct(of(tail).alias("tail"), of(F.slice(F.flatten(after), 1, reach)).alias("head"))
-        held = lambda v: of(F.concat(v["tail"], v["head"]))
-        return let(sides, lambda v: F.struct(last["line"].alias("line"), held(v).alias("tokens"), v["tail"].alias("tail"), v["head"].alias("head"), F.lit(reach).alias("reach")))
-
-    ends = lambda reach: F.transform(F.sequence(F.lit(1), F.size(lines) - 1), lambda k: at_end(k, reach))
-    empty = F.array().cast(LINE_ENDS)
-    return F.concat(F.transform(lines, of_line), *[F.when(F.size(lines) > 1, ends(reach)).otherwise(empty) for reach in reaches])
-
-
-def _matches(rows: DataFrame, ordered: list[Template]) -> DataFrame:
-    """(__row, matches) of the rows that have any. The template side is as large as its parameter."""
-    spark = rows.sparkSession
+def _met(rows: DataFrame, order: list[str], ordered: list[Template]) -> DataFrame:
+    """Blocks (__row, template, label, words, width, start, overlap, containment) that meet a template, from rows with hits:
+    the template words of a text and where they stand. The template side is as large as its parameter."""
     index = [
-        (k, x.label, list(x.tokens), x.least, x.reach, place, x.tokens[place])
+        (k, x.label, list(x.tokens), x.least, x.words, x.width, sorted(x.must), place, x.tokens[place])
         for k, x in enumerate(ordered)
         for place in range(x.prefix)
     ]
-    schema = "template int, label string, wanted array<string>, least int, wide int, place int, token string"
-    prefixes = F.broadcast(spark.createDataFrame(index, schema))
-    held = (
-        rows.select("__row", F.explode("blocks").alias("block"))
-        .select("__row", "block.*")
-        .select("__row", "line", "tokens", "tail", "head", "reach", F.posexplode("tokens").alias("at", "token"))
-    )
-    shared = 1 + F.least(F.col("at"), F.col("place"))
-    after = F.least(F.size("tokens") - 1 - F.col("at"), F.size("wanted") - 1 - F.col("place"))
-    pairs = (
-        held.join(prefixes, "token")
-        .where(F.size("tokens") >= F.col("least"))
-        .where(shared + after >= F.col("least"))
-        .where(F.coalesce(F.col("reach") == F.col("wide"), F.lit(True)))
-        .withColumn("at_end", F.col("reach").isNotNull())
-        .dropDuplicates(["__row", "line", "at_end", "template"])
+    schema = "template int, label string, wanted array<string>, least int, words int, width int, must array<string>, place int, token string"
+    prefixes = F.broadcast(rows.sparkSession.createDataFrame(index, schema))
+    widest = max((x.width for x in ordered), default=1)
+    tokens = sorted({r[-1] for r in index})
+    at_prefix = F.filter(F.sequence(F.lit(1), F.size("hits")), lambda k: F.element_at("hits", k)["word"].isin(tokens))
+    # at most a block's words stand before a hit and after it
+    around = lambda k: F.slice("hits", F.greatest(k - widest + 1, F.lit(1)), 2 * widest - 1)
+    spots = rows.select("__row", F.explode(F.transform(at_prefix, lambda k: F.struct(F.element_at("hits", k).alias("hit"), around(k).alias("near")))).alias("s"))
+    spots = spots.select("__row", F.col("s.hit.at").alias("at"), F.col("s.hit.word").alias("token"), F.col("s.near").alias("near"))
+    pairs = spots.join(prefixes, "token")
+    near = F.filter("near", lambda h: (h["at"] > F.col("at") - F.col("width")) & (h["at"] < F.col("at") + F.col("width")))
+    every = F.array(*[F.lit(t) for t in order])
+    pairs = pairs.withColumn("near", near).withColumn("reach", F.array_intersect(every, F.transform("near", lambda h: h["word"])))
+    i, j = F.array_position("reach", F.col("token")) - 1, F.col("place")
+    after = F.least(F.size("reach") - 1 - i, F.size("wanted") - 1 - j)
+    pairs = pairs.where(F.size("reach") >= F.col("least")).where(1 + F.least(i, j) + after >= F.col("least"))
+    begins = F.filter("near", lambda h: (h["at"] <= F.col("at")) & F.array_contains("wanted", h["word"]))
+
+    def block(start: Column) -> Column:
+        inside = F.filter("near", lambda h: (h["at"] >= start["at"]) & (h["at"] < start["at"] + F.col("width")))
+        return F.struct(start["at"].alias("start"), F.array_intersect("wanted", F.transform(inside, lambda h: h["word"])).alias("held"))
+
+    blocks = F.filter(F.transform(begins, block), lambda x: (F.size(x["held"]) >= F.col("least")) & (F.size(F.array_except("must", x["held"])) == 0))
+    found = pairs.select("__row", "template", "label", "words", "width", F.size("wanted").alias("n"), F.explode(blocks).alias("b"))
+    overlap = F.size("b.held")
+    return found.select(
+        "__row", "template", "label", "words", "width", F.col("b.start").alias("start"), overlap.alias("overlap"), (overlap / F.col("n")).alias("containment")
+    ).dropDuplicates(["__row", "template", "start"])
+
+
+def _matches(met: DataFrame, ruled: list[tuple[int, int]]) -> DataFrame:
+    """(__row, matches) of the rows that have any: what no rival rules out, one block for each notice."""
+    spark = met.sparkSession
+    sides = F.broadcast(spark.createDataFrame(ruled, "winner int, template int"))  # pairs of templates
+    winner = met.select("__row", F.col("template").alias("winner"), F.col("start").alias("w_start"), F.col("width").alias("w_width"))
+    meets = (F.col("w_start") < F.col("start") + F.col("width")) & (F.col("start") < F.col("w_start") + F.col("w_width"))
+    lost = met.join(sides, "template").join(winner, ["__row", "winner"]).where(meets).select("__row", "template", "start").distinct()
+    kept = met.join(lost, ["__row", "template", "start"], "left_anti")
+    other = kept.select("__row", "template", F.col("start").alias("o_start"), F.col("overlap").alias("o_overlap"))
+    beats = (F.abs(F.col("o_start") - F.col("start")) < F.col("words")) & (
+        (F.col("o_overlap") > F.col("overlap")) | ((F.col("o_overlap") == F.col("overlap")) & (F.col("o_start") > F.col("start")))
     )
-    overlap = F.size(F.array_intersect("wanted", "tokens"))
-    alone = F.greatest(*[F.size(F.array_intersect("wanted", side)) for side in ("tail", "head")])
-    kept = pairs.withColumn("overlap", overlap).where("overlap >= least").where(~F.col("at_end") | (alone < F.col("least")))
-    match = F.struct(F.col("line").cast("long").alias("line"), "label", (F.col("overlap") / F.size("wanted")).alias("containment"))
-    return kept.groupBy("__row").agg(F.array_sort(F.collect_list(match)).alias("matches"))
+    beaten = kept.join(other, ["__row", "template"]).where(beats).select("__row", "template", "start").distinct()
+    listed = kept.join(beaten, ["__row", "template", "start"], "left_anti")
+    match = F.struct(F.col("start").cast("long").alias("word"), "label", "containment")
+    return listed.groupBy("__row").agg(F.array_sort(F.collect_list(match)).alias("matches"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents"), across=True).select(
+    return license_scan(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
     )
 
 
 def op4_sql(threshold: float = 0.9) -> str:
-    """Brute force: every line, and the words around every line end, of every document against every template."""
-    values = []
+    """Brute force: every run of words of every document that holds enough words, against every template."""
+    values, sets = [], [{t for t in tokens_of(text) if t} for _, text in TEMPLATES]
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]::VARCHAR[]"
     for k, (label, text) in enumerate(TEMPLATES):
-        words = sorted({t for t in tokens_of(text) if t})
-        least = math.ceil(threshold * len(words) - 1e-9)
-        listed = ", ".join(f"'{w}'" for w in words)
-        values.append(f"({k}, '{label}', [{listed}], {least}, {reach_of(text)})")
+        least = math.ceil(threshold * len(sets[k]) - 1e-9)
+        must = set().union(*(told_by(sets[k], sets[i], threshold) for i, (name, _) in enumerate(TEMPLATES) if name != label))
+        values.append(f"({k}, '{label}', {listed(sets[k])}, {least}, {sum(1 for t in tokens_of(text) if t) + SLACK}, {listed(must)})")
+    ruled = ", ".join(f"({w}, {l})" for w, l in rivals(TEMPLATES, threshold))
     places = " UNION ALL ".join(
         f"""SELECT rid, '{label}' AS label, i - 1 AS pos FROM (
           SELECT rid, words, unnest(range(1, len(words) - {len(phrase.split()) - 2})) AS i FROM w
@@ -302,19 +307,14 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, COALESCE(text, '') AS tex
 w AS (SELECT rid, doc_id, text, regexp_extract_all({lower}, '{pattern}') AS words FROM d),
 p AS ({places}),
 base AS (SELECT rid, COUNT(*) AS n_base, MIN(pos) AS first_word, MAX(pos) AS last_word FROM p GROUP BY rid),
-t(template, label, wanted, least, reach) AS (VALUES {', '.join(values)}),
-l AS (SELECT rid, k, regexp_extract_all(line, '{pattern}') AS line_words
-      FROM (SELECT rid, unnest(string_split({lower}, chr(10))) AS line, unnest(range(len(string_split({lower}, chr(10))))) AS k FROM d)),
-b AS (SELECT rid, list_distinct(line_words) AS held FROM l),
-e AS (SELECT rid, len(line_words) AS n, SUM(len(line_words)) OVER (PARTITION BY rid ORDER BY k)::BIGINT AS ends FROM l WHERE len(line_words) > 0),
-be AS (SELECT rid, reach, words[greatest(ends - reach + 1, ends - n + 1):ends] AS tail, words[ends + 1:ends + reach] AS head
-       FROM e JOIN w USING (rid), (SELECT DISTINCT reach FROM t) WHERE ends < len(words)),
-m AS (SELECT rid, label, len(list_intersect(wanted, held)) / len(wanted) AS c
-      FROM b, t WHERE len(held) >= least AND len(list_intersect(wanted, held)) >= least
-      UNION ALL
-      SELECT rid, label, len(list_intersect(wanted, list_concat(tail, head))) / len(wanted) AS c
-      FROM be JOIN t USING (reach) WHERE len(list_intersect(wanted, list_concat(tail, head))) >= least
-      AND len(list_intersect(wanted, tail)) < least AND len(list_intersect(wanted, head)) < least),
+t(template, label, wanted, least, width, must) AS (VALUES {', '.join(values)}),
+ruled(winner, loser) AS (VALUES {ruled}),
+h AS (SELECT rid, words, list_distinct(words) AS held FROM w),
+c AS (SELECT rid, words, t.* FROM h, t WHERE len(list_intersect(wanted, held)) >= least),
+b AS (SELECT rid, template, label, wanted, least, width, must, s, words[s:s + width - 1] AS block FROM (SELECT *, unnest(range(1, len(words) + 1)) AS s FROM c) WHERE list_contains(wanted, words[s])),
+met AS (SELECT rid, template, label, s, width, len(list_intersect(wanted, block)) / len(wanted) AS c FROM b
+        WHERE len(list_intersect(wanted, block)) >= least AND list_has_all(block, must)),
+m AS (SELECT * FROM met a WHERE NOT EXISTS (SELECT 1 FROM ruled JOIN met o ON o.template = winner WHERE loser = a.template AND o.rid = a.rid AND o.s < a.s + a.width AND a.s < o.s + o.width)),
 best AS (SELECT rid, MAX(c) AS c FROM m GROUP BY rid),
 bl AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS s FROM p GROUP BY rid),
 al AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS s
