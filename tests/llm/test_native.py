@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.llm import dedup, licenses, quality, registry, shards
+from wardline.llm.shared import staged
 
 
 def canonical(rows, columns):
@@ -164,6 +165,31 @@ def test_dedup_output_does_not_depend_on_the_filter(documents):
     assert wide == narrow and all((r[2] > 1) == (r[4] is not None) for r in wide) and any(r[4] for r in wide)
 
 
+def test_only_texts_with_a_shared_beginning_are_hashed(spark, documents, monkeypatch):
+    """Of rows with own lengths or own beginnings no text is hashed, in the stage that drops copies too."""
+    head = "x" * 64
+    texts = [head + "a", head + "b", head + "a", "y" * 65, "z" * 66, head, None, "", "q" * 64]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashed = lambda d: dedup.Passes.over(d, "text", 64, dedup.FILTER_WORDS).survivors(d, "text", "sha").where("sha is not null")
+    assert sorted(r["doc_id"] for r in hashed(docs).collect()) == [0, 1, 2, 6, 7]
+    n, head = F.octet_length("text"), F.substring("text", 1, 64)
+    shared = documents.join(documents.groupBy(n.alias("n"), head.alias("head")).count().where("count > 1"), (n == F.col("n")) & (head == F.col("head")))
+    assert shared.count() == hashed(documents).count() < documents.count()
+    plan = dedup.drop_exact_copies(documents)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan and all("CASE WHEN" in part for part in plan.split("sha2")[:-1])
+
+
+def test_filters_grow_with_their_keys(spark):
+    """Ten million keys: of as many others no more than a tenth pass, and every key does."""
+    assert [dedup.filter_size(k) for k in (0, 100, 10**6, 10**9)] == [16, 32, 1 << 18, dedup.FILTER_WORDS]
+    n = 10_000_000
+    keys = spark.range(n).select("id")
+    held = dedup.Filter(staged(dedup.bit_filter(keys, F.struct("id"), dedup.filter_size(n)), "keys"), dedup.filter_size(n))
+    asked = held.ask(spark.range(n - 200_000, n + 200_000), F.struct("id"), "found")
+    known, strangers = (asked.where(w).where("found").count() for w in (f"id < {n}", f"id >= {n}"))
+    assert known == 200_000 and strangers < 20_000
+
+
 def test_dedup_prefix_ties(spark):
     head = "x" * 100
     docs = spark.createDataFrame([(1, head + "ab"), (2, head + "ba"), (3, head + "ab")], "doc_id long, text string")
@@ -171,7 +197,10 @@ def test_dedup_prefix_ties(spark):
     assert got == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True)}
 
 
-def test_drop_exact_copies(edge_docs, edge_rows, no_docs):
+@pytest.mark.parametrize("few", [True, False])
+def test_drop_exact_copies(edge_docs, edge_rows, no_docs, few, monkeypatch):
+    """With the dropped rows broadcast, and with a join by shuffle."""
+    monkeypatch.setattr(dedup, "small", lambda df: few)
     left = dedup.drop_exact_copies(edge_docs)
     assert left.columns == edge_docs.columns
     rows = left.collect()

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.shared import let, table
+from wardline.llm.shared import free_prefix, let, table
 
 #: ASCII white space, as the word pattern [^\x20\x09-\x0D]+ leaves it out.
 SPACE = " \t\n\x0b\x0c\r"
@@ -83,22 +83,18 @@ def n_repeat_words_of(words: Column) -> Column:
 
 
 def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (long) to every row."""
-    text = F.col(text_col)
-    return (
-        docs.withColumn("__words", words_of(text))
-        .withColumns(
-            {
-                "n_words": F.size("__words").cast("long"),
-                "word_chars": F.char_length(F.array_join("__words", "")).cast("long"),
-                "n_symbols": n_symbols_of(text),
-                "n_dup_lines": n_dup_lines_of(text),
-                "n_lines": n_lines_of(text),
-                "n_repeat_words": n_repeat_words_of(F.col("__words")),
-            }
-        )
-        .drop("__words")
-    )
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (long) to every row; columns that have
+    these names are replaced, others of any name kept."""
+    text, words = F.col(text_col), f"{free_prefix(docs.columns)}words"
+    counts = {
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
+        "n_symbols": n_symbols_of(text),
+        "n_dup_lines": n_dup_lines_of(text),
+        "n_lines": n_lines_of(text),
+        "n_repeat_words": n_repeat_words_of(F.col(words)),
+    }
+    return docs.withColumn(words, words_of(text)).withColumns(counts).drop(words)
 
 
 @dataclass(frozen=True)

@@ -72,12 +72,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def free_prefix(columns: list[str]) -> str:
+    """What no column's name begins with, in whatever case: for columns that are added on the way."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def without_rows(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """``docs`` less the rows whose key expressions equal a row of ``dropped`` (nulls equal nulls).
 
-    ``dropped`` is a staged narrow table with the columns named in ``keys``.
+    ``dropped`` is a staged narrow table with the columns named in ``keys``. Columns of ``docs`` may have any names.
     """
-    side = hinted(dropped.select(*[F.col(k).alias(f"__drop_{k}") for k in keys]))
-    marked = docs.withColumns({f"__key_{k}": e for k, e in keys.items()})
-    on = [F.col(f"__key_{k}").eqNullSafe(F.col(f"__drop_{k}")) for k in keys]
-    return marked.join(side, on, "left_anti").drop(*[f"__key_{k}" for k in keys])
+    own, theirs = (f"{free_prefix(docs.columns)}{x}_" for x in ("own", "drop"))
+    side = hinted(dropped.select(*[F.col(k).alias(f"{theirs}{k}") for k in keys]))
+    marked = docs.withColumns({f"{own}{k}": e for k, e in keys.items()})
+    on = [F.col(f"{own}{k}").eqNullSafe(F.col(f"{theirs}{k}")) for k in keys]
+    return marked.join(side, on, "left_anti").drop(*[f"{own}{k}" for k in keys])

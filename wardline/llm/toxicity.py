@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from wardline.llm.shared import give_back, kept, staged, table
+from wardline.llm.shared import free_prefix, give_back, kept, staged, table
 
 SLOTS = 1 << 17
 #: Leading letters that a word backs off to, shortest first; the last level is the whole word.
@@ -321,8 +321,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, fields)
 
 
-def flagged(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5, flag: str = "__toxic") -> DataFrame:
-    """``docs`` with all its columns and ``flag``: whether the score of ``score`` reaches ``threshold``."""
+def without_flagged(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` less the rows that ``flagged`` flags, with the columns as given, whatever their names."""
+    flag = f"{free_prefix(docs.columns)}toxic"
+    return flagged(docs, model, flag, text_col, threshold).where(~F.col(flag)).drop(flag)
+
+
+def flagged(docs: DataFrame, model: Model, flag: str, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` with all its columns and ``flag``, a name of no column: whether the score of ``score`` reaches ``threshold``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = StructType([*docs.schema.fields, StructField(flag, BooleanType())])
     at = docs.columns.index(text_col)
