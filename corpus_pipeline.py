@@ -7,7 +7,6 @@ writes each result to the shared folder, so a lost executor costs the stage it w
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wardline.llm import dedup, packing, quality, simhash, toxicity
 from wardline.llm.shared import staged, table
@@ -16,7 +15,7 @@ from wardline.llm.shared import staged, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: without rows that score 0.5 or more. Null texts score as empty ones; null ids stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.flagged(docs, model).where(~F.col("__toxic")).drop("__toxic")
+    return toxicity.without_flagged(docs, model)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
