@@ -142,6 +142,20 @@ def test_staged_folders(spark, tmp_path, monkeypatch):
     assert not (tmp_path / "scratch").exists()
 
 
+def test_scopes_end_with_their_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "scratch_dir", lambda s: f"file:{tmp_path}")
+    kept = staging.new_path(spark, "kept")
+    with staging.scope(spark, "step"):
+        inner = staging.staged(spark.range(4), "inner")
+        with staging.scope(spark, "deeper"):
+            staging.staged(spark.range(2), "inner")
+        assert inner.count() == 4 and len([p for p in tmp_path.rglob("inner-*") if p.is_dir()]) == 1
+        result = staging.write(inner, kept)
+    assert result.count() == 4 and [p.name for p in tmp_path.iterdir()] == [kept.rpartition("/")[2]]
+    staging.delete(spark, kept)
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_no_local_folder_on_a_cluster():
     class Session:
         class conf:
