@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm import dedup, packing, quality, simhash, toxicity
-from wardline.llm.shared import staged, table
+from wardline.llm.shared import table
+from wardline.sources import staging
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the table of documents. What a stage staged on its way, and the table it was given, are deleted when
+    its own result is written; the last result stays until the application's folder is cleaned."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        path = staging.new_path(spark, f"pipeline-{k}")
+        with staging.scope(spark, f"stage-{k}"):
+            docs = staging.write(stage(spark, docs, sf_dir), path)
+        if before is not None:
+            staging.delete(spark, before)
+        before = path
     return docs

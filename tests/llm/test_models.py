@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from wardline.llm import packing, quality, simhash, toxicity
 from wardline.llm.shared import staged, table
+from wardline.sources import staging
 
 
 def brute_fingerprint(text, words=3):
@@ -353,10 +354,32 @@ def test_pipeline_stages(spark, sf_dir, documents, texts):
     assert max(total.values()) <= packing.CAPACITY
 
 
-def test_pipeline_of_edge_rows(spark, sf_dir, edge_docs, no_docs):
-    for docs in (edge_docs, no_docs):
-        columns = docs.columns
-        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            docs = staged(stage(spark, docs, sf_dir), f"edge-{k}")
-            assert k == 4 or docs.columns == columns
-        docs.collect()
+def test_pipeline_of_edge_rows(spark, sf_dir, edge_docs, edge_rows, no_docs):
+    """Edge rows go as low quality. Of a clean text's copies, one of them without an id and one repeated, the largest id
+    stays, and of its near copies the least."""
+    texts = [t for (t,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id = 9").select("text").collect()]
+    rest = edge_rows[6][2:]
+    more = [(k, texts[0], *rest) for k in (6000, 50, None, 50)] + [(70, texts[0].replace(" ", " another ", 1), *rest)]
+    docs = edge_docs.unionByName(spark.createDataFrame(more, edge_docs.schema))
+    columns, kept = docs.columns, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = staged(stage(spark, docs, sf_dir), f"edge-{k}")
+        assert k == 4 or docs.columns == columns
+        kept.append(sorted(((r["doc_id"] is not None, r["doc_id"]) for r in docs.select("doc_id").collect()), key=str))
+    everything = sorted(((r[0] is not None, r[0]) for r in [*edge_rows, *more]), key=str)
+    assert kept[0] == everything
+    assert kept[1] == sorted([(True, 6000), (True, 50), (False, None), (True, 50), (True, 70)], key=str)
+    assert kept[2] == [(True, 6000), (True, 70)] and kept[3] == [(True, 70)]
+    pieces = sorted((r["piece"], r["start"], r["length"], r["doc_id"]) for r in docs.collect())
+    assert {p[3] for p in pieces} == {70} and all(a[1] + a[2] == b[1] for a, b in zip(pieces, pieces[1:]))
+    docs = no_docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = staged(stage(spark, docs, sf_dir), f"none-{k}")
+        assert k == 4 or docs.columns == columns
+    assert docs.collect() == []
+
+
+def test_pipeline_leaves_only_its_result(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "scratch_dir", lambda s: f"file:{tmp_path}")
+    rows = corpus_pipeline.run(spark, sf_dir)
+    assert [p.name.rpartition("-")[0] for p in tmp_path.iterdir()] == ["pipeline-4"] and rows.count() > 0
