@@ -152,6 +152,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = held.groupBy("__id", "sha").agg(F.count(F.lit(1)).alias("n"))
     counts = staged(pairs, "dedup-pairs")
     largest = counts.groupBy("sha").agg(F.max(F.struct(F.col("__id"))).alias("k"), F.sum("n").alias("all")).where("all > 1")
+    largest = hinted(staged(largest, "dedup-largest"))  # a row a group: a hot group's rows stay where they are
     verdict = staged(counts.join(largest, "sha").select("__id", "sha", "n", F.col("__id").eqNullSafe(F.col("k.__id")).alias("stays")), "dedup-verdict")
     sha, row = (f"{free_prefix(docs.columns)}{x}" for x in ("sha", "id"))
     marked = passes.survivors(docs, text_col, sha)
