@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 
 #: Levels of objects and arrays that are taken apart; what lies deeper is compared as a whole.
-DEPTH = 16
+DEPTH = 12
 #: Versions of one id that are put in order together.
 VERSION_SPAN = 100_000
 
@@ -95,21 +95,22 @@ def leaves(rows: DataFrame, body: str = "body", root: Column | None = None, dept
     """
     kept = [c for c in rows.columns if c != body]
     value = F.col(body) if rows.schema[body].dataType.typeName() == "variant" else F.parse_json(body)
-    flat = rows.where(F.col(body).isNotNull()).select(*kept, (F.lit("") if root is None else root).alias("path"), value.alias("value"))
+    whole = F.lit("") if root is None else root
+    flat = rows.where(F.col(body).isNotNull()).select(*kept, whole.alias("path"), value.alias("value"), F.lit(False).alias("leaf"))
     dotted = lambda key: F.when(F.col("path") == "", key).otherwise(F.concat("path", F.lit("."), key))
+    part = lambda path, value, leaf: F.struct(path.alias("path"), value.alias("value"), F.lit(leaf).alias("leaf"))
     for _ in range(depth):
         members = F.map_entries(F.try_variant_get("value", "$", "map<string,variant>"))
         places = F.try_variant_get("value", "$", "array<variant>")
+        itself = F.array(part(F.col("path"), F.col("value"), True))
         inner = (
-            F.when(F.size(members) > 0, F.transform(members, lambda m: F.struct(dotted(m["key"]).alias("path"), m["value"].alias("value"))))
-            .when(
-                F.size(places) > 0,
-                F.transform(places, lambda v, k: F.struct(F.concat("path", F.lit("["), k.cast("string"), F.lit("]")).alias("path"), v.alias("value"))),
-            )
-            .otherwise(F.array(F.struct("path", "value")))
+            F.when(F.col("leaf"), itself)  # looked at once, then passed on
+            .when(F.size(members) > 0, F.transform(members, lambda m: part(dotted(m["key"]), m["value"], False)))
+            .when(F.size(places) > 0, F.transform(places, lambda v, k: part(F.concat("path", F.lit("["), k.cast("string"), F.lit("]")), v, False)))
+            .otherwise(itself)
         )
-        flat = flat.select(*kept, F.explode(inner).alias("v")).select(*kept, "v.path", "v.value")
-    return flat.withColumn("value", F.to_json("value"))
+        flat = flat.select(*kept, F.explode(inner).alias("v")).select(*kept, "v.path", "v.value", "v.leaf")
+    return flat.drop("leaf").withColumn("value", F.to_json("value"))
 
 
 def next_versions(versions: DataFrame, span: int = VERSION_SPAN) -> DataFrame:
