@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from wardline.plans import clinical, records  # noqa: F401
+from wardline.plans import clinical, flows, records  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
