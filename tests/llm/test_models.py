@@ -195,6 +195,46 @@ def test_sketches_bound_what_one_set_has_alone():
                 assert (len(x) + len(y) - odd) / 2 < simhash._least_overlap(len(x) + len(y), 0.8)  # strangers are told apart
 
 
+def test_busy_shingles_move_back_by_their_count_over_the_table(spark):
+    """A shingle rare in each part and first by hash in 400 strangers' texts: their one posting becomes small ones, the
+    prefixes are those of the order by count, and the groups are those of all pairs."""
+    rng = random.Random(11)
+    hashed = lambda text: int(simhash.shingle_hashes(pa.array([text]), 5)[0][0])
+    tried = (" ".join(f"p{k}{c}" for c in "abcde") for k in range(100_000))
+    phrase = next(t for t in tried if hashed(t) < (1 << 64) // 2000)
+    docs = []
+    for k in range(400):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(30)]
+        docs.append((2 * k, " ".join([*words[:15], phrase, *words[15:]])))
+        if k % 20 == 0:  # a near copy
+            docs.append((2 * k + 1, docs[-1][1] + " end"))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(210, "doc_id")
+    commonest = simhash.frequent_shingles(df, "text", 5)
+    assert np.uint64(hashed(phrase)) not in commonest
+    prints = staged(simhash.described(df, "doc_id", "text", 5, 0.8, commonest), "test-prints")
+    nodes = prints.withColumnRenamed("doc_id", "least_id")
+    assert simhash.postings(nodes).agg(F.max("n")).first()[0] == 420
+
+    def texts(speakers):
+        return df.withColumnRenamed("doc_id", "least_id").join(speakers, "least_id").select("node", F.col("text").alias("body"))
+
+    calm, keys = simhash.calmed(nodes, texts, commonest, 5, 0.8, busy=50)
+    assert keys.agg(F.max("n")).first()[0] == 2
+    whole = staged(simhash.described(df, "doc_id", "text", 5, 0.8, np.append(commonest, np.uint64(hashed(phrase)))), "test-prints")
+    by_node = lambda x: sorted((r["node"], tuple(r["prefix"])) for r in x.select("node", "prefix").collect())
+    assert by_node(calm) == by_node(whole) and calm.columns == nodes.columns
+
+
+def test_any_order_gives_the_same_groups(spark, sf_dir, monkeypatch):
+    """Shingles of nearly every posting moved back, in several rounds: groups are as with none."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("doc_id IS NOT NULL").repartition(4)
+    rows = lambda: sorted((r["doc_id"], r["component_id"]) for r in simhash.similar_groups(docs, "doc_id", "text").collect())
+    want = rows()
+    plain = simhash.calmed
+    monkeypatch.setattr(simhash, "calmed", lambda *given: plain(*given, busy=1))
+    assert rows() == want
+
+
 def test_near_copies_among_strangers_that_share_postings(spark):
     """2,000 unrelated texts hold parts of a pair's text, some long: the pair is found, and nothing else goes."""
     r = random.Random(31)

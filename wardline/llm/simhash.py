@@ -222,6 +222,8 @@ def spanning_forest(links: DataFrame) -> DataFrame:
 MIXERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 65)], np.uint64)
 #: Shingles that a part of a task's texts holds so often are counted over the table; so many of them are ordered by count.
 OFTEN, OFTEN_MOST = 4, 200_000
+#: A posting of more members is busy: its shingle, now counted over the whole table, is ordered by that count. So many rounds of it.
+BUSY, BUSY_ROUNDS = 1000, 3
 #: Bits of the parity sketch that bounds an overlap from above; larger sets have a second one of twice their size or more.
 PARITY_BITS = 1024
 
@@ -323,42 +325,51 @@ def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
     return counted.orderBy(F.desc("n"), "h").limit(OFTEN_MOST).select("h").toArrow()["h"].to_numpy().view(np.uint64)
 
 
-def described(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """id, node (name of the text's set of shingles), fp, size, prefix, parity and wide (sketches) of every row.
-
-    The prefix has the set's first shingles under one order of all: rare ones first, by hash, then those of
-    ``frequent_shingles``, the commonest last.
-    """
-    commonest = frequent_shingles(docs, text_col, words)
+def order_of(commonest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles ascending, and the place of each in ``commonest``, to be looked up in."""
     place = np.argsort(commonest)
-    order = docs.sparkSession.sparkContext.broadcast((commonest[place], place))
+    return commonest[place], place
+
+
+def prefix_of(hashes: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """First shingles of a set under one order of all: rare ones first, by hash, then those of ``order``, the commonest last."""
+    often, places = order
+    at = np.minimum(np.searchsorted(often, hashes), max(len(often) - 1, 0))
+    late = often[at] == hashes if len(often) else np.zeros(len(hashes), bool)
+    ordered = np.concatenate([hashes[~late], hashes[late][np.argsort(-places[at[late]], kind="stable")]])
+    return ordered[: prefix_length(len(hashes), similarity)].view(np.int64)
+
+
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)], dtype=np.int32)), pa.array(np.concatenate(parts)))
+
+
+def described(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, commonest: np.ndarray) -> DataFrame:
+    """id, node (name of the text's set of shingles), fp, size, prefix (``prefix_of``, commonest shingles last), parity and
+    wide (sketches) of every row."""
+    order = docs.sparkSession.sparkContext.broadcast(order_of(commonest))
     made = "node long, fp long, size int, prefix array<long>, parity binary, wide binary"
     fields = StructType([docs.schema[id_col], *StructType.fromDDL(made).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept(None, dict)  # makes room
-        often, places = order.value
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
                 nodes, fps, sizes, prefixes, parities, wides = [], [], [], [], [], []
                 for hashes in shingle_sets(part.column(1), words):
-                    at = np.minimum(np.searchsorted(often, hashes), max(len(often) - 1, 0))
-                    late = often[at] == hashes if len(often) else np.zeros(len(hashes), bool)
-                    ordered = np.concatenate([hashes[~late], hashes[late][np.argsort(-places[at[late]], kind="stable")]])
                     nodes.append(node_of(hashes))
                     fps.append(simhash(hashes))
                     sizes.append(len(hashes))
-                    prefixes.append(ordered[: prefix_length(len(hashes), similarity)].view(np.int64))
+                    prefixes.append(prefix_of(hashes, order.value, similarity))
                     parities.append(parity_sketch(hashes))
                     wides.append(wide_sketch(hashes))
-                ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
                 columns = [
                     part.column(0),
                     pa.array(nodes, pa.int64()),
                     pa.array(np.array(fps, np.uint64).view(np.int64)),
                     pa.array(sizes, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes))),
+                    lists(prefixes),
                     pa.array(parities, pa.binary()),
                     pa.array(wides, pa.binary()),
                 ]
@@ -377,11 +388,53 @@ def index_pairs(nodes: DataFrame) -> DataFrame:
     return equal.union(links.join(end("a"), "fp_a").join(end("b"), "fp_b").select("a", "b"))
 
 
-def shared_prefixes(nodes: DataFrame) -> DataFrame:
-    """Postings of two nodes or more: key, node, size, place, and first, the least node of the posting."""
-    keyed = nodes.select("node", "size", F.posexplode("prefix").alias("place", "key"))
-    counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
-    return keyed.join(staged(counted.select("key", "first"), "similar-keys"), "key")
+def postings(nodes: DataFrame) -> DataFrame:
+    """key, n and first, the least node, of the postings of two nodes or more."""
+    keyed = nodes.select("node", F.explode("prefix").alias("key"))
+    return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
+
+
+def shared_prefixes(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """Members of the staged postings: key, node, size, place, and first, the least node of the posting."""
+    return nodes.select("node", "size", F.posexplode("prefix").alias("place", "key")).join(keys.select("key", "first"), "key")
+
+
+def reordered(nodes: DataFrame, texts, busy: np.ndarray, commonest: np.ndarray, words: int, similarity: float) -> DataFrame:
+    """``nodes`` with prefixes under a new ``commonest``, which is the one before and, at its end, the ``busy`` shingles.
+
+    These were rare, so they only move back: where a prefix has none of them it stays as it is, and only texts of
+    the other nodes are read. ``texts`` gives (node, body) of some nodes.
+    """
+    order = nodes.sparkSession.sparkContext.broadcast(order_of(commonest))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                prefixes = [prefix_of(h, order.value, similarity) for h in shingle_sets(part.column(1), words)]
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(prefixes)], ["node", "ahead"])
+
+    moved = nodes.sparkSession.createDataFrame(pa.table({"key": busy.view(np.int64)}))  # at most OFTEN_MOST
+    keyed = nodes.select("node", "least_id", F.explode("prefix").alias("key"))
+    touched = staged(keyed.join(F.broadcast(moved), "key").select("node", "least_id").distinct(), "similar-touched")
+    ahead = staged(texts(touched).mapInArrow(run, "node long, ahead array<long>"), "similar-ahead")
+    columns = [F.coalesce("ahead", "prefix").alias("prefix") if c == "prefix" else F.col(c) for c in nodes.columns]
+    return nodes.join(ahead, "node", "left").select(*columns)
+
+
+def calmed(nodes: DataFrame, texts, commonest: np.ndarray, words: int, similarity: float, busy: int = BUSY) -> tuple[DataFrame, DataFrame]:
+    """The nodes and their staged ``postings``, after shingles of postings with more than ``busy`` members got their place
+    by their count over the whole table, so that texts meet on rarer ones. The order sets the cost, not the result."""
+    for _ in range(BUSY_ROUNDS):
+        keys = staged(postings(nodes), "similar-keys")
+        most = keys.where(F.col("n") > busy).orderBy(F.desc("n"), "key").limit(OFTEN_MOST).select("key").toArrow()
+        found = most["key"].to_numpy().view(np.uint64)
+        found = found[~np.isin(found, commonest)]  # one that is ordered already stands where no rarer one was left
+        if not len(found):
+            return nodes, keys
+        commonest = np.concatenate([commonest, found])
+        nodes = staged(reordered(nodes, texts, found, commonest, words, similarity), "similar-nodes")
+    return nodes, staged(postings(nodes), "similar-keys")
 
 
 def sized(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -504,7 +557,8 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5,
     candidate is compared on its sets of 64-bit shingle hashes. Texts without words are one group. Ids tell
     rows apart. Texts with equal shingles fold into one node first, so copies are compared once.
     """
-    prints = staged(described(docs, id_col, text_col, words, similarity), "similar-prints")
+    commonest = frequent_shingles(docs, text_col, words)
+    prints = staged(described(docs, id_col, text_col, words, similarity, commonest), "similar-prints")
     folded = prints.groupBy("node").agg(F.min(F.struct(F.col(id_col).alias("id"), "fp", "size", "prefix", "parity", "wide")).alias("x"))
     nodes = staged(folded.select("node", F.col("x.id").alias("least_id"), "x.fp", "x.size", "x.prefix", "x.parity", "x.wide"), "similar-nodes")
 
@@ -513,16 +567,18 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5,
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 held = [h.view(np.int64) for h in shingle_sets(part.column(1), words)]
-                ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))
-                yield pa.RecordBatch.from_arrays([part.column(0), column], ["node", "held"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(held)], ["node", "held"])
+
+    def texts(speakers: DataFrame) -> DataFrame:
+        """(node, body) of a staged table of nodes and their least ids."""
+        named = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("body"))
+        return named.join(hinted(speakers), F.col("__id") == F.col("least_id")).select("node", "body")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the staged candidates whose texts are similar."""
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        speakers = hinted(staged(ends.join(nodes.select("node", "least_id"), "node"), "similar-speakers"))
-        texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("body")).join(speakers, F.col("__id") == F.col("least_id"))
-        held = staged(texts.select("node", "body").mapInArrow(sets, "node long, held array<long>"), "similar-sets")
+        speakers = staged(ends.join(nodes.select("node", "least_id"), "node"), "similar-speakers")
+        held = staged(texts(speakers).mapInArrow(sets, "node long, held array<long>"), "similar-sets")
         side = lambda x: held.select(F.col("node").alias(x), F.col("held").alias(f"held_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         overlap = F.size(F.array_intersect("held_a", "held_b"))
@@ -530,7 +586,8 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5,
         alike = F.when(either == 0, True).otherwise(F.col("overlap") / either >= similarity)
         return staged(both.withColumn("overlap", overlap).where(alike).select("a", "b"), "similar-links")
 
-    shared = staged(shared_prefixes(nodes.select("node", "size", "prefix")), "similar-shared")
+    nodes, keys = calmed(nodes, texts, commonest, words, similarity)
+    shared = staged(shared_prefixes(nodes, keys), "similar-shared")
     ties = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     tied = index_pairs(nodes.select("node", "fp")).union(ties).distinct()
     pairs = staged(sketched(sized(tied, nodes, similarity), nodes, similarity), "similar-pairs")
