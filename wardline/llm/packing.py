@@ -19,11 +19,13 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType, Bi
 from pyspark.sql.window import Window
 
 from wardline.llm import pieces
-from wardline.llm.shared import give_back, staged, table
+from wardline.llm.shared import give_back, staged, table, trim
 
 CAPACITY = 2048
 #: Groups that pieces of one length are dealt over at least; large tables have one for so many pieces.
 SALTS, PIECES_PER_SALT = 256, 2_000_000
+#: Bytes of text that a worker expands to words at once, and bytes after which it gives freed pages back.
+PART_BYTES, TRIM_BYTES = 1 << 20, 16 << 20
 
 
 def cut_pieces(
@@ -51,11 +53,15 @@ def cut_pieces(
     ] + [StructField("ids", BinaryType())] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = pieces.encoder(tokenizer, memo)
+        coder, since = pieces.encoder(tokenizer, memo), 0
         for batch in batches:
+            since += batch.nbytes
+            if since > TRIM_BYTES:
+                trim()
+                since = 0
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
-                ids, bounds = coder.encode_array(part.column(2), end_id)
+                ids, bounds = coder.encode_array(part.column(2), end_id, PART_BYTES)
                 sizes = np.diff(bounds)
                 n_pieces = -(-sizes // capacity)
                 take = np.repeat(np.arange(len(sizes)), n_pieces)

@@ -197,14 +197,14 @@ class PieceEncoder:
         raw = ids.astype("<u4").tobytes()
         return [raw[4 * a : 4 * b] for a, b in pairwise(bounds.tolist())]
 
-    def encode_array(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode_array(self, texts: pa.Array, end_id: int | None = None, part_bytes: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and bounds: text k has ids[bounds[k] : bounds[k + 1]].
 
-        Null counts as empty. ``end_id`` follows every text if it is given.
+        Null counts as empty. ``end_id`` follows every text if it is given. So many bytes of text are expanded at once.
         """
         texts = pc.fill_null(texts, "")
         ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
-        for part in parts_of(texts):
+        for part in parts_of(texts, part_bytes):
             found, n = self._part(part)
             if end_id is not None:
                 found, n = np.insert(found, np.cumsum(n), end_id), n + 1

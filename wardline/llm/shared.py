@@ -49,13 +49,18 @@ def hinted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 _kept: dict = {}
 
 
+def trim() -> None:
+    """Return freed pages to the system, without looking for garbage: cheap enough between the batches of a task."""
+    pa.default_memory_pool().release_unused()
+    of_libc = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if of_libc is not None:
+        of_libc(0)
+
+
 def give_back() -> None:
     """Return what a worker process has freed to the system: allocators hold on to it, and its neighbours need it."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
-    if trim is not None:
-        trim(0)
+    trim()
 
 
 def kept(key: object, make: Callable[[], object]) -> object:
