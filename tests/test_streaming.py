@@ -125,6 +125,20 @@ def test_a_batch_writes_state_of_its_own_patients(spark, tmp_path):
     assert ST.stored_aggregate(spark, str(tmp_path / "cp")).count() == 2500
 
 
+def test_a_patient_is_one_row_of_state(spark, tmp_path):
+    """Ten patients with forty observations each of all five codes: one row of state is written for a patient, in both modes."""
+    rows = spark.range(2000).selectExpr(
+        "cast(id as string) id", "id seq", "concat('Patient/', id % 10) subject", "timestamp_ntz'2024-02-01' + make_interval(0, 0, 0, 0, 0, 0, id * 7 % 2003) issued",
+        "cast(null as timestamp_ntz) effective", "array('9279-1', '59408-5', '8867-4', '8480-6', '8310-5')[id div 10 % 5] code", "cast(20 + id % 90 as decimal(18,2)) value")
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    patients = spark.range(10).select(F.col("id").cast("string").alias("id"), F.lit(5).alias("stored_total"), F.lit("East").alias("block"))
+    for mode, newest in (("event_time", V.latest_vitals), ("arrival", _last_arrived)):
+        _, query = _flow(spark, tmp_path / "in", tmp_path / mode, patients, mode=mode)
+        assert sum(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["numInputRows"]) <= 10 * 3
+        assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 10
+        assert _rows(ST.stored_aggregate(spark, str(tmp_path / mode))) == _rows(newest(V.scored(rows)))
+
+
 def test_idle_patients_are_forgotten(spark, tmp_path):
     """Patient 1 is last seen in January; when the watermark is in March its state is gone and patient 2's is not."""
     patients = spark.createDataFrame([("1", None, "East"), ("2", None, "East")], "id string, stored_total int, block string")

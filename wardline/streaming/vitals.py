@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -53,11 +52,11 @@ def subscription_stream(events: DataFrame, subscriptions: DataFrame) -> DataFram
 class NewestPerCode(StatefulProcessor):
     """Per patient: the newest score of each vital sign; gives the total of each patient that a batch touches.
 
-    Rows are reduced to one for each code before state is read, so a batch costs at most five reads and writes
-    of state for a patient, however many observations it has. With ``arrival`` the last to come is the newest,
-    whatever its instant. With ``late`` observations older than the watermark are left out. With ``idle_ms`` a
-    patient whose newest instant lies so far behind the watermark is forgotten. With ``changes`` a total is given
-    only when it differs from the one before.
+    All that is kept of a patient is one value, and rows are reduced to one for each code before it is read: a batch
+    costs one read of state for a patient and at most one write, however many observations it has. With ``arrival``
+    the last to come is the newest, whatever its instant. With ``late`` observations older than the watermark are left
+    out. With ``idle_ms`` a patient whose newest instant lies so far behind the watermark is forgotten. With ``changes``
+    a total is given only when it differs from the one before.
     """
 
     def __init__(self, arrival: bool = False, late: bool = False, idle_ms: int | None = None, changes: bool = True):
@@ -65,55 +64,45 @@ class NewestPerCode(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getMapState("newest", "code string", "news2_value int, at_micros long, seq long")
-        self.total = handle.getValueState("total", "total int")
-
-    def _held(self) -> list[tuple[int, int]]:
-        return [(int(v[0]), int(v[1])) for v in self.newest.values()]
-
-    def _wake(self) -> None:
-        """Move the patient's timer to the end of its idle time."""
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(max(at for _, at in self._held()) // 1000 + self.idle_ms)
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        for row in initialState["rows"]:
-            for held in row:
-                self.newest.updateValue((held["code"],), (int(held["news2_value"]), int(held["at_micros"]), STORED_SEQ))
-        self.total.update((sum(v for v, _ in self._held()),))
-        if self.idle_ms is not None:
-            self._wake()
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = pd.concat([part[["code", "news2_value", "at_micros", "seq"]] for part in rows], ignore_index=True)
-        if self.late:
-            known = known[known["at_micros"] >= 1000 * timerValues.getCurrentWatermarkInMs()]
-        if self.arrival:
-            best = known.sort_values("seq").groupby("code").tail(1)
-        else:
-            best = known.sort_values(["at_micros", "seq"], ascending=[True, False]).groupby("code").tail(1)
-        moved = False
-        for code, value, at, seq in best.itertuples(index=False):
-            held = self.newest.getValue((code,)) if self.newest.containsKey((code,)) else None
-            if held is None or (seq > held[2] if self.arrival else (at, -seq) > (held[1], -held[2])):
-                self.newest.updateValue((code,), (int(value), int(at), int(seq)))
-                moved = True
-        if moved and self.idle_ms is not None:
-            self._wake()
-        values = self._held()
-        if not values:
-            return
-        now = sum(v for v, _ in values)
-        new = not self.total.exists() or self.total.get()[0] != now
-        if new:
-            self.total.update((now,))
-        if new or not self.changes:
-            yield pd.DataFrame({"patient_id": [key[0]], "total": [now]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.newest = handle.getValueState("newest", "codes array<struct<code string, news2_value int, at_micros long, seq long>>, total int")
+
+    def _held(self) -> tuple[dict[str, tuple[int, int, int]], int | None]:
+        """(news2_value, at_micros, seq) by code, and the total."""
+        held = self.newest.get()
+        return ({}, None) if held is None else ({code: (value, at, seq) for code, value, at, seq in held[0]}, held[1])
+
+    def _keep(self, held: dict[str, tuple[int, int, int]]) -> int:
+        """Write a patient's state; its total."""
+        total = sum(value for value, _, _ in held.values())
+        self.newest.update(([(code, *row) for code, row in held.items()], total))
+        if self.idle_ms is not None:  # the timer moves to the end of the idle time
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(max(at for _, at, _ in held.values()) // 1000 + self.idle_ms)
+        return total
+
+    def _replaces(self, row: tuple[int, int, int], held: tuple[int, int, int] | None) -> bool:
+        if held is None:
+            return True
+        return row[2] > held[2] if self.arrival else (row[1], -row[2]) > (held[1], -held[2])
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self._keep({row["code"]: (row["news2_value"], row["at_micros"], STORED_SEQ) for row in initialState["rows"]})
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        since = 1000 * timerValues.getCurrentWatermarkInMs() if self.late else None
+        came: dict[str, tuple[int, int, int]] = {}
+        for _, code, value, at, seq, *_ in rows:
+            if (since is None or at >= since) and self._replaces((value, at, seq), came.get(code)):
+                came[code] = (value, at, seq)
+        held, before = self._held()
+        newer = {code: row for code, row in came.items() if self._replaces(row, held.get(code))}
+        now = self._keep(held | newer) if newer else before
+        if now is not None and (now != before or not self.changes):
+            yield Row(patient_id=key[0], total=now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.newest.clear()
-        self.total.clear()
         return iter(())
 
     def close(self) -> None:
@@ -150,7 +139,7 @@ def news2_stateful(
         held = F.collect_list(F.struct("code", "news2_value", at.alias("at_micros")))  # a row for each of five codes
         initial = initial.where(F.col("code").isin(*VITAL_CODES)).groupBy("patient_id").agg(held.alias("rows")).groupBy("patient_id")
     idle_ms = None if idle_days is None else int(idle_days * 86_400_000)
-    return keyed.groupBy("patient_id").transformWithStateInPandas(
+    return keyed.groupBy("patient_id").transformWithState(
         statefulProcessor=NewestPerCode(mode == "arrival", watermark is not None, idle_ms, changes),
         outputStructType="patient_id string, total int",
         outputMode="Update",
@@ -256,9 +245,6 @@ def stored_aggregate(spark: SparkSession, checkpoint: str) -> DataFrame:
     """
     with state_store(spark):
         rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "newest").load()
-    return rows.select(
-        F.col("key.patient_id").alias("patient_id"),
-        F.col("user_map_key.code").alias("code"),
-        F.col("user_map_value.news2_value").alias("news2_value"),
-        F.timestamp_micros("user_map_value.at_micros").cast("timestamp_ntz").alias("obs_instant"),
+    return rows.select(F.col("key.patient_id").alias("patient_id"), F.explode("value.codes").alias("n")).select(
+        "patient_id", "n.code", "n.news2_value", F.timestamp_micros("n.at_micros").cast("timestamp_ntz").alias("obs_instant")
     )
