@@ -218,3 +218,19 @@ def test_subscription_stream(spark, tmp_path):
     query = matches.writeStream.format("memory").queryName("matches").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [tuple(r) for r in spark.table("matches").collect()] == [("s", "1")]
+
+
+def test_many_subscriptions_are_not_collected_for_each_batch(spark, tmp_path):
+    """20,000 subscriptions, small in bytes, meet a stream of two batches by shuffle; the few to a whole type are broadcast."""
+    rows = spark.range(40_000).selectExpr("cast(id as string) event_id", "'Observation' resource_type", "'create' interaction", "map('subject', cast(id % 25000 as string)) fields")
+    rows.repartition(2).write.parquet(str(tmp_path / "in"))
+    subs = spark.range(20_001).selectExpr("concat('s', id) id", "'active' status", "'Observation' resource_type", "if(id < 20000, 'subject', null) field", "if(id < 20000, cast(id as string), null) value", "true on_create", "true on_update")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    writer = ST.subscription_stream(stream, subs).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    plan = query._jsq.explainInternal(False).split("== Initial Plan ==")[0]
+    assert plan.count("SortMergeJoin") == 1, [line.strip()[:90] for line in plan.splitlines() if "Join" in line]
+    want = rows.selectExpr("concat('s', fields['subject']) s", "event_id").where("cast(substr(s, 2) as int) < 20000").unionByName(rows.selectExpr("'s20000' s", "event_id"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()

@@ -7,19 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.joins import hinted
+from wardline.operators.joins import hinted, joined_by_batches
 
 
 #: Columns of a subscription that a match is tested on.
 ASKED = ("subscription_id", "resource_type", "on_create", "on_update")
 
 
-def _active(subscriptions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _active(subscriptions: DataFrame, stream: bool = False) -> tuple[DataFrame, DataFrame]:
     """Active subscriptions that name a field, by (resource_type, field, value), and those to any resource of a type."""
     active = subscriptions.where("status = 'active'").select(
         F.col("id").alias("subscription_id"), "resource_type", "field", "value", "on_create", "on_update"
     )
-    return hinted(active.where("field IS NOT NULL")), hinted(active.where("field IS NULL").select(*ASKED))
+    named = active.where("field IS NOT NULL")
+    return joined_by_batches(named) if stream else hinted(named), hinted(active.where("field IS NULL").select(*ASKED))
 
 
 def _triggered() -> Column:
@@ -35,7 +36,7 @@ def match_subscriptions(events: DataFrame, subscriptions: DataFrame) -> DataFram
     null triggers count as true. Events meet subscriptions by (type, field, value), one row for each field, and
     only those to a whole type by the type alone.
     """
-    named, whole = _active(subscriptions)
+    named, whole = _active(subscriptions, events.isStreaming)
     fields = events.select("event_id", "resource_type", "interaction", F.explode("fields").alias("field", "value"))
     found = [fields.join(named, ["resource_type", "field", "value"]), events.drop("fields").join(whole, "resource_type")]
     return reduce(DataFrame.union, [df.where(_triggered()).select("subscription_id", "event_id") for df in found])
