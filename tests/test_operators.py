@@ -209,6 +209,20 @@ def test_structural_diff_of_nested_resources(spark):
     assert history.structural_diff(versions.limit(0)).collect() == []
 
 
+def test_structural_diff_walks_no_deeper_than_its_bodies(spark):
+    """Brackets in strings count for nothing; three levels are three generators and the one that pairs; roots that change."""
+    rows = [("1", 1, '{"a":"}{[\\"[[","b":[{"c":1}],"same":{"d":[1,2]}}', "P"), ("1", 2, '{"a":"x","b":[{"c":2},3],"same":{"d":[1,2]}}', "P"), ("1", 3, '{"a":"x"}', "Q")]
+    versions = spark.createDataFrame(rows, "id string, version_id int, body string, kind string")
+    got = history.structural_diff(versions, root=F.col("kind"))
+    want = [
+        (2, "P.a", "replace", json.dumps('}{["[['), '"x"'), (2, "P.b[0].c", "replace", "1", "2"), (2, "P.b[1]", "insert", None, "3"),
+        (3, "P.a", "delete", '"x"', None), (3, "P.b[0].c", "delete", "2", None), (3, "P.b[1]", "delete", "3", None),
+        (3, "P.same.d[0]", "delete", "1", None), (3, "P.same.d[1]", "delete", "2", None), (3, "Q.a", "insert", None, '"x"'),
+    ]
+    assert sorted((r[1:] for r in got.collect()), key=str) == sorted(want, key=str)
+    assert len(re.findall(r"Generate ", got._jdf.queryExecution().optimizedPlan().toString())) == 4
+
+
 def test_versions_of_one_busy_id_follow_each_other(spark):
     """Spans of 100 numbers, some of them empty: each version is followed by the next there is."""
     numbers = [k for k in range(1, 2000) if k % 7 and not 300 <= k < 650]

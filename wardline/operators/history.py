@@ -132,23 +132,61 @@ def next_versions(versions: DataFrame, span: int = VERSION_SPAN) -> DataFrame:
 def structural_diff(versions: DataFrame, body: str = "body", root: Column | None = None, depth: int = DEPTH) -> DataFrame:
     """(id, version_id, path, operation, old, new) for each value in a resource that differs from the version before.
 
-    Resources (id, version_id, body) are taken apart by ``leaves``. Each value is met as the new one of its version and the
-    old one of the next, under one key of (id, version, path): one shuffle, whatever the number of versions. A value that was
-    not there is an ``insert``, one that is gone a ``delete``, else it is a ``replace``; array members are told apart by their
-    place. The first version of an id has no rows. Rows of an (id, version_id) must be one.
+    Resources (id, version_id, body) are paired whole, each version's with the one before, and the two are taken apart
+    together, with the paths of ``leaves``: one shuffle of bodies, and what is equal is left at the level where it is seen to
+    be. Levels are as many as the deepest body has, which is looked up first. A value that was not there is an ``insert``,
+    one that is gone a ``delete``, else it is a ``replace``; array members are told apart by their place. The first version
+    of an id has no rows. Rows of an (id, version_id) must be one.
     """
-    order = next_versions(versions)
-    flat = leaves(versions.select("id", "version_id", body, *([] if root is None else [root.alias("__root")])), body, None if root is None else F.col("__root"), depth)
-    met = flat.join(order, ["id", "version_id"])
+    whole = F.lit("") if root is None else root
+    met = versions.select("id", "version_id", F.col(body).alias("body"), whole.alias("path")).where("body IS NOT NULL").join(next_versions(versions), ["id", "version_id"])
+    none = F.lit(None).cast(met.schema["body"].dataType)
     sides = F.array(
-        F.when(~F.col("first"), F.struct(F.col("version_id").alias("at"), F.lit(None).cast("string").alias("old"), F.col("value").alias("new"))),
-        F.when(F.col("following").isNotNull(), F.struct(F.col("following").alias("at"), F.col("value").alias("old"), F.lit(None).cast("string").alias("new"))),
+        F.when(~F.col("first"), F.struct(F.col("version_id").alias("at"), none.alias("old"), F.col("body").alias("new"))),
+        F.when(F.col("following").isNotNull(), F.struct(F.col("following").alias("at"), F.col("body").alias("old"), none.alias("new"))),
     )
     both = met.select("id", "path", F.explode(F.array_compact(sides)).alias("s"))
-    compared = both.groupBy("id", F.col("s.at").alias("version_id"), "path").agg(F.max("s.old").alias("old"), F.max("s.new").alias("new"))
+    pairs = both.groupBy("id", F.col("s.at").alias("version_id"), "path").agg(F.first("s.old", True).alias("old"), F.first("s.new", True).alias("new"))
+    as_text = met.schema["body"].dataType.typeName() != "variant"
+    if as_text:
+        pairs = pairs.where(~F.col("old").eqNullSafe(F.col("new"))).withColumn("old", F.parse_json("old")).withColumn("new", F.parse_json("new"))
+    levels = versions.select(F.least(F.lit(depth), F.max(_height(F.col(body) if as_text else F.to_json(body), depth)))).first()[0] or 0
+    flat = pairs.withColumn("leaf", F.lit(False))
+    differ = ~F.to_json("old").eqNullSafe(F.to_json("new"))
+    looked = lambda c, kind: F.when(~F.col("leaf"), F.try_variant_get(c, "$", kind))
+    for _ in range(levels):  # each value is read once, not for each of its members
+        read = {f"{c}_{name}": looked(c, kind) for c in ("old", "new") for name, kind in (("members", "map<string,variant>"), ("places", "array<variant>"))}
+        flat = flat.where(F.col("leaf") | differ).withColumns(read)
+        flat = flat.select("id", "version_id", F.explode(_inside()).alias("v")).select("id", "version_id", "v.*")
+    flat = flat.select("id", "version_id", "path", F.to_json("old").alias("old"), F.to_json("new").alias("new"))
     operation = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").otherwise("replace")
-    changed = compared.where(~F.col("old").eqNullSafe(F.col("new")))
-    return changed.select("id", "version_id", "path", operation.alias("operation"), "old", "new")
+    return flat.where(~F.col("old").eqNullSafe(F.col("new"))).select("id", "version_id", "path", operation.alias("operation"), "old", "new")
+
+
+def _height(text: Column, most: int) -> Column:
+    """Levels of objects and arrays in JSON text, up to ``most`` and never too few: brackets that close at once go, level by level."""
+    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]+", "")
+    peeled = lambda held, _: F.struct(F.regexp_replace(held["s"], r"\{\}|\[\]", "").alias("s"), (held["n"] + F.when(held["s"] == "", 0).otherwise(1)).alias("n"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.struct(brackets.alias("s"), F.lit(0).alias("n")), peeled, lambda held: held["n"])
+
+
+def _inside() -> Column:
+    """What two values that differ hold one level down: structs (path, old, new, leaf) of each member and place of either,
+    and of the values themselves, as leaves, where they hold nothing. A leaf is passed on."""
+    struct = lambda path, old, new, leaf: F.struct(path.alias("path"), old.alias("old"), new.alias("new"), F.lit(leaf).alias("leaf"))
+    empty = F.array().cast("array<struct<path:string,old:variant,new:variant,leaf:boolean>>")
+    nothing = F.array().cast("array<string>")
+    keys = F.array_union(*[F.coalesce(F.map_keys(f"{c}_members"), nothing) for c in ("old", "new")])
+    dotted = lambda key: F.when(F.col("path") == "", key).otherwise(F.concat("path", F.lit("."), key))
+    named = F.transform(keys, lambda k: struct(dotted(k), *[F.try_element_at(f"{c}_members", k) for c in ("old", "new")], False))
+    count = F.greatest(*[F.coalesce(F.size(f"{c}_places"), F.lit(0)) for c in ("old", "new")])
+    placed = lambda k: F.concat("path", F.lit("["), k.cast("string"), F.lit("]"))
+    places = F.transform(F.sequence(F.lit(0), count - 1), lambda k: struct(placed(k), *[F.get(f"{c}_places", k) for c in ("old", "new")], False))
+    holds = lambda c: F.coalesce(F.size(f"{c}_members") > 0, F.lit(False)) | F.coalesce(F.size(f"{c}_places") > 0, F.lit(False))
+    alone = [F.when(~holds(c), F.col(c)) for c in ("old", "new")]
+    itself = F.when(alone[0].isNotNull() | alone[1].isNotNull(), F.array(struct(F.col("path"), *alone, True))).otherwise(empty)
+    walked = F.concat(itself, F.when(F.size(keys) > 0, named).otherwise(empty), F.when(count > 0, places).otherwise(empty))
+    return F.when(F.col("leaf"), F.array(struct(F.col("path"), F.col("old"), F.col("new"), True))).otherwise(walked)
 
 
 def resolve_updates(current: DataFrame, updates: DataFrame, retry: bool, max_retries: int = 10) -> DataFrame:
