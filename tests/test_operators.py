@@ -302,6 +302,24 @@ def test_pairs_of_few_rows_are_dealt_over_tasks(spark):
         assert re.search(r"SortMergeJoin \[key#\d+, i#\d+, j#\d+\]", plan) and plan.count("16), REPARTITION_BY_NUM") == 2
 
 
+def test_a_record_walks_through_the_array_of_its_cell(spark, monkeypatch):
+    """900 patients of one practitioner in nine parts, some ids null, one there twice: the pairs of SQL, none of a record with
+    itself or with no id; ids are compared in the nine cells of one part alone, and tasks grow with the pairs."""
+    monkeypatch.setattr(linkage, "CELL", 100)
+    monkeypatch.setattr(linkage, "PAIRS_OF_A_TASK", 10_000)
+    people = spark.range(900).selectExpr("'Patient' resource_type", "case when id % 50 <> 7 then cast(id as string) end id", "true active", "cast(null as date) birthdate", "array(cast(id % 90 as string)) identifier", "'busy' practitioner")
+    people = people.unionByName(people.where("id = '11'"))
+    pairs = linkage.mdm_candidates(people)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    n = 900 - 18 + 1
+    assert plan.count(f"{(n * (n - 1) // 2 + 90 * 45) // 10_000}), REPARTITION_BY_NUM") == 2
+    assert "Generate explode(ys" in plan and "least(" not in plan
+    ids = [str(k) for k in range(900) if k % 50 != 7]
+    want = {(a, b) for a in ids for b in ids if a < b}
+    got = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert set(got) == want and len(got) == len(want) + len(ids) - 1  # the pairs of the one that is there twice
+
+
 def test_a_second_key_for_busy_blocks(spark):
     """20,000 patients of one practitioner: above 1,000 they must agree in the birth date too; the report says what is lost."""
     people = spark.range(20_000).selectExpr("'Patient' resource_type", "cast(id as string) id", "true active", "case when id % 5 > 0 then date_add(date'1950-01-01', cast(id % 4000 as int)) end birthdate", "array(cast(null as string)) identifier", "'busy' practitioner")
