@@ -139,6 +139,36 @@ def test_a_patient_is_one_row_of_state(spark, tmp_path):
         assert _rows(ST.stored_aggregate(spark, str(tmp_path / mode))) == _rows(newest(V.scored(rows)))
 
 
+def test_the_flow_runs_on_spark_s_own_aggregation(spark, tmp_path):
+    """No row or state of the flow goes through Python; it sends and keeps what the processor does, ties and late rows too, and a
+    checkpoint that the processor began is gone on with by the processor."""
+    def batch(first):
+        rows = spark.range(first, first + 1500).selectExpr(
+            "cast(id as string) id", "id seq", "concat('Patient/', id % 9) subject", "if(id % 6 = 0, null, timestamp_ntz'2024-02-01' + make_interval(0, 0, 0, 0, 0, 0, id * 7 % 40)) issued",
+            "cast(null as timestamp_ntz) effective", "array('9279-1', '59408-5', '8867-4', '8480-6', '8310-5', 'other', null)[id div 9 % 7] code", "cast(20 + id * 13 % 90 as decimal(18,2)) value")
+        rows.repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        return rows
+
+    patients = spark.range(8).select(F.col("id").cast("string").alias("id"), F.lit(5).alias("stored_total"), F.lit("East").alias("block"))
+    rows = batch(0)
+    for mode, newest in (("event_time", V.latest_vitals), ("arrival", lambda scores: _last_arrived(scores.where("code like '%-%'")))):
+        sent, query = _flow(spark, tmp_path / "in", tmp_path / mode, patients, mode=mode)
+        plan = query._jsq.explainInternal(False)
+        assert "StateStoreSave" in plan and "Python" not in plan and "TransformWithState" not in plan
+        again, _ = _flow(spark, tmp_path / "in", tmp_path / f"{mode}-2", patients, mode=mode, native=False)
+        assert sent == again and len(sent) == 3
+        want = _rows(newest(V.scored(rows)))
+        assert want == _rows(ST.stored_aggregate(spark, str(tmp_path / mode))) == _rows(ST.stored_aggregate(spark, str(tmp_path / f"{mode}-2")))
+    rows = rows.unionByName(batch(1500))
+    sent, _ = _flow(spark, tmp_path / "in", tmp_path / "event_time", patients)
+    again, query = _flow(spark, tmp_path / "in", tmp_path / "event_time-2", patients)
+    assert "TransformWithState" in query._jsq.explainInternal(False) and sent == again and [b for b, _ in sent] == [3, 4, 5]
+    want = _rows(V.latest_vitals(V.scored(rows)))
+    assert want == _rows(ST.stored_aggregate(spark, str(tmp_path / "event_time"))) == _rows(ST.stored_aggregate(spark, str(tmp_path / "event_time-2")))
+    with pytest.raises(ValueError):
+        ST.news2_stateful(ST.vitals_stream(spark, str(tmp_path / "in"), SCHEMA), native=True)
+
+
 def test_idle_patients_are_forgotten(spark, tmp_path):
     """Patient 1 is last seen in January; when the watermark is in March its state is gone and patient 2's is not."""
     patients = spark.createDataFrame([("1", None, "East"), ("2", None, "East")], "id string, stored_total int, block string")

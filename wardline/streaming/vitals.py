@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
+from pyspark.sql.types import StructField, StructType
 
 from wardline.functions.scoring import VITAL_CODES
 from wardline.operators.subscriptions import match_subscriptions
@@ -109,6 +112,17 @@ class NewestPerCode(StatefulProcessor):
         pass
 
 
+def _newest_natively(keyed: DataFrame, arrival: bool) -> DataFrame:
+    """What ``NewestPerCode`` gives without ``changes``, as Spark's own streaming aggregation: the newest of a code is the
+    greatest of an order, so rows are reduced before the shuffle, and no row and no state goes through Python. The state of a
+    patient is one row with a column for each of ``VITAL_CODES``, in their order."""
+    order = ["seq", "at_micros"] if arrival else ["at_micros", (-F.col("seq")).alias("older")]
+    newest = [F.max(F.when(F.col("code") == code, F.struct(*order, "news2_value"))) for code in VITAL_CODES]
+    held = keyed.groupBy("patient_id").agg(*[n.alias(f"n{k}") for k, n in enumerate(newest)])
+    total = reduce(add, [F.coalesce(F.col(f"n{k}.news2_value"), F.lit(0)) for k in range(len(newest))])
+    return held.select("patient_id", total.cast("int").alias("total"))
+
+
 def news2_stateful(
     stream: DataFrame,
     mode: str = "event_time",
@@ -116,6 +130,7 @@ def news2_stateful(
     initial: DataFrame | None = None,
     idle_days: float | None = None,
     changes: bool = True,
+    native: bool | None = None,
 ) -> DataFrame:
     """(patient_id, total) from state that Spark keeps: at most five codes for each patient.
 
@@ -124,16 +139,23 @@ def news2_stateful(
     first batch starts from; its rows count as older arrivals. ``watermark``, a delay, leaves out observations that come
     later than that after the newest instant of earlier batches. ``idle_days`` (with a watermark) forgets patients
     whose newest observation is so much older than the watermark; what they were last told stays as it is downstream.
-    With ``changes`` a total is given when it changes, else for each patient of a batch.
+    With ``changes`` a total is given when it changes, else for each patient of a batch. Without these three and without
+    ``changes`` the state is that of Spark's own aggregation (``native``), else of ``NewestPerCode``; neither reads the other's
+    checkpoints.
     """
     if mode not in ("arrival", "event_time"):
         raise ValueError(mode)
     if idle_days is not None and watermark is None:
         raise ValueError("patients can be forgotten only behind a watermark")
+    able = watermark is None and initial is None and idle_days is None and not changes
+    if native and not able:
+        raise ValueError("an aggregation begins empty, leaves nothing out, forgets nobody and doesn't know what it gave before")
     rows = scored(stream).where(F.col("code").isin(*VITAL_CODES)).withColumn("at", F.col("obs_instant").cast("timestamp"))
     if watermark is not None:
         rows = rows.withWatermark("at", watermark)
     keyed = rows.select("patient_id", "code", "news2_value", F.unix_micros("at").alias("at_micros"), "seq", *(["at"] if watermark else []))
+    if able and native is not False:
+        return _newest_natively(keyed, mode == "arrival")
     if initial is not None:
         at = F.unix_micros(F.col("obs_instant").cast("timestamp"))
         held = F.collect_list(F.struct("code", "news2_value", at.alias("at_micros")))  # a row for each of five codes
@@ -208,6 +230,15 @@ def news2_updates(stream: DataFrame, patients: DataFrame, **options) -> DataFram
     return observed_outcomes(patient_updates(news2_stateful(stream, changes=False, **options), patients))
 
 
+def _held_natively(spark: SparkSession, checkpoint: str) -> bool | None:
+    """Whether a checkpoint's state is that of an aggregation; None if there is none yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/state")
+    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+        return None
+    operators = spark.read.format("state-metadata").load(checkpoint).select("operatorName").distinct().collect()
+    return "stateStoreSave" in {r["operatorName"] for r in operators} if operators else None
+
+
 def run_news2_stream(
     stream: DataFrame,
     checkpoint: str,
@@ -221,7 +252,8 @@ def run_news2_stream(
     It drains what has arrived, waits for ``pause`` and goes on until it is stopped; with ``pause=None`` it ends
     when all that is there has been read. State and place in the input lie in ``checkpoint``: a restarted query goes on
     from the last batch that it finished, and gives an unfinished one to the sink again under the same number. Options
-    are those of ``news2_stateful``; ``initial`` counts when the checkpoint is new.
+    are those of ``news2_stateful``; ``initial`` counts when the checkpoint is new. What keeps the state in a checkpoint goes
+    on keeping it.
     """
 
     def step(updates: DataFrame, batch: int) -> None:
@@ -233,6 +265,9 @@ def run_news2_stream(
             held.unpersist()
 
     with state_store(stream.sparkSession):
+        options.setdefault("native", _held_natively(stream.sparkSession, checkpoint))
+        if options["native"] and options.get("initial") is not None:
+            options["initial"] = None  # the checkpoint isn't new
         query = news2_updates(stream, patients, **options).writeStream.outputMode("update").foreachBatch(step)
         query = query.option("checkpointLocation", checkpoint)
         return query.trigger(**({"availableNow": True} if pause is None else {"processingTime": pause})).start()
@@ -244,7 +279,15 @@ def stored_aggregate(spark: SparkSession, checkpoint: str) -> DataFrame:
     It is what ``merge_latest`` would have made of all batches so far, and can be the ``initial`` of another flow.
     """
     with state_store(spark):
-        rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "newest").load()
+        if _held_natively(spark, checkpoint):
+            rows = spark.read.format("statestore").load(checkpoint)
+            held = rows.schema["value"].dataType
+            named = StructType([StructField(code, f.dataType) for code, f in zip(VITAL_CODES, held, strict=True)])  # all have one name there
+            each = F.col("value").cast(named)
+            codes = F.array(*[F.when(each[code].isNotNull(), F.struct(F.lit(code).alias("code"), each[code]["news2_value"].alias("news2_value"), each[code]["at_micros"].alias("at_micros"))) for code in VITAL_CODES])
+            rows = rows.select("key", F.struct(F.array_compact(codes).alias("codes")).alias("value"))
+        else:
+            rows = spark.read.format("statestore").option("stateVarName", "newest").load(checkpoint)
     return rows.select(F.col("key.patient_id").alias("patient_id"), F.explode("value.codes").alias("n")).select(
         "patient_id", "n.code", "n.news2_value", F.timestamp_micros("n.at_micros").cast("timestamp_ntz").alias("obs_instant")
     )
